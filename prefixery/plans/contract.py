@@ -1,5 +1,6 @@
 """Contract queries: one callable ``(spark, sf_dir) -> DataFrame`` per operator.
 
+Inputs are the views of ``sources.tables`` over the given parquet tables.
 Doubles are rounded to ``SCORE_DIGITS`` so that an independent engine can
 reproduce them; every computed column carries an explicit alias.
 """
@@ -9,14 +10,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import IndexParams, SCORE_DIGITS, TOP_N
+from ..config import (AS_OF, CACHE_NODES, REQUEST_GAP_MS, SCORE_DIGITS, TOP_N, VNODES,
+                      IndexParams)
+from ..functions.hashing import unit_draw
+from ..functions.normalize import prefixes
+from ..functions.scoring import to_epoch_ms
+from ..operators import events as ev_ops
+from ..operators import export as ex_ops
 from ..operators import fold as fold_ops
+from ..operators import lookup as lk
+from ..operators import metrics as mt
 from ..operators import prefix_index as px
-from ..sources import tables
+from ..operators import recency as rc
+from ..operators import ring as rg
+from ..operators import weights as wt
+from ..session import scratch_path
+from ..sources import catalog_io, tables
 
 D = SCORE_DIGITS
+GENERATION = 1
+SAMPLE_EVERY = 4
 
 
+def _r(c: str):
+    return F.round(F.col(c), D).alias(c)
+
+
+# ---- building blocks ---------------------------------------------------------
+
 def _folded(spark, sf):
     return fold_ops.fold_query_log(tables.term_log(spark, sf))
 
@@ -25,6 +46,35 @@ def _base_catalog(spark, sf):
     return fold_ops.to_catalog(fold_ops.catalog_top_n(_folded(spark, sf), TOP_N))
 
 
+def _event_state(spark, sf):
+    return rc.decayed_state(tables.search_events(spark, sf))
+
+
+def _blended_catalog(spark, sf):
+    return rc.upsert(_base_catalog(spark, sf), _event_state(spark, sf))
+
+
+def _blended_cands(spark, sf):
+    return px.candidates(_blended_catalog(spark, sf), IndexParams())
+
+
+def _blended_index(spark, sf):
+    return px.build_index(_blended_cands(spark, sf))
+
+
+def _ring(spark, nodes=CACHE_NODES):
+    return rg.ring_points(spark, nodes, VNODES)
+
+
+def _ring_keys(spark, sf):
+    """Index nodes (every distinct prefix of a catalog query) are the keys the
+    cache routes."""
+    cat = _base_catalog(spark, sf)
+    return cat.select(F.explode(prefixes("query")).alias("prefix")).distinct()
+
+
+# ---- catalog -----------------------------------------------------------------
+
 def fold_query_log(spark: SparkSession, sf: str) -> DataFrame:
     return _folded(spark, sf)
 
@@ -33,13 +83,232 @@ def catalog_top_n(spark: SparkSession, sf: str) -> DataFrame:
     return fold_ops.catalog_top_n(_folded(spark, sf), TOP_N)
 
 
+def catalog_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """Source rows, then the folded CSV written and read back: count/min/max."""
+    log = tables.term_log(spark, sf)
+    src = log.agg(F.count(F.lit(1)).alias("source_rows"))
+    path = catalog_io.write_folded_csv(fold_ops.catalog_top_n(fold_ops.fold_query_log(log)),
+                                       scratch_path(spark, "folded-csv"))
+    back = catalog_io.read_folded_csv(spark, path)
+    s = fold_ops.catalog_summary(back)
+    nul = F.lit(None).cast("bigint")
+    a = src.select("source_rows", nul.alias("n_rows"), nul.alias("min_cnt"), nul.alias("max_cnt"))
+    b = s.select(nul.alias("source_rows"), "n_rows", "min_cnt", "max_cnt")
+    return a.unionByName(b).agg(*[F.max(c).alias(c) for c in
+                                  ("source_rows", "n_rows", "min_cnt", "max_cnt")])
+
+
+def catalog_top5(spark: SparkSession, sf: str) -> DataFrame:
+    return (_base_catalog(spark, sf).orderBy(F.desc("all_time_count"), F.asc("query"))
+            .limit(5).select("query", "all_time_count"))
+
+
+def prefix_filter(spark: SparkSession, sf: str) -> DataFrame:
+    """Full-refresh snapshot written range-sorted on query, then a pushed-down
+    prefix scan of it."""
+    path = catalog_io.write_snapshot(_base_catalog(spark, sf), scratch_path(spark, "snapshot"))
+    snap = catalog_io.read_snapshot(spark, path)
+    return catalog_io.prefix_filter(snap, "an").select("query", "all_time_count")
+
+
+# ---- index -------------------------------------------------------------------
+
 def prefix_index(spark: SparkSession, sf: str) -> DataFrame:
     cands = px.candidates(_base_catalog(spark, sf), IndexParams())
     return px.build_index(cands)
 
 
+def index_stats(spark: SparkSession, sf: str) -> DataFrame:
+    cands = px.candidates(_base_catalog(spark, sf), IndexParams())
+    return px.index_stats(cands, px.build_index(cands))
+
+
+def lookup_prefix(spark: SparkSession, sf: str) -> DataFrame:
+    return lk.lookup(prefix_index(spark, sf), "th")
+
+
+def trending(spark: SparkSession, sf: str) -> DataFrame:
+    return lk.trending(_blended_cands(spark, sf))
+
+
+def trending_display(spark: SparkSession, sf: str) -> DataFrame:
+    return lk.trending_display(lk.trending(_blended_cands(spark, sf)))
+
+
+def trending_recent(spark: SparkSession, sf: str) -> DataFrame:
+    return lk.trending_recent(_blended_catalog(spark, sf)).select("query", _r("recent_score"))
+
+
+# ---- recency -----------------------------------------------------------------
+
+def recency_closed_form(spark: SparkSession, sf: str) -> DataFrame:
+    s = _event_state(spark, sf)
+    return s.select("query", "all_time_count", _r("recent_score"), "last_ms")
+
+
+def recency_flush_parity(spark: SparkSession, sf: str) -> DataFrame:
+    s = rc.flush_parity_state(tables.search_events(spark, sf))
+    return s.select("query", "all_time_count", _r("recent_score"), "last_ms")
+
+
+def recency_as_of(spark: SparkSession, sf: str) -> DataFrame:
+    s = rc.decay_to(_event_state(spark, sf), to_epoch_ms(AS_OF))
+    return s.select("query", "all_time_count", _r("recent_score"), "last_ms")
+
+
+def upsert_deltas(spark: SparkSession, sf: str) -> DataFrame:
+    c = _blended_catalog(spark, sf)
+    return c.select("query", "all_time_count", _r("recent_score"), "last_ms")
+
+
+def blended_index(spark: SparkSession, sf: str) -> DataFrame:
+    return _blended_index(spark, sf)
+
+
+# ---- lookup ------------------------------------------------------------------
+
+def suggest_bulk(spark: SparkSession, sf: str) -> DataFrame:
+    nested = px.nested_index(_blended_index(spark, sf))
+    return lk.suggest_bulk(tables.requests(spark, sf), nested)
+
+
+# ---- events ------------------------------------------------------------------
+
+def event_fold(spark: SparkSession, sf: str) -> DataFrame:
+    parsed = ev_ops.parse_events(tables.event_json(spark, sf))
+    return ev_ops.fold_batch(parsed)
+
+
+def dead_letters(spark: SparkSession, sf: str) -> DataFrame:
+    return ev_ops.dead_letters(ev_ops.parse_events(tables.event_json(spark, sf)))
+
+
+def write_reduction(spark: SparkSession, sf: str) -> DataFrame:
+    return mt.write_reduction(tables.search_events(spark, sf))
+
+
+def sampled_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Count a 1-in-k hash sample of events and scale back up."""
+    se = tables.search_events(spark, sf)
+    h = F.conv(F.substring(F.md5(F.col("event_id").cast("string")), 1, 8), 16, 10).cast("bigint")
+    return (se.where(F.pmod(h, F.lit(SAMPLE_EVERY)) == 0)
+            .groupBy("query").agg((F.count(F.lit(1)) * SAMPLE_EVERY).alias("est_count")))
+
+
+def dedup_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Exact counts from an at-least-once feed: the whole feed delivered twice,
+    deduplicated on event id."""
+    se = tables.search_events(spark, sf)
+    feed = se.unionByName(se)
+    return (feed.dropDuplicates(["event_id"])
+            .groupBy("query").agg(F.count(F.lit(1)).alias("events")))
+
+
+# ---- weights -----------------------------------------------------------------
+
+def prefix_weights(spark: SparkSession, sf: str) -> DataFrame:
+    return wt.prefix_weights(_base_catalog(spark, sf))
+
+
+def prefix_cdf(spark: SparkSession, sf: str) -> DataFrame:
+    c = wt.prefix_cdf(wt.prefix_weights(_base_catalog(spark, sf)))
+    return c.select("p", "w", _r("lo"), _r("cdf"))
+
+
+def weighted_sample(spark: SparkSession, sf: str) -> DataFrame:
+    cdf = wt.prefix_cdf(wt.prefix_weights(_base_catalog(spark, sf)))
+    draws = tables.read_table(spark, sf, "events").select(
+        "event_id", unit_draw("event_id").alias("u"))
+    return wt.weighted_sample(draws, cdf).select("event_id", "p")
+
+
+def prefix_weights_json(spark: SparkSession, sf: str) -> DataFrame:
+    return wt.weights_json(wt.prefix_weights(_base_catalog(spark, sf)))
+
+
+# ---- sharding ----------------------------------------------------------------
+
+def ring_assign(spark: SparkSession, sf: str) -> DataFrame:
+    return rg.assign(_ring_keys(spark, sf), "prefix", _ring(spark))
+
+
+def ring_share(spark: SparkSession, sf: str) -> DataFrame:
+    return rg.share(rg.assign(_ring_keys(spark, sf), "prefix", _ring(spark)))
+
+
+def ring_remap(spark: SparkSession, sf: str) -> DataFrame:
+    return rg.remap(_ring_keys(spark, sf), "prefix", _ring(spark),
+                    _ring(spark, [n for n in CACHE_NODES if n != 2]))
+
+
+def serving_export(spark: SparkSession, sf: str) -> DataFrame:
+    nested = px.nested_index(_blended_index(spark, sf))
+    return ex_ops.serving_export(nested, GENERATION, _ring(spark))
+
+
+def routing_report(spark: SparkSession, sf: str) -> DataFrame:
+    nested = px.nested_index(_blended_index(spark, sf))
+    exp = ex_ops.serving_export(nested, GENERATION, _ring(spark))
+    return ex_ops.routing_report(tables.requests(spark, sf), exp, GENERATION, _ring(spark))
+
+
+# ---- metrics -----------------------------------------------------------------
+
+def latency_by_outcome(spark: SparkSession, sf: str) -> DataFrame:
+    return mt.latency_by_outcome(tables.request_log(spark, sf))
+
+
+def hit_rate(spark: SparkSession, sf: str) -> DataFrame:
+    return mt.hit_rate(tables.request_log(spark, sf))
+
+
+def slo_gate(spark: SparkSession, sf: str) -> DataFrame:
+    return mt.slo_gate(tables.request_log(spark, sf))
+
+
+def latency_histogram(spark: SparkSession, sf: str) -> DataFrame:
+    return mt.latency_histogram(tables.request_log(spark, sf))
+
+
+def debounce(spark: SparkSession, sf: str) -> DataFrame:
+    return mt.debounce(tables.keystrokes(spark, sf), REQUEST_GAP_MS)
+
+
 QUERIES = {
     "fold_query_log": fold_query_log,
     "catalog_top_n": catalog_top_n,
+    "catalog_summary": catalog_summary,
+    "catalog_top5": catalog_top5,
+    "prefix_filter": prefix_filter,
     "prefix_index": prefix_index,
+    "index_stats": index_stats,
+    "lookup_prefix": lookup_prefix,
+    "trending": trending,
+    "trending_display": trending_display,
+    "trending_recent": trending_recent,
+    "recency_closed_form": recency_closed_form,
+    "recency_flush_parity": recency_flush_parity,
+    "recency_as_of": recency_as_of,
+    "upsert_deltas": upsert_deltas,
+    "blended_index": blended_index,
+    "suggest_bulk": suggest_bulk,
+    "event_fold": event_fold,
+    "dead_letters": dead_letters,
+    "write_reduction": write_reduction,
+    "sampled_counts": sampled_counts,
+    "dedup_counts": dedup_counts,
+    "prefix_weights": prefix_weights,
+    "prefix_cdf": prefix_cdf,
+    "weighted_sample": weighted_sample,
+    "prefix_weights_json": prefix_weights_json,
+    "ring_assign": ring_assign,
+    "ring_share": ring_share,
+    "ring_remap": ring_remap,
+    "serving_export": serving_export,
+    "routing_report": routing_report,
+    "latency_by_outcome": latency_by_outcome,
+    "hit_rate": hit_rate,
+    "slo_gate": slo_gate,
+    "latency_histogram": latency_histogram,
+    "debounce": debounce,
 }
