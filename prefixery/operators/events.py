@@ -33,8 +33,8 @@ def fold_batch(parsed: DataFrame) -> DataFrame:
                                   F.max("ts_ms").alias("max_ts_ms")))
 
 
-def to_event_records(events: DataFrame) -> DataFrame:
+def to_event_records(events: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Serialize events as the producer does: key = query, value = {query, ts}."""
     return events.select(F.col("query").alias("key"),
                          F.to_json(F.struct(F.col("query"), F.col("ts_ms").alias("ts")))
-                         .alias("value"))
+                         .alias("value"), *keep)

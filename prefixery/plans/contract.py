@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import (AS_OF, CACHE_NODES, REQUEST_GAP_MS, SCORE_DIGITS, TOP_N, VNODES,
-                      IndexParams)
+from ..config import (AS_OF, CACHE_NODES, REQUEST_GAP_MS, SCORE_DIGITS, TOP_N,
+                      TRENDING_LANDMARK, VNODES, IndexParams)
 from ..functions.hashing import unit_draw
 from ..functions.normalize import prefixes
 from ..functions.scoring import to_epoch_ms
@@ -25,7 +25,9 @@ from ..operators import recency as rc
 from ..operators import ring as rg
 from ..operators import weights as wt
 from ..session import scratch_path
-from ..sources import catalog_io, tables
+from ..sources import catalog_io, events_io, tables
+from ..streaming import ingest as ing
+from ..streaming import trending as trd
 
 D = SCORE_DIGITS
 GENERATION = 1
@@ -274,6 +276,41 @@ def debounce(spark: SparkSession, sf: str) -> DataFrame:
     return mt.debounce(tables.keystrokes(spark, sf), REQUEST_GAP_MS)
 
 
+# ---- streaming ---------------------------------------------------------------
+
+def _publish_feed(spark, sf):
+    """The search events published as a keyed JSON feed (one folder per day)
+    plus malformed lines; returns the feed folder."""
+    feed = scratch_path(spark, "feed")
+    events_io.write_event_files(tables.search_events(spark, sf), feed)
+    bad = tables.event_json(spark, sf).where(F.col("key").isNull())
+    events_io.write_raw_lines(bad, feed)
+    return feed
+
+
+def stream_fold(spark: SparkSession, sf: str) -> DataFrame:
+    """Replay the feed through the streaming ingest (bounded micro-batches,
+    availableNow) and read the merged state back."""
+    feed = _publish_feed(spark, sf)
+    root = scratch_path(spark, "ingest")
+    q = ing.start_ingest(events_io.read_event_stream(spark, feed, max_files_per_trigger=16),
+                         root, root + "/_checkpoint", available_now=True)
+    q.awaitTermination()
+    cat = ing.current_catalog(spark, root)
+    return cat.select("query", "all_time_count", _r("recent_score"), "last_ms")
+
+
+def stream_trending(spark: SparkSession, sf: str) -> DataFrame:
+    feed = _publish_feed(spark, sf)
+    out = scratch_path(spark, "trending")
+    lm = to_epoch_ms(TRENDING_LANDMARK)
+    q = trd.start_trending(events_io.read_event_stream(spark, feed, max_files_per_trigger=16),
+                           out + "/rows", out + "/_checkpoint", lm, available_now=True)
+    q.awaitTermination()
+    t = trd.read_trending(spark, out + "/rows", to_epoch_ms(AS_OF), lm)
+    return t.select("query", _r("score"))
+
+
 QUERIES = {
     "fold_query_log": fold_query_log,
     "catalog_top_n": catalog_top_n,
@@ -311,4 +348,6 @@ QUERIES = {
     "slo_gate": slo_gate,
     "latency_histogram": latency_histogram,
     "debounce": debounce,
+    "stream_fold": stream_fold,
+    "stream_trending": stream_trending,
 }

@@ -239,10 +239,10 @@ ORACLES = {
         m AS (SELECT quantile_cont(latency_ms, 0.95) AS p95, quantile_cont(latency_ms, 0.99) AS p99,
                      avg(CASE WHEN outcome = 'HIT' THEN 1.0 ELSE 0.0 END) AS hr,
                      avg(CASE WHEN latency_ms >= 0 THEN 1.0 ELSE 0.0 END) AS ck FROM rl)
-        SELECT 'p95_ms' AS metric, round(p95, 6) AS value, 25.0 AS threshold, p95 < 25.0 AS passed FROM m
-        UNION ALL SELECT 'p99_ms', round(p99, 6), 60.0, p99 < 60.0 FROM m
-        UNION ALL SELECT 'hit_rate', round(hr, 6), 0.8, hr > 0.8 FROM m
-        UNION ALL SELECT 'checks', round(ck, 6), 0.99, ck > 0.99 FROM m""",
+        SELECT 'p95_ms' AS metric, round(p95, 6) AS value, 25.0::DOUBLE AS threshold, p95 < 25.0 AS passed FROM m
+        UNION ALL SELECT 'p99_ms', round(p99, 6), 60.0::DOUBLE, p99 < 60.0 FROM m
+        UNION ALL SELECT 'hit_rate', round(hr, 6), 0.8::DOUBLE, hr > 0.8 FROM m
+        UNION ALL SELECT 'checks', round(ck, 6), 0.99::DOUBLE, ck > 0.99 FROM m""",
     "latency_histogram": "WITH " + REQUEST_LOG + """
         SELECT outcome, CAST(CASE WHEN latency_ms < 1 THEN -1 ELSE floor(log2(latency_ms)) END AS INTEGER) AS bucket,
                CAST(count(*) AS BIGINT) AS requests
@@ -251,4 +251,9 @@ ORACLES = {
         WITH k AS (SELECT user_id AS session, event_id, (epoch_us(ts) // 1000) AS ts_ms, event_type AS value FROM events),
         l AS (SELECT *, lead(ts_ms) OVER (PARTITION BY session ORDER BY ts_ms, event_id) AS nxt FROM k)
         SELECT session, event_id, ts_ms, value FROM l WHERE nxt IS NULL OR nxt - ts_ms >= 3600000""",
+    "stream_fold": "WITH " + EVENT_STATE + """
+        SELECT query, all_time_count, round(recent_score, 6) AS recent_score, last_ms FROM state""",
+    "stream_trending": "WITH " + SEARCH_EVENTS + f"""
+        SELECT query, round(sum(pow(0.5, ({AS_OF_MS} - ts_ms) / {H_MS})), 6) AS score
+        FROM se GROUP BY query ORDER BY score DESC, query LIMIT 10""",
 }

@@ -11,12 +11,12 @@ FEED_SCHEMA = "key string, value string"
 
 
 def write_event_files(events: DataFrame, path: str, slot_ms: int = 86_400_000) -> str:
-    """Publish events as JSON records ``{key, value}``, one folder per time
-    slot (so a file stream replays them slot by slot)."""
-    recs = to_event_records(events).withColumn(
-        "slot", F.floor(events["ts_ms"] / slot_ms).cast("bigint")) if "ts_ms" in events.columns \
-        else to_event_records(events).withColumn("slot", F.lit(0).cast("bigint"))
-    recs.write.mode("overwrite").partitionBy("slot").json(path)
+    """Publish ``(query, ts_ms)`` events as JSON records ``{key, value}``, one
+    folder per time slot (so a file stream replays them slot by slot)."""
+    slot = F.floor(F.col("ts_ms") / slot_ms).cast("bigint")
+    recs = events.withColumn("slot", slot)
+    (to_event_records(recs, ("slot",))
+     .write.mode("overwrite").partitionBy("slot").json(path))
     return path
 
 
