@@ -23,18 +23,30 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin rebalance a scan that yields fewer splits than the cluster
+    has cores (a single large file, e.g.); wide scans are left alone."""
+    want = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < want:
+        return df.repartition(want)
+    return df
+
+
 def term_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw query log ``(final_search_term, popularity)``.
 
     One row per token of ``documents.text``; ``popularity`` is the global
     count of that exact token, constant across its rows (like a published
     query log that carries a global count per term).  The count is a partial
-    aggregate joined back on the term; AQE splits a hot term on the join.
+    aggregate joined back on the term (sort-merge; AQE splits a hot term).
     """
-    tokens = (read_table(spark, sf_dir, "documents")
+    tokens = (spread(read_table(spark, sf_dir, "documents").select("text"))
               .select(F.explode(F.split("text", TERM_SPLIT)).alias("final_search_term")))
     counts = tokens.groupBy("final_search_term").agg(F.count(F.lit(1)).alias("popularity"))
-    return tokens.join(counts, "final_search_term")
+    # Neither side has a size bound (the planner underestimates exploded rows
+    # and would broadcast the tokens): shuffle join on the term, which also
+    # leaves the output partitioned for the fold's first aggregate.
+    return tokens.hint("merge").join(counts, "final_search_term")
 
 
 def product_names(spark: SparkSession, sf_dir: str) -> DataFrame:
