@@ -25,7 +25,9 @@ from ..operators import recency as rc
 from ..operators import ring as rg
 from ..operators import weights as wt
 from ..session import scratch_path
+from . import publish as pub
 from ..sources import catalog_io, events_io, tables
+from ..streaming import debounce as dbn
 from ..streaming import ingest as ing
 from ..streaming import trending as trd
 
@@ -276,6 +278,27 @@ def debounce(spark: SparkSession, sf: str) -> DataFrame:
     return mt.debounce(tables.keystrokes(spark, sf), REQUEST_GAP_MS)
 
 
+def debounce_sessions(spark: SparkSession, sf: str) -> DataFrame:
+    """Same answer as ``debounce``, as session windows (the streaming form)."""
+    return dbn.settled_values(tables.keystrokes(spark, sf), REQUEST_GAP_MS)
+
+
+def warm_prefixes(spark: SparkSession, sf: str) -> DataFrame:
+    """Export entries of the hottest prefixes, to pre-fill a new generation."""
+    w = wt.prefix_weights(_base_catalog(spark, sf)).select(F.col("p").alias("prefix"), "w")
+    nested = px.nested_index(_blended_index(spark, sf))
+    exp = ex_ops.serving_export(nested, GENERATION, _ring(spark))
+    return exp.join(F.broadcast(w), "prefix").select("shard", "prefix", "key", "ttl_s", "w")
+
+
+def index_publish(spark: SparkSession, sf: str) -> DataFrame:
+    """Publish the blended catalog as generation 1 of a fresh index root and
+    return its pointer record (candidates, nodes, rows, staleness)."""
+    root = scratch_path(spark, "index-root")
+    pub.publish(spark, root, _blended_catalog(spark, sf), to_epoch_ms(AS_OF))
+    return pub.pointers(spark, root)
+
+
 # ---- streaming ---------------------------------------------------------------
 
 def _publish_feed(spark, sf):
@@ -348,6 +371,9 @@ QUERIES = {
     "slo_gate": slo_gate,
     "latency_histogram": latency_histogram,
     "debounce": debounce,
+    "debounce_sessions": debounce_sessions,
+    "warm_prefixes": warm_prefixes,
+    "index_publish": index_publish,
     "stream_fold": stream_fold,
     "stream_trending": stream_trending,
 }

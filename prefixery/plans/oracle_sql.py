@@ -256,4 +256,22 @@ ORACLES = {
     "stream_trending": "WITH " + SEARCH_EVENTS + f"""
         SELECT query, round(sum(pow(0.5, ({AS_OF_MS} - ts_ms) / {H_MS})), 6) AS score
         FROM se GROUP BY query ORDER BY score DESC, query LIMIT 10""",
+    "debounce_sessions": """
+        WITH k AS (SELECT user_id AS session, event_id, (epoch_us(ts) // 1000) AS ts_ms, event_type AS value FROM events),
+        l AS (SELECT *, lead(ts_ms) OVER (PARTITION BY session ORDER BY ts_ms, event_id) AS nxt FROM k)
+        SELECT session, event_id, ts_ms, value FROM l WHERE nxt IS NULL OR nxt - ts_ms >= 3600000""",
+    "warm_prefixes": "WITH " + EXPORT + r""",
+        px AS (SELECT lower(left(query, len)) AS p, all_time_count AS w
+               FROM catalog, (VALUES (2), (3)) AS l(len)
+               WHERE length(query) >= len AND regexp_matches(query, '^[a-z0-9]')),
+        weights AS (SELECT p, CAST(sum(w) AS BIGINT) AS w FROM px GROUP BY p ORDER BY sum(w) DESC, p LIMIT 300)
+        SELECT 'node-' || CAST(e.node AS VARCHAR) AS shard, e.prefix, e.key, e.ttl_s, w.w
+        FROM export_owned e JOIN weights w ON w.p = e.prefix""",
+    "index_publish": "WITH " + BLENDED_INDEX + f"""
+        SELECT CAST(1 AS INTEGER) AS generation, CAST({AS_OF_MS} AS BIGINT) AS published_ms,
+               (SELECT CAST(count(*) AS BIGINT) FROM bidx_cands) AS candidates,
+               CAST(count(DISTINCT prefix) AS BIGINT) AS nodes, CAST(count(*) AS BIGINT) AS index_rows,
+               (SELECT max(last_ms) FROM blended) AS max_event_ms,
+               CAST({AS_OF_MS} - (SELECT max(last_ms) FROM blended) AS BIGINT) AS staleness_ms
+        FROM bidx""",
 }
