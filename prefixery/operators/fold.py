@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import TOP_N
 from ..functions.normalize import normalize
-from .topn import top_n
+from .topn import top_n_by_count
 
 
 def fold_query_log(log: DataFrame, term_col: str = "final_search_term",
@@ -27,7 +27,7 @@ def fold_query_log(log: DataFrame, term_col: str = "final_search_term",
 
 def catalog_top_n(folded: DataFrame, n: int = TOP_N) -> DataFrame:
     """Top ``n`` folded queries by count; ties by query ascending."""
-    return top_n(folded, n, [F.desc("cnt"), F.asc("q")])
+    return top_n_by_count(folded, n, "cnt", "q")
 
 
 def catalog_summary(catalog: DataFrame, col: str = "cnt") -> DataFrame:

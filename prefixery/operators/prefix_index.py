@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..config import IndexParams
 from ..functions.normalize import prefixes
 from ..functions.scoring import blended_score
-from .topn import top_n
+from .topn import top_n, top_n_by_count
 
 
 def candidates(catalog: DataFrame, params: IndexParams = IndexParams()) -> DataFrame:
@@ -29,8 +29,10 @@ def candidates(catalog: DataFrame, params: IndexParams = IndexParams()) -> DataF
                                           params.w_recent).alias("score"))
     if params.score_digits is not None:
         scored = scored.withColumn("score", F.round("score", params.score_digits))
-    key = F.desc("all_time_count") if params.cut_by == "count" else F.desc("score")
-    cut = top_n(scored, params.max_queries, [key, F.asc("query")])
+    if params.cut_by == "count":
+        cut = top_n_by_count(scored, params.max_queries, "all_time_count", "query")
+    else:
+        cut = top_n(scored, params.max_queries, [F.desc("score"), F.asc("query")])
     return cut.select("query", "score")
 
 

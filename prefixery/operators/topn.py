@@ -3,10 +3,9 @@
 Small N is Spark's TakeOrderedAndProject: each task keeps N rows and one
 task merges (tasks x N rows).  That merge is the bottleneck once N is large
 (the fold keeps a million rows), so above ``small_n`` the rows are range
-partitioned on the order, counted per partition, and only the one partition
-that straddles row N is ranked.  No task ever holds more than one range
-partition, and nothing passes through the driver except one count per
-partition.
+partitioned on the order and checkpointed, counted per partition (one count
+per partition reaches the driver), and only the one partition that straddles
+row N is ranked.  No task ever holds more than one range partition.
 """
 
 from __future__ import annotations
@@ -26,20 +25,73 @@ def top_n(df: DataFrame, n: int, order: list[Column], small_n: int = SMALL_N,
         return df.orderBy(*order).limit(n)
     spark = df.sparkSession
     p = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # Materialise once: both branches below must see the same range bounds.
+    # Materialise once: the counts and the rows must see the same range bounds.
     ranged = (df.repartitionByRange(p, *order)
               .withColumn("_pid", F.spark_partition_id())
               .checkpoint(eager=True))
-    sizes = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    # One row per partition: the running offset is a tiny single-task window.
-    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (sizes.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-               .where(F.col("_start") < n))
-    kept = ranged.join(F.broadcast(offsets), "_pid")
-    whole = kept.where(F.col("_start") + F.col("_n") <= n)
-    edge = kept.where(F.col("_start") + F.col("_n") > n)
+    # One count per range partition (at most p rows, like zipWithIndex does).
+    sizes = sorted((r["_pid"], r["_n"]) for r in
+                   ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n")).collect())
+    start, edge, edge_start = 0, None, 0
+    for pid, cnt in sizes:
+        if start + cnt > n:
+            edge, edge_start = pid, start
+            break
+        start += cnt
+    cols = list(df.columns)
+    if edge is None:                       # everything fits
+        return ranged.select(*cols)
+    whole = ranged.where(F.col("_pid") < edge)
     in_edge = Window.partitionBy("_pid").orderBy(*order)
-    edge = edge.withColumn("_r", F.row_number().over(in_edge)) \
-        .where(F.col("_start") + F.col("_r") <= n).drop("_r")
-    cols = [c for c in df.columns]
-    return whole.select(*cols).unionByName(edge.select(*cols))
+    part = (ranged.where(F.col("_pid") == edge)
+            .withColumn("_r", F.row_number().over(in_edge))
+            .where(F.col("_r") <= n - edge_start))
+    return whole.select(*cols).unionByName(part.select(*cols))
+
+
+HIST_LIMIT = 1_000_000
+_COSTLY = ("Aggregate", "Join", "Window", "Generate", "Sort", "Expand", "Repartition",
+           "Python", "InPandas", "MapPartitions")
+
+
+def _cheap_to_reread(df: DataFrame) -> bool:
+    """True when the optimised plan is a scan with projections/filters only."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return not any(op in plan for op in _COSTLY)
+
+
+def top_n_by_count(df: DataFrame, n: int, count_col: str, tie_col: str,
+                   small_n: int = SMALL_N) -> DataFrame:
+    """Exact top-``n`` by ``count_col`` desc, ``tie_col`` asc for an integer count.
+
+    A histogram of the count values (at most sqrt(2 * sum(count)) distinct
+    values) fixes the threshold count c*: rows above it are kept by a filter,
+    and only the rows tied at c* are ordered by ``tie_col``.  An expensive
+    input is checkpointed first so that it is computed once."""
+    if n <= 0:
+        return df.limit(0)
+    if not _cheap_to_reread(df):
+        df = df.checkpoint(eager=True)
+    hist = (df.groupBy(count_col).agg(F.count(F.lit(1)).alias("_n"))
+            .limit(HIST_LIMIT + 1).collect())
+    if len(hist) > HIST_LIMIT:
+        return top_n(df, n, [F.desc(count_col), F.asc(tie_col)], small_n)
+    hist.sort(key=lambda r: (r[count_col] is None, -(r[count_col] or 0)))
+    above = 0
+    for r in hist:
+        c, k = r[count_col], r["_n"]
+        if c is None:
+            break
+        if above + k >= n:
+            need = n - above
+            if need == k:
+                return df.where(F.col(count_col) >= c)
+            ties = df.where(F.col(count_col) == c)
+            return (df.where(F.col(count_col) > c)
+                    .unionByName(top_n(ties, need, [F.asc(tie_col)], small_n)))
+        above += k
+    # fewer than n rows with a count: keep them all, then nulls by tie order
+    rest = n - above
+    nulls = df.where(F.col(count_col).isNull())
+    return df.where(F.col(count_col).isNotNull()).unionByName(
+        top_n(nulls, rest, [F.asc(tie_col)], small_n))

@@ -71,3 +71,17 @@ def test_merge_untouched_catalog_rows(spark):
     got = {r["query"]: (r["all_time_count"], r["recent_score"], r["last_ms"])
            for r in merge_states(base.unionByName(delta)).collect()}
     assert got == {"a": (10, 0.0, None), "b": (5, 1.5, 1000), "c": (1, 1.0, 2000)}
+
+
+def test_top_n_by_count_brute_force(spark):
+    from prefixery.operators.topn import top_n_by_count
+    rnd = random.Random(5)
+    rows = [(f"q{i:05d}", rnd.choice([1, 1, 1, 2, 2, 3, 5, 8, None])) for i in range(3000)]
+    df = spark.createDataFrame(rows, "q string, cnt bigint").repartition(4)
+    key = lambda x: (x[1] is None, -(x[1] or 0), x[0])
+    for n in (1, 10, 999, 1500, 2900, 3000, 5000):
+        got = sorted((r["q"], r["cnt"]) for r in top_n_by_count(df, n, "cnt", "q", small_n=5).collect())
+        assert got == sorted(sorted(rows, key=key)[:n]), n
+        agg = df.groupBy("q").agg(F.max("cnt").alias("cnt"))     # costly input path
+        got2 = sorted((r["q"], r["cnt"]) for r in top_n_by_count(agg, n, "cnt", "q", small_n=5).collect())
+        assert got2 == got, n
