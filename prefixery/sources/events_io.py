@@ -10,13 +10,14 @@ from ..operators.events import to_event_records
 FEED_SCHEMA = "key string, value string"
 
 
-def write_event_files(events: DataFrame, path: str, slot_ms: int = 86_400_000) -> str:
+def write_event_files(events: DataFrame, path: str, slot_ms: int = 86_400_000,
+                      mode: str = "overwrite") -> str:
     """Publish ``(query, ts_ms)`` events as JSON records ``{key, value}``, one
     folder per time slot (so a file stream replays them slot by slot)."""
     slot = F.floor(F.col("ts_ms") / slot_ms).cast("bigint")
     recs = events.withColumn("slot", slot)
     (to_event_records(recs, ("slot",))
-     .write.mode("overwrite").partitionBy("slot").json(path))
+     .write.mode(mode).partitionBy("slot").json(path))
     return path
 
 

@@ -51,3 +51,36 @@ def test_stream_equals_batch_and_compaction(spark, sf_small):
     absorbed = ing.compact(spark, root, None, snap)
     base = spark.read.parquet(snap + "/data")
     _close(_rows(ing.current_catalog(spark, root, base, absorbed)), batch_state)
+
+
+def test_restart_resumes_from_checkpoint(spark, sf_small):
+    """A second run with the same checkpoint only folds files added since."""
+    se = tables.search_events(spark, sf_small)
+    split = se.agg(F.expr("percentile_disc(0.5) within group (order by ts_ms)")).collect()[0][0]
+    feed = scratch_path(spark, "feed2")
+    events_io.write_event_files(se.where(F.col("ts_ms") <= split), feed)
+    root = scratch_path(spark, "ingest2")
+    run = lambda: ing.start_ingest(events_io.read_event_stream(spark, feed, 3),
+                                   root, root + "/_ck", available_now=True).awaitTermination()
+    run()
+    first_batches = ing.read_deltas(spark, root).select("batch_id").distinct().count()
+    events_io.write_event_files(se.where(F.col("ts_ms") > split), feed, mode="append")
+    run()
+    assert ing.read_deltas(spark, root).select("batch_id").distinct().count() > first_batches
+    _close(_rows(ing.current_catalog(spark, root)), _rows(decayed_state(se)))
+
+
+def test_export_round_trip_and_corrupt_entry(spark):
+    from prefixery.operators import export as ex
+    from prefixery.operators import prefix_index as px
+    from prefixery.operators import ring as rg
+    cands = spark.createDataFrame([("iphone", 9.0), ("iphone case", 7.0)], "query string, score double")
+    nested = px.nested_index(px.build_index(cands))
+    exp = ex.serving_export(nested, 4, rg.ring_points(spark))
+    row = exp.where(F.col("prefix") == "iph").collect()[0]
+    assert row["key"] == "suggest:v4:iph" and 60 <= row["ttl_s"] <= 75
+    bad = spark.createDataFrame([("k", "{not json")], "key string, value string")
+    back = ex.read_export(exp.select("key", "value").unionByName(bad))
+    got = {r["key"]: [(s["query"], s["score"]) for s in r["suggestions"]] for r in back.collect()}
+    assert got["suggest:v4:iph"] == [("iphone", 9.0), ("iphone case", 7.0)]
+    assert got["k"] == []
