@@ -27,7 +27,8 @@ def main():
                          r"ShuffledHashJoin\s+\S+\s+\S+\s+\S+|BroadcastNestedLoopJoin\s+\S+\s+\S+|"
                          r"CartesianProduct|Exchange \w+|BroadcastExchange|WindowGroupLimit|"
                          r"TakeOrderedAndProject|Window )", plan)
-        print(f"{n}: " + ", ".join(ops))
+        scans = re.findall(r"(PushedFilters: \[[^\]]*\]|ReadSchema: struct<[^>]*>)", plan)
+        print(f"| `{n}` | " + ", ".join(ops) + " | " + "; ".join(dict.fromkeys(scans)) + " |")
     spark.stop()
 
 
