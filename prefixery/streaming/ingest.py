@@ -102,3 +102,15 @@ def compact(spark: SparkSession, state_root: str, base: DataFrame | None, out_pa
     spark.createDataFrame(list(absorbed.items()), "stream string, last_batch bigint") \
         .coalesce(1).write.mode("overwrite").json(f"{out_path}/manifest")
     return absorbed
+
+
+def write_reduction(spark: SparkSession, state_root: str) -> DataFrame:
+    """Write reduction of the ingest as it ran: events folded, rows written
+    (one per distinct query per micro-batch) and micro-batches (flushes)."""
+    d = read_deltas(spark, state_root)
+    return d.agg(F.sum("all_time_count").cast("bigint").alias("events_received"),
+                 F.count(F.lit(1)).alias("rows_upserted"),
+                 F.count_distinct("stream", "batch_id").alias("flushes")) \
+        .select("*", F.round(F.col("events_received") / F.col("rows_upserted"), 6)
+                .alias("events_per_row"),
+                F.round(F.col("events_received") / F.col("flushes"), 6).alias("events_per_flush"))

@@ -47,6 +47,9 @@ def test_stream_equals_batch_and_compaction(spark, sf_small):
     assert batches > 1
     batch_state = _rows(decayed_state(se))
     _close(_rows(ing.current_catalog(spark, root)), batch_state)
+    wr = ing.write_reduction(spark, root).collect()[0]
+    assert wr["events_received"] == se.count() and wr["flushes"] == batches
+    assert wr["rows_upserted"] >= len(batch_state)
     snap = scratch_path(spark, "snap")
     absorbed = ing.compact(spark, root, None, snap)
     base = spark.read.parquet(snap + "/data")
