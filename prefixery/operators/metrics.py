@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import (FLUSH_INTERVAL_MS, SLO_CHECKS, SLO_HIT_RATE, SLO_P95_MS, SLO_P99_MS)
+from .quantiles import exact_quantiles
 
 PCTS = (0.5, 0.95, 0.99)
 
@@ -37,25 +38,37 @@ def hit_rate(log: DataFrame) -> DataFrame:
                      .alias("hit_rate"))
 
 
-def _pct(col: str, exact: bool, p: float, accuracy: int):
-    if exact:
-        return F.percentile(col, p)
+def _pct(col: str, p: float, accuracy: int):
     return F.percentile_approx(col, p, accuracy)
 
 
+def _quantile_table(timed: DataFrame, group_col, probs, exact: bool, accuracy: int) -> DataFrame:
+    """``(outcome, requests, p<..> ...)`` per group value."""
+    names = [f"p{int(round(p * 100))}" for p in probs]
+    if exact:
+        q = exact_quantiles(timed.withColumn("_grp", group_col), "_grp", "latency_ms", probs)
+        return (q.groupBy("_grp").agg(F.max("n").alias("requests"),
+                                       *[F.max(F.when(F.col("p") == p, F.col("q"))).alias(nm)
+                                         for p, nm in zip(probs, names)])
+                .withColumnRenamed("_grp", "outcome"))
+    return (timed.withColumn("_grp", group_col).groupBy("_grp")
+            .agg(F.count(F.lit(1)).alias("requests"),
+                 *[_pct("latency_ms", p, accuracy).alias(nm) for p, nm in zip(probs, names)])
+            .withColumnRenamed("_grp", "outcome"))
+
+
 def latency_by_outcome(log: DataFrame, exact: bool = True, accuracy: int = 10_000) -> DataFrame:
     """p50/p95/p99 latency per outcome plus an ``ALL`` row.
 
-    ``exact`` uses ``percentile`` (partial aggregation of a value->count map,
-    memory bounded by distinct latencies per group); at scale pass
-    ``exact=False`` for the fixed-size ``percentile_approx`` sketch."""
-    timed = log.where(F.col("outcome") != "BYPASS")
-    aggs = [F.count(F.lit(1)).alias("requests")] + [
-        F.round(_pct("latency_ms", exact, p, accuracy), 6).alias(f"p{int(round(p * 100))}")
-        for p in PCTS]
-    per = timed.groupBy("outcome").agg(*aggs)
-    allr = timed.agg(*aggs).select(F.lit("ALL").alias("outcome"), "*")
-    return per.unionByName(allr)
+    ``exact`` selects ranks over range partitions (``quantiles``), never
+    gathering an outcome in one task; ``exact=False`` uses the fixed-size
+    ``percentile_approx`` sketch."""
+    timed = log.where(F.col("outcome") != "BYPASS").select("outcome", "latency_ms")
+    both = timed.unionByName(timed.withColumn("outcome", F.lit("ALL")))
+    t = _quantile_table(both, F.col("outcome"), PCTS, exact, accuracy)
+    names = [f"p{int(round(p * 100))}" for p in PCTS]
+    return t.select("outcome", F.col("requests").cast("bigint").alias("requests"),
+                    *[F.round(n, 6).alias(n) for n in names])
 
 
 def slo_gate(log: DataFrame, exact: bool = True) -> DataFrame:
@@ -63,11 +76,16 @@ def slo_gate(log: DataFrame, exact: bool = True) -> DataFrame:
     p99 < 60 ms, hit rate > 0.80 and checks > 0.99 (a check passes when a
     request got a response, i.e. a non-negative latency)."""
     timed = log.where(F.col("outcome") != "BYPASS")
-    m = timed.agg(
-        _pct("latency_ms", exact, 0.95, 10_000).alias("p95_ms"),
-        _pct("latency_ms", exact, 0.99, 10_000).alias("p99_ms"),
+    lat = _quantile_table(timed.select("latency_ms"), F.lit("ALL"), (0.95, 0.99), exact, 10_000)
+    rates = timed.agg(
         F.avg((F.col("outcome") == "HIT").cast("double")).alias("hit_rate"),
         F.avg((F.col("latency_ms") >= 0).cast("double")).alias("checks"))
+    nul = F.lit(None).cast("double")
+    m = (lat.select(F.col("p95").alias("p95_ms"), F.col("p99").alias("p99_ms"),
+                    nul.alias("hit_rate"), nul.alias("checks"))
+         .unionByName(rates.select(nul.alias("p95_ms"), nul.alias("p99_ms"), "hit_rate", "checks"))
+         .agg(*[F.max(c).alias(c) for c in ("p95_ms", "p99_ms", "hit_rate", "checks")]))
+
     def row(name, col, threshold, passed):
         return F.struct(F.lit(name).alias("metric"), F.col(col).alias("value"),
                         F.lit(threshold).alias("threshold"), passed.alias("passed"))

@@ -40,3 +40,16 @@ def test_weighted_sample_brute_force(spark):
     for i in range(1000):
         u = i / 1000.0
         assert got[i] == next(p for p, c in table if c >= u)
+
+
+def test_exact_quantiles_skewed(spark):
+    from prefixery.operators.quantiles import exact_quantiles
+    rng = np.random.default_rng(3)
+    hot = rng.exponential(20, 6000).round(2)
+    cold = rng.exponential(50, 300).round(2)
+    rows = [("hot", float(v)) for v in hot] + [("cold", float(v)) for v in cold] + [("one", 7.0)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    got = {(r["g"], r["p"]): r["q"] for r in exact_quantiles(df, "g", "v", (0.0, 0.5, 0.95, 0.99, 1.0)).collect()}
+    for g, arr in (("hot", hot), ("cold", cold), ("one", np.array([7.0]))):
+        for p in (0.0, 0.5, 0.95, 0.99, 1.0):
+            assert abs(got[(g, p)] - np.percentile(arr, p * 100)) < 1e-9
