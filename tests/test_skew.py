@@ -85,3 +85,16 @@ def test_top_n_by_count_brute_force(spark):
         agg = df.groupBy("q").agg(F.max("cnt").alias("cnt"))     # costly input path
         got2 = sorted((r["q"], r["cnt"]) for r in top_n_by_count(agg, n, "cnt", "q", small_n=5).collect())
         assert got2 == got, n
+
+
+def test_first_by_string_brute_force(spark):
+    from prefixery.operators.topn import first_by_string
+    rnd = random.Random(9)
+    alphabet = "ab cé😀"
+    words = {"".join(rnd.choice(alphabet) for _ in range(rnd.randrange(0, 7))) for _ in range(3000)}
+    words = sorted(words, key=lambda w: w.encode("utf-8"))
+    df = spark.createDataFrame([(w,) for w in words], "q string").repartition(4)
+    for n in (1, 7, 100, len(words) // 2, len(words) - 1, len(words)):
+        got = sorted((r["q"] for r in first_by_string(df, n, "q", small_n=3).collect()),
+                     key=lambda w: w.encode("utf-8"))
+        assert got == words[:n], n
