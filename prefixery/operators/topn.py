@@ -50,14 +50,19 @@ def top_n(df: DataFrame, n: int, order: list[Column], small_n: int = SMALL_N,
 
 
 HIST_LIMIT = 1_000_000
-_COSTLY = ("Aggregate", "Join", "Window", "Generate", "Sort", "Expand", "Repartition",
+_COSTLY = ("Exchange", "Aggregate", "Join", "Window", "Generate", "Sort", "Expand",
            "Python", "InPandas", "MapPartitions")
 
 
 def _cheap_to_reread(df: DataFrame) -> bool:
-    """True when the optimised plan is a scan with projections/filters only."""
-    plan = df._jdf.queryExecution().optimizedPlan().toString()
-    return not any(op in plan for op in _COSTLY)
+    """True when the physical plan is a scan with projections/filters only
+    (no shuffle, aggregate, join, window or generator)."""
+    import contextlib
+    import io
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        df.explain()
+    return not any(op in buf.getvalue() for op in _COSTLY)
 
 
 def top_n_by_count(df: DataFrame, n: int, count_col: str, tie_col: str,

@@ -9,6 +9,7 @@ monotone across restarts (they live with the data, not in a process).
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,18 +22,12 @@ POINTER_SCHEMA = ("generation int, published_ms bigint, candidates bigint, nodes
                   "index_rows bigint, max_event_ms bigint, staleness_ms bigint")
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return fs.exists(p)
-
-
 def pointers(spark: SparkSession, root: str) -> DataFrame:
-    if not _exists(spark, f"{root}/pointers"):
-        return spark.createDataFrame([], POINTER_SCHEMA)
     cols = [c.split()[0] for c in POINTER_SCHEMA.split(", ")]
-    return spark.read.schema(POINTER_SCHEMA).json(f"{root}/pointers").select(*cols)
+    try:
+        return spark.read.schema(POINTER_SCHEMA).json(f"{root}/pointers").select(*cols)
+    except AnalysisException:          # nothing published yet
+        return spark.createDataFrame([], POINTER_SCHEMA)
 
 
 def current_generation(spark: SparkSession, root: str) -> int:

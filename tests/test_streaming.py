@@ -87,3 +87,16 @@ def test_export_round_trip_and_corrupt_entry(spark):
     got = {r["key"]: [(s["query"], s["score"]) for s in r["suggestions"]] for r in back.collect()}
     assert got["suggest:v4:iph"] == [("iphone", 9.0), ("iphone case", 7.0)]
     assert got["k"] == []
+
+
+def test_publish_generations_are_monotone(spark):
+    from prefixery.plans import publish as pub
+    root = scratch_path(spark, "gens")
+    assert pub.current_generation(spark, root) == 0
+    cat = spark.createDataFrame([("iphone", 5, 1.0, 1000), ("ipad", 2, 0.0, 500)],
+                                "query string, all_time_count bigint, recent_score double, last_ms bigint")
+    assert pub.publish(spark, root, cat, 4000) == 1
+    assert pub.publish(spark, root, cat, 5000) == 2
+    ptr = {r["generation"]: r for r in pub.pointers(spark, root).collect()}
+    assert ptr[2]["staleness_ms"] == 4000 and ptr[1]["nodes"] == 9
+    assert [r["query"] for r in pub.read_index(spark, root).where("prefix = 'i'").orderBy("rank").collect()] == ["iphone", "ipad"]
