@@ -134,3 +134,17 @@ def upsert(base: DataFrame, delta: DataFrame, key: str = "query",
                     .cast("bigint").alias("all_time_count"),
                     (part("b_s", "b_t") + part("d_s", "d_t")).alias("recent_score"),
                     t.alias("last_ms"))
+
+
+def seed_from_log(log: DataFrame, term_col: str = "final_search_term",
+                  time_col: str = "search_time", mode: str = "loader",
+                  half_life_s: float = HALF_LIFE_S) -> DataFrame:
+    """Seed ``(query, all_time_count, recent_score, last_ms)`` from a raw log
+    that carries a search time per row (one row = one search)."""
+    from ..functions.normalize import normalize
+    from ..functions.scoring import epoch_millis
+    rows = (log.where(F.col(term_col).isNotNull())
+            .select(normalize(term_col, mode).alias("query"),
+                    epoch_millis(F.col(time_col).cast("timestamp_ntz")).alias("ts_ms"))
+            .where(F.length("query") > 0))
+    return decayed_state(rows, half_life_s=half_life_s)

@@ -87,3 +87,15 @@ def test_prefixes_and_split(spark):
                                                zip(split_head("q", "p"), ("h", "t"))]).collect()[0]
     assert r["ps"] == ["", "i", "iP", "iPh", "iPho", "iPhon", "iPhone"]
     assert (r["h"], r["t"]) == ("iPh", "one")
+
+
+def test_seed_from_log(spark):
+    from datetime import datetime
+
+    from prefixery.operators.recency import seed_from_log
+    log = spark.createDataFrame([(" Foo", datetime(2024, 1, 1, 0, 0)), ("foo", datetime(2024, 1, 1, 6, 0)),
+                                 (None, datetime(2024, 1, 1))],
+                                "final_search_term string, search_time timestamp_ntz")
+    r = seed_from_log(log).collect()
+    assert len(r) == 1 and r[0]["query"] == "foo" and r[0]["all_time_count"] == 2
+    assert abs(r[0]["recent_score"] - 1.5) < 1e-12
