@@ -29,14 +29,13 @@ def suggest_bulk(requests: DataFrame, nested: DataFrame, id_col: str = "request_
     row with null rank.  ``status`` is BYPASS (blank input, never looked up),
     FOUND or EMPTY (no such prefix).
 
-    Distinct prefixes are joined to the nested index (one row per prefix)
-    and the answer is joined back; both joins are many-to-one on the prefix,
-    so a hot prefix is split by AQE's skew-join handling on the request side.
+    One left join of the requests to the nested index (one row per prefix):
+    the requests are shuffled once, and a hot prefix is split by AQE's
+    skew-join handling on the request side (the index row is replicated to
+    the splits).  Blank requests carry a null prefix and never match.
     """
     req = normalize_requests(requests, raw_col)
-    asked = req.where(~F.col("bypass")).select("prefix").distinct()
-    answers = asked.join(nested, "prefix", "left")
-    j = req.join(answers, "prefix", "left")
+    j = req.join(nested, "prefix", "left")
     status = (F.when(F.col("bypass"), F.lit("BYPASS"))
               .when(F.col("suggestions").isNull(), F.lit("EMPTY"))
               .otherwise(F.lit("FOUND")))
