@@ -36,11 +36,6 @@ def epoch_seconds(ts) -> Column:
     return epoch_millis(ts) / F.lit(1000.0)
 
 
-def millis_literal(ts_text: str) -> Column:
-    """Epoch milliseconds of a 'YYYY-MM-DD hh:mm:ss' wall-clock instant in UTC."""
-    return epoch_millis(F.lit(ts_text).cast("timestamp_ntz"))
-
-
 def to_epoch_ms(ts_text: str) -> int:
     """Python-side: epoch milliseconds of a UTC wall-clock text (for parameters)."""
     from datetime import datetime, timezone

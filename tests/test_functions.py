@@ -99,3 +99,20 @@ def test_seed_from_log(spark):
     r = seed_from_log(log).collect()
     assert len(r) == 1 and r[0]["query"] == "foo" and r[0]["all_time_count"] == 2
     assert abs(r[0]["recent_score"] - 1.5) < 1e-12
+
+
+def test_offline_load_from_parquet_glob(spark, sf_small):
+    from prefixery.plans import publish as pub
+    from prefixery.session import scratch_path
+    from prefixery.sources import catalog_io, tables
+    raw = scratch_path(spark, "rawlog")
+    tables.term_log(spark, sf_small).repartition(3).write.parquet(raw)
+    log = pub.read_query_log(spark, raw + "/*.parquet")
+    assert set(log.columns) == {"final_search_term", "popularity"}
+    snap, csv = scratch_path(spark, "snap"), scratch_path(spark, "csv")
+    summary = pub.load_catalog(spark, log, snap, top_n=100, csv_path=csv).collect()[0]
+    assert summary["n_rows"] == 100
+    back = catalog_io.read_folded_csv(spark, csv)
+    top = sorted(fold_query_log(log).collect(), key=lambda r: (-r["cnt"], r["q"]))[:100]
+    assert sorted(map(tuple, back.collect())) == sorted((r["q"], r["cnt"]) for r in top)
+    assert summary["max_cnt"] == top[0]["cnt"] and summary["min_cnt"] == top[-1]["cnt"]
