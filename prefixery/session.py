@@ -23,13 +23,37 @@ DEFAULT_CONF = {
 }
 
 
+# Settings for the 100 TB target (1000+ executors).  The initial shuffle
+# partition count is deliberately high: AQE coalesces small partitions at
+# run time, while too few partitions cannot be split later (except skewed
+# join partitions).  Scan splits and post-shuffle partitions aim at ~256 MB.
+CLUSTER_CONF = {
+    "spark.sql.shuffle.partitions": "20000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64m",
+    "spark.sql.files.maxPartitionBytes": "256m",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "512m",
+    # Broadcasts only below Spark's size check; never raised blindly.
+    "spark.sql.autoBroadcastJoinThreshold": "64m",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "64m",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.speculation": "true",
+}
+
+
 def build_session(master: str | None = None, app: str = "prefixery",
                   shuffle_partitions: int | None = None,
-                  extra: dict | None = None) -> SparkSession:
+                  extra: dict | None = None, profile: str = "local") -> SparkSession:
+    """``profile='cluster'`` adds ``CLUSTER_CONF``; ``spark.checkpoint.dir``
+    must then come from the deployment."""
     b = SparkSession.builder.appName(app)
     if master:
         b = b.master(master)
-    for k, v in DEFAULT_CONF.items():
+    conf = dict(DEFAULT_CONF)
+    if profile == "cluster":
+        conf.update(CLUSTER_CONF)
+    for k, v in conf.items():
         b = b.config(k, v)
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
