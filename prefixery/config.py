@@ -25,9 +25,9 @@ KEY_PREFIX = "suggest:v"     # storage key = "suggest:v<generation>:<prefix>"
 WEIGHT_PREFIX_LENGTHS = (2, 3)   # prefix lengths of the weighted prefix list
 WEIGHT_PREFIX_LIMIT = 300        # rows of the weighted prefix list
 WEIGHT_PREFIX_PATTERN = "^[a-z0-9]"
-DEBOUNCE_MS = 140            # keystroke settle time of the typeahead box
+DEBOUNCE_MS = 140            # keystroke settle time of the search box
 TRENDING_DISPLAY = 8         # trending entries shown
-SLO_P95_MS = 25.0            # load-test thresholds
+SLO_P95_MS = 25.0            # service-level thresholds
 SLO_P99_MS = 60.0
 SLO_HIT_RATE = 0.80
 SLO_CHECKS = 0.99
