@@ -93,29 +93,33 @@ def top_n_by_count(df: DataFrame, n: int, count_col: str, tie_col: str,
                 return df.where(F.col(count_col) >= c)
             ties = df.where(F.col(count_col) == c)
             return (df.where(F.col(count_col) > c)
-                    .unionByName(first_by_string(ties, need, tie_col, small_n)))
+                    .unionByName(first_by_string(ties, need, tie_col, small_n, size=k)))
         above += k
     # fewer than n rows with a count: keep them all, then nulls by tie order
     rest = n - above
     nulls = df.where(F.col(count_col).isNull())
+    n_null = sum(r["_n"] for r in hist if r[count_col] is None)
     return df.where(F.col(count_col).isNotNull()).unionByName(
-        first_by_string(nulls, rest, tie_col, small_n))
+        first_by_string(nulls, rest, tie_col, small_n, size=n_null))
 
 
 MAX_DEPTH = 32
 
 
 def first_by_string(df: DataFrame, n: int, col: str, small_n: int = SMALL_N,
-                    _depth: int = 1) -> DataFrame:
+                    size: int | None = None, _depth: int = 1) -> DataFrame:
     """The ``n`` rows with the smallest (distinct, non-null) ``col`` values.
 
     Leading-character histograms narrow down the boundary: buckets ordered by
     their ``depth``-character prefix are ordered like the full strings, so
     whole buckets before the boundary are kept by a filter and only the
     boundary bucket is refined (one more character per pass) until it is
-    small enough for an ordinary bounded top-n.  ``df`` must be cheap to
-    re-read (a scan or a checkpoint)."""
-    if n <= small_n:
+    small enough (``size`` rows at most ``small_n``) for an ordinary top-n,
+    whose final merge then holds at most ``small_n`` rows whatever the task
+    count.  ``df`` must be cheap to re-read (a scan or a checkpoint)."""
+    if n >= (size if size is not None else n + 1):
+        return df
+    if size is not None and size <= small_n:
         return df.orderBy(F.asc(col)).limit(n)
     if _depth > MAX_DEPTH:
         return top_n(df, n, [F.asc(col)], small_n)
@@ -132,7 +136,7 @@ def first_by_string(df: DataFrame, n: int, col: str, small_n: int = SMALL_N,
             if before + r["_n"] == n:
                 return df.where(b <= F.lit(bound))
             rest = first_by_string(df.where(b == F.lit(bound)), n - before, col, small_n,
-                                   _depth + 1)
+                                   r["_n"], _depth + 1)
             return df.where(b < F.lit(bound)).unionByName(rest)
         before += r["_n"]
     return df

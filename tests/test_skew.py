@@ -95,6 +95,6 @@ def test_first_by_string_brute_force(spark):
     words = sorted(words, key=lambda w: w.encode("utf-8"))
     df = spark.createDataFrame([(w,) for w in words], "q string").repartition(4)
     for n in (1, 7, 100, len(words) // 2, len(words) - 1, len(words)):
-        got = sorted((r["q"] for r in first_by_string(df, n, "q", small_n=3).collect()),
+        got = sorted((r["q"] for r in first_by_string(df, n, "q", small_n=3, size=len(words)).collect()),
                      key=lambda w: w.encode("utf-8"))
         assert got == words[:n], n
