@@ -40,15 +40,18 @@ def term_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     One row per token of ``documents.text``; ``popularity`` is the global
     count of that exact token, constant across its rows (like a published
     query log that carries a global count per term).  The count is a partial
-    aggregate joined back on the term (sort-merge; AQE splits a hot term).
+    aggregate joined back on the term (shuffled hash join built on the counts;
+    AQE splits a hot term).
     """
     tokens = (spread(read_table(spark, sf_dir, "documents").select("text"))
               .select(F.explode(F.split("text", TERM_SPLIT)).alias("final_search_term")))
     counts = tokens.groupBy("final_search_term").agg(F.count(F.lit(1)).alias("popularity"))
     # Neither side has a size bound (the planner underestimates exploded rows
-    # and would broadcast the tokens): shuffle join on the term, which also
-    # leaves the output partitioned for the fold's first aggregate.
-    return tokens.hint("merge").join(counts, "final_search_term")
+    # and would broadcast the tokens).  Shuffled hash join built on the
+    # per-term counts: the token stream is neither broadcast nor sorted, a hot
+    # term's token partition is split by AQE, and the output stays
+    # partitioned by term for the fold's first aggregate.
+    return tokens.join(counts.hint("shuffle_hash"), "final_search_term")
 
 
 def product_names(spark: SparkSession, sf_dir: str) -> DataFrame:
