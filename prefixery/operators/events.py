@@ -12,14 +12,15 @@ EVENT_SCHEMA = "query string, ts bigint"
 
 def parse_events(raw: DataFrame, value_col: str = "value") -> DataFrame:
     """Decode JSON values permissively; ``valid`` is false for lines that do
-    not parse or carry a null/blank query (dead letters)."""
+    not parse, carry a null/blank query, or lack a numeric ``ts`` (recency
+    is event time here, so an event needs one) -- the dead letters."""
     p = raw.withColumn("_e", F.from_json(F.col(value_col), EVENT_SCHEMA,
                                          {"mode": "PERMISSIVE"}))
+    ok = ~is_blank(F.col("_e.query")) & F.col("_e.ts").isNotNull()
     return p.select(value_col,
-                    F.when(~is_blank(F.col("_e.query")), normalize(F.col("_e.query")))
-                    .alias("query"),
+                    F.when(ok, normalize(F.col("_e.query"))).alias("query"),
                     F.col("_e.ts").alias("ts_ms"),
-                    (~is_blank(F.col("_e.query"))).alias("valid"))
+                    ok.alias("valid"))
 
 
 def dead_letters(parsed: DataFrame, value_col: str = "value") -> DataFrame:

@@ -116,3 +116,13 @@ def test_offline_load_from_parquet_glob(spark, sf_small):
     top = sorted(fold_query_log(log).collect(), key=lambda r: (-r["cnt"], r["q"]))[:100]
     assert sorted(map(tuple, back.collect())) == sorted((r["q"], r["cnt"]) for r in top)
     assert summary["max_cnt"] == top[0]["cnt"] and summary["min_cnt"] == top[-1]["cnt"]
+
+
+def test_parse_events_dead_letters(spark):
+    from prefixery.operators.events import dead_letters, fold_batch, parse_events
+    lines = ['{"query":" Foo ","ts":10}', '{"query":"foo","ts":20}', "garbage", '{"ts":5}',
+             '{"query":"  ","ts":7}', '{"query":"bar"}', '{"query":"bar","ts":"x"}']
+    raw = spark.createDataFrame([(v,) for v in lines], "value string")
+    parsed = parse_events(raw)
+    assert {r["query"]: (r["delta"], r["max_ts_ms"]) for r in fold_batch(parsed).collect()} == {"foo": (2, 20)}
+    assert sorted(r["value"] for r in dead_letters(parsed).collect()) == sorted(lines[2:])
