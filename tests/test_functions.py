@@ -2,7 +2,6 @@
 
 import math
 
-from pyspark.sql import functions as F
 
 from prefixery.functions.normalize import is_blank, normalize, prefixes, split_head
 from prefixery.functions.scoring import blended_score
