@@ -1,12 +1,15 @@
 """Streaming ingest: search events -> per-micro-batch decayed deltas.
 
 Each micro-batch folds its valid events into ``(query, all_time_count,
-recent_score, last_ms)`` and overwrites its own ``batch_id`` folder, so a
-batch replayed after a failure rewrites identical contents (the batch's
-folded state depends only on its events, never on the clock): together with
-the checkpoint this is effectively-once.  Readers merge the base snapshot
-with the deltas newer than what the snapshot absorbed; compaction writes a
-new snapshot and records the absorbed batch ids.
+recent_score, last_ms)`` and writes them, with its dead letters, to a fresh
+write-once folder ``stream=<s>/batch_id=<n>/attempt=<a>``; a one-row commit
+record for that attempt is written last.  Readers take exactly one committed
+attempt per batch, so a batch replayed after a failure (same events, same
+folded contents -- nothing depends on the clock) is never counted twice,
+and an attempt that died half-written is never read.  Together with the
+checkpoint this is effectively-once.  Readers merge the base snapshot with
+the deltas newer than what the snapshot absorbed; compaction writes a new
+snapshot and records the absorbed batch ids.
 
 Flush policy: ``trigger(processingTime=...)`` (5 s by default) bounds
 staleness; Kafka's ``maxOffsetsPerTrigger`` bounds batch size;
@@ -15,6 +18,8 @@ staleness; Kafka's ``maxOffsetsPerTrigger`` bounds batch size;
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,23 +28,35 @@ from ..operators.events import parse_events
 from ..operators.recency import decayed_state, merge_states
 
 STATE_SCHEMA = ("query string, all_time_count bigint, recent_score double, last_ms bigint")
+KEYS = ", stream string, batch_id bigint, attempt string"
 
 
 def _batch_writer(state_root: str, stream_id: str, half_life_s: float):
     def write(batch: DataFrame, batch_id: int) -> None:
+        attempt = "a" + uuid.uuid4().hex[:16]
+        leaf = f"stream={stream_id}/batch_id={batch_id}/attempt={attempt}"
         batch = batch.persist()
         try:
             valid = batch.where(F.col("valid"))
             st = decayed_state(valid.select("query", "ts_ms"), half_life_s=half_life_s)
-            (st.write.mode("overwrite")
-             .parquet(f"{state_root}/deltas/stream={stream_id}/batch_id={batch_id}"))
-            (batch.where(~F.col("valid")).select("value").write.mode("overwrite")
-             .parquet(f"{state_root}/dead_letters/stream={stream_id}/batch_id={batch_id}"))
+            st.write.mode("errorifexists").parquet(f"{state_root}/deltas/{leaf}")
+            (batch.where(~F.col("valid")).select("value").write.mode("errorifexists")
+             .parquet(f"{state_root}/dead_letters/{leaf}"))
+            # commit record last: only now does this attempt become visible
+            (batch.sparkSession.createDataFrame([(True,)], "committed boolean")
+             .write.mode("errorifexists").parquet(f"{state_root}/commits/{leaf}"))
         finally:
             batch.unpersist()
     return write
 
 
+def _committed(spark: SparkSession, state_root: str) -> DataFrame:
+    """One committed attempt per (stream, batch_id): a small table, one row
+    per micro-batch since the last compaction."""
+    c = spark.read.schema("committed boolean" + KEYS).parquet(f"{state_root}/commits")
+    return c.groupBy("stream", "batch_id").agg(F.min("attempt").alias("attempt"))
+
+
 def start_ingest(raw_stream: DataFrame, state_root: str, checkpoint: str,
                  stream_id: str = "s0", available_now: bool = False,
                  interval_ms: int = FLUSH_INTERVAL_MS, half_life_s: float = HALF_LIFE_S):
@@ -60,16 +77,16 @@ def start_ingest(raw_stream: DataFrame, state_root: str, checkpoint: str,
 def read_deltas(spark: SparkSession, state_root: str,
                 absorbed: dict[str, int] | None = None) -> DataFrame:
     """Delta states newer than ``absorbed`` (stream id -> last absorbed batch)."""
-    d = spark.read.schema(STATE_SCHEMA + ", stream string, batch_id bigint") \
-        .parquet(f"{state_root}/deltas")
+    d = spark.read.schema(STATE_SCHEMA + KEYS).parquet(f"{state_root}/deltas")
+    d = d.join(_committed(spark, state_root), ["stream", "batch_id", "attempt"], "left_semi")
     for sid, last in (absorbed or {}).items():
         d = d.where((F.col("stream") != sid) | (F.col("batch_id") > last))
     return d
 
 
 def read_dead_letters(spark: SparkSession, state_root: str) -> DataFrame:
-    return spark.read.schema("value string, stream string, batch_id bigint") \
-        .parquet(f"{state_root}/dead_letters")
+    d = spark.read.schema("value string" + KEYS).parquet(f"{state_root}/dead_letters")
+    return d.join(_committed(spark, state_root), ["stream", "batch_id", "attempt"], "left_semi")
 
 
 def current_catalog(spark: SparkSession, state_root: str, base: DataFrame | None = None,

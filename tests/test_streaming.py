@@ -31,6 +31,10 @@ def test_replayed_batch_changes_nothing(spark, sf_small):
     first = _rows(ing.current_catalog(spark, root))
     write(batch, 0)                          # same batch id again
     _close(first, _rows(ing.current_catalog(spark, root)))
+    # an attempt that died before its commit record is invisible
+    junk = spark.createDataFrame([("ghost", 99, 9.0, 1)], ing.STATE_SCHEMA)
+    junk.write.parquet(f"{root}/deltas/stream=s0/batch_id=1/attempt=adead")
+    _close(first, _rows(ing.current_catalog(spark, root)))
     dead = ing.read_dead_letters(spark, root).count()
     assert dead == len(tables.BAD_EVENT_LINES)
 
