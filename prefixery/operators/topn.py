@@ -10,6 +10,8 @@ row N is ranked.  No task ever holds more than one range partition.
 
 from __future__ import annotations
 
+from collections import defaultdict
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -77,10 +79,20 @@ def top_n_by_count(df: DataFrame, n: int, count_col: str, tie_col: str,
         return df.limit(0)
     if not _cheap_to_reread(df):
         df = df.checkpoint(eager=True)
-    hist = (df.groupBy(count_col).agg(F.count(F.lit(1)).alias("_n"))
+    # One pass: counts per (count value, first character of the tie column).
+    # Summed over characters it is the count histogram; at the threshold it
+    # is already the first level of the tie resolution.
+    first = F.substring(F.col(tie_col), 1, 1)
+    rows = (df.groupBy(count_col, first.alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
             .limit(HIST_LIMIT + 1).collect())
-    if len(hist) > HIST_LIMIT:
+    if len(rows) > HIST_LIMIT:
         return top_n(df, n, [F.desc(count_col), F.asc(tie_col)], small_n)
+    per_count = defaultdict(int)
+    by_char = defaultdict(list)
+    for r in rows:
+        per_count[r[count_col]] += r["_n"]
+        by_char[r[count_col]].append((r["_b"], r["_n"]))
+    hist = [{count_col: c, "_n": k} for c, k in per_count.items()]
     hist.sort(key=lambda r: (r[count_col] is None, -(r[count_col] or 0)))
     above = 0
     for r in hist:
@@ -92,8 +104,9 @@ def top_n_by_count(df: DataFrame, n: int, count_col: str, tie_col: str,
             if need == k:
                 return df.where(F.col(count_col) >= c)
             ties = df.where(F.col(count_col) == c)
-            return (df.where(F.col(count_col) > c)
-                    .unionByName(first_by_string(ties, need, tie_col, small_n, size=k)))
+            pred = string_rank_predicate(ties, need, tie_col, small_n, size=k,
+                                         _first_hist=by_char[c])
+            return df.where((F.col(count_col) > c) | ((F.col(count_col) == c) & pred))
         above += k
     # fewer than n rows with a count: keep them all, then nulls by tie order
     rest = n - above
@@ -107,36 +120,49 @@ MAX_DEPTH = 32
 
 
 def first_by_string(df: DataFrame, n: int, col: str, small_n: int = SMALL_N,
-                    size: int | None = None, _depth: int = 1) -> DataFrame:
-    """The ``n`` rows with the smallest (distinct, non-null) ``col`` values.
+                    size: int | None = None) -> DataFrame:
+    """The ``n`` rows with the smallest (distinct, non-null) ``col`` values,
+    as one filter over ``df``."""
+    return df.where(string_rank_predicate(df, n, col, small_n, size))
+
+
+def string_rank_predicate(df: DataFrame, n: int, col: str, small_n: int = SMALL_N,
+                          size: int | None = None, _depth: int = 1, _first_hist=None):
+    """A predicate true for exactly the ``n`` smallest distinct ``col`` values.
 
     Leading-character histograms narrow down the boundary: buckets ordered by
     their ``depth``-character prefix are ordered like the full strings, so
-    whole buckets before the boundary are kept by a filter and only the
-    boundary bucket is refined (one more character per pass) until it is
-    small enough (``size`` rows at most ``small_n``) for an ordinary top-n,
-    whose final merge then holds at most ``small_n`` rows whatever the task
-    count.  ``df`` must be cheap to re-read (a scan or a checkpoint)."""
-    if n >= (size if size is not None else n + 1):
-        return df
-    if size is not None and size <= small_n:
-        return df.orderBy(F.asc(col)).limit(n)
-    if _depth > MAX_DEPTH:
-        return top_n(df, n, [F.asc(col)], small_n)
-    b = F.substring(F.col(col), 1, _depth)
-    hist = (df.groupBy(b.alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
-            .limit(HIST_LIMIT + 1).collect())
+    whole buckets before the boundary pass by their prefix, and only the
+    boundary bucket is refined (one more character per pass) until it holds
+    at most ``small_n`` rows; there the n-th value is read off a bounded
+    top-n.  Only histogram rows and one string reach the driver.  ``df``
+    must be cheap to re-read (a scan or a checkpoint)."""
+    c = F.col(col)
+    if n <= 0:
+        return F.lit(False)
+    if size is not None and n >= size:
+        return F.lit(True)
+    if (size is not None and size <= small_n) or _depth > MAX_DEPTH:
+        last = df.orderBy(c.asc()).limit(n).agg(F.max(c).alias("v")).collect()[0]["v"]
+        return c <= F.lit(last)
+    b = F.substring(c, 1, _depth)
+    if _first_hist is not None and _depth == 1:
+        hist = [{"_b": bb, "_n": k} for bb, k in _first_hist]
+    else:
+        hist = (df.groupBy(b.alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
+                .limit(HIST_LIMIT + 1).collect())
     if len(hist) > HIST_LIMIT:
-        return top_n(df, n, [F.asc(col)], small_n)
+        last = top_n(df, n, [c.asc()], small_n).agg(F.max(c).alias("v")).collect()[0]["v"]
+        return c <= F.lit(last)
     hist.sort(key=lambda r: r["_b"].encode("utf-8"))
     before = 0
     for r in hist:
         if before + r["_n"] >= n:
-            bound = r["_b"]
+            bound = F.lit(r["_b"])
             if before + r["_n"] == n:
-                return df.where(b <= F.lit(bound))
-            rest = first_by_string(df.where(b == F.lit(bound)), n - before, col, small_n,
-                                   r["_n"], _depth + 1)
-            return df.where(b < F.lit(bound)).unionByName(rest)
+                return b <= bound
+            inner = string_rank_predicate(df.where(b == bound), n - before, col, small_n,
+                                          r["_n"], _depth + 1)
+            return (b < bound) | ((b == bound) & inner)
         before += r["_n"]
-    return df
+    return F.lit(True)
