@@ -22,7 +22,6 @@ from pyspark.sql import functions as F
 from .config import CACHE_NODES, VNODES
 from .operators import export as ex_ops
 from .operators import lookup as lk
-from .operators import prefix_index as px
 from .operators import ring as rg
 from .operators import weights as wt
 from .plans import publish as pub
@@ -73,7 +72,7 @@ def cmd_publish(spark, a):
 
 def cmd_suggest(spark, a):
     gen = pub.current_generation(spark, a.root)
-    nested = px.nested_index(pub.read_index(spark, a.root, gen))
+    nested = pub.read_lists(spark, a.root, gen)
     req = spark.read.parquet(a.requests)
     lk.suggest_bulk(req, nested).write.mode("overwrite").parquet(a.out)
     return {"generation": gen, "out": a.out}
@@ -81,7 +80,7 @@ def cmd_suggest(spark, a):
 
 def cmd_export(spark, a):
     gen = pub.current_generation(spark, a.root)
-    nested = px.nested_index(pub.read_index(spark, a.root, gen))
+    nested = pub.read_lists(spark, a.root, gen)
     points = rg.ring_points(spark, _nodes(a.nodes), a.vnodes)
     (ex_ops.serving_export(nested, gen, points)
      .write.mode("overwrite").partitionBy("shard").parquet(a.out))

@@ -1,6 +1,7 @@
 """Rebuild and publish index generations; the offline catalog load.
 
-A generation is an immutable folder ``index/gen=<n>``; it becomes current
+A generation is an immutable folder ``index/gen=<n>`` (flat rows) plus
+``lists/gen=<n>`` (one nested list per prefix); it becomes current
 only when its pointer record ``pointers/gen=<n>`` is written, after the
 index data is complete.  Readers take the highest generation that has a
 pointer, so a crashed rebuild is never visible and generations stay
@@ -41,6 +42,12 @@ def read_index(spark: SparkSession, root: str, generation: int | None = None) ->
     return spark.read.parquet(f"{root}/index/gen={g}")
 
 
+def read_lists(spark: SparkSession, root: str, generation: int | None = None) -> DataFrame:
+    """The nested serving form ``(prefix, suggestions)`` of a generation."""
+    g = generation or current_generation(spark, root)
+    return spark.read.parquet(f"{root}/lists/gen={g}")
+
+
 def publish(spark: SparkSession, root: str, catalog: DataFrame, published_ms: int,
             params: IndexParams = IndexParams(), partitions: int | None = None) -> int:
     """Cut, score and rank ``catalog`` into a new generation; returns it.
@@ -55,6 +62,9 @@ def publish(spark: SparkSession, root: str, catalog: DataFrame, published_ms: in
     (index.repartitionByRange(n, "prefix").sortWithinPartitions("prefix", "rank")
      .write.mode("overwrite").parquet(f"{root}/index/gen={gen}"))
     written = spark.read.parquet(f"{root}/index/gen={gen}")
+    # Nested lists once per generation, so lookups and exports need no regrouping.
+    (px.nested_index(written).repartitionByRange(n, "prefix").sortWithinPartitions("prefix")
+     .write.mode("overwrite").parquet(f"{root}/lists/gen={gen}"))
     stats = px.index_stats(cands, written)
     newest = catalog.agg(F.max("last_ms").alias("max_event_ms"))
     nul = F.lit(None).cast("bigint")
