@@ -125,3 +125,18 @@ def test_parse_events_dead_letters(spark):
     parsed = parse_events(raw)
     assert {r["query"]: (r["delta"], r["max_ts_ms"]) for r in fold_batch(parsed).collect()} == {"foo": (2, 20)}
     assert sorted(r["value"] for r in dead_letters(parsed).collect()) == sorted(lines[2:])
+
+
+def test_flush_parity_shares_flush_time(spark):
+    from prefixery.operators.recency import flush_deltas, flush_parity_state
+    t0 = 1_700_000_000_000                      # a multiple of 5 s
+    ev = spark.createDataFrame([("a", t0 + 100), ("b", t0 + 4_000), ("a", t0 + 21_600_000)],
+                               "query string, ts_ms bigint")
+    d = {(r["flush_id"], r["query"]): (r["flush_ms"], r["delta"]) for r in flush_deltas(ev).collect()}
+    assert d[(t0 // 5000, "a")] == (t0 + 4_000, 1)      # flushed with b, at b's time
+    assert d[(t0 // 5000, "b")] == (t0 + 4_000, 1)
+    st = {r["query"]: r for r in flush_parity_state(ev).collect()}
+    # a: 1 at flush t0+4s, 1 at t0+6h -> 1 * 0.5 ** ((6h - 4s) / 6h) + 1
+    want = 0.5 ** ((21_600_000 - 4_000) / 21_600_000) + 1
+    assert st["a"]["all_time_count"] == 2 and abs(st["a"]["recent_score"] - want) < 1e-12
+    assert st["b"]["last_ms"] == t0 + 4_000
