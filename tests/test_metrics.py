@@ -53,3 +53,10 @@ def test_exact_quantiles_skewed(spark):
     for g, arr in (("hot", hot), ("cold", cold), ("one", np.array([7.0]))):
         for p in (0.0, 0.5, 0.95, 0.99, 1.0):
             assert abs(got[(g, p)] - np.percentile(arr, p * 100)) < 1e-9
+
+
+def test_weights_json_order_and_ties(spark):
+    import json
+    w = spark.createDataFrame([("ab", 5), ("aa", 5), ("zz", 9), ("ba", 1)], "p string, w bigint")
+    doc = json.loads(wt.weights_json(w).collect()[0]["prefixes_json"])
+    assert doc == [{"p": "zz", "w": 9}, {"p": "aa", "w": 5}, {"p": "ab", "w": 5}, {"p": "ba", "w": 1}]
