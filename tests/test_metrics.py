@@ -60,3 +60,14 @@ def test_weights_json_order_and_ties(spark):
     w = spark.createDataFrame([("ab", 5), ("aa", 5), ("zz", 9), ("ba", 1)], "p string, w bigint")
     doc = json.loads(wt.weights_json(w).collect()[0]["prefixes_json"])
     assert doc == [{"p": "zz", "w": 9}, {"p": "aa", "w": 5}, {"p": "ab", "w": 5}, {"p": "ba", "w": 1}]
+
+
+def test_approximate_percentiles_close_to_exact(spark, sf_small):
+    log = tables.request_log(spark, sf_small)
+    exact = {r["outcome"]: r for r in mt.latency_by_outcome(log).collect()}
+    approx = {r["outcome"]: r for r in mt.latency_by_outcome(log, exact=False).collect()}
+    assert exact.keys() == approx.keys()
+    for k in exact:
+        assert exact[k]["requests"] == approx[k]["requests"]
+        for p in ("p50", "p95", "p99"):
+            assert abs(exact[k][p] - approx[k][p]) <= 0.05 * max(1.0, exact[k][p])
