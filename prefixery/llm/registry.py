@@ -3,6 +3,17 @@
 from __future__ import annotations
 
 from .byte_ctw import op8_byte_ctw
+from .decontaminate import op7_decontaminate
+from .jaccard_join import op5_jaccard_join
+from .license_scan import op10_license_scan
+from .quality_classifier import op1_quality_classifier
+from .quality_rules import op2_quality_rules
+from .secret_scan import op6_secret_scan
+from .source_mixing import op3_source_mixing
+from .token_attribution import op9_token_attribution
+from .token_blocks import op4_token_blocks
 
-QUERIES = {f.__name__: f for f in (op8_byte_ctw,)}
+QUERIES = {f.__name__: f for f in (
+    op1_quality_classifier, op2_quality_rules, op3_source_mixing, op4_token_blocks, op5_jaccard_join,
+    op6_secret_scan, op7_decontaminate, op8_byte_ctw, op9_token_attribution, op10_license_scan)}
 ORACLES: dict[str, str] = {}
