@@ -15,10 +15,13 @@ full context and decision, and their product one per byte gram.  Grams met only
 in held-out texts take part with zero counts (they predict 1/2 below the
 deepest trained context), so each gram to score has its row in the model.
 
-All counts cover all documents and are combined on the map side.  The final
-gram and word tables go to the tasks as sorted hash arrays while they hold at
-most ``broadcast_rows`` rows (24 bytes each); beyond that the documents' own
-gram and word counts are joined to them, with the same result.
+All counts cover all documents and are combined on the map side.  A word that
+occurs once in the training documents stays in the word table only if a held-out
+text has it too: met in a training document, a word that the table lacks can
+only be that document's own.  The gram and word tables go to the tasks as sorted
+hash arrays while they hold at most ``broadcast_rows`` rows (24 bytes each);
+beyond that the documents' own gram and word counts are joined to them, with the
+same result.
 
 Defined results: a null text is empty; an empty or blank text has one token,
 its end mark.  A null doc_id hashes as the empty string and stays null.
@@ -51,24 +54,27 @@ def prepared(docs: DataFrame, held_out_mod: int = 7, held_out_rest: int = 2) ->
     return docs.select("doc_id", "text", (crc % held_out_mod == held_out_rest).alias("held_out"))
 
 
-def _emit(kind: int, keys: np.ndarray, counts: np.ndarray):
+def _emit(kind: int, keys: np.ndarray, counts: np.ndarray, held: bool = False):
     for k in range(0, len(keys), _ROWS):
         a, b = keys[k:k + _ROWS], counts[k:k + _ROWS]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.full(len(a), kind, np.int8)), pa.array(a), pa.array(b)], ["kind", "key", "cnt"])
+            [pa.array(np.full(len(a), kind, np.int8)), pa.array(a), pa.array(b), pa.array(np.full(len(a), held))],
+            ["kind", "key", "cnt", "held"])
 
 
 def counts(docs: DataFrame, depth: int) -> DataFrame:
-    """(kind, key, cnt): training counts of words and of (depth + 1)-byte grams;
-    grams of held-out texts alone have count 0."""
+    """(kind, key, cnt, held): training counts of words and of (depth + 1)-byte
+    grams; ``held`` words occur in held-out texts.  What only these have counts 0."""
     def run(batches):
-        words, found = Counter(), Counter()
+        words, held, found = Counter(), Counter(), Counter()
         for s in slices(batches):
             s.lower()
             train = ~np.asarray(s.column("held_out"))
             starts, ends, first = s.words()
             in_train = np.repeat(train, np.diff(first))
             words.add(signed(s.hashes(starts[in_train], ends[in_train])))
+            out = np.unique(signed(s.hashes(starts[~in_train], ends[~in_train])))
+            held.add(out, np.zeros(len(out), np.int64))
             if train.any():
                 words.add(END, np.array([train.sum()]))
             g, row = grams(*stream(s, depth), depth + 1)
@@ -77,10 +83,11 @@ def counts(docs: DataFrame, depth: int) -> DataFrame:
             rest = np.unique(g[~in_train])
             found.add(rest, np.zeros(len(rest), np.int64))
         yield from _emit(WORD, *words.merge())
+        yield from _emit(WORD, *held.merge(), held=True)
         yield from _emit(GRAM, *found.merge())
 
-    local = by_arrow(docs, run, "kind tinyint, key long, cnt long")
-    return stored(local.groupBy("kind", "key").agg(F.sum("cnt").alias("cnt")), "ctw-counts")
+    local = by_arrow(docs, run, "kind tinyint, key long, cnt long, held boolean")
+    return stored(local.groupBy("kind", "key").agg(F.sum("cnt").alias("cnt"), F.max("held").alias("held")), "ctw-counts")
 
 
 def _lgamma(x):
@@ -143,12 +150,11 @@ def gram_table(found: DataFrame, depth: int) -> DataFrame:
 
 def fit(docs: DataFrame, depth: int = 5) -> tuple[DataFrame, int, int]:
     """The model rows (kind, key, value), and N and V of the unigram base.
-    ``value``: log10 of the base's add-one estimate, or of the gram's
-    probability."""
+    ``value``: a word's training count, or the gram's log10 probability."""
     counted = counts(docs, depth)
-    words = counted.where(F.col("kind") == WORD)
+    words = counted.where((F.col("kind") == WORD) & (F.col("cnt") > 0))
     total, distinct = words.agg(F.coalesce(F.sum("cnt"), F.lit(0)), F.count("*")).first()
-    base = words.select("kind", "key", F.log10((F.col("cnt") + 1) / F.lit(float(total + distinct + 1))).alias("value"))
+    base = words.where("cnt > 1 OR held").select("kind", "key", F.col("cnt").cast("double").alias("value"))
     model = gram_table(counted.where(F.col("kind") == GRAM), depth).select(
         F.lit(GRAM).cast("tinyint").alias("kind"), "key", F.col("logp").alias("value"))
     return stored(base.unionByName(model), "ctw-model"), total, distinct
@@ -158,29 +164,33 @@ _SCORES = ("doc_id long, held_out boolean, n_tokens long, n_known long, base_sco
            "score double, n_bytes long")
 
 
-def _by_arrays(docs: DataFrame, model: DataFrame, depth: int, unknown: float) -> DataFrame:
-    spark = docs.sparkSession
-    rows = model.toArrow()
-    kind, key, value = (np.asarray(rows.column(c)) for c in ("kind", "key", "value"))
-    del rows
-    arrays = spark.sparkContext.broadcast(
-        [HashArrays(key[kind == k], value[kind == k]) for k in (WORD, GRAM)])
-    del kind, key, value
+def _arrays(model: DataFrame, kind: int, as_type) -> HashArrays:
+    rows = model.where(F.col("kind") == kind).select("key", "value").toArrow()
+    return HashArrays(np.asarray(rows.column("key")), np.asarray(rows.column("value")).astype(as_type))
+
+
+def _by_arrays(docs: DataFrame, model: DataFrame, depth: int, size: int) -> DataFrame:
+    arrays = docs.sparkSession.sparkContext.broadcast(
+        [_arrays(model, WORD, np.int64), _arrays(model, GRAM, np.float64)])
 
     def run(batches):
         words, found = arrays.value
         end = words.find(END)[0]
+        ends_known = words.values[0][end] if end >= 0 else 0
         for s in slices(batches):
             s.lower()
+            held = np.asarray(s.column("held_out"))
             starts, ends, first = s.words()
             at = words.find(signed(s.hashes(starts, ends)))
-            base = np.where(at >= 0, words.values[0][at], unknown) if len(words.hash) else np.full(len(at), unknown)
+            c = np.repeat((~held).astype(np.int64), np.diff(first))       # a training text's own word at least
+            c[at >= 0] = words.values[0][at[at >= 0]]
+            own_end = np.where(held, ends_known, max(ends_known, 1))
             g, row = grams(*stream(s, depth), depth + 1)
             yield pa.RecordBatch.from_arrays([
                 s.column("doc_id").cast(pa.int64()), s.column("held_out"),
                 pa.array(np.diff(first) + 1),
-                pa.array(sums((at >= 0).astype(np.int64), first) + int(end >= 0)),
-                pa.array(sums(base, first) + (words.values[0][end] if end >= 0 else unknown)),
+                pa.array(sums((c > 0).astype(np.int64), first) + (own_end > 0)),
+                pa.array(sums(np.log10((c + 1) / size), first) + np.log10((own_end + 1) / size)),
                 pa.array(sums(found.values[0][found.find(g)], row)),
                 pa.array(np.diff(row))],
                 ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "n_bytes"])
@@ -188,7 +198,7 @@ def _by_arrays(docs: DataFrame, model: DataFrame, depth: int, unknown: float) ->
     return by_arrow(docs, run, _SCORES)
 
 
-def _by_join(docs: DataFrame, model: DataFrame, depth: int, unknown: float) -> DataFrame:
+def _by_join(docs: DataFrame, model: DataFrame, depth: int, size: int) -> DataFrame:
     def run(batches):
         for s in slices(batches):
             s.lower()
@@ -212,10 +222,11 @@ def _by_join(docs: DataFrame, model: DataFrame, depth: int, unknown: float) -> D
     own = by_arrow(docs.select("doc_id", "text", "held_out", F.monotonically_increasing_id().alias("line")), run,
                    "line long, doc_id long, held_out boolean, kind tinyint, key long, n long")
     word = F.col("kind") == WORD
+    c = F.coalesce("value", F.when(F.col("held_out"), 0.0).otherwise(1.0))
     return (own.join(model, ["kind", "key"], "left").groupBy("line", "doc_id", "held_out").agg(
         F.sum(F.when(word, F.col("n")).otherwise(0)).alias("n_tokens"),
-        F.sum(F.when(word & F.col("value").isNotNull(), F.col("n")).otherwise(0)).alias("n_known"),
-        F.sum(F.when(word, F.col("n") * F.coalesce("value", F.lit(unknown))).otherwise(0.0)).alias("base_score"),
+        F.sum(F.when(word & (c > 0), F.col("n")).otherwise(0)).alias("n_known"),
+        F.sum(F.when(word, F.col("n") * F.log10((c + 1) / F.lit(size))).otherwise(0.0)).alias("base_score"),
         F.sum(F.when(word, 0.0).otherwise(F.col("n") * F.col("value"))).alias("score"),
         F.sum(F.when(word, 0).otherwise(F.col("n"))).alias("n_bytes")).drop("line"))
 
@@ -225,8 +236,7 @@ def score(docs: DataFrame, depth: int = 5, broadcast_rows: int = BROADCAST_ROWS)
     base_score, score, n_bytes, bits_per_byte (the model's code length)."""
     docs = prepared(docs)
     model, total, distinct = fit(docs, depth)
-    unknown = -math.log10(total + distinct + 1)
-    scored = (_by_arrays if model.count() <= broadcast_rows else _by_join)(docs, model, depth, unknown)
+    scored = (_by_arrays if model.count() <= broadcast_rows else _by_join)(docs, model, depth, total + distinct + 1)
     return (scored.withColumn("train_tokens", F.lit(total).cast("long"))
             .withColumn("bits_per_byte", -F.col("score") * math.log2(10) / F.col("n_bytes")))
 
