@@ -2,7 +2,7 @@
 
     python -m prefixery load     --log 'raw/*.parquet' --out base/ [--top-n N] [--csv out.csv]
     python -m prefixery ingest   --feed feed/ --state state/ [--once] [--kafka-servers h:p --topic t]
-    python -m prefixery compact  --state state/ --base base/ --out base2/
+    python -m prefixery compact  --state state/ --base base/ --out base2/ [--vacuum]
     python -m prefixery publish  --root idx/ --base base/ [--state state/] --published-ms MS
     python -m prefixery suggest  --root idx/ --requests req.parquet --out answers/
     python -m prefixery export   --root idx/ --out cache/ [--nodes 0,1,2]
@@ -19,14 +19,14 @@ import sys
 
 from pyspark.sql import functions as F
 
-from .config import CACHE_NODES, VNODES
+from .config import CACHE_NODES, FLUSH_INTERVAL_MS, FLUSH_SIZE, TOP_N, VNODES, IndexParams
 from .operators import export as ex_ops
 from .operators import lookup as lk
 from .operators import ring as rg
 from .operators import weights as wt
 from .plans import publish as pub
 from .session import build_session
-from .sources import catalog_io, events_io
+from .sources import events_io
 from .streaming import ingest as ing
 
 
@@ -56,16 +56,17 @@ def cmd_ingest(spark, a):
 
 
 def cmd_compact(spark, a):
-    base = catalog_io.read_snapshot(spark, a.base) if a.base else None
-    absorbed = ing.compact(spark, a.state, base, a.out)
+    absorbed = ing.compact(spark, a.state, a.base, a.out)
+    if a.vacuum:
+        ing.vacuum(spark, a.state, absorbed)
     return {"absorbed": absorbed}
 
 
 def cmd_publish(spark, a):
-    cat = catalog_io.read_snapshot(spark, a.base)
+    cat, absorbed = ing.read_base(spark, a.base)
     if a.state:
-        cat = ing.current_catalog(spark, a.state, cat)
-    gen = pub.publish(spark, a.root, cat, a.published_ms)
+        cat = ing.current_catalog(spark, a.state, cat, absorbed)
+    gen = pub.publish(spark, a.root, cat, a.published_ms, IndexParams(decay_to_ms=a.published_ms if a.decay else None))
     ptr = pub.pointers(spark, a.root).where(F.col("generation") == gen).collect()[0]
     return ptr.asDict()
 
@@ -83,12 +84,13 @@ def cmd_export(spark, a):
     nested = pub.read_lists(spark, a.root, gen)
     points = rg.ring_points(spark, _nodes(a.nodes), a.vnodes)
     (ex_ops.serving_export(nested, gen, points)
-     .write.mode("overwrite").partitionBy("shard").parquet(a.out))
-    return {"generation": gen, "out": a.out}
+     .write.mode("overwrite").option("partitionOverwriteMode", "static")    # no shard of a larger ring stays
+     .partitionBy("shard").parquet(f"{a.out}/gen={gen}"))
+    return {"generation": gen, "out": f"{a.out}/gen={gen}"}
 
 
 def cmd_weights(spark, a):
-    w = wt.prefix_weights(catalog_io.read_snapshot(spark, a.base))
+    w = wt.prefix_weights(ing.read_base(spark, a.base)[0])
     wt.weights_json(w).write.mode("overwrite").text(a.out)
     return {"out": a.out}
 
@@ -102,7 +104,7 @@ def parser() -> argparse.ArgumentParser:
     s = sub.add_parser("load")
     s.add_argument("--log", required=True)
     s.add_argument("--out", required=True)
-    s.add_argument("--top-n", type=int, default=1_000_000)
+    s.add_argument("--top-n", type=int, default=TOP_N)
     s.add_argument("--csv", default=None)
 
     s = sub.add_parser("ingest")
@@ -112,8 +114,8 @@ def parser() -> argparse.ArgumentParser:
     s.add_argument("--stream-id", default="s0")
     s.add_argument("--once", action="store_true")
     s.add_argument("--max-files", type=int, default=16)
-    s.add_argument("--flush-ms", type=int, default=5_000)
-    s.add_argument("--flush-size", type=int, default=1_000)
+    s.add_argument("--flush-ms", type=int, default=FLUSH_INTERVAL_MS)
+    s.add_argument("--flush-size", type=int, default=FLUSH_SIZE)
     s.add_argument("--kafka-servers", default=None)
     s.add_argument("--topic", default="search-events")
 
@@ -121,12 +123,14 @@ def parser() -> argparse.ArgumentParser:
     s.add_argument("--state", required=True)
     s.add_argument("--base", default=None)
     s.add_argument("--out", required=True)
+    s.add_argument("--vacuum", action="store_true", help="remove the absorbed batches")
 
     s = sub.add_parser("publish")
     s.add_argument("--root", required=True)
     s.add_argument("--base", required=True)
     s.add_argument("--state", default=None)
     s.add_argument("--published-ms", type=int, required=True)
+    s.add_argument("--decay", action="store_true", help="decay recency to the publish time")
 
     s = sub.add_parser("suggest")
     s.add_argument("--root", required=True)

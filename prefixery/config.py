@@ -37,7 +37,6 @@ SLO_CHECKS = 0.99
 AS_OF = "2024-01-31 00:00:00"   # reference instant of the test data
 SCORE_DIGITS = 6                # contract queries round doubles to this many digits
 REQUEST_GAP_MS = 3_600_000      # keystroke-session gap for the test data (1 h)
-TRENDING_LANDMARK = "2024-01-01 00:00:00"   # forward-decay landmark of the test stream
 
 
 @dataclass(frozen=True)
@@ -46,6 +45,6 @@ class IndexParams:
     k: int = MAX_SUGGESTIONS
     w_all_time: float = WEIGHT_ALL_TIME
     w_recent: float = WEIGHT_RECENT
-    score_digits: int | None = SCORE_DIGITS
     cut_by: str = "count"          # "count" (original) or "score"
     max_prefix_len: int | None = None
+    decay_to_ms: int | None = None     # decay every recent_score to this instant before scoring

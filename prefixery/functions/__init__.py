@@ -1,3 +1,3 @@
-from .normalize import normalize, is_blank, non_blank, prefixes, split_head, starts_with_alnum, has_prefix
-from .scoring import blended_score, decay_factor, epoch_seconds, epoch_millis
+from .normalize import normalize, is_blank, prefix_lengths, split_head
+from .scoring import blended_score, epoch_millis
 from .hashing import hash60, unit_draw, ttl_with_jitter, storage_key

@@ -36,24 +36,10 @@ def is_blank(c) -> Column:
     return _c(c).isNull() | (F.length(strip_unicode(c)) == 0)
 
 
-def non_blank(c) -> Column:
-    return _c(c).isNotNull() & (F.length(_c(c)) > 0)
-
-
-def starts_with_alnum(c, pattern: str = "^[a-z0-9]") -> Column:
-    return _c(c).rlike(pattern)
-
-
-def has_prefix(c, prefix: str) -> Column:
-    """Left-anchored prefix predicate; pushed to Parquet as StringStartsWith."""
-    return _c(c).startswith(prefix)
-
-
-def prefixes(c, max_len: int | None = None) -> Column:
-    """Array of every prefix of ``c`` including the empty one (code points)."""
-    c = _c(c)
-    hi = F.length(c) if max_len is None else F.least(F.length(c), F.lit(max_len))
-    return F.transform(F.sequence(F.lit(0), hi), lambda i: F.substring(c, 1, i))
+def prefix_lengths(c, max_len: int | None = None) -> Column:
+    """Array of the lengths of every prefix of ``c``, 0 included (code points)."""
+    hi = F.length(_c(c))
+    return F.sequence(F.lit(0), hi if max_len is None else F.least(hi, F.lit(max_len)))
 
 
 def split_head(query, prefix) -> tuple[Column, Column]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..config import HALF_LIFE_S, WEIGHT_ALL_TIME, WEIGHT_RECENT
+from ..config import WEIGHT_ALL_TIME, WEIGHT_RECENT
 
 
 def _c(c) -> Column:
@@ -21,21 +21,12 @@ def blended_score(count, recent=None, w_all_time: float = WEIGHT_ALL_TIME,
     return s
 
 
-def decay_factor(elapsed_ms, half_life_s: float = HALF_LIFE_S) -> Column:
-    """0.5 ** (elapsed / half_life); elapsed in milliseconds, never negative here."""
-    return F.pow(F.lit(0.5), _c(elapsed_ms).cast("double") / F.lit(half_life_s * 1000.0))
-
-
 def epoch_millis(ts) -> Column:
     """Epoch milliseconds of a TIMESTAMP_NTZ column, independent of the session time zone."""
     return F.timestamp_diff("MILLISECOND",
                             F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), _c(ts))
 
 
-def epoch_seconds(ts) -> Column:
-    return epoch_millis(ts) / F.lit(1000.0)
-
-
 def to_epoch_ms(ts_text: str) -> int:
     """Python-side: epoch milliseconds of a UTC wall-clock text (for parameters)."""
     from datetime import datetime, timezone

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.normalize import is_blank, normalize
 
-EVENT_SCHEMA = "query string, ts bigint"
+EVENT_SCHEMA = "query string, ts bigint, event_id bigint"
 
 
 def parse_events(raw: DataFrame, value_col: str = "value") -> DataFrame:
@@ -19,7 +19,7 @@ def parse_events(raw: DataFrame, value_col: str = "value") -> DataFrame:
     ok = ~is_blank(F.col("_e.query")) & F.col("_e.ts").isNotNull()
     return p.select(value_col,
                     F.when(ok, normalize(F.col("_e.query"))).alias("query"),
-                    F.col("_e.ts").alias("ts_ms"),
+                    F.col("_e.ts").alias("ts_ms"), F.col("_e.event_id").alias("event_id"),
                     ok.alias("valid"))
 
 
@@ -35,7 +35,7 @@ def fold_batch(parsed: DataFrame) -> DataFrame:
 
 
 def to_event_records(events: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Serialize events as the producer does: key = query, value = {query, ts}."""
-    return events.select(F.col("query").alias("key"),
-                         F.to_json(F.struct(F.col("query"), F.col("ts_ms").alias("ts")))
-                         .alias("value"), *keep)
+    """Serialize events as the producer does: key = query, value = {query, ts},
+    with the event_id where the events carry one."""
+    fields = [F.col("query"), F.col("ts_ms").alias("ts"), *[F.col(c) for c in ("event_id",) if c in events.columns]]
+    return events.select(F.col("query").alias("key"), F.to_json(F.struct(*fields)).alias("value"), *keep)

@@ -37,15 +37,15 @@ def read_export(export: DataFrame) -> DataFrame:
                    F.array().cast(SUGGESTION_LIST)))
 
 
-def routing_report(requests: DataFrame, export: DataFrame, generation: int,
+def routing_report(requests: DataFrame, nested: DataFrame, generation: int,
                    points: DataFrame, raw_col: str = "raw_prefix") -> DataFrame:
     """Per request: normalised prefix, generation, key, owner node and whether
-    the key is present in the export (HIT) or not (MISS)."""
+    the generation's lists (one row per prefix) hold it (HIT) or not (MISS).
+    Read from storage, the lists leave a hot prefix's requests to AQE's split."""
     r = requests.select("request_id", normalize(raw_col).alias("prefix"))
     r = r.withColumn("key", storage_key(F.lit(generation), F.col("prefix")))
     r = assign(r, "prefix", points, "node")
-    present = export.select("key").distinct().withColumn("_present", F.lit(True))
-    j = r.join(present, "key", "left")
+    j = r.join(nested.select("prefix", F.lit(True).alias("_present")), "prefix", "left")
     return j.select("request_id", "prefix", F.lit(generation).alias("generation"), "key",
                     node_label(F.col("node")).alias("owner_node"),
                     F.when(F.col("_present"), F.lit("HIT")).otherwise(F.lit("MISS"))

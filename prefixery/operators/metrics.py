@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import (FLUSH_INTERVAL_MS, SLO_CHECKS, SLO_HIT_RATE, SLO_P95_MS, SLO_P99_MS)
-from .quantiles import exact_quantiles
+from .quantiles import exact_quantiles, value_counts
 
 PCTS = (0.5, 0.95, 0.99)
 
@@ -42,30 +42,31 @@ def _pct(col: str, p: float, accuracy: int):
     return F.percentile_approx(col, p, accuracy)
 
 
-def _quantile_table(timed: DataFrame, group_col, probs, exact: bool, accuracy: int) -> DataFrame:
-    """``(outcome, requests, p<..> ...)`` per group value."""
+def _quantile_table(timed: DataFrame, probs, exact: bool, accuracy: int, each: bool) -> DataFrame:
+    """``(outcome, requests, p<..> ...)`` of all requests (outcome ALL) and,
+    with ``each``, of every outcome; ALL is derived from the outcomes' value
+    counts."""
     names = [f"p{int(round(p * 100))}" for p in probs]
     if exact:
-        q = exact_quantiles(timed.withColumn("_grp", group_col), "_grp", "latency_ms", probs)
-        return (q.groupBy("_grp").agg(F.max("n").alias("requests"),
-                                       *[F.max(F.when(F.col("p") == p, F.col("q"))).alias(nm)
-                                         for p, nm in zip(probs, names)])
-                .withColumnRenamed("_grp", "outcome"))
-    return (timed.withColumn("_grp", group_col).groupBy("_grp")
-            .agg(F.count(F.lit(1)).alias("requests"),
-                 *[_pct("latency_ms", p, accuracy).alias(nm) for p, nm in zip(probs, names)])
-            .withColumnRenamed("_grp", "outcome"))
+        counts = value_counts(timed, "outcome", "latency_ms")
+        whole = counts.groupBy("_v").agg(F.sum("_n").alias("_n")).select(F.lit("ALL").alias("_g"), "_v", "_n")
+        q = exact_quantiles(counts.unionByName(whole) if each else whole, "outcome", probs)
+        return q.select("outcome", F.col("n").alias("requests"),
+                        *[F.col(f"q{k}").alias(nm) for k, nm in enumerate(names)])
+    aggs = [F.count(F.lit(1)).alias("requests"),
+            *[_pct("latency_ms", p, accuracy).alias(nm) for p, nm in zip(probs, names)]]
+    whole = timed.agg(*aggs).select(F.lit("ALL").alias("outcome"), "requests", *names)
+    return timed.groupBy("outcome").agg(*aggs).unionByName(whole) if each else whole
 
 
 def latency_by_outcome(log: DataFrame, exact: bool = True, accuracy: int = 10_000) -> DataFrame:
     """p50/p95/p99 latency per outcome plus an ``ALL`` row.
 
-    ``exact`` selects ranks over range partitions (``quantiles``), never
-    gathering an outcome in one task; ``exact=False`` uses the fixed-size
+    ``exact`` takes ranks over value counts (``quantiles``), never gathering an
+    outcome in one task; ``exact=False`` uses the fixed-size
     ``percentile_approx`` sketch."""
     timed = log.where(F.col("outcome") != "BYPASS").select("outcome", "latency_ms")
-    both = timed.unionByName(timed.withColumn("outcome", F.lit("ALL")))
-    t = _quantile_table(both, F.col("outcome"), PCTS, exact, accuracy)
+    t = _quantile_table(timed, PCTS, exact, accuracy, each=True)
     names = [f"p{int(round(p * 100))}" for p in PCTS]
     return t.select("outcome", F.col("requests").cast("bigint").alias("requests"),
                     *[F.round(n, 6).alias(n) for n in names])
@@ -76,7 +77,7 @@ def slo_gate(log: DataFrame, exact: bool = True) -> DataFrame:
     p99 < 60 ms, hit rate > 0.80 and checks > 0.99 (a check passes when a
     request got a response, i.e. a non-negative latency)."""
     timed = log.where(F.col("outcome") != "BYPASS")
-    lat = _quantile_table(timed.select("latency_ms"), F.lit("ALL"), (0.95, 0.99), exact, 10_000)
+    lat = _quantile_table(timed.select("outcome", "latency_ms"), (0.95, 0.99), exact, 10_000, each=False)
     rates = timed.agg(
         F.avg((F.col("outcome") == "HIT").cast("double")).alias("hit_rate"),
         F.avg((F.col("latency_ms") >= 0).cast("double")).alias("checks"))

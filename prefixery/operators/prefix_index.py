@@ -13,8 +13,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import IndexParams
-from ..functions.normalize import prefixes
+from ..functions.normalize import prefix_lengths
 from ..functions.scoring import blended_score
+from .recency import decay_to
 from .topn import top_n, top_n_by_count
 
 
@@ -23,12 +24,12 @@ def candidates(catalog: DataFrame, params: IndexParams = IndexParams()) -> DataF
 
     The cut keeps the ``max_queries`` most popular queries (by all-time count;
     ``cut_by='score'`` cuts on the blended score instead)."""
+    if params.decay_to_ms is not None:
+        catalog = decay_to(catalog, params.decay_to_ms)
     recent = F.col("recent_score") if "recent_score" in catalog.columns else None
     scored = catalog.select("query", "all_time_count",
                             blended_score("all_time_count", recent, params.w_all_time,
                                           params.w_recent).alias("score"))
-    if params.score_digits is not None:
-        scored = scored.withColumn("score", F.round("score", params.score_digits))
     if params.cut_by == "count":
         cut = top_n_by_count(scored, params.max_queries, "all_time_count", "query")
     else:
@@ -37,8 +38,10 @@ def candidates(catalog: DataFrame, params: IndexParams = IndexParams()) -> DataF
 
 
 def explode_prefixes(cands: DataFrame, max_prefix_len: int | None = None) -> DataFrame:
-    return cands.select(F.explode(prefixes("query", max_prefix_len)).alias("prefix"),
-                        "query", "score")
+    """One row per query and prefix.  The lengths are exploded, not the
+    prefixes, so a row never holds more than one of its prefixes."""
+    return (cands.select(F.explode(prefix_lengths("query", max_prefix_len)).alias("_n"), "query", "score")
+            .select(F.expr("substring(query, 1, _n)").alias("prefix"), "query", "score"))
 
 
 def build_index(cands: DataFrame, k: int = 10, max_prefix_len: int | None = None) -> DataFrame:

@@ -1,65 +1,48 @@
-"""Exact continuous quantiles without gathering a group into one task.
+"""Exact continuous quantiles from value counts.
 
 ``quantile_cont(p)`` of ``n`` values is the interpolation between the values
-at 0-based ranks ``floor((n-1)p)`` and ``ceil((n-1)p)``.  The rows are range
-partitioned on ``(group, value)`` and checkpointed; one count per (partition,
-group) -- at most partitions x groups rows -- locates the partition and local
-rank of every needed position; only those partitions are ranked.  A hot group
-is spread over many range partitions like any other.
+at 0-based ranks ``floor((n-1)p)`` and ``ceil((n-1)p)``.  Equal values are
+counted first (combined on the map side, so a frequent value is one row), the
+counts are range partitioned on ``(group, value)`` and stored; running counts
+within a partition plus those of the partitions before give every value its
+ranks.  No task holds a whole group, and nothing reaches the driver.
 """
 
 from __future__ import annotations
 
-import math
-from collections import defaultdict
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def exact_quantiles(df: DataFrame, group: str, value: str, probs,
-                    partitions: int | None = None) -> DataFrame:
-    """``(group, p, q, n)`` for every group and probability (null values skipped)."""
-    spark = df.sparkSession
-    n_part = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = (df.select(F.col(group).alias("_g"), F.col(value).cast("double").alias("_v"))
-              .where(F.col("_v").isNotNull())
-              .repartitionByRange(n_part, "_g", "_v")
-              .withColumn("_pid", F.spark_partition_id())
-              .checkpoint(eager=True))
-    counts = ranged.groupBy("_pid", "_g").agg(F.count(F.lit(1)).alias("_n")).collect()
-    per_group = defaultdict(list)
-    for r in counts:
-        per_group[r["_g"]].append((r["_pid"], r["_n"]))
-    weights = []      # (_g, p, n, _pid, local rank (1-based), weight)
-    for g, parts in per_group.items():
-        parts.sort()
-        n = sum(c for _, c in parts)
-
-        def locate(rank0):
-            acc = 0
-            for pid, c in parts:
-                if rank0 < acc + c:
-                    return pid, rank0 - acc + 1
-                acc += c
-            raise AssertionError("rank out of range")
-
-        for p in probs:
-            pos = (n - 1) * float(p)
-            lo, hi = math.floor(pos), math.ceil(pos)
-            if lo == hi:
-                weights.append((g, float(p), n, *locate(lo), 1.0))
-            else:
-                weights.append((g, float(p), n, *locate(lo), hi - pos))
-                weights.append((g, float(p), n, *locate(hi), pos - lo))
-    gtype = df.schema[group].dataType.simpleString()
-    wdf = spark.createDataFrame(
-        weights, f"_g {gtype}, p double, n bigint, _pid int, _r int, _w double")
-    pids = sorted({w[3] for w in weights})
-    w_in = Window.partitionBy("_pid", "_g").orderBy("_v")
-    sel = (ranged.where(F.col("_pid").isin(pids))
-           .withColumn("_r", F.row_number().over(w_in)))
-    # the weight table has at most 2 x groups x probs rows
-    hit = sel.join(F.broadcast(wdf), ["_g", "_pid", "_r"])
-    return (hit.groupBy("_g", "p", "n").agg(F.sum(F.col("_v") * F.col("_w")).alias("q"))
-            .withColumnRenamed("_g", group))
+from .topn import _stored
+
+
+def value_counts(df: DataFrame, group: str, value: str) -> DataFrame:
+    """``(group, value, n)``, null values skipped."""
+    return (df.select(F.col(group).alias("_g"), F.col(value).cast("double").alias("_v"))
+            .where(F.col("_v").isNotNull()).groupBy("_g", "_v").agg(F.count(F.lit(1)).alias("_n")))
+
+
+def exact_quantiles(counts: DataFrame, group: str, probs, partitions: int | None = None) -> DataFrame:
+    """``(group, n, q0, q1, ...)`` from ``value_counts``: one quantile per
+    probability."""
+    spark = counts.sparkSession
+    p = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = _stored(counts.repartitionByRange(p, "_g", "_v").withColumn("_pid", F.spark_partition_id()), "quantiles")
+    sizes = ranged.groupBy("_g", "_pid").agg(F.sum("_n").alias("_size"))
+    own = Window.partitionBy("_g").orderBy("_pid")
+    sizes = sizes.select("_g", "_pid",
+                         (F.sum("_size").over(own) - F.col("_size")).alias("_before"),
+                         F.sum("_size").over(Window.partitionBy("_g")).alias("n"))
+    inside = Window.partitionBy("_g", "_pid").orderBy("_v")
+    ranked = ranged.join(sizes, ["_g", "_pid"]).withColumn("_hi", F.col("_before") + F.sum("_n").over(inside))
+
+    def at(rank):          # the value at a 0-based rank
+        return F.max(F.when((rank >= F.col("_hi") - F.col("_n")) & (rank < F.col("_hi")), F.col("_v")))
+
+    out = []
+    for k, prob in enumerate(probs):
+        pos = (F.col("n") - 1) * F.lit(float(prob))
+        low, high = at(F.floor(pos)), at(F.ceil(pos))
+        share = F.max(pos - F.floor(pos))
+        out.append((low * (1 - share) + high * share).alias(f"q{k}"))
+    return ranked.groupBy("_g").agg(F.max("n").alias("n"), *out).withColumnRenamed("_g", group)

@@ -50,8 +50,8 @@ def _fold_days(lvl1: DataFrame, half_life_s: float) -> DataFrame:
          .agg(F.sum("_n").alias("all_time_count"), F.max("_tmax").alias("last_ms"),
               F.collect_list(F.struct("_l", "_s")).alias("_days")))
     h = F.lit(half_life_s * 1000.0)
-    score = F.aggregate(
-        "_days", F.lit(0.0),
+    score = F.aggregate(                 # sorted: the same sum in every run
+        F.array_sort("_days"), F.lit(0.0),
         lambda acc, d: acc + d["_s"] * F.pow(F.lit(0.5),
                                               (F.col("last_ms") - d["_l"]).cast("double") / h))
     return g.select("_k", F.col("all_time_count").cast("bigint").alias("all_time_count"),

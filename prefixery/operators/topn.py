@@ -1,168 +1,68 @@
 """Exact global top-N by a total order, for any N.
 
-Small N is Spark's TakeOrderedAndProject: each task keeps N rows and one
-task merges (tasks x N rows).  That merge is the bottleneck once N is large
-(the fold keeps a million rows), so above ``small_n`` the rows are range
-partitioned on the order and checkpointed, counted per partition (one count
-per partition reaches the driver), and only the one partition that straddles
-row N is ranked.  No task ever holds more than one range partition.
+Spark's own ``orderBy().limit(n)`` merges n rows of every task in one task,
+which the fold's million rows outgrow.  Here the rows are range partitioned on
+the order and stored, so that the counts and the rows see the same bounds; the
+partitions before row N pass whole, and only the one that straddles it is
+ranked.  One count per partition reaches the driver.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SMALL_N = 10_000
+from ..session import scratch_path
+
 
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
-def top_n(df: DataFrame, n: int, order: list[Column], small_n: int = SMALL_N,
-          partitions: int | None = None) -> DataFrame:
-    """Rows of ``df`` ranked 1..n by ``order`` (which must be a total order)."""
+
+def top_n(df: DataFrame, n: int, order: list[Column], partitions: int | None = None) -> DataFrame:
+    """The first ``n`` rows of ``df`` by ``order`` (which must be a total order)."""
     if n <= 0:
         return df.limit(0)
-    if n <= small_n:
-        return df.orderBy(*order).limit(n)
     spark = df.sparkSession
     p = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # Materialise once: the counts and the rows must see the same range bounds.
-    ranged = (df.repartitionByRange(p, *order)
-              .withColumn("_pid", F.spark_partition_id())
-              .checkpoint(eager=True))
-    # One count per range partition (at most p rows, like zipWithIndex does).
-    sizes = sorted((r["_pid"], r["_n"]) for r in
-                   ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n")).collect())
-    start, edge, edge_start = 0, None, 0
-    for pid, cnt in sizes:
-        if start + cnt > n:
-            edge, edge_start = pid, start
+    ranged = _stored(df.repartitionByRange(p, *order).withColumn("_pid", F.spark_partition_id()), "topn")
+    sizes = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n")).orderBy("_pid").collect()
+    start = 0
+    for r in sizes:
+        if start + r["_n"] > n:
             break
-        start += cnt
-    cols = list(df.columns)
-    if edge is None:                       # everything fits
-        return ranged.select(*cols)
-    whole = ranged.where(F.col("_pid") < edge)
-    in_edge = Window.partitionBy("_pid").orderBy(*order)
+        start += r["_n"]
+    else:                                  # everything fits
+        return ranged.select(*df.columns)
+    edge = r["_pid"]
     part = (ranged.where(F.col("_pid") == edge)
-            .withColumn("_r", F.row_number().over(in_edge))
-            .where(F.col("_r") <= n - edge_start))
-    return whole.select(*cols).unionByName(part.select(*cols))
-
+            .withColumn("_r", F.row_number().over(Window.partitionBy("_pid").orderBy(*order)))
+            .where(F.col("_r") <= n - start))
+    return ranged.where(F.col("_pid") < edge).unionByName(part.drop("_r")).select(*df.columns)
 
-HIST_LIMIT = 1_000_000
-_COSTLY = ("Exchange", "Aggregate", "Join", "Window", "Generate", "Sort", "Expand",
-           "Python", "InPandas", "MapPartitions")
 
+def top_n_by_count(df: DataFrame, n: int, count_col: str, tie_col: str) -> DataFrame:
+    """Exact top-``n`` by ``count_col`` desc (nulls last), ``tie_col`` asc.
 
-def _cheap_to_reread(df: DataFrame) -> bool:
-    """True when the physical plan is a scan with projections/filters only
-    (no shuffle, aggregate, join, window or generator)."""
-    import contextlib
-    import io
-    buf = io.StringIO()
-    with contextlib.redirect_stdout(buf):
-        df.explain()
-    return not any(op in buf.getvalue() for op in _COSTLY)
-
-
-def top_n_by_count(df: DataFrame, n: int, count_col: str, tie_col: str,
-                   small_n: int = SMALL_N) -> DataFrame:
-    """Exact top-``n`` by ``count_col`` desc, ``tie_col`` asc for an integer count.
-
-    A histogram of the count values (at most sqrt(2 * sum(count)) distinct
-    values) fixes the threshold count c*: rows above it are kept by a filter,
-    and only the rows tied at c* are ordered by ``tie_col``.  An expensive
-    input is checkpointed first so that it is computed once."""
+    The rows are stored once.  Running sums over the number of rows of each
+    count value (at most sqrt(2 * sum(count)) values) give the threshold count,
+    the one row that reaches the driver: rows above it pass a filter, and only
+    those tied at it are ordered by ``tie_col``."""
     if n <= 0:
         return df.limit(0)
-    if not _cheap_to_reread(df):
-        df = df.checkpoint(eager=True)
-    # One pass: counts per (count value, first character of the tie column).
-    # Summed over characters it is the count histogram; at the threshold it
-    # is already the first level of the tie resolution.
-    first = F.substring(F.col(tie_col), 1, 1)
-    rows = (df.groupBy(count_col, first.alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
-            .limit(HIST_LIMIT + 1).collect())
-    if len(rows) > HIST_LIMIT:
-        return top_n(df, n, [F.desc(count_col), F.asc(tie_col)], small_n)
-    per_count = defaultdict(int)
-    by_char = defaultdict(list)
-    for r in rows:
-        per_count[r[count_col]] += r["_n"]
-        by_char[r[count_col]].append((r["_b"], r["_n"]))
-    hist = [{count_col: c, "_n": k} for c, k in per_count.items()]
-    hist.sort(key=lambda r: (r[count_col] is None, -(r[count_col] or 0)))
-    above = 0
-    for r in hist:
-        c, k = r[count_col], r["_n"]
-        if c is None:
-            break
-        if above + k >= n:
-            need = n - above
-            if need == k:
-                return df.where(F.col(count_col) >= c)
-            ties = df.where(F.col(count_col) == c)
-            pred = string_rank_predicate(ties, need, tie_col, small_n, size=k,
-                                         _first_hist=by_char[c])
-            return df.where((F.col(count_col) > c) | ((F.col(count_col) == c) & pred))
-        above += k
-    # fewer than n rows with a count: keep them all, then nulls by tie order
-    rest = n - above
-    nulls = df.where(F.col(count_col).isNull())
-    n_null = sum(r["_n"] for r in hist if r[count_col] is None)
-    return df.where(F.col(count_col).isNotNull()).unionByName(
-        first_by_string(nulls, rest, tie_col, small_n, size=n_null))
-
-
-MAX_DEPTH = 32
-
-
-def first_by_string(df: DataFrame, n: int, col: str, small_n: int = SMALL_N,
-                    size: int | None = None) -> DataFrame:
-    """The ``n`` rows with the smallest (distinct, non-null) ``col`` values,
-    as one filter over ``df``."""
-    return df.where(string_rank_predicate(df, n, col, small_n, size))
-
-
-def string_rank_predicate(df: DataFrame, n: int, col: str, small_n: int = SMALL_N,
-                          size: int | None = None, _depth: int = 1, _first_hist=None):
-    """A predicate true for exactly the ``n`` smallest distinct ``col`` values.
-
-    Leading-character histograms narrow down the boundary: buckets ordered by
-    their ``depth``-character prefix are ordered like the full strings, so
-    whole buckets before the boundary pass by their prefix, and only the
-    boundary bucket is refined (one more character per pass) until it holds
-    at most ``small_n`` rows; there the n-th value is read off a bounded
-    top-n.  Only histogram rows and one string reach the driver.  ``df``
-    must be cheap to re-read (a scan or a checkpoint)."""
-    c = F.col(col)
-    if n <= 0:
-        return F.lit(False)
-    if size is not None and n >= size:
-        return F.lit(True)
-    if (size is not None and size <= small_n) or _depth > MAX_DEPTH:
-        last = df.orderBy(c.asc()).limit(n).agg(F.max(c).alias("v")).collect()[0]["v"]
-        return c <= F.lit(last)
-    b = F.substring(c, 1, _depth)
-    if _first_hist is not None and _depth == 1:
-        hist = [{"_b": bb, "_n": k} for bb, k in _first_hist]
-    else:
-        hist = (df.groupBy(b.alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
-                .limit(HIST_LIMIT + 1).collect())
-    if len(hist) > HIST_LIMIT:
-        last = top_n(df, n, [c.asc()], small_n).agg(F.max(c).alias("v")).collect()[0]["v"]
-        return c <= F.lit(last)
-    hist.sort(key=lambda r: r["_b"].encode("utf-8"))
-    before = 0
-    for r in hist:
-        if before + r["_n"] >= n:
-            bound = F.lit(r["_b"])
-            if before + r["_n"] == n:
-                return b <= bound
-            inner = string_rank_predicate(df.where(b == bound), n - before, col, small_n,
-                                          r["_n"], _depth + 1)
-            return (b < bound) | ((b == bound) & inner)
-        before += r["_n"]
-    return F.lit(True)
+    rows = _stored(df, "topn-input")
+    by_count = Window.orderBy(F.desc_nulls_last(count_col)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cut = (rows.groupBy(count_col).agg(F.count(F.lit(1)).alias("_n"))
+           .withColumn("_upto", F.sum("_n").over(by_count)).where(F.col("_upto") >= n)
+           .orderBy("_upto").limit(1).collect())
+    if not cut:
+        return rows
+    at, need = cut[0][count_col], n - (cut[0]["_upto"] - cut[0]["_n"])
+    c = F.col(count_col)
+    above = rows.where(c.isNotNull() if at is None else c > at)
+    ties = rows.where(c.isNull() if at is None else c == at)
+    if need == cut[0]["_n"]:
+        return above.unionByName(ties)
+    return above.unionByName(top_n(ties, need, [F.asc(tie_col)]))

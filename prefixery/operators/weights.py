@@ -14,14 +14,10 @@ def prefix_weights(catalog: DataFrame, lengths=WEIGHT_PREFIX_LENGTHS,
                    limit: int = WEIGHT_PREFIX_LIMIT) -> DataFrame:
     """``(p, w)``: summed all-time counts of the 2- and 3-character prefixes of
     queries that start with a letter or digit; the ``limit`` heaviest."""
-    lens = F.array(*[F.lit(n) for n in lengths])
-    px = (catalog.where(F.col("query").rlike(pattern))
-          .select("query", "all_time_count", F.explode(lens).alias("len"))
-          .where(F.length("query") >= F.col("len"))
-          .select(F.lower(F.expr("left(query, len)")).alias("p"),
-                  F.col("all_time_count").alias("w")))
-    agg = px.groupBy("p").agg(F.sum("w").alias("w"))
-    return agg.orderBy(F.desc("w"), F.asc("p")).limit(limit)
+    starts = F.array(*[F.when(F.length("query") >= n, F.lower(F.substring("query", 1, n))) for n in lengths])
+    per_query = catalog.where(F.col("query").rlike(pattern)).select("all_time_count", F.explode(starts).alias("p"))
+    return (per_query.where(F.col("p").isNotNull()).groupBy("p").agg(F.sum("all_time_count").alias("w"))
+            .orderBy(F.desc("w"), F.asc("p")).limit(limit))
 
 
 def prefix_cdf(weights: DataFrame) -> DataFrame:

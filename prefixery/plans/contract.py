@@ -11,9 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import (AS_OF, CACHE_NODES, REQUEST_GAP_MS, SCORE_DIGITS, TOP_N,
-                      TRENDING_LANDMARK, VNODES, IndexParams)
-from ..functions.hashing import unit_draw
-from ..functions.normalize import prefixes
+                      VNODES, IndexParams)
+from ..functions.hashing import hash60, unit_draw
 from ..functions.scoring import to_epoch_ms
 from ..operators import events as ev_ops
 from ..operators import export as ex_ops
@@ -34,6 +33,7 @@ from ..streaming import trending as trd
 D = SCORE_DIGITS
 GENERATION = 1
 SAMPLE_EVERY = 4
+CUT_N = 20_000
 
 
 def _r(c: str):
@@ -47,7 +47,8 @@ def _folded(spark, sf):
 
 
 def _base_catalog(spark, sf):
-    return fold_ops.to_catalog(fold_ops.catalog_top_n(_folded(spark, sf), TOP_N))
+    """Every folded query; cuts belong to the queries that are about cuts."""
+    return fold_ops.to_catalog(_folded(spark, sf))
 
 
 def _event_state(spark, sf):
@@ -66,6 +67,21 @@ def _blended_index(spark, sf):
     return px.build_index(_blended_cands(spark, sf))
 
 
+def _rounded(index):
+    """Scores rounded after the ranking, so that another engine can agree."""
+    return index.withColumn("score", F.round("score", D))
+
+
+def _blended_lists(spark, sf):
+    """The published lists of the blended catalog, one row per prefix."""
+    def lists():
+        root = scratch_path(spark, "index-root")
+        gen = pub.publish(spark, root, _blended_catalog(spark, sf), to_epoch_ms(AS_OF))
+        return pub.read_lists(spark, root, gen).withColumn("suggestions", F.transform(
+            "suggestions", lambda x: F.struct(x["query"].alias("query"), F.round(x["score"], D).alias("score"))))
+    return tables.written_once(spark, sf, "blended-lists", lists)
+
+
 def _ring(spark, nodes=CACHE_NODES):
     return rg.ring_points(spark, nodes, VNODES)
 
@@ -74,7 +90,8 @@ def _ring_keys(spark, sf):
     """Index nodes (every distinct prefix of a catalog query) are the keys the
     cache routes."""
     cat = _base_catalog(spark, sf)
-    return cat.select(F.explode(prefixes("query")).alias("prefix")).distinct()
+    scored = cat.withColumn("score", F.lit(0.0))
+    return px.explode_prefixes(scored).select("prefix").distinct()
 
 
 # ---- catalog -----------------------------------------------------------------
@@ -87,6 +104,42 @@ def catalog_top_n(spark: SparkSession, sf: str) -> DataFrame:
     return fold_ops.catalog_top_n(_folded(spark, sf), TOP_N)
 
 
+def catalog_cut(spark: SparkSession, sf: str) -> DataFrame:
+    """The top-N cut with an N that bites, through the ties of its threshold."""
+    return fold_ops.catalog_top_n(_folded(spark, sf), CUT_N)
+
+
+def index_cut(spark: SparkSession, sf: str) -> DataFrame:
+    """The index of a candidate cut that bites."""
+    return _rounded(px.build_index(px.candidates(_blended_catalog(spark, sf), IndexParams(max_queries=CUT_N))))
+
+
+def index_decayed(spark: SparkSession, sf: str) -> DataFrame:
+    """The index with recency decayed to the build's instant."""
+    params = IndexParams(decay_to_ms=to_epoch_ms(AS_OF))
+    return _rounded(px.build_index(px.candidates(_blended_catalog(spark, sf), params)))
+
+
+def query_log_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """Multi-file scan of the stored raw log: rows and distinct terms."""
+    tables.term_log(spark, sf)
+    log = pub.read_query_log(spark, tables.stored_path(spark, sf, "term-log") + "/*.parquet")
+    per_term = log.groupBy("final_search_term").agg(F.count(F.lit(1)).alias("n"), F.max("popularity").alias("p"))
+    return per_term.agg(F.sum("n").alias("log_rows"), F.count(F.lit(1)).alias("terms"),
+                        F.max("p").alias("top_popularity"))
+
+
+def csv_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """Keys with tabs, quotes, commas, backslashes and line breaks through the CSV
+    hand-off."""
+    k = F.col("doc_id") % 5
+    odd = (F.when(k == 0, F.lit("\t")).when(k == 1, F.lit('"')).when(k == 2, F.lit(" \\")).when(k == 3, F.lit("\n,"))
+           .otherwise(F.lit("")))
+    docs = tables.read_table(spark, sf, "documents")
+    rows = docs.select(F.concat(odd, F.substring("text", 1, 200), odd).alias("q"), F.col("doc_id").alias("cnt"))
+    return catalog_io.read_folded_csv(spark, catalog_io.write_folded_csv(rows, scratch_path(spark, "csv")))
+
+
 def catalog_summary(spark: SparkSession, sf: str) -> DataFrame:
     """Source rows, then the folded CSV written and read back: count/min/max."""
     log = tables.term_log(spark, sf)
@@ -119,7 +172,7 @@ def prefix_filter(spark: SparkSession, sf: str) -> DataFrame:
 
 def prefix_index(spark: SparkSession, sf: str) -> DataFrame:
     cands = px.candidates(_base_catalog(spark, sf), IndexParams())
-    return px.build_index(cands)
+    return _rounded(px.build_index(cands))
 
 
 def index_stats(spark: SparkSession, sf: str) -> DataFrame:
@@ -132,11 +185,11 @@ def lookup_prefix(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def trending(spark: SparkSession, sf: str) -> DataFrame:
-    return lk.trending(_blended_cands(spark, sf))
+    return _rounded(lk.trending(_blended_cands(spark, sf)))
 
 
 def trending_display(spark: SparkSession, sf: str) -> DataFrame:
-    return lk.trending_display(lk.trending(_blended_cands(spark, sf)))
+    return _rounded(lk.trending_display(lk.trending(_blended_cands(spark, sf))))
 
 
 def trending_recent(spark: SparkSession, sf: str) -> DataFrame:
@@ -165,15 +218,32 @@ def upsert_deltas(spark: SparkSession, sf: str) -> DataFrame:
     return c.select("query", "all_time_count", _r("recent_score"), "last_ms")
 
 
+def upsert_overlap(spark: SparkSession, sf: str) -> DataFrame:
+    """Two upserts of searches whose words the catalog holds: counts add, and the
+    second one meets scores that the first one left."""
+    talk = tables.talk_events(spark, sf)
+    middle = to_epoch_ms(AS_OF) - 150_000_000
+    first = rc.decayed_state(talk.where(F.col("ts_ms") < middle))
+    second = rc.decayed_state(talk.where(F.col("ts_ms") >= middle))
+    c = rc.upsert(rc.upsert(_base_catalog(spark, sf), first), second)
+    return c.select("query", "all_time_count", _r("recent_score"), "last_ms")
+
+
+def recency_seeded(spark: SparkSession, sf: str) -> DataFrame:
+    """Counts and recency seeded from a raw log that carries search times."""
+    log = tables.search_events(spark, sf).select(F.col("query").alias("final_search_term"), F.col("ts").alias("search_time"))
+    s = rc.seed_from_log(log)
+    return s.select("query", "all_time_count", _r("recent_score"), "last_ms")
+
+
 def blended_index(spark: SparkSession, sf: str) -> DataFrame:
-    return _blended_index(spark, sf)
+    return _rounded(_blended_index(spark, sf))
 
 
 # ---- lookup ------------------------------------------------------------------
 
 def suggest_bulk(spark: SparkSession, sf: str) -> DataFrame:
-    nested = px.nested_index(_blended_index(spark, sf))
-    return lk.suggest_bulk(tables.requests(spark, sf), nested)
+    return lk.suggest_bulk(tables.requests(spark, sf), _blended_lists(spark, sf))
 
 
 # ---- events ------------------------------------------------------------------
@@ -246,14 +316,21 @@ def ring_remap(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def serving_export(spark: SparkSession, sf: str) -> DataFrame:
-    nested = px.nested_index(_blended_index(spark, sf))
-    return ex_ops.serving_export(nested, GENERATION, _ring(spark))
+    return ex_ops.serving_export(_blended_lists(spark, sf), GENERATION, _ring(spark))
+
+
+def export_read_back(spark: SparkSession, sf: str) -> DataFrame:
+    """The export decoded again; every 13th entry (by its key's hash) is
+    truncated on purpose and reads as an empty list."""
+    exp = ex_ops.serving_export(_blended_lists(spark, sf), GENERATION, _ring(spark))
+    torn = F.pmod(hash60("key"), F.lit(13)) == 0
+    exp = exp.withColumn("value", F.when(torn, F.lit("[{")).otherwise(F.col("value")))
+    return ex_ops.read_export(exp).select("key", F.size("suggestions").alias("n_suggestions"),
+                                          F.get("suggestions", F.lit(0))["query"].alias("first_query"))
 
 
 def routing_report(spark: SparkSession, sf: str) -> DataFrame:
-    nested = px.nested_index(_blended_index(spark, sf))
-    exp = ex_ops.serving_export(nested, GENERATION, _ring(spark))
-    return ex_ops.routing_report(tables.requests(spark, sf), exp, GENERATION, _ring(spark))
+    return ex_ops.routing_report(tables.requests(spark, sf), _blended_lists(spark, sf), GENERATION, _ring(spark))
 
 
 # ---- metrics -----------------------------------------------------------------
@@ -286,8 +363,7 @@ def debounce_sessions(spark: SparkSession, sf: str) -> DataFrame:
 def warm_prefixes(spark: SparkSession, sf: str) -> DataFrame:
     """Export entries of the hottest prefixes, to pre-fill a new generation."""
     w = wt.prefix_weights(_base_catalog(spark, sf)).select(F.col("p").alias("prefix"), "w")
-    nested = px.nested_index(_blended_index(spark, sf))
-    exp = ex_ops.serving_export(nested, GENERATION, _ring(spark))
+    exp = ex_ops.serving_export(_blended_lists(spark, sf), GENERATION, _ring(spark))
     return exp.join(F.broadcast(w), "prefix").select("shard", "prefix", "key", "ttl_s", "w")
 
 
@@ -306,37 +382,71 @@ def _publish_feed(spark, sf):
     plus malformed lines; returns the feed folder."""
     feed = scratch_path(spark, "feed")
     events_io.write_event_files(tables.search_events(spark, sf), feed)
-    bad = tables.event_json(spark, sf).where(F.col("key").isNull())
-    events_io.write_raw_lines(bad, feed)
+    events_io.write_raw_lines(tables.bad_event_lines(spark, sf), feed)
     return feed
 
 
+def _ingest(spark, feed, root, **options):
+    ing.start_ingest(events_io.read_event_stream(spark, feed, max_files_per_trigger=16),
+                     root, root + "/_checkpoint", available_now=True, **options).awaitTermination()
+
+
 def stream_fold(spark: SparkSession, sf: str) -> DataFrame:
     """Replay the feed through the streaming ingest (bounded micro-batches,
     availableNow) and read the merged state back."""
     feed = _publish_feed(spark, sf)
     root = scratch_path(spark, "ingest")
-    q = ing.start_ingest(events_io.read_event_stream(spark, feed, max_files_per_trigger=16),
-                         root, root + "/_checkpoint", available_now=True)
-    q.awaitTermination()
+    _ingest(spark, feed, root)
     cat = ing.current_catalog(spark, root)
     return cat.select("query", "all_time_count", _r("recent_score"), "last_ms")
 
 
+def stream_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    """The feed delivered twice, deduplicated by event id in the stream."""
+    feed = _publish_feed(spark, sf)
+    events_io.write_event_files(tables.search_events(spark, sf), feed, mode="append")
+    root = scratch_path(spark, "ingest-dedup")
+    _ingest(spark, feed, root, dedup_within="3650 days")
+    cat = ing.current_catalog(spark, root)
+    return cat.select("query", "all_time_count", _r("recent_score"), "last_ms")
+
+
+def compacted_catalog(spark: SparkSession, sf: str) -> DataFrame:
+    """Ingest, compact, ingest more, compact again, read: each event once."""
+    se = tables.search_events(spark, sf)
+    middle = to_epoch_ms(AS_OF) - 15 * 86_400_000
+    feed, root = scratch_path(spark, "feed"), scratch_path(spark, "ingest-compact")
+    bases = [scratch_path(spark, "compacted") for _ in range(2)]
+    events_io.write_event_files(se.where(F.col("ts_ms") < middle), feed)
+    _ingest(spark, feed, root)
+    ing.compact(spark, root, None, bases[0])
+    events_io.write_event_files(se.where(F.col("ts_ms") >= middle), feed, mode="append")
+    _ingest(spark, feed, root)
+    absorbed = ing.compact(spark, root, bases[0], bases[1])
+    ing.vacuum(spark, root, absorbed)
+    base, absorbed = ing.read_base(spark, bases[1])
+    cat = ing.current_catalog(spark, root, base, absorbed)
+    return cat.select("query", "all_time_count", _r("recent_score"), "last_ms")
+
+
 def stream_trending(spark: SparkSession, sf: str) -> DataFrame:
     feed = _publish_feed(spark, sf)
     out = scratch_path(spark, "trending")
-    lm = to_epoch_ms(TRENDING_LANDMARK)
     q = trd.start_trending(events_io.read_event_stream(spark, feed, max_files_per_trigger=16),
-                           out + "/rows", out + "/_checkpoint", lm, available_now=True)
+                           out, out + "/_checkpoint", available_now=True)
     q.awaitTermination()
-    t = trd.read_trending(spark, out + "/rows", to_epoch_ms(AS_OF), lm)
+    t = trd.read_trending(spark, out, to_epoch_ms(AS_OF))
     return t.select("query", _r("score"))
 
 
 QUERIES = {
     "fold_query_log": fold_query_log,
     "catalog_top_n": catalog_top_n,
+    "catalog_cut": catalog_cut,
+    "index_cut": index_cut,
+    "index_decayed": index_decayed,
+    "query_log_scan": query_log_scan,
+    "csv_round_trip": csv_round_trip,
     "catalog_summary": catalog_summary,
     "catalog_top5": catalog_top5,
     "prefix_filter": prefix_filter,
@@ -350,6 +460,8 @@ QUERIES = {
     "recency_flush_parity": recency_flush_parity,
     "recency_as_of": recency_as_of,
     "upsert_deltas": upsert_deltas,
+    "upsert_overlap": upsert_overlap,
+    "recency_seeded": recency_seeded,
     "blended_index": blended_index,
     "suggest_bulk": suggest_bulk,
     "event_fold": event_fold,
@@ -366,6 +478,7 @@ QUERIES = {
     "ring_remap": ring_remap,
     "serving_export": serving_export,
     "routing_report": routing_report,
+    "export_read_back": export_read_back,
     "latency_by_outcome": latency_by_outcome,
     "hit_rate": hit_rate,
     "slo_gate": slo_gate,
@@ -375,5 +488,7 @@ QUERIES = {
     "warm_prefixes": warm_prefixes,
     "index_publish": index_publish,
     "stream_fold": stream_fold,
+    "stream_dedup": stream_dedup,
+    "compacted_catalog": compacted_catalog,
     "stream_trending": stream_trending,
 }

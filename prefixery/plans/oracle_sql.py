@@ -1,7 +1,5 @@
-"""DuckDB SQL equivalents of the contract queries (same column names and types).
-
-Written independently of the Spark code from the operator definitions, over
-the same pre-registered parquet views.
+"""DuckDB SQL equivalents of the contract queries (same column names and types),
+from the operators' definitions, over the same pre-registered parquet views.
 """
 
 from __future__ import annotations
@@ -10,19 +8,15 @@ H_MS = "21600000.0"          # half-life in milliseconds
 AS_OF_MS = "1706659200000"   # 2024-01-31 00:00:00 UTC
 
 TERM_LOG = r"""
-tok AS (SELECT unnest(regexp_split_to_array(text, '[ \n]+')) AS final_search_term FROM documents),
-term_log AS (SELECT final_search_term, count(*) OVER (PARTITION BY final_search_term) AS popularity FROM tok)"""
+tok AS (SELECT unnest(regexp_split_to_array(text, '[ \n]+')) AS token FROM documents)"""
 
 FOLDED = TERM_LOG + r""",
-folded AS (
-  SELECT q, CAST(sum(p) AS BIGINT) AS cnt FROM (
-    SELECT lower(trim(final_search_term)) AS q, max(popularity) AS p
-    FROM term_log WHERE final_search_term IS NOT NULL GROUP BY final_search_term)
-  WHERE length(q) > 0 GROUP BY q)"""
+folded AS (  -- a term's popularity is its number of tokens, so a query's count is that of its tokens
+  SELECT keyed.q, count(*) AS cnt FROM (SELECT lower(trim(token)) AS q FROM tok) keyed
+  WHERE keyed.q <> '' GROUP BY keyed.q)"""
 
 BASE_CATALOG = FOLDED + r""",
-top_n AS (SELECT q, cnt FROM folded ORDER BY cnt DESC, q LIMIT 1000000),
-catalog AS (SELECT q AS query, cnt AS all_time_count, 0.0::DOUBLE AS recent_score FROM top_n)"""
+catalog AS (SELECT q AS query, cnt AS all_time_count, 0.0::DOUBLE AS recent_score FROM folded)"""
 
 SEARCH_EVENTS = r"""
 se AS (
@@ -45,25 +39,33 @@ blended AS (
   FROM catalog c FULL OUTER JOIN state s ON c.query = s.query)"""
 
 
-def _index(catalog: str, name: str) -> str:
+def _index(catalog: str, name: str, cut: int = 300000) -> str:
+    """Ranked on the whole score, rounded after that."""
     return f""",
 {name}_cands AS (
-  SELECT query, round(ln(1 + all_time_count) + recent_score, 6) AS score
-  FROM {catalog} ORDER BY all_time_count DESC, query LIMIT 300000),
+  SELECT query, ln(1 + all_time_count) + recent_score AS score
+  FROM {catalog} ORDER BY all_time_count DESC, query LIMIT {cut}),
 {name}_exploded AS (
   SELECT left(query, CAST(i AS BIGINT)) AS prefix, query, score
   FROM (SELECT query, score, unnest(range(0, length(query) + 1)) AS i FROM {name}_cands)),
-{name} AS (
-  SELECT prefix, CAST(row_number() OVER (PARTITION BY prefix ORDER BY score DESC, query) AS INTEGER) AS rank,
-         query, score
-  FROM {name}_exploded QUALIFY rank <= 10)"""
+{name}_ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY prefix ORDER BY score DESC, query) AS INTEGER) AS rank
+  FROM {name}_exploded),
+{name} AS (SELECT prefix, rank, query, round(score, 6) AS score FROM {name}_ranked WHERE rank <= 10)"""
 
 
 INDEX = BASE_CATALOG + _index("catalog", "idx")
 BLENDED_INDEX = BLENDED + _index("blended", "bidx")
+DECAYED = BLENDED + f""",
+decayed AS (
+  SELECT query, all_time_count,
+         CASE WHEN last_ms IS NULL THEN recent_score
+              ELSE recent_score * pow(0.5, greatest({AS_OF_MS} - last_ms, 0) / {H_MS}) END AS recent_score
+  FROM blended)"""
 
 REQUESTS = r""",
-req AS (SELECT event_id AS request_id, left(query, CAST(event_id % 6 AS BIGINT)) AS raw_prefix FROM se),
+req AS (SELECT event_id AS request_id, left(query, CAST(event_id % 6 AS BIGINT))
+                 || CASE WHEN event_id % 7 = 3 THEN '~zq' ELSE '' END AS raw_prefix FROM se),
 nreq AS (
   SELECT request_id, raw_prefix,
          (raw_prefix IS NULL OR length(regexp_replace(raw_prefix, '^\s+|\s+$', '', 'g')) = 0) AS bypass,
@@ -90,11 +92,13 @@ assigned2 AS (
   SELECT kh.prefix, CAST(coalesce(r.node, (SELECT node FROM ring2_first)) AS INTEGER) AS node
   FROM kh ASOF LEFT JOIN ring2 r ON kh.h <= r.pos)"""
 
-WEIGHTS = BASE_CATALOG + r""",
-px AS (SELECT lower(left(query, len)) AS p, all_time_count AS w
-       FROM catalog, (VALUES (2), (3)) AS l(len)
-       WHERE length(query) >= len AND regexp_matches(query, '^[a-z0-9]')),
-weights AS (SELECT p, CAST(sum(w) AS BIGINT) AS w FROM px GROUP BY p ORDER BY sum(w) DESC, p LIMIT 300),
+TOP_PREFIXES = r""",
+typed AS (SELECT * FROM catalog WHERE regexp_matches(query, '^[a-z0-9]')),
+two AS (SELECT left(query, 2) AS p, sum(all_time_count)::BIGINT AS w FROM typed WHERE length(query) > 1 GROUP BY 1),
+three AS (SELECT left(query, 3) AS p, sum(all_time_count)::BIGINT AS w FROM typed WHERE length(query) > 2 GROUP BY 1),
+weights AS (SELECT * FROM (FROM two UNION ALL FROM three) ORDER BY w DESC, p LIMIT 300)"""
+
+WEIGHTS = BASE_CATALOG + TOP_PREFIXES + r""",
 cdf AS (
   SELECT p, w,
          (sum(w) OVER (ORDER BY w DESC, p ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - w)
@@ -118,14 +122,25 @@ export_owned AS (
 
 REQUEST_LOG = r"""
 rl AS (SELECT event_id AS request_id, CASE WHEN event_type = 'error' THEN 'MISS' ELSE 'HIT' END AS outcome,
-              value AS latency_ms FROM events)"""
+              value AS latency_ms FROM events)  -- blank requests are not timed and stay out
+"""
 
 ORACLES = {
     "fold_query_log": "WITH " + FOLDED + " SELECT q, cnt FROM folded",
     "catalog_top_n": "WITH " + FOLDED + " SELECT q, cnt FROM folded ORDER BY cnt DESC, q LIMIT 1000000",
     "catalog_summary": "WITH " + BASE_CATALOG + """
-        SELECT (SELECT CAST(count(*) AS BIGINT) FROM term_log) AS source_rows,
-               CAST(count(*) AS BIGINT) AS n_rows, min(cnt) AS min_cnt, max(cnt) AS max_cnt FROM top_n""",
+        SELECT (SELECT count(*) FROM tok) AS source_rows, count(*) AS n_rows, min(cnt) AS min_cnt, max(cnt) AS max_cnt
+        FROM (SELECT cnt FROM folded ORDER BY cnt DESC, q LIMIT 1000000)""",
+    "catalog_cut": "WITH " + FOLDED + " SELECT q, cnt FROM folded ORDER BY cnt DESC, q LIMIT 20000",
+    "index_cut": "WITH " + BLENDED + _index("blended", "cidx", 20000) + " SELECT prefix, rank, query, score FROM cidx",
+    "index_decayed": "WITH " + DECAYED + _index("decayed", "didx") + " SELECT prefix, rank, query, score FROM didx",
+    "query_log_scan": "WITH " + TERM_LOG + """
+        SELECT CAST(sum(n) AS BIGINT) AS log_rows, count(*) AS terms, max(n) AS top_popularity
+        FROM (SELECT token, count(*) AS n FROM tok GROUP BY token)""",
+    "csv_round_trip": r"""
+        SELECT odd || left(text, 200) || odd AS q, doc_id AS cnt FROM (
+            SELECT text, doc_id, CASE doc_id % 5 WHEN 0 THEN chr(9) WHEN 1 THEN '"' WHEN 2 THEN ' \' WHEN 3 THEN chr(10) || ','
+                                 ELSE '' END AS odd FROM documents)""",
     "catalog_top5": "WITH " + BASE_CATALOG + """
         SELECT query, all_time_count FROM catalog ORDER BY all_time_count DESC, query LIMIT 5""",
     "prefix_filter": "WITH " + BASE_CATALOG + """
@@ -137,9 +152,9 @@ ORACLES = {
         FROM idx""",
     "lookup_prefix": "WITH " + INDEX + " SELECT prefix, rank, query, score FROM idx WHERE prefix = 'th'",
     "trending": "WITH " + BLENDED_INDEX + """
-        SELECT query, score FROM bidx_cands ORDER BY score DESC, query LIMIT 10""",
+        SELECT query, round(score, 6) AS score FROM bidx_cands ORDER BY bidx_cands.score DESC, query LIMIT 10""",
     "trending_display": "WITH " + BLENDED_INDEX + """
-        SELECT query, score FROM bidx_cands ORDER BY score DESC, query LIMIT 8""",
+        SELECT query, round(score, 6) AS score FROM bidx_cands ORDER BY bidx_cands.score DESC, query LIMIT 8""",
     "trending_recent": "WITH " + BLENDED + """
         SELECT query, round(recent_score, 6) AS recent_score FROM blended
         ORDER BY recent_score DESC, query LIMIT 10""",
@@ -160,6 +175,17 @@ ORACLES = {
         SELECT query, all_time_count,
                round(recent_score * pow(0.5, greatest({AS_OF_MS} - last_ms, 0) / {H_MS}), 6) AS recent_score,
                last_ms FROM state""",
+    "upsert_overlap": "WITH " + BASE_CATALOG + f""",
+        talk AS (SELECT lower(trim(word)) AS query, {AS_OF_MS} - (conv_id % 500) * 600000 - turn * 1000 AS ts_ms
+                 FROM (SELECT conv_id, turn, unnest(regexp_split_to_array(text, '[ \\n]+')) AS word FROM conversations)
+                 WHERE trim(word) <> ''),
+        last AS (SELECT query, max(ts_ms) AS t, count(*) AS n FROM talk GROUP BY query),
+        heat AS (SELECT query, sum(pow(0.5, (t - ts_ms) / {H_MS})) AS s FROM talk JOIN last USING (query) GROUP BY query)
+        SELECT query, CAST(coalesce(c.all_time_count, 0) + coalesce(l.n, 0) AS BIGINT) AS all_time_count,
+               round(coalesce(h.s, 0.0), 6) AS recent_score, CAST(l.t AS BIGINT) AS last_ms
+        FROM catalog c FULL JOIN last l USING (query) LEFT JOIN heat h USING (query)""",
+    "recency_seeded": "WITH " + EVENT_STATE + """
+        SELECT query, all_time_count, round(recent_score, 6) AS recent_score, last_ms FROM state""",
     "upsert_deltas": "WITH " + BLENDED + """
         SELECT query, all_time_count, round(recent_score, 6) AS recent_score, last_ms FROM blended""",
     "blended_index": "WITH " + BLENDED_INDEX + " SELECT prefix, rank, query, score FROM bidx",
@@ -172,7 +198,10 @@ ORACLES = {
         FROM nreq r LEFT JOIN bidx i ON NOT r.bypass AND i.prefix = r.norm""",
     "event_fold": "WITH " + SEARCH_EVENTS + """
         SELECT query, CAST(count(*) AS BIGINT) AS delta, max(ts_ms) AS max_ts_ms FROM se GROUP BY query""",
-    "dead_letters": """SELECT * FROM (VALUES ('garbage'), ('{"ts":5}'), ('{"query":"  ","ts":7}')) t(value)""",
+    "dead_letters": "WITH " + SEARCH_EVENTS + """
+        SELECT CASE event_id % 97 WHEN 0 THEN query WHEN 1 THEN '{"query":"  ","ts":' || ts_ms || '}'
+               ELSE '{"ts":' || ts_ms || '}' END AS value
+        FROM se WHERE event_id % 97 < 3""",
     "write_reduction": "WITH " + SEARCH_EVENTS + """,
         per AS (SELECT floor(ts_ms / 5000) AS f, query, count(*) AS n FROM se GROUP BY 1, 2)
         SELECT CAST(sum(n) AS BIGINT) AS events_received, CAST(count(*) AS BIGINT) AS rows_upserted,
@@ -220,6 +249,11 @@ ORACLES = {
                'node-' || CAST(rro.node AS VARCHAR) AS owner_node,
                CASE WHEN e.key IS NULL THEN 'MISS' ELSE 'HIT' END AS status
         FROM rro LEFT JOIN export e ON e.key = rro.key""",
+    "export_read_back": "WITH " + EXPORT + """
+        SELECT e.key, CAST(CASE WHEN torn THEN 0 ELSE n END AS INTEGER) AS n_suggestions,
+               CASE WHEN torn THEN NULL ELSE top END AS first_query
+        FROM (SELECT prefix, key, ('0x' || substr(md5(key), 1, 15))::BIGINT % 13 = 0 AS torn FROM export) e
+        JOIN (SELECT prefix, count(*) AS n, min_by(query, rank) AS top FROM bidx GROUP BY prefix) USING (prefix)""",
     "latency_by_outcome": "WITH " + REQUEST_LOG + """
         SELECT outcome, CAST(count(*) AS BIGINT) AS requests,
                round(quantile_cont(latency_ms, 0.5), 6) AS p50,
@@ -253,6 +287,10 @@ ORACLES = {
         SELECT session, event_id, ts_ms, value FROM l WHERE nxt IS NULL OR nxt - ts_ms >= 3600000""",
     "stream_fold": "WITH " + EVENT_STATE + """
         SELECT query, all_time_count, round(recent_score, 6) AS recent_score, last_ms FROM state""",
+    "stream_dedup": "WITH " + EVENT_STATE + """
+        SELECT query, all_time_count, round(recent_score, 6) AS recent_score, last_ms FROM state""",
+    "compacted_catalog": "WITH " + EVENT_STATE + """
+        SELECT query, all_time_count, round(recent_score, 6) AS recent_score, last_ms FROM state""",
     "stream_trending": "WITH " + SEARCH_EVENTS + f"""
         SELECT query, round(sum(pow(0.5, ({AS_OF_MS} - ts_ms) / {H_MS})), 6) AS score
         FROM se GROUP BY query ORDER BY score DESC, query LIMIT 10""",
@@ -260,11 +298,7 @@ ORACLES = {
         WITH k AS (SELECT user_id AS session, event_id, (epoch_us(ts) // 1000) AS ts_ms, event_type AS value FROM events),
         l AS (SELECT *, lead(ts_ms) OVER (PARTITION BY session ORDER BY ts_ms, event_id) AS nxt FROM k)
         SELECT session, event_id, ts_ms, value FROM l WHERE nxt IS NULL OR nxt - ts_ms >= 3600000""",
-    "warm_prefixes": "WITH " + EXPORT + r""",
-        px AS (SELECT lower(left(query, len)) AS p, all_time_count AS w
-               FROM catalog, (VALUES (2), (3)) AS l(len)
-               WHERE length(query) >= len AND regexp_matches(query, '^[a-z0-9]')),
-        weights AS (SELECT p, CAST(sum(w) AS BIGINT) AS w FROM px GROUP BY p ORDER BY sum(w) DESC, p LIMIT 300)
+    "warm_prefixes": "WITH " + EXPORT + TOP_PREFIXES + """
         SELECT 'node-' || CAST(e.node AS VARCHAR) AS shard, e.prefix, e.key, e.ttl_s, w.w
         FROM export_owned e JOIN weights w ON w.p = e.prefix""",
     "index_publish": "WITH " + BLENDED_INDEX + f"""

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..config import IndexParams, TOP_N
 from ..operators import fold as fold_ops
 from ..operators import prefix_index as px
+from ..session import scratch_path
 from ..sources import catalog_io
 
 POINTER_SCHEMA = ("generation int, published_ms bigint, candidates bigint, nodes bigint, "
@@ -57,14 +58,17 @@ def publish(spark: SparkSession, root: str, catalog: DataFrame, published_ms: in
     newest event folded into the catalog."""
     gen = current_generation(spark, root) + 1
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cands = px.candidates(catalog, params).checkpoint(eager=True)
+    stored = scratch_path(spark, "publish-catalog")        # the catalog is computed once
+    catalog.write.parquet(stored)
+    catalog = spark.read.schema(catalog.schema).parquet(stored)
+    cands = px.candidates(catalog, params)
     index = px.build_index(cands, params.k, params.max_prefix_len)
     (index.repartitionByRange(n, "prefix").sortWithinPartitions("prefix", "rank")
-     .write.mode("overwrite").parquet(f"{root}/index/gen={gen}"))
+     .write.mode("errorifexists").parquet(f"{root}/index/gen={gen}"))     # of two rebuilds at once, one fails
     written = spark.read.parquet(f"{root}/index/gen={gen}")
     # Nested lists once per generation, so lookups and exports need no regrouping.
     (px.nested_index(written).repartitionByRange(n, "prefix").sortWithinPartitions("prefix")
-     .write.mode("overwrite").parquet(f"{root}/lists/gen={gen}"))
+     .write.mode("errorifexists").parquet(f"{root}/lists/gen={gen}"))
     stats = px.index_stats(cands, written)
     newest = catalog.agg(F.max("last_ms").alias("max_event_ms"))
     nul = F.lit(None).cast("bigint")
@@ -75,7 +79,7 @@ def publish(spark: SparkSession, root: str, catalog: DataFrame, published_ms: in
     ptr = row.select(F.lit(gen).alias("generation"), F.lit(published_ms).alias("published_ms"),
                      "candidates", "nodes", "index_rows", "max_event_ms",
                      (F.lit(published_ms) - F.col("max_event_ms")).alias("staleness_ms"))
-    ptr.coalesce(1).write.mode("overwrite").json(f"{root}/pointers/gen={gen}")
+    ptr.coalesce(1).write.mode("errorifexists").json(f"{root}/pointers/gen={gen}")
     return gen
 
 

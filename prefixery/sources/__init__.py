@@ -1,2 +1,2 @@
-from .tables import (read_table, term_log, product_names, search_events, requests,
+from .tables import (read_table, term_log, search_events, requests,
                      request_log, keystrokes, event_json)

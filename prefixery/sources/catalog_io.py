@@ -9,14 +9,21 @@ FOLDED_CSV_SCHEMA = "q string, cnt bigint"
 CATALOG_SCHEMA = "query string, all_time_count bigint, recent_score double, last_ms bigint"
 
 
+# Keys may hold tabs, quotes and line breaks: everything is quoted, quotes are
+# doubled, and no white space is trimmed on either side.
+_CSV = {"header": True, "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False,
+        "emptyValue": "", "lineSep": "\n"}
+
+
 def write_folded_csv(top: DataFrame, path: str) -> str:
     """Folded catalog as header CSV ``q,cnt`` (the loader's hand-off format)."""
-    top.select("q", "cnt").write.mode("overwrite").option("header", True).csv(path)
+    top.select("q", "cnt").write.mode("overwrite").options(**_CSV, quoteAll=True).csv(path)
     return path
 
 
 def read_folded_csv(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(FOLDED_CSV_SCHEMA).option("header", True).csv(path)
+    options = {k: v for k, v in _CSV.items() if k != "lineSep"}
+    return spark.read.schema(FOLDED_CSV_SCHEMA).options(**options, multiLine=True).csv(path)
 
 
 def write_snapshot(catalog: DataFrame, path: str, partitions: int | None = None) -> str:

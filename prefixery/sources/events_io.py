@@ -17,7 +17,8 @@ def write_event_files(events: DataFrame, path: str, slot_ms: int = 86_400_000,
     slot = F.floor(F.col("ts_ms") / slot_ms).cast("bigint")
     recs = events.withColumn("slot", slot)
     (to_event_records(recs, ("slot",))
-     .write.mode(mode).partitionBy("slot").json(path))
+     .repartition("slot").write.mode(mode).option("partitionOverwriteMode", "static")
+     .partitionBy("slot").json(path))
     return path
 
 

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from ..functions.normalize import normalize
 from ..functions.scoring import epoch_millis
+from ..operators.events import to_event_records
+from ..session import scratch_path
 
 # Token separator of the raw term log: one space or newline run.
 TERM_SPLIT = "[ \n]+"
@@ -23,43 +25,47 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin rebalance a scan that yields fewer splits than the cluster
-    has cores (a single large file, e.g.); wide scans are left alone."""
-    try:
-        want = df.sparkSession.sparkContext.defaultParallelism
-        have = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - no RDD view (Spark Connect): leave as is
-        return df
-    return df.repartition(want) if have < want else df
+_written: dict[tuple, str] = {}
+
+
+def written_once(spark: SparkSession, sf_dir: str, name: str, make) -> DataFrame:
+    """A derived input, written to the shared scratch folder the first time a
+    session needs it and read from there after that, as an upstream job would
+    hand it over."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _written:
+        path = scratch_path(spark, name)
+        make().write.parquet(path)
+        _written[key] = path
+    return spark.read.parquet(_written[key])
+
+
+def stored_path(spark: SparkSession, sf_dir: str, name: str) -> str:
+    """Folder of an input that ``written_once`` has written."""
+    return _written[(spark.sparkContext.applicationId, sf_dir, name)]
+
+
+def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("text")
+    return docs.select(F.explode(F.split("text", TERM_SPLIT)).alias("final_search_term"))
+
+
+def _raw_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = written_once(spark, sf_dir, "term-counts", lambda: _tokens(spark, sf_dir).groupBy("final_search_term")
+                          .agg(F.count(F.lit(1)).alias("popularity")))
+    # Neither side has a size bound, and the planner underestimates exploded
+    # rows: no broadcast.  Both sides are plain shuffles (the counts come from
+    # storage), so a hot term's tokens are split at run time.
+    return _tokens(spark, sf_dir).join(counts.hint("shuffle_hash"), "final_search_term")
 
 
 def term_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw query log ``(final_search_term, popularity)``.
+    """Raw query log ``(final_search_term, popularity)``, stored as Parquet files.
 
     One row per token of ``documents.text``; ``popularity`` is the global
     count of that exact token, constant across its rows (like a published
-    query log that carries a global count per term).  The count is a partial
-    aggregate joined back on the term (shuffled hash join built on the counts;
-    AQE splits a hot term).
-    """
-    tokens = (spread(read_table(spark, sf_dir, "documents").select("text"))
-              .select(F.explode(F.split("text", TERM_SPLIT)).alias("final_search_term")))
-    counts = tokens.groupBy("final_search_term").agg(F.count(F.lit(1)).alias("popularity"))
-    # Neither side has a size bound (the planner underestimates exploded rows
-    # and would broadcast the tokens).  Shuffled hash join built on the
-    # per-term counts: the token stream is neither broadcast nor sorted, a hot
-    # term's token partition is split by AQE, and the output stays
-    # partitioned by term for the fold's first aggregate.
-    return tokens.join(counts.hint("shuffle_hash"), "final_search_term")
-
-
-def product_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Small catalog of short product names ``(query)``."""
-    return (read_table(spark, sf_dir, "part")
-            .select(normalize("p_name").alias("query"))
-            .where(F.length("query") > 0)
-            .distinct())
+    query log that carries a global count per term)."""
+    return written_once(spark, sf_dir, "term-log", lambda: _raw_log(spark, sf_dir))
 
 
 def search_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,22 +82,29 @@ def search_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Typed prefixes ``(request_id, raw_prefix, ts_ms)``: the first
-    ``event_id % 6`` characters of each searched query (length 0 = blank)."""
+    ``event_id % 6`` characters of each searched query (length 0 = blank); every
+    seventh request mistypes what follows and matches nothing."""
     se = search_events(spark, sf_dir)
+    typed = F.expr("left(query, cast(event_id % 6 as int))")
     return se.select(F.col("event_id").alias("request_id"),
-                     F.expr("left(query, cast(event_id % 6 as int))").alias("raw_prefix"),
+                     F.when(F.col("event_id") % 7 == 3, F.concat(typed, F.lit("~zq"))).otherwise(typed).alias("raw_prefix"),
                      "ts_ms")
 
 
 def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Served requests ``(request_id, ts_ms, outcome, latency_ms)``;
-    ``error`` events are cache misses, every other event type a hit."""
+    ``error`` events are cache misses, every other event type a hit.  Every
+    eleventh event comes with a blank request before it, which is a bypass and
+    not timed."""
     ev = read_table(spark, sf_dir, "events")
-    return ev.select(F.col("event_id").alias("request_id"),
+    blank = ev.where(F.col("event_id") % 11 == 5).select(
+        (-F.col("event_id") - 1).alias("request_id"), epoch_millis("ts").alias("ts_ms"),
+        F.lit("BYPASS").alias("outcome"), F.lit(None).cast("double").alias("latency_ms"))
+    return blank.unionByName(ev.select(F.col("event_id").alias("request_id"),
                      epoch_millis("ts").alias("ts_ms"),
                      F.when(F.col("event_type") == "error", F.lit("MISS"))
                      .otherwise(F.lit("HIT")).alias("outcome"),
-                     F.col("value").alias("latency_ms"))
+                     F.col("value").alias("latency_ms")))
 
 
 def keystrokes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,16 +115,28 @@ def keystrokes(spark: SparkSession, sf_dir: str) -> DataFrame:
                      F.col("event_type").alias("value"))
 
 
-# Malformed event lines mixed into the JSON feed (dead-letter path).
-BAD_EVENT_LINES = ("garbage", '{"ts":5}', '{"query":"  ","ts":7}')
+def bad_event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Malformed feed records ``(key, value)``, made from every 97th event and
+    its two followers: the bare query, a blank query, no query."""
+    se = search_events(spark, sf_dir).withColumn("k", F.col("event_id") % 97).where("k < 3")
+    ts = F.col("ts_ms").cast("string")
+    value = (F.when(F.col("k") == 0, F.col("query"))
+             .when(F.col("k") == 1, F.concat(F.lit('{"query":"  ","ts":'), ts, F.lit("}")))
+             .otherwise(F.concat(F.lit('{"ts":'), ts, F.lit("}"))))
+    return se.select(F.lit(None).cast("string").alias("key"), value.alias("value"))
 
 
 def event_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Serialized event feed ``(key, value)`` as a producer would publish it,
-    plus a few malformed lines."""
-    se = search_events(spark, sf_dir)
-    good = se.select(F.col("query").alias("key"),
-                     F.to_json(F.struct(F.col("query"), F.col("ts_ms").alias("ts")))
-                     .alias("value"))
-    bad = spark.createDataFrame([(None, v) for v in BAD_EVENT_LINES], "key string, value string")
-    return good.unionByName(bad)
+    with malformed lines in between."""
+    return to_event_records(search_events(spark, sf_dir)).unionByName(bad_event_lines(spark, sf_dir))
+
+
+def talk_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Searches ``(query, ts_ms)`` for the words of ``conversations``, which the
+    catalog of ``documents`` mostly holds; the time follows from conversation
+    and turn."""
+    words = read_table(spark, sf_dir, "conversations").select(
+        F.explode(F.split("text", TERM_SPLIT)).alias("word"), (F.lit(1706659200000) - (F.col("conv_id") % 500) * 600000
+                                                              - F.col("turn") * 1000).cast("long").alias("ts_ms"))
+    return words.select(F.lower(F.trim("word")).alias("query"), "ts_ms").where(F.length("query") > 0)

@@ -20,12 +20,14 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import FLUSH_INTERVAL_MS, HALF_LIFE_S
 from ..operators.events import parse_events
 from ..operators.recency import decayed_state, merge_states
+from ..sources.catalog_io import read_snapshot
 
 STATE_SCHEMA = ("query string, all_time_count bigint, recent_score double, last_ms bigint")
 KEYS = ", stream string, batch_id bigint, attempt string"
@@ -57,13 +59,29 @@ def _committed(spark: SparkSession, state_root: str) -> DataFrame:
     return c.groupBy("stream", "batch_id").agg(F.min("attempt").alias("attempt"))
 
 
+def deduplicated(parsed: DataFrame, within: str) -> DataFrame:
+    """One record per event id; valid records without an id and dead letters
+    pass as they are."""
+    known = F.col("valid") & F.col("event_id").isNotNull()
+    once = (parsed.where(known).withColumn("_at", F.timestamp_millis("ts_ms")).withWatermark("_at", within)
+            .dropDuplicatesWithinWatermark(["event_id"]).drop("_at"))
+    return once.unionByName(parsed.where(~known))
+
+
 def start_ingest(raw_stream: DataFrame, state_root: str, checkpoint: str,
                  stream_id: str = "s0", available_now: bool = False,
-                 interval_ms: int = FLUSH_INTERVAL_MS, half_life_s: float = HALF_LIFE_S):
+                 interval_ms: int = FLUSH_INTERVAL_MS, half_life_s: float = HALF_LIFE_S,
+                 dedup_within: str | None = None):
     """Start the ingest query over a ``(key, value)`` stream; returns the
     StreamingQuery.  After a crash, restarting with the same checkpoint
-    resumes from the last committed offsets (earliest when there are none)."""
+    resumes from the last committed offsets (earliest when there are none).
+
+    ``dedup_within`` (an interval, e.g. ``"2 days"``) drops events whose
+    ``event_id`` came before within that event time.  Events older than the interval behind the newest are late and
+    dropped, as the state that could tell them is."""
     parsed = parse_events(raw_stream)
+    if dedup_within:
+        parsed = deduplicated(parsed, dedup_within)
     w = (parsed.writeStream.foreachBatch(_batch_writer(state_root, stream_id, half_life_s))
          .option("checkpointLocation", checkpoint)
          .queryName(f"ingest_{stream_id}"))
@@ -74,6 +92,16 @@ def start_ingest(raw_stream: DataFrame, state_root: str, checkpoint: str,
     return w.start()
 
 
+def read_base(spark: SparkSession, path: str) -> tuple[DataFrame, dict[str, int]]:
+    """A base catalog and the batches it has absorbed: a plain snapshot
+    (none), or a compacted one with its manifest, which is written last."""
+    try:
+        rows = spark.read.schema("stream string, last_batch bigint").json(f"{path}/manifest").collect()
+    except AnalysisException:
+        return read_snapshot(spark, path), {}
+    return read_snapshot(spark, f"{path}/data"), {r["stream"]: int(r["last_batch"]) for r in rows if r["stream"]}
+
+
 def read_deltas(spark: SparkSession, state_root: str,
                 absorbed: dict[str, int] | None = None) -> DataFrame:
     """Delta states newer than ``absorbed`` (stream id -> last absorbed batch)."""
@@ -100,13 +128,14 @@ def current_catalog(spark: SparkSession, state_root: str, base: DataFrame | None
     return merge_states(d, half_life_s=half_life_s)
 
 
-def compact(spark: SparkSession, state_root: str, base: DataFrame | None, out_path: str,
+def compact(spark: SparkSession, state_root: str, base_path: str | None, out_path: str,
             half_life_s: float = HALF_LIFE_S) -> dict[str, int]:
-    """Write base + all deltas as a new snapshot; return the absorbed batch ids
-    (also written next to the snapshot as its manifest)."""
-    d = read_deltas(spark, state_root)
+    """Write base + the deltas it lacks as a new snapshot; return the last
+    absorbed batch per stream (also written next to it as its manifest)."""
+    base, before = read_base(spark, base_path) if base_path else (None, {})
+    d = read_deltas(spark, state_root, before)
     absorbed = {r["stream"]: int(r["last"]) for r in
-                d.groupBy("stream").agg(F.max("batch_id").alias("last")).collect()}
+                d.groupBy("stream").agg(F.max("batch_id").alias("last")).collect()}    # a row per stream
     # Only the batches counted above enter the snapshot; later ones stay deltas.
     upto = F.lit(False)
     for sid, last in absorbed.items():
@@ -115,12 +144,33 @@ def compact(spark: SparkSession, state_root: str, base: DataFrame | None, out_pa
     if base is not None:
         d = base.select("query", "all_time_count", "recent_score", "last_ms").unionByName(d)
     merged = merge_states(d, half_life_s=half_life_s)
-    merged.write.mode("overwrite").parquet(f"{out_path}/data")
+    merged.write.mode("errorifexists").parquet(f"{out_path}/data")
+    absorbed = before | absorbed
     spark.createDataFrame(list(absorbed.items()), "stream string, last_batch bigint") \
-        .coalesce(1).write.mode("overwrite").json(f"{out_path}/manifest")
+        .coalesce(1).write.mode("errorifexists").json(f"{out_path}/manifest")
     return absorbed
 
 
+def remove_batches(spark: SparkSession, folder: str, last: int) -> int:
+    """Remove the folders ``batch_id=<n>`` with n up to ``last``; returns how many."""
+    jvm, n = spark.sparkContext._jvm, 0
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for status in fs.listStatus(path) if fs.exists(path) else ():
+        name = status.getPath().getName()
+        if name.startswith("batch_id=") and int(name.partition("=")[2]) <= last:
+            n += fs.delete(status.getPath(), True)
+    return n
+
+
+def vacuum(spark: SparkSession, state_root: str, absorbed: dict[str, int]) -> int:
+    """Remove the batches that a compacted snapshot has absorbed (the commit
+    records first, so that no reader takes half a batch; the last batch stays).
+    Only once every reader has moved to that snapshot."""
+    return sum(remove_batches(spark, f"{state_root}/{kind}/stream={stream}", last - 1)
+               for kind in ("commits", "deltas", "dead_letters") for stream, last in absorbed.items())
+
+
 def write_reduction(spark: SparkSession, state_root: str) -> DataFrame:
     """Write reduction of the ingest as it ran: events folded, rows written
     (one per distinct query per micro-batch) and micro-batches (flushes)."""

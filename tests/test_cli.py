@@ -31,6 +31,17 @@ def test_load_ingest_publish_suggest_export(spark, sf_small):
     cli.main(["export", "--root", root, "--out", cache], spark)
     keys = spark.read.parquet(cache).select("key").collect()
     assert all(k["key"].startswith("suggest:v2:") for k in keys)
+    cli.main(["export", "--root", root, "--out", cache, "--nodes", "0,1"], spark)      # a smaller ring leaves no old shard
+    shards = {r["shard"] for r in spark.read.parquet(cache + "/gen=2").select("shard").distinct().collect()}
+    assert shards == {"node-0", "node-1"}
+    total = lambda path: spark.read.parquet(path + "/data").agg(F.sum("all_time_count")).first()[0]
+    want = spark.read.parquet(base).agg(F.sum("all_time_count")).first()[0] + tables.search_events(spark, sf_small).count()
+    once, twice = scratch_path(spark, "cli-base2"), scratch_path(spark, "cli-base3")
+    cli.main(["compact", "--state", state, "--base", base, "--out", once], spark)
+    cli.main(["compact", "--state", state, "--base", once, "--out", twice, "--vacuum"], spark)
+    assert total(once) == total(twice) == want
+    p3 = cli.main(["publish", "--root", root, "--base", twice, "--state", state, "--published-ms", "1706659200000"], spark)
+    assert p3["index_rows"] == p2["index_rows"] and p3["staleness_ms"] == p2["staleness_ms"]
     w = scratch_path(spark, "cli-w")
     cli.main(["weights", "--base", base, "--out", w], spark)
     assert spark.read.text(w).collect()[0][0].startswith('[{"p":')

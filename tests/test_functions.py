@@ -3,7 +3,7 @@
 import math
 
 
-from prefixery.functions.normalize import is_blank, normalize, prefixes, split_head
+from prefixery.functions.normalize import is_blank, normalize, prefix_lengths, split_head
 from prefixery.functions.scoring import blended_score
 from prefixery.operators.fold import fold_query_log
 from prefixery.operators.recency import decayed_state, merge_states, upsert
@@ -82,9 +82,9 @@ def test_merge_equals_upsert_equals_recurrence(spark):
 
 def test_prefixes_and_split(spark):
     df = spark.createDataFrame([("iPhone", "iph")], "q string, p string")
-    r = df.select(prefixes("q").alias("ps"), *[c.alias(n) for c, n in
+    r = df.select(prefix_lengths("q").alias("ns"), *[c.alias(n) for c, n in
                                                zip(split_head("q", "p"), ("h", "t"))]).collect()[0]
-    assert r["ps"] == ["", "i", "iP", "iPh", "iPho", "iPhon", "iPhone"]
+    assert r["ns"] == [0, 1, 2, 3, 4, 5, 6]
     assert (r["h"], r["t"]) == ("iPh", "one")
 
 

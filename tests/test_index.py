@@ -57,11 +57,31 @@ def test_top_n_range_path_equals_sort(spark):
     df = spark.createDataFrame(rows, "q string, cnt bigint")
     for n in (1, 1234, 4999, 5000, 7000):
         got = sorted((r["q"], r["cnt"]) for r in
-                     top_n(df, n, [F.desc("cnt"), F.asc("q")], small_n=10).collect())
+                     top_n(df, n, [F.desc("cnt"), F.asc("q")]).collect())
         want = sorted(sorted(rows, key=lambda x: (-x[1], x[0]))[:n])
         assert got == want, n
 
 
+def test_large_neighbouring_counts_rank_by_count(spark):
+    cat = spark.createDataFrame([("aa", 5_000_000), ("ab", 5_000_001), ("ac", 5_000_002)], "query string, all_time_count bigint")
+    idx = px.build_index(px.candidates(cat))
+    assert [r["query"] for r in lk.lookup(idx, "a").collect()] == ["ac", "ab", "aa"]
+
+
+def test_decay_at_build_time_reorders(spark):
+    hour = 3_600_000
+    cat = spark.createDataFrame([("old", 10, 5.0, 0), ("new", 10, 4.0, 48 * hour)],
+                                "query string, all_time_count bigint, recent_score double, last_ms bigint")
+    top = lambda p: [r["query"] for r in lk.lookup(px.build_index(px.candidates(cat, p)), "").collect()]
+    assert top(IndexParams()) == ["old", "new"]
+    assert top(IndexParams(decay_to_ms=48 * hour)) == ["new", "old"]
+
+
+def test_long_query_explodes_in_little_memory(spark):
+    idx = px.build_index(_cands(spark, [("x" * 3000, 1.0), ("y", 2.0)]))
+    assert idx.count() == 3001 + 2
+
+
 def test_index_brute_force_and_invariants(spark, sf_small):
     cat = contract._base_catalog(spark, sf_small)
     cands = px.candidates(cat, IndexParams())

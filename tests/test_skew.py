@@ -47,7 +47,7 @@ def test_fold_with_hot_term(spark):
 def test_top_n_all_ties(spark):
     rows = [(f"q{i:05d}", 7) for i in range(4000)]
     df = spark.createDataFrame(rows, "q string, cnt bigint").repartition(8)
-    got = sorted(r["q"] for r in top_n(df, 1500, [F.desc("cnt"), F.asc("q")], small_n=10).collect())
+    got = sorted(r["q"] for r in top_n(df, 1500, [F.desc("cnt"), F.asc("q")]).collect())
     assert got == [f"q{i:05d}" for i in range(1500)]
 
 
@@ -80,21 +80,41 @@ def test_top_n_by_count_brute_force(spark):
     df = spark.createDataFrame(rows, "q string, cnt bigint").repartition(4)
     key = lambda x: (x[1] is None, -(x[1] or 0), x[0])
     for n in (1, 10, 999, 1500, 2900, 3000, 5000):
-        got = sorted((r["q"], r["cnt"]) for r in top_n_by_count(df, n, "cnt", "q", small_n=5).collect())
+        got = sorted((r["q"], r["cnt"]) for r in top_n_by_count(df, n, "cnt", "q").collect())
         assert got == sorted(sorted(rows, key=key)[:n]), n
         agg = df.groupBy("q").agg(F.max("cnt").alias("cnt"))     # costly input path
-        got2 = sorted((r["q"], r["cnt"]) for r in top_n_by_count(agg, n, "cnt", "q", small_n=5).collect())
+        got2 = sorted((r["q"], r["cnt"]) for r in top_n_by_count(agg, n, "cnt", "q").collect())
         assert got2 == got, n
 
 
-def test_first_by_string_brute_force(spark):
-    from prefixery.operators.topn import first_by_string
-    rnd = random.Random(9)
-    alphabet = "ab cé😀"
-    words = {"".join(rnd.choice(alphabet) for _ in range(rnd.randrange(0, 7))) for _ in range(3000)}
-    words = sorted(words, key=lambda w: w.encode("utf-8"))
-    df = spark.createDataFrame([(w,) for w in words], "q string").repartition(4)
-    for n in (1, 7, 100, len(words) // 2, len(words) - 1, len(words)):
-        got = sorted((r["q"] for r in first_by_string(df, n, "q", small_n=3, size=len(words)).collect()),
-                     key=lambda w: w.encode("utf-8"))
-        assert got == words[:n], n
+def _splits_skew(spark, df):
+    """Whether the plan that ran splits a skewed partition, with thresholds that
+    a small table reaches."""
+    conf = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "2k", "spark.sql.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2",
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        plan = df().select("*")
+        plan.collect()
+        return "skew=true" in plan._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_hot_prefix_is_split(spark):
+    from prefixery.operators import export as ex
+    from prefixery.operators import ring as rg
+    from prefixery.session import scratch_path
+    cands = spark.createDataFrame([(f"{c}pple {i}", float(i)) for c in "abcdefgh" for i in range(20)],
+                                  "query string, score double")
+    lists, reqs = scratch_path(spark, "lists"), scratch_path(spark, "requests")
+    px.nested_index(px.build_index(cands)).write.parquet(lists)
+    spark.createDataFrame([(i, "ap" if i % 3 else "bcdefgh"[i % 7]) for i in range(20000)],
+                          "request_id bigint, raw_prefix string").repartition(12).write.parquet(reqs)
+    nested, req = spark.read.parquet(lists), spark.read.parquet(reqs)
+    assert _splits_skew(spark, lambda: lk.suggest_bulk(req, nested))
+    assert _splits_skew(spark, lambda: ex.routing_report(req, nested, 1, rg.ring_points(spark)))
