@@ -450,4 +450,32 @@ def representatives(docs: DataFrame) -> DataFrame:
 
 
 def op5_jaccard_join(spark, sf_dir: str) -> DataFrame:
-    return join(table(spark, sf_dir, "documents"))
+    return join(table(spark, sf_dir, "documents")).drop("n_links")
+
+
+OP5_SQL = """
+WITH RECURSIVE tokens AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w
+    FROM documents
+), shingles AS (
+    SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+        ELSE list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k + 4], ' ')) END) AS s,
+        len(w) < 5 AS short
+    FROM tokens
+), sizes AS (
+    SELECT t.doc_id, count(s.s) AS n FROM (SELECT DISTINCT doc_id FROM tokens) t
+    LEFT JOIN shingles s USING (doc_id) GROUP BY t.doc_id
+), links AS (
+    SELECT a.doc_id AS a, b.doc_id AS b
+    FROM shingles a JOIN shingles b ON a.s = b.s AND a.short = b.short AND a.doc_id <> b.doc_id
+    JOIN sizes x ON x.doc_id = a.doc_id JOIN sizes y ON y.doc_id = b.doc_id
+    GROUP BY a.doc_id, b.doc_id, x.n, y.n
+    HAVING 100 * count(*) >= 75 * (x.n + y.n - count(*))
+), reach AS (
+    SELECT doc_id, doc_id AS other FROM sizes
+    UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON l.a = r.other
+)
+SELECT s.doc_id, s.n AS n_shingles, r.component_id
+FROM sizes s JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id) r USING (doc_id)
+"""
