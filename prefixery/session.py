@@ -97,8 +97,5 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder below the shared checkpoint folder (never machine-local on a cluster)."""
-    base = ensure_checkpoint_dir(spark)
-    if base.startswith("file:"):
-        base = base[len("file:"):]
-    path = os.path.join(base, "prefixery", f"{name}-{uuid.uuid4().hex[:12]}")
-    return path
+    base = ensure_checkpoint_dir(spark)            # with its scheme: the default file system may be another
+    return f"{base.rstrip('/')}/prefixery/{name}-{uuid.uuid4().hex[:12]}"
