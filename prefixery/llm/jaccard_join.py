@@ -14,22 +14,24 @@ doc_id reachable by links.
    If |A n B| is to reach three quarters of the union, at least a quarter of
    the smaller one's size is found shared here (``_needed``); documents with
    fewer shared shingles link with nothing and are done.
-3. The others, and only they, get a count vector: the shingles are hashed into
-   ``GROUPS`` groups and the group counts form a point.  The overlap of two sets
-   is at most the sum of the coordinate minima of their points.  Linking sets
-   share one of the |A| - ceil(0.75 |A|) + 1 smallest shingles of each.
-   a. Each class is first compared with one pivot: of the classes with the least
-      name of a shingle's group, the one it shares most of these shingles with.
-   b. For what the pivots left in different components, the documents of a
-      shingle form blocks; within and between blocks, an R-tree over the points
-      (nodes bound by their largest coordinates and sizes) finds the pairs whose
-      bound reaches the needed overlap.  Subtrees of one component with the
-      query are skipped.
-4. Pairs that pass the bound are verified on their whole sets.
+3. Only classes that share shingles can link.  Of its shared shingles a class
+   leaves out the most frequent, one less than the number it must have in common
+   with any partner: the rarest common shingle of a linking pair stays with both.
+   So a passage that many texts share seldom ties them together.  The classes
+   that the others connect are found first, as groups (``components`` over class
+   and least class of each shingle), and go on with their whole sets.
+4. A group is dealt to blocks of about ``BLOCK`` shingles, every pair of blocks
+   to one place.  There the shingles of each set are hashed into ``GROUPS``
+   groups; the group counts are its point, and the overlap of two sets is at most
+   the sum of the minima of their coordinates.  An R-tree over the points (nodes
+   bound by their largest coordinates and their sizes) gives each set the points
+   whose bound reaches the needed overlap; subtrees of its own component are
+   skipped.  What remains is verified on the whole sets, first one point of each
+   component, then, where that did not link, the others.
 
 Every pair that links is connected by verified links, so the components are
-exact; no bucket, partner or candidate is capped.  Large shingle groups are cut
-into blocks of ``BLOCK`` rows, compared by block pairs in separate groups.
+exact; no bucket, partner or candidate is capped, and only spanning links leave
+a task.
 
 Defined results: null or blank texts have the empty set (n_shingles 0) and are
 their own component.  Rows that share a doc_id are one node: it links through
@@ -49,14 +51,15 @@ from .common import stored, table
 from .components import components
 
 SHINGLE = 5
-GROUPS = 128
-BLOCK = 512
+GROUPS = 512
+BLOCK = 1 << 20            # shingles per block of a group (8 MB)
 LEAF = 16
+CHUNK = 32                 # sets that query the tree together
 FLUSH = 2 << 20            # entries per packed block
 FLUSH_ROWS = 1 << 14
 BUCKET_ROWS = 1 << 20      # entries aimed at per bucket
 BROADCAST_IDS = 2_000_000  # ids of at most 16 MB go to all tasks, more are joined by shuffle
-_ALREADY, _PREFIX, _ROW = 1 << 15, 1 << 14, (1 << 14) - 1
+_ALREADY, _ROW = 1 << 15, (1 << 14) - 1
 
 
 def _sets(s) -> list[np.ndarray]:
@@ -77,18 +80,16 @@ def _floor_needed(n):
     return (3 * n + 3) // 4
 
 
-def _prefix(n):
-    return n - _floor_needed(n) + 1
-
-
 def _region(n):
-    return np.maximum((n + 1) // 2, _prefix(n))
+    """How many of its smallest hashes a set of n sends."""
+    return (n + 1) // 2
 
 
 def _needed(n):
-    """Shared entries that a set of n must show in step 2 to have any partner:
-    the smaller of the two sets has m >= ceil(3 n / 4) shingles, sends at least
-    m / 2 of them and misses at most m / 4 in the other."""
+    """Sent shingles that a set of n has in common with any partner, at least: of
+    the set whose sent hashes end first, m >= ceil(3 n / 4) in size, at least
+    m / 2 were sent, at most m / 4 are missing in the other, and what the other
+    has of them it sent as well."""
     return F.greatest(F.lit(1), F.ceil((F.floor((3 * n + 3) / 4)) / 4))
 
 
@@ -115,10 +116,9 @@ def signatures(docs: DataFrame) -> DataFrame:
 def _packed(docs: DataFrame, bits: int) -> DataFrame:
     """Blocks of entries per bucket, and (bucket -1) the entries known as shared.
     ``keys``: the 32 bits after the bucket's; ``refs``: row in ``ids`` and flags."""
-    def flush(ids, sizes, keys, flags):
-        row = np.repeat(np.arange(len(ids)), sizes).astype(np.uint16)
+    def flush(ids, sizes, keys):
+        refs = np.repeat(np.arange(len(ids)), sizes).astype(np.uint16)
         keys = np.concatenate(keys)
-        refs = row | np.concatenate(flags)
         order = np.argsort(keys, kind="stable")
         keys, refs = keys[order], refs[order]
         keys = keys >> np.uint64(32 - bits)                    # bucket and 32 bits
@@ -146,7 +146,7 @@ def _packed(docs: DataFrame, bits: int) -> DataFrame:
             ["bucket", "ids", "refs", "keys"])
 
     def run(batches):
-        ids, sizes, keys, flags, size, seen = [], [], [], [], 0, set()
+        ids, sizes, keys, size, seen = [], [], [], 0, set()
         for s in slices(batches):
             for x in _sets(s):
                 n = len(x)
@@ -154,18 +154,15 @@ def _packed(docs: DataFrame, bits: int) -> DataFrame:
                     continue                               # its class is in this block
                 seen.add(sig)
                 k = int(_region(n))
-                flag = np.zeros(k, np.uint16)
-                flag[:int(_prefix(n))] = _PREFIX
                 ids.append(sig)
                 sizes.append(k)
                 keys.append(x[:k])
-                flags.append(flag)
                 size += k
                 if size >= FLUSH or len(ids) == FLUSH_ROWS:
-                    yield flush(ids, sizes, keys, flags)
-                    ids, sizes, keys, flags, size, seen = [], [], [], [], 0, set()
+                    yield flush(ids, sizes, keys)
+                    ids, sizes, keys, size, seen = [], [], [], 0, set()
         if ids:
-            yield flush(ids, sizes, keys, flags)
+            yield flush(ids, sizes, keys)
 
     return docs.select("text").mapInArrow(run, "bucket int, ids binary, refs binary, keys binary")
 
@@ -181,16 +178,15 @@ def _entries(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(ids), np.concatenate(refs), np.concatenate(keys)
 
 
-_SHARED = "sig long, key long, in_prefix boolean"
+_SHARED = "sig long, key long"
 
 
-def _rows(ids, refs, keys) -> pa.Table:
-    return pa.table({"sig": ids, "key": keys.astype(np.int64), "in_prefix": (refs & _PREFIX) > 0})
+def _rows(ids, keys) -> pa.Table:
+    return pa.table({"sig": ids, "key": keys.astype(np.int64)})
 
 
 def shared(docs: DataFrame, bits: int) -> DataFrame:
-    """(sig, key, in_prefix): entries whose key occurs in several classes; a row
-    can come twice."""
+    """(sig, key): entries whose key occurs in several classes."""
     def meet(rows: pa.Table) -> pa.Table:
         bucket = rows.column("bucket")[0].as_py()
         ids, refs, keys = _entries(rows)
@@ -201,33 +197,32 @@ def shared(docs: DataFrame, bits: int) -> DataFrame:
         edge = np.flatnonzero(first)
         several = (np.add.reduceat(new.astype(np.int64), edge) > 1) | np.logical_or.reduceat((refs & _ALREADY) > 0, edge)
         tell = new & np.repeat(several, np.diff(np.append(edge, len(keys))))
-        return _rows(ids[tell], refs[tell], keys[tell].astype(np.int64) | (bucket << 32))
+        return _rows(ids[tell], keys[tell].astype(np.int64) | (bucket << 32))
 
     def known(batches):
         for b in batches:
             for k in range(b.num_rows):
-                yield from _rows(*_entries(pa.Table.from_batches([b.slice(k, 1)]))).to_batches()
+                ids, _, keys = _entries(pa.Table.from_batches([b.slice(k, 1)]))
+                yield from _rows(ids, keys).to_batches()
 
     packed = stored(_packed(docs, bits), "jaccard-packed")
     return stored(packed.where("bucket >= 0").groupBy("bucket").applyInArrow(meet, _SHARED)
-                  .unionByName(packed.where("bucket < 0").mapInArrow(known, _SHARED)), "jaccard-shared")
+                  .unionByName(packed.where("bucket < 0").mapInArrow(known, _SHARED)).distinct(), "jaccard-shared")
 
 
 # ------------------------------------------------------------- bound and verify
 
-def points(docs: DataFrame) -> DataFrame:
-    """(sig, n, vec, hashes): count vector (16-bit, saturating) and whole set."""
+def whole_sets(docs: DataFrame) -> DataFrame:
+    """(sig, n, hashes): the whole set, sorted."""
     def run(batches):
         for s in slices(batches):
             sets = _sets(s)
-            vec = [np.minimum(np.bincount((x & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS), 65535)
-                   .astype(np.uint16).tobytes() for x in sets]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(signed(np.array([_signature(x) for x in sets], np.uint64))), pa.array([len(x) for x in sets], pa.int64()),
-                 pa.array(vec, pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())],
-                ["sig", "n", "vec", "hashes"])
+                [pa.array(signed(np.array([_signature(x) for x in sets], np.uint64))),
+                 pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())],
+                ["sig", "n", "hashes"])
 
-    return docs.select("text").mapInArrow(run, "sig long, n long, vec binary, hashes binary")
+    return docs.select("text").mapInArrow(run, "sig long, n long, hashes binary")
 
 
 def _overlap(na, nb):
@@ -235,117 +230,134 @@ def _overlap(na, nb):
     return -(-3 * (na + nb) // 7)
 
 
-def _minima_sum(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Upper bound of the overlap; a saturated coordinate bounds nothing less."""
-    low = np.minimum(a, b).astype(np.int64)
-    low[low == 65535] = 1 << 40
-    return low.sum(axis=-1)
-
-
-def _vectors(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, GROUPS)
-
-
-def _sided(what: DataFrame, side: str) -> DataFrame:
-    return what.select([F.col(c).alias(side if c == "sig" else f"{c}_{side}") for c in what.columns])
-
+def _point(x: np.ndarray) -> np.ndarray:
+    """Group counts of a set (16 bits, saturating)."""
+    return np.minimum(np.bincount((x & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS), 65535).astype(np.uint16)
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) that link: bounded by their points, then by their sets."""
-    def bounded(batches):
-        for t in batches:
-            na, nb = np.asarray(t.column("n_a")), np.asarray(t.column("n_b"))
-            if t.num_rows:
-                ok = _minima_sum(_vectors(t.column("vec_a")), _vectors(t.column("vec_b"))) >= _overlap(na, nb)
-                yield t.select(["a", "b"]).filter(pa.array(ok))
 
-    def exact(batches):
-        for t in batches:
-            ok = []
-            for x, y in zip(t.column("hashes_a"), t.column("hashes_b"), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(100 * both >= 75 * (len(x) + len(y) - both))
-            yield t.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    def with_both(what: DataFrame, columns: list[str]) -> DataFrame:
-        side = sets.select("sig", *columns)
-        return what.join(_sided(side, "a"), "a").join(_sided(side, "b"), "b")
-
-    close = stored(with_both(pairs, ["n", "vec"]).mapInArrow(bounded, "a long, b long").distinct(), "jaccard-bounded")
-    return stored(with_both(close, ["hashes"]).mapInArrow(exact, "a long, b long").distinct(), "jaccard-links")
+def _minima_sum(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Upper bound of the overlap; a saturated coordinate bounds nothing."""
+    low = np.minimum(a, b)
+    total = low.sum(axis=-1, dtype=np.int64)
+    total[(low == 65535).any(axis=-1)] = 1 << 40
+    return total
 
 
 class RTree:
-    """Points packed by size into leaves, nodes bound by their coordinates'
-    maxima and their sizes' range; ``comp`` is -1 where a node is mixed."""
+    """Points packed by size into leaves; nodes are bound by their coordinates'
+    maxima and their sizes' range."""
 
-    def __init__(self, n: np.ndarray, vec: np.ndarray, comp: np.ndarray):
+    def __init__(self, n: np.ndarray, vec: np.ndarray):
         self.order = np.lexsort((vec.argmax(axis=1), n))
-        level = (vec[self.order], n[self.order], n[self.order], comp[self.order])
+        level = (vec[self.order], n[self.order], n[self.order])
         self.levels = [level]
         while len(level[1]) > LEAF:
-            hi, least, most, c = level
-            edge = np.arange(0, len(least), LEAF)
-            low, high = np.minimum.reduceat(c, edge), np.maximum.reduceat(c, edge)
-            level = (np.maximum.reduceat(hi, edge), np.minimum.reduceat(least, edge),
-                     np.maximum.reduceat(most, edge), np.where(low == high, low, -1))
+            edge = np.arange(0, len(level[1]), LEAF)
+            level = (np.maximum.reduceat(level[0], edge), np.minimum.reduceat(level[1], edge),
+                     np.maximum.reduceat(level[2], edge))
             self.levels.append(level)
 
-    def search(self, n: np.ndarray, vec: np.ndarray, comp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs (query, point) in other components whose bound reaches the
-        needed overlap."""
+    def _components(self, comp: np.ndarray) -> list[np.ndarray]:
+        """Per level the component of each node, -1 where it is mixed."""
+        out = [comp[self.order]]
+        for level in self.levels[1:]:
+            edge = np.arange(0, len(out[-1]), LEAF)
+            low, high = np.minimum.reduceat(out[-1], edge), np.maximum.reduceat(out[-1], edge)
+            out.append(np.where(low == high, low, -1))
+        return out
+
+    def search(self, n: np.ndarray, vec: np.ndarray, own: np.ndarray, comp: np.ndarray):
+        """(query, point, bound) for the points outside the query's component
+        whose bound reaches the needed overlap.  ``own``: the queries'
+        components, ``comp``: the points'."""
+        comps = self._components(comp)
         top = len(self.levels[-1][1])
         q, node = np.repeat(np.arange(len(n)), top), np.tile(np.arange(top), len(n))
+        bounds = np.zeros(len(q), np.int64)
         for depth in range(len(self.levels) - 1, -1, -1):
-            hi, least, most, c = self.levels[depth]
-            keep = []
-            for k in range(0, len(q), 1 << 14):
-                a, b = q[k:k + (1 << 14)], node[k:k + (1 << 14)]
-                ok = (c[b] != comp[a]) & (4 * most[b] >= 3 * n[a]) & (4 * n[a] >= 3 * least[b])
-                at = np.flatnonzero(ok)
-                bound = _minima_sum(vec[a[at]], hi[b[at]])
-                ok[at] = bound >= _overlap(n[a[at]], np.maximum(least[b[at]], (3 * n[a[at]] + 3) // 4))
-                keep.append(ok)
-            keep = np.concatenate(keep) if keep else np.zeros(0, bool)
-            q, node = q[keep], node[keep]
+            hi, least, most = self.levels[depth]
+            ok = (comps[depth][node] != own[q]) & (4 * most[node] >= 3 * n[q]) & (4 * n[q] >= 3 * least[node])
+            q, node = q[ok], node[ok]
+            bounds = np.concatenate([_minima_sum(vec[q[k:k + 4096]], hi[node[k:k + 4096]])
+                                     for k in range(0, len(q), 4096)] or [np.zeros(0, np.int64)])
+            ok = bounds >= _overlap(n[q], np.maximum(least[node], _floor_needed(n[q])))
+            q, node, bounds = q[ok], node[ok], bounds[ok]
             if depth:
                 below = len(self.levels[depth - 1][1])
                 size = np.minimum(LEAF, below - node * LEAF)
                 child = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
                 q, node = np.repeat(q, size), np.repeat(node * LEAF, size) + child
-        return q, self.order[node]
+        return q, self.order[node], bounds
+
+
+def _linked(x: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """Which of the other sets link with ``x``."""
+    out = []
+    while others:
+        size = np.cumsum([len(y) for y in others])
+        k = max(1, int(np.searchsorted(size, 1 << 20, "right")))
+        part, others = others[:k], others[k:]
+        flat = np.concatenate(part)
+        at = np.minimum(np.searchsorted(x, flat), len(x) - 1)
+        both = np.add.reduceat((x[at] == flat).astype(np.int64), np.concatenate([[0], size[:k - 1]]))
+        out.append(100 * both >= 75 * (len(x) + np.array([len(y) for y in part]) - both))
+    return np.concatenate(out)
+
+
+def _spanning(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+    """Links between left and right sets (index arrays) that connect what all
+    their links connect."""
+    n = np.array([len(x) for x in sets])
+    vec = np.stack([_point(x) for x in sets])
+    comp = np.arange(len(sets))
+    tree, out = RTree(n[left], vec[left]), []
+
+    def verify(a: int, points: np.ndarray) -> None:
+        hit = points[_linked(sets[a], [sets[b] for b in points])]
+        if len(hit):
+            hit = hit[np.unique(comp[hit], return_index=True)[1]]
+            out.extend((a, int(b)) for b in hit)
+            comp[np.isin(comp, np.append(comp[hit], comp[a]))] = min(comp[hit].min(), comp[a])
+
+    for k in range(0, len(right), CHUNK):
+        chunk = right[k:k + CHUNK]
+        q, p, bound = tree.search(n[chunk], vec[chunk], comp[chunk], comp[left])
+        p = left[p]
+        for r, a in enumerate(chunk):
+            points = p[q == r][np.argsort(-bound[q == r], kind="stable")]
+            points = points[comp[points] != comp[a]]
+            if len(points):
+                verify(a, points[np.unique(comp[points], return_index=True)[1]])     # the best of each component
+                points = points[comp[points] != comp[a]]
+            if len(points):
+                verify(a, points)
+    return out
 
 
-def _across(rows: DataFrame, partitions: int) -> DataFrame:
-    """(a, b): pairs of different components with a common key that pass the
-    bound.  ``rows``: key, sig, comp, n, vec, and the key's number of blocks."""
+def _within(groups: DataFrame, partitions: int) -> DataFrame:
+    """(a, b): spanning links of each group.  ``groups``: root, sig, hashes, and
+    the group's number of blocks."""
     block = F.pmod(F.xxhash64("sig"), F.col("blocks"))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    dealt = (rows.withColumn("block", block).withColumn("other", other)
+    dealt = (groups.withColumn("block", block).withColumn("other", other)
              .withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-             .withColumn("part", F.pmod(F.xxhash64("key", "i", "j"), F.lit(partitions)))
-             .select("part", "key", "i", "j", "block", "sig", "comp", "n", "vec"))
+             .withColumn("part", F.pmod(F.xxhash64("root", "i", "j"), F.lit(partitions)))
+             .select("part", "root", "i", "j", "block", "sig", "hashes"))
 
     def meet(t: pa.Table) -> pa.Table:
-        t = t.sort_by([("key", "ascending"), ("i", "ascending"), ("j", "ascending")])
-        key, i, j, block, doc, comp, n = (np.asarray(t.column(c).combine_chunks()) for c in
-                                          ("key", "i", "j", "block", "sig", "comp", "n"))
-        vec = _vectors(t.column("vec"))
-        edge = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]), [True]]))
-        found = [np.zeros((0, 2), np.int64)]
-        for lo, hi in zip(edge[:-1], edge[1:], strict=True):
-            at = np.arange(lo, hi)
-            left, right = at[block[at] == i[lo]], at[block[at] == j[lo]]
-            if len(left) and len(right) and (comp[at] != comp[lo]).any():
-                q, p = RTree(n[left], vec[left], comp[left]).search(n[right], vec[right], comp[right])
-                pair = np.stack([doc[right[q]], doc[left[p]]], axis=1)
-                pair.sort(axis=1)
-                found.append(np.unique(pair, axis=0))
-        pairs = np.unique(np.concatenate(found), axis=0)
-        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
-
-    return dealt.groupBy("part").applyInArrow(meet, "a long, b long").where("a < b").distinct()
+        root, i, j, block, sig = (np.asarray(t.column(c).combine_chunks()) for c in ("root", "i", "j", "block", "sig"))
+        order = np.lexsort((sig, j, i, root))
+        cut = np.flatnonzero((np.diff(root[order]) != 0) | (np.diff(i[order]) != 0) | (np.diff(j[order]) != 0)) + 1
+        hashes, found = t.column("hashes"), []
+        for at in np.split(order, cut):
+            if len(at) > 1:
+                sets = [np.frombuffer(hashes[int(k)].as_buffer(), np.uint64) for k in at]
+                own = block[at]
+                pairs = _spanning(sets, np.flatnonzero(own == i[at[0]]), np.flatnonzero(own == j[at[0]]))
+                found += [(sig[at[a]], sig[at[b]]) for a, b in pairs]
+        return pa.table({"a": pa.array([x[0] for x in found], pa.int64()), "b": pa.array([x[1] for x in found], pa.int64())})
+
+    return dealt.groupBy("part").applyInArrow(meet, "a long, b long")
 
 
 # -------------------------------------------------------------------- the join
@@ -367,30 +379,29 @@ def link(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     bits = min(24, max(1, (2 * partitions - 1).bit_length(), (entries // BUCKET_ROWS).bit_length()))
 
-    common = stored(shared(docs, bits).groupBy("sig", "key").agg(F.max("in_prefix").alias("in_prefix")), "jaccard-shared")
+    common = shared(docs, bits)
     classes = own.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
     some = stored(common.groupBy("sig").agg(F.count("*").alias("common")).join(classes, "sig")
-                  .where(F.col("common") >= _needed(F.col("n"))).select("sig", "doc_id"), "jaccard-some")
-    sets = stored(points(_restricted(docs, some.select("doc_id"))).join(some.select("sig"), "sig", "left_semi"),
-                  "jaccard-points")
-
-    entry = stored(common.where("in_prefix").join(some.select("sig"), "sig", "left_semi").select("key", "sig"),
-                   "jaccard-entries")
+                  .where(F.col("common") >= _needed(F.col("n"))).select("sig", "doc_id", "n"), "jaccard-some")
+    common = stored(common.join(some.select("sig"), "sig", "left_semi"), "jaccard-common")
+    many = stored(common.groupBy("key").agg(F.count("*").alias("many")).where("many > 1"), "jaccard-frequencies")
+    rare = (common.join(many, "key").groupBy("sig").agg(F.sort_array(F.collect_list(F.struct("many", "key"))).alias("keys"))
+            .join(some.select("sig", "n"), "sig").withColumn("needed", _needed(F.col("n")).cast("int"))
+            .where(F.size("keys") >= F.col("needed"))
+            .select("sig", F.explode(F.slice("keys", F.lit(1), F.size("keys") - F.col("needed") + 1)).alias("k")))
+    entry = stored(rare.select("sig", "k.key"), "jaccard-entries")
     pivots = stored(entry.groupBy("key").agg(F.min("sig").alias("pivot"), F.count("*").alias("many"))
-                    .where("many > 1"), "jaccard-pivots")
-    star = (entry.join(pivots, "key").where("sig > pivot").groupBy("sig", "pivot").agg(F.count("*").alias("keys"))
-            .groupBy("sig").agg(F.max(F.struct("keys", "pivot")).alias("best"))
-            .select(F.col("best.pivot").alias("a"), F.col("sig").alias("b")))
-    links = verified(star, sets)
-
-    roots = stored(components(links), "jaccard-roots").withColumnRenamed("node", "sig")
-    placed = stored(entry.join(roots, "sig", "left").select("key", "sig", F.coalesce("root", "sig").alias("comp")),
-                    "jaccard-placed")
-    open_keys = stored(placed.groupBy("key").agg(F.count("*").alias("many"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
-                       .where("c0 < c1").select("key", F.ceil(F.col("many") / BLOCK).alias("blocks")), "jaccard-open")
-    rest = placed.join(open_keys, "key").join(sets.select("sig", "n", "vec"), "sig")
-    more = verified(_across(rest, 4 * partitions), sets)
-    return own, stored(links.unionByName(more).distinct(), "jaccard-all-links")
+                    .where("many > 1").select("key", "pivot"), "jaccard-pivots")
+    near = (entry.join(pivots, "key").where("sig <> pivot").select(F.col("sig").alias("a"), F.col("pivot").alias("b"))
+            .distinct())
+    roots = stored(components(near), "jaccard-groups").withColumnRenamed("node", "sig")
+    some = stored(some.join(roots, "sig"), "jaccard-grouped")          # what is in no group links with nothing
+    sets = stored(whole_sets(_restricted(docs, some.select("doc_id"))).join(some.select("sig", "root"), "sig"), "jaccard-sets")
+    placed = sets if own.groupBy("doc_id").count().where("count > 1").limit(1).count() == 0 else sets.dropDuplicates(["sig"])
+    blocks = stored(placed.groupBy("root").agg(F.ceil(F.sum("n") / BLOCK).alias("blocks")), "jaccard-blocks")
+    parts = max(2 * partitions, 1 + (placed.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]) // BLOCK)
+    links = _within(placed.join(blocks, "root").select("root", "sig", "hashes", "blocks"), parts)
+    return own, stored(links.distinct(), "jaccard-links")
 
 
 def join(docs: DataFrame) -> DataFrame:

@@ -68,8 +68,8 @@ def test_join_equals_brute_force(spark, edge_docs, sample_docs, empty_docs):
 
 
 def test_join_of_texts_that_share_passages(spark, monkeypatch):
-    """Many texts share a passage; pivots mislead, blocks and the tree decide."""
-    monkeypatch.setattr(jaccard_join, "BLOCK", 7)
+    """Many texts share a passage and fall into one group of many blocks."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", 500)
     r = random.Random(8)
     passage = [f"p{k}" for k in range(60)]
     rows = []
@@ -86,7 +86,7 @@ def test_rtree_finds_every_pair_within_the_bound():
     n = r.integers(20, 90, 300)
     vec = np.stack([np.bincount(r.integers(0, 8, x), minlength=jaccard_join.GROUPS) for x in n]).astype(np.uint16)
     comp = r.integers(0, 40, 300)
-    q, p = jaccard_join.RTree(n, vec, comp).search(n, vec, comp)
+    q, p, _ = jaccard_join.RTree(n, vec).search(n, vec, comp, comp)
     got = set(zip(q.tolist(), p.tolist(), strict=True))
     for a in range(300):
         for b in range(300):
