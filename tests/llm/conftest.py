@@ -37,6 +37,15 @@ def edge_rows():
     return rows
 
 
+@pytest.fixture(scope="session", autouse=True)
+def few_partitions(spark):
+    """The tables here are small; fewer tasks, the same plans."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 EXTRA = ["line", "mark", "key", "row", "sig", "n", "a", "q", "slots", "kept_id", "mix_slot", "held_out", "lang2"]
 
 
