@@ -58,7 +58,7 @@ CHUNK = 32                 # sets that query the tree together
 FLUSH = 2 << 20            # entries per packed block
 FLUSH_ROWS = 1 << 14
 BUCKET_ROWS = 1 << 20      # entries aimed at per bucket
-BROADCAST_IDS = 2_000_000  # ids of at most 16 MB go to all tasks, more are joined by shuffle
+BROADCAST_IDS = 500_000    # rows of 32 bytes (16 MB) go to all tasks, more are joined by shuffle
 _ALREADY, _ROW = 1 << 15, (1 << 14) - 1
 
 
@@ -213,16 +213,18 @@ def shared(docs: DataFrame, bits: int) -> DataFrame:
 # ------------------------------------------------------------- bound and verify
 
 def whole_sets(docs: DataFrame) -> DataFrame:
-    """(sig, n, hashes): the whole set, sorted."""
+    """(sig, root, blocks, hashes) of texts whose set has the name in ``sig``:
+    the whole set, sorted."""
     def run(batches):
         for s in slices(batches):
             sets = _sets(s)
+            named = np.array([_signature(x) for x in sets], np.uint64)
+            own = pa.array(signed(named) == np.asarray(s.column("sig")))       # not another text of the same id
             yield pa.RecordBatch.from_arrays(
-                [pa.array(signed(np.array([_signature(x) for x in sets], np.uint64))),
-                 pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())],
-                ["sig", "n", "hashes"])
+                [s.column("sig"), s.column("root"), s.column("blocks"), pa.array([x.tobytes() for x in sets], pa.binary())],
+                ["sig", "root", "blocks", "hashes"]).filter(own)
 
-    return docs.select("text").mapInArrow(run, "sig long, n long, hashes binary")
+    return docs.select("text", "sig", "root", "blocks").mapInArrow(run, "sig long, root long, blocks long, hashes binary")
 
 
 def _overlap(na, nb):
@@ -318,9 +320,14 @@ def _spanning(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> li
             hit = hit[np.unique(comp[hit], return_index=True)[1]]
             out.extend((a, int(b)) for b in hit)
             comp[np.isin(comp, np.append(comp[hit], comp[a]))] = min(comp[hit].min(), comp[a])
+            hub[:] = [int(hit[0])]
 
+    hub: list[int] = []                   # the point linked last: mostly one of a large component
     for k in range(0, len(right), CHUNK):
         chunk = right[k:k + CHUNK]
+        for a in chunk:
+            if hub and comp[a] != comp[hub[0]]:
+                verify(a, np.array(hub))
         q, p, bound = tree.search(n[chunk], vec[chunk], comp[chunk], comp[left])
         p = left[p]
         for r, a in enumerate(chunk):
@@ -362,11 +369,10 @@ def _within(groups: DataFrame, partitions: int) -> DataFrame:
 
 # -------------------------------------------------------------------- the join
 
-def _restricted(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents with these ids (a stored table): broadcast while the ids
-    are few, by shuffle beyond."""
-    side = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids.hint("shuffle_hash")
-    return docs.join(side, "doc_id", "left_semi")
+def _restricted(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The documents with the ids of ``chosen`` (a stored table) and its columns:
+    broadcast while these are few, by shuffle beyond."""
+    return docs.join(F.broadcast(chosen) if chosen.count() <= BROADCAST_IDS else chosen.hint("shuffle_hash"), "doc_id")
 
 
 def link(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -396,12 +402,11 @@ def link(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             .distinct())
     roots = stored(components(near), "jaccard-groups").withColumnRenamed("node", "sig")
     some = stored(some.join(roots, "sig"), "jaccard-grouped")          # what is in no group links with nothing
-    sets = stored(whole_sets(_restricted(docs, some.select("doc_id"))).join(some.select("sig", "root"), "sig"), "jaccard-sets")
-    placed = sets if own.groupBy("doc_id").count().where("count > 1").limit(1).count() == 0 else sets.dropDuplicates(["sig"])
-    blocks = stored(placed.groupBy("root").agg(F.ceil(F.sum("n") / BLOCK).alias("blocks")), "jaccard-blocks")
-    parts = max(2 * partitions, 1 + (placed.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]) // BLOCK)
-    links = _within(placed.join(blocks, "root").select("root", "sig", "hashes", "blocks"), parts)
-    return own, stored(links.distinct(), "jaccard-links")
+    blocks = some.groupBy("root").agg(F.ceil(F.sum("n") / BLOCK).alias("blocks"))
+    chosen = stored(some.join(blocks, "root").select("doc_id", "sig", "root", "blocks"), "jaccard-chosen")
+    parts = max(2 * partitions, 1 + some.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] // BLOCK)
+    links = _within(whole_sets(_restricted(docs, chosen)), parts)
+    return own, stored(links.where("a <> b").distinct(), "jaccard-links")
 
 
 def join(docs: DataFrame) -> DataFrame:
