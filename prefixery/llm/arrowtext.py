@@ -8,6 +8,7 @@ Memory per task is bounded by the slice size or the longest single text.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -117,6 +118,17 @@ def slices(batches: Iterable[pa.RecordBatch], text: str = "text",
             end = min(max(end, row + 1), len(col))
             yield Slice(batch.slice(row, end - row), raw[off[row]:off[end]], off[row:end + 1] - off[row])
             row = end
+        del batch, col, offsets, data, off, raw
+    release()
+
+
+def release() -> None:
+    """Give freed memory back at the end of a partition: Spark keeps the worker
+    for later stages, beside the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)      # glibc only
+    if trim:
+        trim(0)
 
 
 def windows(first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -186,7 +198,7 @@ def grams(out: np.ndarray, at: np.ndarray, order: int) -> tuple[np.ndarray, np.n
 class Counter:
     """Counts of 64-bit keys over a partition, merged as they grow."""
 
-    def __init__(self, merge_at: int = 4 << 20):
+    def __init__(self, merge_at: int = 1 << 20):
         self.parts: list[tuple[np.ndarray, np.ndarray]] = []
         self.size, self.merge_at = 0, merge_at
 

@@ -17,7 +17,7 @@ import numpy as np
 
 from .arrowtext import Slice
 
-MAX_CHUNKS = 1_000_000
+MAX_CHUNKS = 500_000
 _JOIN = 500
 
 _BLANK = np.zeros(256, bool)

@@ -17,6 +17,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+BATCH_ROWS = 1000
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, whose session from now on hands texts to Python in Arrow batches of
+    at most ``BATCH_ROWS`` rows: Spark's 10,000 rows of long texts are a lot of
+    memory on both sides."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(name)) <= BATCH_ROWS:
+        df.sparkSession.conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared scratch folder and read back: cuts lineage,
     survives the loss of executors, and fixes partition contents."""
@@ -26,7 +39,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def by_arrow(df: DataFrame, fn, schema: str | T.StructType) -> DataFrame:
-    return df.mapInArrow(fn, schema)
+    return small_batches(df).mapInArrow(fn, schema)
 
 
 def packed_suffix(g: Column, size: int) -> Column:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrowtext import mix, slices, stream
-from .common import stored, table
+from .common import small_batches, stored, table
 
 Q = 12
 WINDOW = 50
@@ -202,7 +202,7 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def _matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     groups = _benchmark_groups(benchmark)
-    docs = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("line"), F.xxhash64("text").alias("mark"))
+    docs = small_batches(docs).select("doc_id", "text", F.monotonically_increasing_id().alias("line"), F.xxhash64("text").alias("mark"))
     out = None
     for items in groups or [None]:
         index = spark.sparkContext.broadcast(_index(items) if items is not None else Index([]))

@@ -47,7 +47,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrowtext import mix, signed, slices, window_hashes, windows
-from .common import stored, table
+from .common import small_batches, stored, table
 from .components import components
 
 SHINGLE = 5
@@ -55,7 +55,7 @@ GROUPS = 512
 BLOCK = 1 << 20            # shingles per block of a group (8 MB)
 LEAF = 16
 CHUNK = 32                 # sets that query the tree together
-FLUSH = 2 << 20            # entries per packed block
+FLUSH = 1 << 20            # entries per packed block
 FLUSH_ROWS = 1 << 14
 BUCKET_ROWS = 1 << 20      # entries aimed at per bucket
 BROADCAST_IDS = 500_000    # rows of 32 bytes (16 MB) go to all tasks, more are joined by shuffle
@@ -379,7 +379,7 @@ def link(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n, sig) per row, and verified links (a, b) between classes that
     connect every component."""
     spark = docs.sparkSession
-    docs = docs.select("doc_id", "text").where("doc_id IS NOT NULL")
+    docs = small_batches(docs).select("doc_id", "text").where("doc_id IS NOT NULL")
     own = stored(signatures(docs), "jaccard-signatures")
     entries = own.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] // 2
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))

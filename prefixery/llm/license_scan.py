@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .arrowtext import Slice, signed, slices
-from .common import table
+from .common import small_batches, table
 from .quality_classifier import _NOT_WORD
 
 COVERAGE = 0.8
@@ -188,7 +188,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: flo
                 pa.array([max((y[3] for y in x), default=0.0) for x in each])],
                 ["doc_id", "n_licenses", "licenses", "spans", "best_coverage"])
 
-    return docs.select("doc_id", "text").mapInArrow(
+    return small_batches(docs).select("doc_id", "text").mapInArrow(
         run, "doc_id long, n_licenses long, licenses string, spans string, best_coverage double")
 
 

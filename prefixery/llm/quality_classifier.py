@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrowtext import _LOWER, Slice, slices
-from .common import table
+from .common import small_batches, table
 
 BUCKETS = 1 << 18
 SAMPLE = 20_000
@@ -150,7 +150,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
                 [s.column("doc_id").cast(pa.int64()), pa.array(tails.sum(axis=1)), pa.array(tails[:, -1]),
                  pa.array(tails[:, -1] >= threshold)], ["doc_id", "expected_grade", "tail_probability", "selected"])
 
-    return docs.select("doc_id", "text").mapInArrow(
+    return small_batches(docs).select("doc_id", "text").mapInArrow(
         run, "doc_id long, expected_grade double, tail_probability double, selected boolean")
 
 

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import small_batches, stored, table
 
 BLOCK = 64
 QUANTUM = 1000
@@ -146,7 +146,7 @@ def schedule(docs: DataFrame, weights: dict[str, float] | None = None, block: in
     mix_slot and mix_position (0, 1, ... in scheduled order).  Without given
     weights, sources are weighted by the square root of their characters."""
     spark = docs.sparkSession
-    docs = docs.drop(*ADDED)
+    docs = small_batches(docs).drop(*ADDED)
     weights = tempered(docs) if weights is None else {s or "": w for s, w in weights.items()}
     numbered = _numbered(docs)
     counts = {r["source"]: r["n"] for r in docs.groupBy(F.coalesce("source", F.lit("")).alias("source"))

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .arrowtext import slices
 from .chunk_encoder import default_vocabulary, encoder
-from .common import table
+from .common import small_batches, table
 
 RULES = ("first", "last", "most", "split")
 _OUT = "doc_id long, section string, start long, end long, n_tokens double, n_crossing long"
@@ -126,7 +126,7 @@ def attribute(docs: DataFrame, rule: str = "most", vocabulary: str | None = None
                 ["doc_id", "section", "start", "end", "n_tokens", "n_crossing"])
             yield out
 
-    return docs.select("doc_id", "text", *(["sections"] if given else [])).mapInArrow(run, _OUT)
+    return small_batches(docs).select("doc_id", "text", *(["sections"] if given else [])).mapInArrow(run, _OUT)
 
 
 def op9_token_attribution(spark, sf_dir: str) -> DataFrame:

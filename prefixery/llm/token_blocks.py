@@ -37,7 +37,7 @@ from prefixery.session import scratch_path
 
 from .arrowtext import slices
 from .chunk_encoder import default_vocabulary, encoder
-from .common import table
+from .common import small_batches, table
 
 BLOCK = 512
 SEGMENT = 1 << 18
@@ -174,7 +174,7 @@ def write(docs: DataFrame, path: str, vocabulary: str | None = None, order: tupl
 
     ties = [c for c in (F.col("doc_id"), F.xxhash64("text"), F.col("text"))]
     by = [F.col(c) for c in order] + ties[:2]
-    (docs.repartitionByRange(*by).sortWithinPartitions(*[F.col(c) for c in order], *ties)
+    (small_batches(docs).repartitionByRange(*by).sortWithinPartitions(*[F.col(c) for c in order], *ties)
      .select("doc_id", "text").mapInArrow(run, _SEGMENTS).write.parquet(path))
 
 
