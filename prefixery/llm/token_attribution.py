@@ -110,7 +110,7 @@ def attribute(docs: DataFrame, rule: str = "most", vocabulary: str | None = None
             names, starts, ends, first = (_given if given else _lines)(s)
             width = int(len(s.buf)) + 2 + int(ends.max() if len(ends) else 0)
             token, section, share, crossing = _joined((lo.astype(np.int64), hi.astype(np.int64)), edge, starts, ends, first, rule, width)
-            total = np.bincount(section, share, len(starts))
+            total = np.bincount(section, share, len(starts)).astype(np.float64)      # without tokens it counts in integers
             crossed = np.bincount(section, crossing[token], len(starts)).astype(np.int64)
             row = np.repeat(np.arange(s.n), np.diff(first))
             left = np.diff(edge) - np.bincount(row, total, s.n)
