@@ -5,6 +5,7 @@ import zlib
 import numpy as np
 import pytest
 from conftest import words
+from pyspark.sql import functions as F
 from test_set_operators import brute_components
 from test_text_operators import base_measures
 
@@ -70,3 +71,34 @@ def test_odd_rows_and_empty_tables(spark, edge_docs, sf_small, tmp_path):
 
 def test_run_is_the_chain_of_stages(spark, sf_small):
     assert corpus_pipeline.run(spark, sf_small).columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
+
+
+@pytest.mark.parametrize("copies", [480, 100])
+def test_copies_do_not_set_the_band(spark, sample_docs, sf_small, copies):
+    """One text at about 80% and 45% of a language: nearly all other documents are
+    kept or rejected as without its copies."""
+    docs = sample_docs.where("lang = 'en'").dropDuplicates(["text"]).select("doc_id", "text", "lang").cache()
+    one = docs.where("length(text) > 1500").orderBy("doc_id").limit(1)
+    noise = spark.createDataFrame([(-1, "zq xj kv wp " + " ".join(f"{k:x}q~{k * 7919 % 9973}" for k in range(400)), "en")], docs.schema)
+    docs = docs.unionByName(noise)
+    many = docs.unionByName(one.withColumn("doc_id", F.explode(F.sequence(F.lit(10 ** 6), F.lit(10 ** 6 + copies - 1)))))
+    want = {r["doc_id"] for r in corpus_pipeline.quality_stage(spark, docs, sf_small).collect()}
+    got = {r["doc_id"] for r in corpus_pipeline.quality_stage(spark, many, sf_small).collect()}
+    assert -1 not in want and -1 not in got and len(want) > 60
+    assert len({i for i in got if i < 10 ** 6} ^ want) <= 3
+
+
+def test_near_copies_weigh_as_one(sample_docs):
+    """A third of a language in near copies: the band is close to the one without."""
+    docs = sample_docs.where("lang = 'en'").dropDuplicates(["text"]).select("doc_id", "text", "lang")
+    one = docs.where("length(text) > 1500").orderBy("doc_id").limit(1)
+    near = (one.withColumn("doc_id", F.explode(F.sequence(F.lit(10 ** 6), F.lit(10 ** 6 + 99))))
+            .withColumn("text", F.concat("text", F.lit(" copy number "), F.col("doc_id").cast("string"))))
+    scored = [(k, float(k % 40) / 100 + 0.5, k) for k in range(120)] + [(10 ** 6 + k, 0.2 + k / 10 ** 4, 7) for k in range(100)]
+    rows = docs.sparkSession.createDataFrame(scored, "mark long, log10_ppl double, sketch long").withColumns(
+        {"lang": F.lit("en"), "base_failed": F.lit(False)})
+    band, plain = (quality_rules.bands(x, 3.0, 0.03).first() for x in (rows, rows.where("mark < 1000000")))
+    assert abs(band["lower"] - plain["lower"]) < 0.1 and abs(band["upper"] - plain["upper"]) < 0.1
+    sketches = {r["sketch"] for r in quality_rules._by_arrays(
+        near.withColumn("mark", F.lit(0).cast("long")), quality_rules.fit(docs, 2), 2).collect()}
+    assert len(sketches) < 10
