@@ -4,10 +4,11 @@ A source's documents, in the order of their ids, are cut into blocks of
 ``BLOCK``.  With target weight w, block i of a source is released at slot
 floor(i / w) and due at slot ceil((i + 1) / w); one block is placed per slot,
 always the released one with the earliest deadline.  Weights are integers a_s
-over their sum Q, so the schedule repeats every Q slots: one period is computed
-on the driver (Q slots, a heap of the sources), and a block's slot follows from
-its number by a division.  At every slot each source is less than one block away
-from its share.
+over their sum Q, by default so large that rounding them moves no block: over N
+slots it amounts to less than N / Q of a block.  The driver goes through the slots
+once, with a heap of the sources, and writes them out in pieces (``PIECE`` blocks of
+a source, ``HELD`` slots at a time), to which the documents are joined.  At every
+slot of a phase each source is less than one block away from its share.
 
 A source that runs out ends the phase; the next phase goes on with the others at
 their relative weights, so every document is placed and none is repeated.
@@ -24,7 +25,9 @@ sources are ignored; a source without a positive weight raises an error.
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 from fractions import Fraction
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +38,10 @@ from pyspark.sql import functions as F
 from .common import small_batches, stored, table
 
 BLOCK = 64
-QUANTUM = 1000
+QUANTUM = 1 << 31          # block number times quantum fits 63 bits
+PIECE = 4096               # blocks of a source per row of the plan
+HELD = 1 << 20             # slots on the driver at a time; more are written out
+BROADCAST_SLOTS = 4 << 20  # a plan of more is joined by shuffle
 TEMPERATURE = 0.5
 ADDED = ["mix_source", "mix_block", "mix_release", "mix_deadline", "mix_slot", "mix_position"]
 
@@ -45,59 +51,100 @@ def integer_weights(weights: dict[str, float], quantum: int = QUANTUM) -> dict[s
     that is more), at least one each."""
     if any(not w > 0 for w in weights.values()):
         raise ValueError("every source needs a positive target weight")
-    total, units = sum(weights.values()), max(quantum, 4 * len(weights))
-    exact = {s: w / total * (units - len(weights)) for s, w in weights.items()}
-    share = {s: 1 + int(x) for s, x in exact.items()}
+    total, units = sum(map(Fraction, weights.values())), max(quantum, 4 * len(weights))
+    exact = {s: Fraction(w) / total * units for s, w in weights.items()}
+    share = {s: max(1, int(x)) for s, x in exact.items()}
     order = sorted(weights, key=lambda s: (int(exact[s]) - exact[s], s))
-    for s in order[:units - sum(share.values())]:
+    for s in order[:max(0, units - sum(share.values()))]:
         share[s] += 1
+    for _ in range(sum(share.values()) - units):                # what the least shares were given
+        share[max(share, key=lambda s: (share[s] - exact[s], share[s], s) if share[s] > 1 else (-units, 0, s))] -= 1
     return share
 
 
-def period(share: dict[str, int]) -> dict[str, list[int]]:
-    """Slots of each source's blocks in one period: earliest deadline first
-    among the released."""
-    q = sum(share.values())
+def _placed(share: dict[str, int]) -> Iterator[str]:
+    """The source of each slot, without end: earliest deadline first among the
+    released."""
+    q, slot = sum(share.values()), 0
     waiting = [(0, s, 0) for s in sorted(share)]               # release, source, block
     heapq.heapify(waiting)
     ready: list[tuple[int, str, int]] = []                      # deadline, source, block
-    slots: dict[str, list[int]] = {s: [] for s in share}
-    for slot in range(q):
+    while share:
         while waiting and waiting[0][0] <= slot:
             _, s, i = heapq.heappop(waiting)
             heapq.heappush(ready, (-(-(i + 1) * q // share[s]), s, i))
         _, s, i = heapq.heappop(ready)
+        yield s
+        heapq.heappush(waiting, ((i + 1) * q // share[s], s, i + 1))
+        slot += 1
+
+
+def period(share: dict[str, int]) -> dict[str, list[int]]:
+    """Slots of each source's blocks in one period."""
+    slots: dict[str, list[int]] = {s: [] for s in share}
+    for slot, s in enumerate(islice(_placed(share), sum(share.values()))):
         slots[s].append(slot)
-        if i + 1 < share[s]:
-            heapq.heappush(waiting, ((i + 1) * q // share[s], s, i + 1))
     return slots
 
 
-def phases(docs: dict[str, int], share: dict[str, int], block: int) -> list[tuple]:
-    """Rows (source, from, to, slot0, position0, q, a, slots): blocks from..to-1
-    of the source lie in a phase that starts at slot0 and position0."""
+def pieces(docs: dict[str, int], share: dict[str, int], block: int) -> Iterator[tuple]:
+    """Rows (source, piece, from, to, first, slot0, position0, q, a, slots): blocks
+    from..to-1 of the source, all with the same number by ``PIECE``, lie in a
+    phase that starts at slot0 and position0 and with block ``first``; their slots
+    count from slot0."""
     left = {s: -(-n // block) for s, n in docs.items() if n}
     done = dict.fromkeys(left, 0)
-    slot0, position0, out = 0, 0, []
+    slot0, position0 = 0, 0
     while left:
         own = {s: share[s] for s in left}
-        q, slots = sum(own.values()), period(own)
-        last = {s: (n - 1) // own[s] * q + slots[s][(n - 1) % own[s]] for s, n in left.items()}
-        ends = min(last.values()) + 1
-        placed = {}
-        for s in left:
-            whole, part = divmod(ends, q)
-            placed[s] = whole * own[s] + int(np.searchsorted(slots[s], part))
-            out.append((s, done[s], done[s] + placed[s], slot0, position0, q, own[s], slots[s]))
-        slot0 += ends
-        position0 += ends * block
-        for s in list(left):
-            done[s] += placed[s]
-            left[s] -= placed[s]
+        first, held, q = {s: done[s] for s in left}, {s: [] for s in left}, sum(own.values())
+
+        def row(s):
+            return (s, (done[s] - 1) // PIECE, done[s] - len(held[s]), done[s], first[s], slot0, position0, q, own[s], held[s])
+
+        for slot, s in enumerate(_placed(own)):
+            held[s].append(slot)
+            done[s] += 1
+            left[s] -= 1
+            if not done[s] % PIECE:
+                yield row(s)
+                held[s] = []
             if not left[s]:
-                position0 -= -docs[s] % block                   # its last block may be short
-                del left[s]
-    return out
+                break
+        yield from [row(s) for s in own if held[s]]
+        slot0 += slot + 1
+        position0 += (slot + 1) * block - (-docs[s] % block)     # its last block may be short
+        del left[s]
+
+
+def phases(docs: dict[str, int], share: dict[str, int], block: int) -> list[tuple]:
+    """Rows (source, from, to, slot0, position0, q, a, slots): the pieces of each
+    phase and source in one."""
+    out: dict[tuple, tuple] = {}
+    for s, _, a, b, first, slot0, position0, q, n, slots in pieces(docs, share, block):
+        have = out.get((s, slot0), (None,) * 7 + ([],))[-1]
+        out[s, slot0] = (s, first, b, slot0, position0, q, n, have + slots)
+    return list(out.values())
+
+
+_PLAN = pa.schema([("mix_source", pa.string()), *[(c, pa.int64()) for c in (
+    "mix_piece", "mix_from", "mix_to", "mix_first", "slot0", "position0", "q", "a")], ("slots", pa.list_(pa.int32()))])
+
+
+def _plan(spark, docs: dict[str, int], share: dict[str, int], block: int) -> DataFrame:
+    """The pieces as a table, written out whenever ``HELD`` slots are there."""
+    def frame(rows):
+        columns = zip(*rows, strict=True) if rows else [()] * len(_PLAN)
+        return spark.createDataFrame(pa.table([pa.array(c, f.type) for c, f in zip(columns, _PLAN, strict=True)], schema=_PLAN))
+
+    out, rows, size = None, [], 0
+    for r in pieces(docs, share, block):
+        rows.append(r)
+        size += len(r[-1])
+        if size >= HELD:
+            part = stored(frame(rows), "mixing-plan")
+            out, rows, size = part if out is None else out.unionByName(part), [], 0
+    return out.unionByName(frame(rows)) if out is not None else frame(rows)
 
 
 def tempered(docs: DataFrame, temperature: float = TEMPERATURE) -> dict[str, float]:
@@ -152,20 +199,19 @@ def schedule(docs: DataFrame, weights: dict[str, float] | None = None, block: in
     counts = {r["source"]: r["n"] for r in docs.groupBy(F.coalesce("source", F.lit("")).alias("source"))
               .agg(F.count("*").alias("n")).collect()}                          # a row per source
     share = integer_weights({s: weights.get(s, 0) for s in counts}, quantum) if counts else {}
-    plan = spark.createDataFrame(
-        phases(counts, share, block),
-        "mix_source string, mix_from long, mix_to long, slot0 long, position0 long, q long, a long, slots array<int>")
-    i = F.col("mix_block") - F.col("mix_from")
-    slot = F.expr("div(mix_block - mix_from, a)") * F.col("q") + F.element_at("slots", (i % F.col("a") + 1).cast("int"))
+    plan = _plan(spark, counts, share, block)
+    few = sum(-(-n // block) for n in counts.values()) <= BROADCAST_SLOTS
+    slot = F.element_at("slots", (F.col("mix_block") - F.col("mix_from") + 1).cast("int")).cast("long")
     placed = (numbered.withColumn("mix_block", F.expr(f"div(mix_index, {block})"))
-              .join(F.broadcast(plan) if len(share) <= 1000 else plan, [      # at most 4 M slots
-                           numbered["mix_source"] == plan["mix_source"], F.col("mix_block") >= F.col("mix_from"),
-                           F.col("mix_block") < F.col("mix_to")])
+              .withColumn("piece", F.expr(f"div(mix_block, {PIECE})"))
+              .join(F.broadcast(plan) if few else plan, [
+                  numbered["mix_source"] == plan["mix_source"], F.col("piece") == F.col("mix_piece"),
+                  F.col("mix_block") >= F.col("mix_from"), F.col("mix_block") < F.col("mix_to")])
               .drop(plan["mix_source"]))
     return placed.select(
         "row.*", numbered["mix_source"], "mix_block",
-        (F.col("slot0") + F.expr("div((mix_block - mix_from) * q, a)")).alias("mix_release"),
-        (F.col("slot0") + F.expr("div((mix_block - mix_from + 1) * q + a - 1, a)")).alias("mix_deadline"),
+        (F.col("slot0") + F.expr("div((mix_block - mix_first) * q, a)")).alias("mix_release"),
+        (F.col("slot0") + F.expr("div((mix_block - mix_first + 1) * q + a - 1, a)")).alias("mix_deadline"),
         (F.col("slot0") + slot).alias("mix_slot"),
         (F.col("position0") + slot * block + F.col("mix_index") % block).alias("mix_position"))
 

@@ -154,3 +154,29 @@ def test_schedule_places_every_document_once(spark, edge_docs, empty_docs):
     assert source_mixing.mixed(edge_docs.drop("mix_slot")).count() == edge_docs.count()
     with pytest.raises(ValueError):
         source_mixing.schedule(docs, {"a": 1, "b": 0, "c": 1})
+
+
+@pytest.mark.parametrize("weights", [{"a": 0.25, **{f"s{k}": 0.75 / 19 for k in range(19)}},
+                                     {"a": 0.9, **{f"s{k}": 0.1 / 249 for k in range(249)}}, {"a": 1 - 1e-5, "b": 1e-5}])
+def test_schedule_follows_the_given_weights(weights):
+    """Less than one block from the weights as given, over a long first phase."""
+    blocks = {s: int(w * 200_000) + 1 for s, w in weights.items()}
+    plan = source_mixing.phases(blocks, source_mixing.integer_weights(weights), 1)
+    first = [r for r in plan if r[3] == 0]
+    ends = 1 + max(r[-1][-1] for r in first)
+    assert ends > 100_000
+    for s, _, _, _, _, _, _, slots in first:
+        i, t = np.arange(len(slots)), np.array(slots)
+        w = weights[s] / sum(weights.values())
+        assert np.abs(i - w * t).max() < 1.001 and np.abs(i + 1 - w * (t + 1)).max() < 1.001
+
+
+def test_schedule_in_pieces(spark, monkeypatch):
+    """A plan written out in parts and joined by shuffle gives the same rows."""
+    rows = [(k, f"t{k}", "aaab"[k % 4]) for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = sorted(source_mixing.schedule(docs, {"a": 2, "b": 1}, block=2).collect())
+    monkeypatch.setattr(source_mixing, "PIECE", 8)
+    monkeypatch.setattr(source_mixing, "HELD", 60)
+    monkeypatch.setattr(source_mixing, "BROADCAST_SLOTS", 0)
+    assert sorted(source_mixing.schedule(docs, {"a": 2, "b": 1}, block=2).collect()) == want
