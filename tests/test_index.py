@@ -104,3 +104,19 @@ def test_index_brute_force_and_invariants(spark, sf_small):
         assert [(x[1], x[2]) for x in lst] == want
     trend = [(r["query"], r["score"]) for r in lk.trending(cands).collect()]
     assert trend == [(x[1], x[2]) for x in sorted(got[""])]
+
+
+def test_csv_round_trip_sends_whole_texts(spark, sf_small, monkeypatch):
+    from prefixery.plans import contract
+    sent = {}
+    write = contract.catalog_io.write_folded_csv
+
+    def noted(rows, path):
+        sent.update({r["cnt"]: r["q"] for r in rows.collect()})
+        return write(rows, path)
+
+    monkeypatch.setattr(contract.catalog_io, "write_folded_csv", noted)
+    n = contract.csv_round_trip(spark, sf_small).count()
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_small}/documents.parquet").collect()}
+    assert n == len(texts) == len(sent)
+    assert max(map(len, texts.values())) > 200 and all(texts[k] in q for k, q in sent.items())
