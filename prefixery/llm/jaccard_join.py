@@ -31,7 +31,9 @@ doc_id reachable by links.
 
 Every pair that links is connected by verified links, so the components are
 exact; no bucket, partner or candidate is capped, and only spanning links leave
-a task.
+a task.  With ``all_links`` every candidate pair of classes is verified in the same
+places, without regard to components, and the number of links of each class, in
+rows, is summed up (``op5_jaccard_links``).
 
 Defined results: null or blank texts have the empty set (n_shingles 0) and are
 their own component.  Rows that share a doc_id are one node: it links through
@@ -213,18 +215,20 @@ def shared(docs: DataFrame, bits: int) -> DataFrame:
 # ------------------------------------------------------------- bound and verify
 
 def whole_sets(docs: DataFrame) -> DataFrame:
-    """(sig, root, blocks, hashes) of texts whose set has the name in ``sig``:
-    the whole set, sorted."""
+    """(sig, root, blocks, members, hashes) of texts whose set has the name in
+    ``sig``: the whole set, sorted."""
     def run(batches):
         for s in slices(batches):
             sets = _sets(s)
             named = np.array([_signature(x) for x in sets], np.uint64)
             own = pa.array(signed(named) == np.asarray(s.column("sig")))       # not another text of the same id
             yield pa.RecordBatch.from_arrays(
-                [s.column("sig"), s.column("root"), s.column("blocks"), pa.array([x.tobytes() for x in sets], pa.binary())],
-                ["sig", "root", "blocks", "hashes"]).filter(own)
+                [*[s.column(c) for c in named_by], pa.array([x.tobytes() for x in sets], pa.binary())],
+                [*named_by, "hashes"]).filter(own)
 
-    return docs.select("text", "sig", "root", "blocks").mapInArrow(run, "sig long, root long, blocks long, hashes binary")
+    named_by = ["sig", "root", "blocks", "members"]
+    return docs.select("text", *named_by).mapInArrow(
+        run, "sig long, root long, blocks long, members long, hashes binary")
 
 
 def _overlap(na, nb):
@@ -341,30 +345,77 @@ def _spanning(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> li
     return out
 
 
-def _within(groups: DataFrame, partitions: int) -> DataFrame:
-    """(a, b): spanning links of each group.  ``groups``: root, sig, hashes, and
-    the group's number of blocks."""
+def _link_counts(sets: list[np.ndarray], members: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Per set the members of the sets that link with it, over all pairs of a
+    left and a right set (of two different ones, where both are the same)."""
+    n = np.array([len(x) for x in sets])
+    vec = np.stack([_point(x) for x in sets])
+    tree, out = RTree(n[left], vec[left]), np.zeros(len(sets), np.int64)
+    same = left[0] == right[0]
+    for k in range(0, len(right), CHUNK):
+        chunk = right[k:k + CHUNK]
+        q, p, _ = tree.search(n[chunk], vec[chunk], np.ones(len(chunk), np.int64), np.zeros(len(left), np.int64))
+        p = left[p]
+        for r, a in enumerate(chunk):
+            points = p[q == r]
+            points = points[points > a] if same else points
+            if len(points):
+                hit = points[_linked(sets[a], [sets[b] for b in points])]
+                out[a] += members[hit].sum()
+                out[hit] += members[a]
+    return out
+
+
+def _dealt(groups: DataFrame, partitions: int) -> DataFrame:
+    """The sets, at every pair of blocks of their group; one ``part`` is one call."""
     block = F.pmod(F.xxhash64("sig"), F.col("blocks"))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    dealt = (groups.withColumn("block", block).withColumn("other", other)
-             .withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-             .withColumn("part", F.pmod(F.xxhash64("root", "i", "j"), F.lit(partitions)))
-             .select("part", "root", "i", "j", "block", "sig", "hashes"))
+    part = F.pmod(F.xxhash64("root", "i", "j"), F.lit(partitions))
+    return (groups.withColumn("block", block).withColumn("other", other)
+            .withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+            .withColumn("part", part).select("part", "root", "i", "j", "block", "sig", "members", "hashes"))
 
+
+def _meetings(groups: DataFrame, partitions: int, found, schema: str) -> DataFrame:
+    """``found`` (sigs, sets, members, left, right) for every pair of blocks of a
+    group.  ``groups``: root, sig, hashes, members, and the group's number of
+    blocks."""
     def meet(t: pa.Table) -> pa.Table:
-        root, i, j, block, sig = (np.asarray(t.column(c).combine_chunks()) for c in ("root", "i", "j", "block", "sig"))
+        root, i, j, block, sig, members = (np.asarray(t.column(c).combine_chunks())
+                                           for c in ("root", "i", "j", "block", "sig", "members"))
         order = np.lexsort((sig, j, i, root))
-        cut = np.flatnonzero((np.diff(root[order]) != 0) | (np.diff(i[order]) != 0) | (np.diff(j[order]) != 0)) + 1
-        hashes, found = t.column("hashes"), []
-        for at in np.split(order, cut):
+        same = (np.diff(root[order]) == 0) & (np.diff(i[order]) == 0) & (np.diff(j[order]) == 0)
+        hashes, out = t.column("hashes"), []
+        for at in np.split(order, np.flatnonzero(~same) + 1):
+            at = at[np.concatenate([[True], np.diff(sig[at]) != 0])]         # rows of one id may repeat a set
             if len(at) > 1:
                 sets = [np.frombuffer(hashes[int(k)].as_buffer(), np.uint64) for k in at]
                 own = block[at]
-                pairs = _spanning(sets, np.flatnonzero(own == i[at[0]]), np.flatnonzero(own == j[at[0]]))
-                found += [(sig[at[a]], sig[at[b]]) for a, b in pairs]
-        return pa.table({"a": pa.array([x[0] for x in found], pa.int64()), "b": pa.array([x[1] for x in found], pa.int64())})
+                left, right = np.flatnonzero(own == i[at[0]]), np.flatnonzero(own == j[at[0]])
+                if len(left) and len(right):
+                    out += found(sig[at], sets, members[at], left, right)
+        names = [c.split()[0] for c in schema.split(", ")]
+        return pa.table({c: pa.array([x[k] for x in out], pa.int64()) for k, c in enumerate(names)})
+
+    return _dealt(groups, partitions).groupBy("part").applyInArrow(meet, schema)
+
+
+def _within(groups: DataFrame, partitions: int) -> DataFrame:
+    """(a, b): spanning links of each group."""
+    def found(sig, sets, members, left, right):
+        return [(sig[a], sig[b]) for a, b in _spanning(sets, left, right)]
 
-    return dealt.groupBy("part").applyInArrow(meet, "a long, b long")
+    return _meetings(groups, partitions, found, "a long, b long")
+
+
+def _counted(groups: DataFrame, partitions: int) -> DataFrame:
+    """(sig, n_links): rows of other classes that each class links with."""
+    def found(sig, sets, members, left, right):
+        n = _link_counts(sets, members, left, right)
+        return [(sig[k], n[k]) for k in np.flatnonzero(n)]
+
+    return (_meetings(groups, partitions, found, "sig long, n_links long")
+            .groupBy("sig").agg(F.sum("n_links").alias("n_links")))
 
 
 # -------------------------------------------------------------------- the join
@@ -375,9 +426,10 @@ def _restricted(docs: DataFrame, chosen: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(chosen) if chosen.count() <= BROADCAST_IDS else chosen.hint("shuffle_hash"), "doc_id")
 
 
-def link(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n, sig) per row, and verified links (a, b) between classes that
-    connect every component."""
+def link(docs: DataFrame, all_links: bool = False) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """(doc_id, n, sig) per row, verified links (a, b) between classes that
+    connect every component, and with ``all_links`` (sig, n_links) of classes that
+    link with others."""
     spark = docs.sparkSession
     docs = small_batches(docs).select("doc_id", "text").where("doc_id IS NOT NULL")
     own = stored(signatures(docs), "jaccard-signatures")
@@ -386,9 +438,10 @@ def link(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     bits = min(24, max(1, (2 * partitions - 1).bit_length(), (entries // BUCKET_ROWS).bit_length()))
 
     common = shared(docs, bits)
-    classes = own.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
+    classes = own.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"),
+                                                     F.count("*").alias("members"))
     some = stored(common.groupBy("sig").agg(F.count("*").alias("common")).join(classes, "sig")
-                  .where(F.col("common") >= _needed(F.col("n"))).select("sig", "doc_id", "n"), "jaccard-some")
+                  .where(F.col("common") >= _needed(F.col("n"))).select("sig", "doc_id", "n", "members"), "jaccard-some")
     common = stored(common.join(some.select("sig"), "sig", "left_semi"), "jaccard-common")
     many = stored(common.groupBy("key").agg(F.count("*").alias("many")).where("many > 1"), "jaccard-frequencies")
     rare = (common.join(many, "key").groupBy("sig").agg(F.sort_array(F.collect_list(F.struct("many", "key"))).alias("keys"))
@@ -403,33 +456,37 @@ def link(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     roots = stored(components(near), "jaccard-groups").withColumnRenamed("node", "sig")
     some = stored(some.join(roots, "sig"), "jaccard-grouped")          # what is in no group links with nothing
     blocks = some.groupBy("root").agg(F.ceil(F.sum("n") / BLOCK).alias("blocks"))
-    chosen = stored(some.join(blocks, "root").select("doc_id", "sig", "root", "blocks"), "jaccard-chosen")
+    chosen = stored(some.join(blocks, "root").select("doc_id", "sig", "root", "blocks", "members"), "jaccard-chosen")
     parts = max(2 * partitions, 1 + some.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] // BLOCK)
-    links = _within(whole_sets(_restricted(docs, chosen)), parts)
-    return own, stored(links.where("a <> b").distinct(), "jaccard-links")
+    groups = whole_sets(_restricted(docs, chosen))
+    links = stored(_within(groups, parts).where("a <> b").distinct(), "jaccard-links")
+    return own, links, stored(_counted(groups, parts), "jaccard-link-counts") if all_links else None
 
 
-def join(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, n_links (links of
-    its class among those verified)."""
-    own, links = link(docs)
+def join(docs: DataFrame, all_links: bool = False) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id; with ``all_links``
+    n_links, the number of other rows (with an id) that link with the row."""
+    own, links, counts = link(docs, all_links)
     roots = components(links).withColumnRenamed("node", "sig")
-    degree = (links.select(F.col("a").alias("sig")).union(links.select(F.col("b").alias("sig")))
-              .groupBy("sig").agg(F.count("*").alias("n_links")))
-    classes = (own.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("least")).join(roots, "sig", "left")
+    classes = (own.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("least"), F.count("*").alias("members")).join(roots, "sig", "left")
                .withColumn("root", F.coalesce("root", "sig")))
     classes = stored(classes, "jaccard-classes")
     named = stored(classes.groupBy("root").agg(F.min("least").alias("component_id")), "jaccard-named")
-    classes = classes.join(named, "root").join(degree, "sig", "left").select("sig", "component_id", "n_links")
+    classes = classes.join(named, "root")
+    linked = F.lit(None).cast("long")
+    if all_links:
+        classes = classes.join(counts, "sig", "left")
+        linked = F.coalesce("n_links", F.lit(0)) + F.col("members") - 1          # equal sets link, too
+    classes = classes.select("sig", "component_id", linked.alias("n_links"))
     out = (own.join(stored(classes, "jaccard-named-classes"), "sig", "left")
            .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"),
                    F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")))
-    out = _one_node_per_id(stored(out, "jaccard-out"))
+    out = _one_node_per_id(stored(out if all_links else out.drop("n_links"), "jaccard-out"))
     none = docs.where("doc_id IS NULL").select("doc_id", "text")
     if none.limit(1).count():
         out = out.unionByName(signatures(none).select(
             "doc_id", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"),
-            F.lit(0).cast("long").alias("n_links")))
+            F.lit(0).cast("long").alias("n_links")).select(*out.columns))
     return out
 
 
@@ -444,7 +501,7 @@ def _one_node_per_id(out: DataFrame) -> DataFrame:
                     .select("doc_id", "b")))
     whole = stored(components(edges), "jaccard-merged").withColumnRenamed("node", "component_id")
     return (out.join(whole, "component_id", "left")
-            .select("doc_id", "n_shingles", F.coalesce("root", "component_id").alias("component_id"), "n_links"))
+            .withColumn("component_id", F.coalesce("root", "component_id")).select(*out.columns))
 
 
 def representatives(docs: DataFrame) -> DataFrame:
@@ -466,7 +523,12 @@ def representatives(docs: DataFrame) -> DataFrame:
 
 
 def op5_jaccard_join(spark, sf_dir: str) -> DataFrame:
-    return join(table(spark, sf_dir, "documents")).drop("n_links")
+    return join(table(spark, sf_dir, "documents"))
+
+
+def op5_jaccard_links(spark, sf_dir: str) -> DataFrame:
+    """As ``op5_jaccard_join``, with each document's number of links."""
+    return join(table(spark, sf_dir, "documents"), all_links=True)
 
 
 OP5_SQL = """

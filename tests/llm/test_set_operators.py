@@ -180,3 +180,22 @@ def test_schedule_in_pieces(spark, monkeypatch):
     monkeypatch.setattr(source_mixing, "HELD", 60)
     monkeypatch.setattr(source_mixing, "BROADCAST_SLOTS", 0)
     assert sorted(source_mixing.schedule(docs, {"a": 2, "b": 1}, block=2).collect()) == want
+
+
+def test_link_counts_equal_brute_force(spark, edge_docs, monkeypatch):
+    """Every link counts, in groups of one block and of many; equal sets link."""
+    r = random.Random(5)
+    base = [f"w{k}" for k in range(150)]
+    near = []
+    for k in range(60):
+        own = list(base)
+        for _ in range(k % 7):
+            own[r.randrange(150)] = f"x{r.randrange(1000)}"
+        near.append((2000 + k, " ".join(own)))
+    rows = [(x["doc_id"], x["text"]) for x in edge_docs.collect()] + chains(4, 20, 60) + near
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    sets = [(i, shingles(t)) for i, t in rows if i is not None]
+    want = Counter((i, sum(bool(a) and bool(b) and 100 * len(a & b) >= 75 * len(a | b) for _, b in sets) - bool(a)) for i, a in sets)
+    want.update((i, 0) for i, _ in rows if i is None)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 2000)
+    assert Counter((x["doc_id"], x["n_links"]) for x in jaccard_join.join(docs, all_links=True).collect()) == want
