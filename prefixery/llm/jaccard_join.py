@@ -55,6 +55,7 @@ from .components import components
 SHINGLE = 5
 GROUPS = 512
 BLOCK = 1 << 20            # shingles per block of a group (8 MB)
+PAIRS = 8                  # pairs of blocks per task, one in memory at a time
 LEAF = 16
 CHUNK = 32                 # sets that query the tree together
 FLUSH = 1 << 20            # entries per packed block
@@ -367,10 +368,11 @@ def _link_counts(sets: list[np.ndarray], members: np.ndarray, left: np.ndarray,
 
 
 def _dealt(groups: DataFrame, partitions: int) -> DataFrame:
-    """The sets, at every pair of blocks of their group; one ``part`` is one call."""
+    """The sets, at every pair of blocks of their group; one ``part`` is one call.
+    A pair of blocks of a larger group is a part of its own (16 MB)."""
     block = F.pmod(F.xxhash64("sig"), F.col("blocks"))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    part = F.pmod(F.xxhash64("root", "i", "j"), F.lit(partitions))
+    part = F.when(F.col("blocks") > 1, F.xxhash64("root", "i", "j")).otherwise(F.pmod(F.xxhash64("root"), F.lit(PAIRS * partitions)))
     return (groups.withColumn("block", block).withColumn("other", other)
             .withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
             .withColumn("part", part).select("part", "root", "i", "j", "block", "sig", "members", "hashes"))
@@ -397,7 +399,7 @@ def _meetings(groups: DataFrame, partitions: int, found, schema: str) -> DataFra
         names = [c.split()[0] for c in schema.split(", ")]
         return pa.table({c: pa.array([x[k] for x in out], pa.int64()) for k, c in enumerate(names)})
 
-    return _dealt(groups, partitions).groupBy("part").applyInArrow(meet, schema)
+    return _dealt(groups, partitions).repartition(partitions, "part").groupBy("part").applyInArrow(meet, schema)
 
 
 def _within(groups: DataFrame, partitions: int) -> DataFrame:
@@ -457,7 +459,10 @@ def link(docs: DataFrame, all_links: bool = False) -> tuple[DataFrame, DataFrame
     some = stored(some.join(roots, "sig"), "jaccard-grouped")          # what is in no group links with nothing
     blocks = some.groupBy("root").agg(F.ceil(F.sum("n") / BLOCK).alias("blocks"))
     chosen = stored(some.join(blocks, "root").select("doc_id", "sig", "root", "blocks", "members"), "jaccard-chosen")
-    parts = max(2 * partitions, 1 + some.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] // BLOCK)
+    pairs = blocks.agg(F.coalesce(F.sum(F.expr("blocks * (blocks + 1) div 2")), F.lit(0))).first()[0]   # at most 16 MB each
+    shingles = some.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    replicated = shingles // BLOCK + pairs - blocks.count()
+    parts = max(partitions, 1 + int(replicated) // PAIRS)
     groups = whole_sets(_restricted(docs, chosen))
     links = stored(_within(groups, parts).where("a <> b").distinct(), "jaccard-links")
     return own, links, stored(_counted(groups, parts), "jaccard-link-counts") if all_links else None

@@ -199,3 +199,12 @@ def test_link_counts_equal_brute_force(spark, edge_docs, monkeypatch):
     want.update((i, 0) for i, _ in rows if i is None)
     monkeypatch.setattr(jaccard_join, "BLOCK", 2000)
     assert Counter((x["doc_id"], x["n_links"]) for x in jaccard_join.join(docs, all_links=True).collect()) == want
+
+
+def test_pairs_of_blocks_are_dealt_one_by_one(spark):
+    """A group of many blocks: each pair of them is a part of its own."""
+    rows = [(1, k, 12, 1, b"") for k in range(300)] + [(k, 1000 + k, 1, 1, b"") for k in range(2, 30)]
+    groups = spark.createDataFrame(rows, "root long, sig long, blocks long, members long, hashes binary")
+    met = jaccard_join._dealt(groups, 4).where("root = 1").select("part", "i", "j").distinct().collect()
+    assert {(x["i"], x["j"]) for x in met} == {(i, j) for j in range(12) for i in range(j + 1)}
+    assert len({x["part"] for x in met}) == len(met) == 78
