@@ -12,8 +12,10 @@ from .secret_scan import op6_secret_scan
 from .source_mixing import op3_source_mixing
 from .token_attribution import op9_token_attribution
 from .token_blocks import op4_token_blocks
+from .whitening import op13_whitening
 
 QUERIES = {f.__name__: f for f in (
     op1_quality_classifier, op2_quality_rules, op3_source_mixing, op4_token_blocks, op5_jaccard_join, op5_jaccard_links,
-    op6_secret_scan, op7_decontaminate, op8_byte_ctw, op9_token_attribution, op10_license_scan)}
+    op6_secret_scan, op7_decontaminate, op8_byte_ctw, op9_token_attribution, op10_license_scan,
+    op13_whitening)}
 ORACLES = {"op5_jaccard_join": OP5_SQL}
