@@ -47,3 +47,18 @@ def components(edges: DataFrame) -> DataFrame:
         state = seen
     roots = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+
+
+def one_node_per_id(out: DataFrame) -> DataFrame:
+    """(doc_id, component_id, ...) in which a doc_id whose rows lie in different
+    components connects these."""
+    meets = stored(out.groupBy("doc_id").agg(F.min("component_id").alias("c0"), F.max("component_id").alias("c1"))
+                   .where("c0 < c1").select("doc_id"), "components-meets")
+    if not meets.limit(1).count():
+        return out
+    edges = (out.join(meets, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
+             .union(out.join(meets, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("component_id").alias("b"))
+                    .select("doc_id", "b")))
+    whole = stored(components(edges), "components-merged").withColumnRenamed("node", "component_id")
+    return (out.join(whole, "component_id", "left")
+            .withColumn("component_id", F.coalesce("root", "component_id")).select(*out.columns))

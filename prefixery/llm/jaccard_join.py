@@ -50,7 +50,7 @@ from pyspark.sql import functions as F
 
 from .arrowtext import mix, signed, slices, window_hashes, windows
 from .common import small_batches, stored, table
-from .components import components
+from .components import components, one_node_per_id
 
 SHINGLE = 5
 GROUPS = 512
@@ -486,7 +486,7 @@ def join(docs: DataFrame, all_links: bool = False) -> DataFrame:
     out = (own.join(stored(classes, "jaccard-named-classes"), "sig", "left")
            .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"),
                    F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")))
-    out = _one_node_per_id(stored(out if all_links else out.drop("n_links"), "jaccard-out"))
+    out = one_node_per_id(stored(out if all_links else out.drop("n_links"), "jaccard-out"))
     none = docs.where("doc_id IS NULL").select("doc_id", "text")
     if none.limit(1).count():
         out = out.unionByName(signatures(none).select(
@@ -495,20 +495,6 @@ def join(docs: DataFrame, all_links: bool = False) -> DataFrame:
     return out
 
 
-def _one_node_per_id(out: DataFrame) -> DataFrame:
-    """A doc_id whose texts lie in different components connects these."""
-    meets = stored(out.groupBy("doc_id").agg(F.min("component_id").alias("c0"), F.max("component_id").alias("c1"))
-                   .where("c0 < c1").select("doc_id"), "jaccard-meets")
-    if not meets.limit(1).count():
-        return out
-    edges = (out.join(meets, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
-             .union(out.join(meets, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("component_id").alias("b"))
-                    .select("doc_id", "b")))
-    whole = stored(components(edges), "jaccard-merged").withColumnRenamed("node", "component_id")
-    return (out.join(whole, "component_id", "left")
-            .withColumn("component_id", F.coalesce("root", "component_id")).select(*out.columns))
-
-
 def representatives(docs: DataFrame) -> DataFrame:
     """One document of each component, the one with the least id, with its own
     columns; of several rows with words and this id, one with the least text
