@@ -22,10 +22,13 @@ from ..operators import metrics as mt
 from ..operators import prefix_index as px
 from ..operators import recency as rc
 from ..operators import ring as rg
+from ..operators import rollup as ru
+from ..operators import sketches as sk
 from ..operators import weights as wt
 from ..session import scratch_path
+from . import incremental as inc
 from . import publish as pub
-from ..sources import catalog_io, events_io, tables
+from ..sources import catalog_io, events_io, range_store, tables
 from ..streaming import debounce as dbn
 from ..streaming import ingest as ing
 from ..streaming import trending as trd
@@ -72,14 +75,27 @@ def _rounded(index):
     return index.withColumn("score", F.round("score", D))
 
 
+def _published(spark, sf, name, catalog):
+    """Root of an index with one published generation, made once per session, as the
+    rebuild job leaves it to its readers."""
+    return tables.once(spark, sf, name, lambda root: pub.publish(spark, root, catalog(spark, sf), to_epoch_ms(AS_OF)))
+
+
+def _blended_root(spark, sf):
+    return _published(spark, sf, "blended-root", _blended_catalog)
+
+
 def _blended_lists(spark, sf):
     """The published lists of the blended catalog, one row per prefix."""
-    def lists():
-        root = scratch_path(spark, "index-root")
-        gen = pub.publish(spark, root, _blended_catalog(spark, sf), to_epoch_ms(AS_OF))
-        return pub.read_lists(spark, root, gen).withColumn("suggestions", F.transform(
-            "suggestions", lambda x: F.struct(x["query"].alias("query"), F.round(x["score"], D).alias("score"))))
-    return tables.written_once(spark, sf, "blended-lists", lists)
+    return pub.read_lists(spark, _blended_root(spark, sf), GENERATION).withColumn("suggestions", F.transform(
+        "suggestions", lambda x: F.struct(x["query"].alias("query"), F.round(x["score"], D).alias("score"))))
+
+
+def prepare(spark: SparkSession, sf: str) -> None:
+    """Make the derived inputs that queries read (raw log, published generations)."""
+    tables.term_log(spark, sf)
+    _blended_root(spark, sf)
+    _published(spark, sf, "base-root", _base_catalog)
 
 
 def _ring(spark, nodes=CACHE_NODES):
@@ -122,8 +138,7 @@ def index_decayed(spark: SparkSession, sf: str) -> DataFrame:
 
 def query_log_scan(spark: SparkSession, sf: str) -> DataFrame:
     """Multi-file scan of the stored raw log: rows and distinct terms."""
-    tables.term_log(spark, sf)
-    log = pub.read_query_log(spark, tables.stored_path(spark, sf, "term-log") + "/*.parquet")
+    log = pub.read_query_log(spark, tables.term_log_path(spark, sf) + "/*.parquet")
     per_term = log.groupBy("final_search_term").agg(F.count(F.lit(1)).alias("n"), F.max("popularity").alias("p"))
     return per_term.agg(F.sum("n").alias("log_rows"), F.count(F.lit(1)).alias("terms"),
                         F.max("p").alias("top_popularity"))
@@ -188,8 +203,51 @@ def index_stats(spark: SparkSession, sf: str) -> DataFrame:
     return px.index_stats(cands, px.build_index(cands))
 
 
+def index_rollup(spark: SparkSession, sf: str) -> DataFrame:
+    """The index merged bottom-up: K rows per longer prefix instead of every query."""
+    return _rounded(ru.rollup_index(px.candidates(_base_catalog(spark, sf), IndexParams())))
+
+
+def _taken_down(query="query"):
+    """Queries that are to disappear from the index (by hash)."""
+    return F.pmod(hash60(query), F.lit(97)) == 0
+
+
+def index_incremental(spark: SparkSession, sf: str) -> DataFrame:
+    """An index of which a later state of the catalog changes some candidates: events
+    raise and lower scores, some queries are taken down, others move up into the cut.
+    Only touched lists are ranked again."""
+    events, params = tables.search_events(spark, sf), IndexParams(max_queries=CUT_N)
+    middle = to_epoch_ms(AS_OF) - 15 * 86_400_000
+    before = rc.upsert(_base_catalog(spark, sf), rc.decayed_state(events.where(F.col("ts_ms") < middle)))
+    root = scratch_path(spark, "index-ranges")
+    inc.create_index(spark, root, px.candidates(before, params), params)
+    after = rc.upsert(before, rc.decayed_state(events.where(F.col("ts_ms") >= middle))).where(~_taken_down())
+    inc.update_index(spark, root, inc.candidate_changes(spark, root, px.candidates(after, params)), params)
+    flat = inc.read_lists(spark, root).select("prefix", F.posexplode("suggestions").alias("_k", "s"))
+    return flat.select("prefix", (F.col("_k") + 1).alias("rank"), "s.query", F.round("s.score", D).alias("score"))
+
+
 def lookup_prefix(spark: SparkSession, sf: str) -> DataFrame:
-    return lk.lookup(prefix_index(spark, sf), "th")
+    """One prefix of a published generation: one bucket is read."""
+    return _rounded(pub.lookup_published(spark, _published(spark, sf, "base-root", _base_catalog), "th"))
+
+
+def prefix_scan_bulk(spark: SparkSession, sf: str) -> DataFrame:
+    """All catalog queries under each request's prefix, from a catalog in key ranges:
+    how many, how often searched, and the first of the most popular ones."""
+    def write(root):
+        range_store.create(spark, root, _base_catalog(spark, sf), "query")
+
+    root = tables.once(spark, sf, "catalog-ranges", write)
+    requests = tables.typed_prefixes(spark, sf)
+    found = range_store.scan_prefixes(spark, root, "query", catalog_io.CATALOG_SCHEMA, requests.select("prefix").distinct())
+    each = found.groupBy("prefix").agg(
+        F.count(F.lit(1)).alias("n_queries"), F.sum("all_time_count").alias("searches"),
+        F.min(F.struct((-F.col("all_time_count")).alias("c"), F.col("query").alias("query")))["query"].alias("best"))
+    return (requests.join(each, "prefix", "left")
+            .select("request_id", "prefix", F.coalesce("n_queries", F.lit(0)).cast("long").alias("n_queries"),
+                    F.coalesce("searches", F.lit(0)).cast("long").alias("searches"), "best"))
 
 
 def trending(spark: SparkSession, sf: str) -> DataFrame:
@@ -254,6 +312,13 @@ def suggest_bulk(spark: SparkSession, sf: str) -> DataFrame:
     return lk.suggest_bulk(tables.requests(spark, sf), _blended_lists(spark, sf))
 
 
+def suggest_bucketed(spark: SparkSession, sf: str) -> DataFrame:
+    """Bulk completion from the bucketed lists; scores are rounded after the join, so
+    that the join is on the table as stored."""
+    answers = lk.suggest_bulk(tables.requests(spark, sf), pub.read_lists(spark, _blended_root(spark, sf)))
+    return answers.withColumn("score", F.round("score", D))
+
+
 # ---- events ------------------------------------------------------------------
 
 def event_fold(spark: SparkSession, sf: str) -> DataFrame:
@@ -355,6 +420,20 @@ def slo_gate(spark: SparkSession, sf: str) -> DataFrame:
     return mt.slo_gate(tables.request_log(spark, sf))
 
 
+def latency_sketch(spark: SparkSession, sf: str) -> DataFrame:
+    """Percentiles per outcome from stored daily sketches, each within the allowed
+    error of its rank."""
+    log = tables.request_log(spark, sf)
+    path = scratch_path(spark, "latency-sketches")
+    sk.latency_sketches(log).write.parquet(path)
+    return sk.rank_errors(log, sk.span_percentiles(spark.read.parquet(path)))
+
+
+def top_terms_sketch(spark: SparkSession, sf: str) -> DataFrame:
+    """The most frequent queries of the raw log by sketch, counted exactly."""
+    return sk.top_terms(tables.term_log(spark, sf), 20)
+
+
 def latency_histogram(spark: SparkSession, sf: str) -> DataFrame:
     return mt.latency_histogram(tables.request_log(spark, sf))
 
@@ -437,6 +516,72 @@ def compacted_catalog(spark: SparkSession, sf: str) -> DataFrame:
     return cat.select("query", "all_time_count", _r("recent_score"), "last_ms")
 
 
+def compacted_partitions(spark: SparkSession, sf: str) -> DataFrame:
+    """The catalog in key ranges; two ingests of searches, each folded into the ranges
+    that it touches."""
+    talk = tables.talk_events(spark, sf)
+    middle = to_epoch_ms(AS_OF) - 150_000_000
+    feed, root, base = scratch_path(spark, "feed"), scratch_path(spark, "ingest-ranges"), scratch_path(spark, "base-ranges")
+    ing.create_base(spark, base, _base_catalog(spark, sf))
+    for part, mode in ((talk.where(F.col("ts_ms") < middle), "overwrite"), (talk.where(F.col("ts_ms") >= middle), "append")):
+        events_io.write_event_files(part, feed, mode=mode)
+        _ingest(spark, feed, root)
+        ing.vacuum(spark, root, ing.compact_ranges(spark, root, base))
+    catalog, absorbed = ing.read_ranges(spark, base)
+    return ing.current_catalog(spark, root, catalog, absorbed).select("query", "all_time_count", _r("recent_score"), "last_ms")
+
+
+def ingest_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    """What the ingest observed of itself, still whole after its batches are compacted
+    and removed."""
+    feed, root, base = _publish_feed(spark, sf), scratch_path(spark, "ingest-metrics"), scratch_path(spark, "base-ranges")
+    _ingest(spark, feed, root)
+    ing.vacuum(spark, root, ing.compact_ranges(spark, root, base))
+    m = ing.ingest_metrics(spark, root)
+    return m.agg(F.sum("events").alias("events"), F.sum("dead_letters").alias("dead_letters"),
+                 F.min("oldest_ms").alias("oldest_ms"), F.max("newest_ms").alias("newest_ms"))
+
+
+def stream_resume(spark: SparkSession, sf: str) -> DataFrame:
+    """An ingest that stops after it wrote a batch but before that was noted in its
+    checkpoint, and starts again on more input: the batch is replayed, nothing counts
+    twice."""
+    se = tables.search_events(spark, sf)
+    middle = to_epoch_ms(AS_OF) - 15 * 86_400_000
+    feed, root = scratch_path(spark, "feed"), scratch_path(spark, "ingest-resume")
+    events_io.write_event_files(se.where(F.col("ts_ms") < middle), feed)
+    _ingest(spark, feed, root)
+    ing.forget_last_batch(spark, root + "/_checkpoint")
+    events_io.write_event_files(se.where(F.col("ts_ms") >= middle), feed, mode="append")
+    _ingest(spark, feed, root)
+    again = ing.attempts(spark, root).where("attempts > 1").agg(F.count(F.lit(1)).alias("replayed"))
+    cat = ing.current_catalog(spark, root).select("query", "all_time_count", _r("recent_score"), "last_ms")
+    return cat.withColumn("replayed", again.scalar())
+
+
+def stream_debounce(spark: SparkSession, sf: str) -> DataFrame:
+    """Debounce as a stream in three deliveries; every 50th value comes one delivery
+    late, and is settled with the others or counted as late."""
+    keys, gap, delay = tables.keystrokes(spark, sf), REQUEST_GAP_MS, 2 * REQUEST_GAP_MS
+    days = 86_400_000
+    part = F.when(F.col("ts_ms") < to_epoch_ms(AS_OF) - 20 * days, 0).when(F.col("ts_ms") < to_epoch_ms(AS_OF) - 10 * days, 1).otherwise(2)
+    part = part + F.when(F.col("event_id") % 50 == 7, 1).otherwise(0)
+    feed, out = scratch_path(spark, "keys"), scratch_path(spark, "debounce")
+
+    def settle():
+        dbn.start_settling(spark, out, out + "/_settling", gap, delay, available_now=True).awaitTermination()
+
+    for k in range(4):
+        events_io.write_feed_files(keys.withColumn("_part", part).where(F.col("_part") == k).drop("_part"), feed)
+        raw = events_io.read_feed_stream(spark, feed, dbn.KEY_SCHEMA)
+        dbn.start_admission(raw, out, out + "/_admission", delay, available_now=True).awaitTermination()
+        settle()
+    dbn.close_sessions(spark, out, gap, delay)
+    settle()
+    return (dbn.read_settled(spark, out).withColumn("late", F.lit(False))
+            .unionByName(dbn.read_late(spark, out).withColumn("late", F.lit(True))))
+
+
 def stream_trending(spark: SparkSession, sf: str) -> DataFrame:
     feed = _publish_feed(spark, sf)
     out = scratch_path(spark, "trending")
@@ -447,6 +592,14 @@ def stream_trending(spark: SparkSession, sf: str) -> DataFrame:
     return t.select("query", _r("score"))
 
 
+def stream_trending_state(spark: SparkSession, sf: str) -> DataFrame:
+    """Trending from the query's state; no updates are written."""
+    checkpoint = scratch_path(spark, "trending-state")
+    trd.start_state(events_io.read_event_stream(spark, _publish_feed(spark, sf), max_files_per_trigger=64), checkpoint,
+                    available_now=True).awaitTermination()
+    return trd.read_state(spark, checkpoint, to_epoch_ms(AS_OF)).select("query", _r("score"))
+
+
 QUERIES = {
     "fold_query_log": fold_query_log,
     "catalog_top_n": catalog_top_n,
@@ -499,4 +652,15 @@ QUERIES = {
     "stream_dedup": stream_dedup,
     "compacted_catalog": compacted_catalog,
     "stream_trending": stream_trending,
+    "compacted_partitions": compacted_partitions,
+    "index_incremental": index_incremental,
+    "suggest_bucketed": suggest_bucketed,
+    "index_rollup": index_rollup,
+    "prefix_scan_bulk": prefix_scan_bulk,
+    "stream_debounce": stream_debounce,
+    "stream_trending_state": stream_trending_state,
+    "ingest_metrics": ingest_metrics,
+    "latency_sketch": latency_sketch,
+    "top_terms_sketch": top_terms_sketch,
+    "stream_resume": stream_resume,
 }

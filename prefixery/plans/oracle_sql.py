@@ -308,4 +308,40 @@ ORACLES = {
                (SELECT max(last_ms) FROM blended) AS max_event_ms,
                CAST({AS_OF_MS} - (SELECT max(last_ms) FROM blended) AS BIGINT) AS staleness_ms
         FROM bidx""",
+    "index_incremental": "WITH " + BLENDED + """,
+        left_over AS (SELECT * FROM blended WHERE ('0x' || substr(md5(query), 1, 15))::BIGINT % 97 <> 0)""" + _index("left_over", "nidx", 20000) + """
+        SELECT prefix, rank, query, score FROM nidx""",
+    "index_rollup": "WITH " + INDEX + " SELECT prefix, rank, query, score FROM idx",
+    "prefix_scan_bulk": "WITH " + BASE_CATALOG + """,
+        typed AS (SELECT CAST(conv_id * 1000 + turn AS BIGINT) AS request_id,
+                         left(lower(regexp_split_to_array(text, '[ \\n]+')[1]), CAST(3 + turn % 6 AS BIGINT)) AS prefix FROM conversations),
+        heads AS (SELECT query, all_time_count, left(query, n) AS prefix
+                  FROM catalog, range(3, 9) r(n) WHERE length(query) >= n
+                  UNION ALL SELECT query, all_time_count, left(query, n) FROM catalog, range(1, 3) r(n) WHERE length(query) >= n),
+        each AS (SELECT prefix, count(*) AS n_queries, CAST(sum(all_time_count) AS BIGINT) AS searches,
+                        first(query ORDER BY all_time_count DESC, query) AS best
+                 FROM heads WHERE prefix IN (SELECT prefix FROM typed) GROUP BY prefix)
+        SELECT request_id, t.prefix, coalesce(n_queries, 0) AS n_queries, CAST(coalesce(searches, 0) AS BIGINT) AS searches, best
+        FROM typed t LEFT JOIN each e ON e.prefix = t.prefix WHERE t.prefix <> ''""",
+    "stream_debounce": """
+        WITH k AS (SELECT user_id AS session, event_id, (epoch_us(ts) // 1000) AS ts_ms, event_type AS value FROM events),
+        d AS (SELECT *, CASE WHEN ts_ms < """ + AS_OF_MS + """ - 20 * 86400000 THEN 0 WHEN ts_ms < """ + AS_OF_MS + """ - 10 * 86400000 THEN 1
+                             ELSE 2 END + CASE WHEN event_id % 50 = 7 THEN 1 ELSE 0 END AS part FROM k),
+        newest AS (SELECT p.part, max(d.ts_ms) AS seen FROM (SELECT DISTINCT part FROM d) p JOIN d ON d.part < p.part GROUP BY p.part),
+        judged AS (SELECT d.*, coalesce(ts_ms <= seen - 7200000, false) AS late FROM d LEFT JOIN newest USING (part)),
+        l AS (SELECT *, lead(ts_ms) OVER (PARTITION BY session ORDER BY ts_ms, event_id) AS nxt FROM judged WHERE NOT late)
+        SELECT session, event_id, ts_ms, value, false AS late FROM l WHERE nxt IS NULL OR nxt - ts_ms >= 3600000
+        UNION ALL SELECT session, event_id, ts_ms, value, true FROM judged WHERE late""",
+    "ingest_metrics": "WITH " + SEARCH_EVENTS + """
+        SELECT count(*) AS events, count(*) FILTER (event_id % 97 < 3) AS dead_letters, min(ts_ms) AS oldest_ms, max(ts_ms) AS newest_ms
+        FROM se""",
+    "latency_sketch": "WITH " + REQUEST_LOG + """
+        SELECT outcome, count(*) AS requests, true AS p50_near, true AS p95_near, true AS p99_near FROM rl GROUP BY outcome""",
+    "top_terms_sketch": "WITH " + FOLDED + """
+        SELECT q, cnt, cnt > 3.5 / 16384 * sum(cnt) OVER () AS certain FROM folded ORDER BY cnt DESC, q LIMIT 20""",
+    "stream_resume": "WITH " + EVENT_STATE + """
+        SELECT query, all_time_count, round(recent_score, 6) AS recent_score, last_ms, CAST(1 AS BIGINT) AS replayed FROM state""",
 }
+ORACLES["suggest_bucketed"] = ORACLES["suggest_bulk"]
+ORACLES["compacted_partitions"] = ORACLES["upsert_overlap"]
+ORACLES["stream_trending_state"] = ORACLES["stream_trending"]

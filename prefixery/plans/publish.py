@@ -1,7 +1,8 @@
 """Rebuild and publish index generations; the offline catalog load.
 
 A generation is an immutable folder ``index/gen=<n>`` (flat rows) plus
-``lists/gen=<n>`` (one nested list per prefix); it becomes current
+``lists/gen=<n>`` (one nested list per prefix, bucketed and sorted by prefix: a join
+needs no exchange of the lists, one prefix is one bucket); it becomes current
 only when its pointer record ``pointers/gen=<n>`` is written, after the
 index data is complete.  Readers take the highest generation that has a
 pointer, so a crashed rebuild is never visible and generations stay
@@ -10,6 +11,8 @@ monotone across restarts (they live with the data, not in a process).
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,10 +46,36 @@ def read_index(spark: SparkSession, root: str, generation: int | None = None) ->
     return spark.read.parquet(f"{root}/index/gen={g}")
 
 
+def _table_name(root: str, generation: int) -> str:
+    return f"prefixery_lists_{hashlib.md5(root.encode()).hexdigest()[:16]}_g{generation}"
+
+
+def _write_lists(spark: SparkSession, root: str, generation: int, lists: DataFrame, buckets: int) -> None:
+    """Bucketed by prefix, one file per bucket; the number of buckets is recorded, so
+    that a later session can name the table again."""
+    spark.createDataFrame([(buckets,)], "buckets int").coalesce(1).write.mode("errorifexists").json(f"{root}/buckets/gen={generation}")
+    (lists.repartition(buckets, "prefix").write.mode("errorifexists").bucketBy(buckets, "prefix").sortBy("prefix")
+     .option("path", f"{root}/lists/gen={generation}").saveAsTable(_table_name(root, generation)))
+
+
 def read_lists(spark: SparkSession, root: str, generation: int | None = None) -> DataFrame:
-    """The nested serving form ``(prefix, suggestions)`` of a generation."""
+    """The nested serving form ``(prefix, suggestions)`` of a generation, as a bucketed
+    table: joined by prefix, only the other side is shuffled."""
     g = generation or current_generation(spark, root)
-    return spark.read.parquet(f"{root}/lists/gen={g}")
+    name = _table_name(root, g)
+    if not spark.catalog.tableExists(name):
+        buckets = spark.read.schema("buckets int").json(f"{root}/buckets/gen={g}").first()["buckets"]
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {name} (prefix STRING, suggestions ARRAY<STRUCT<query: STRING, score: DOUBLE>>) "
+                  f"USING parquet CLUSTERED BY (prefix) SORTED BY (prefix) INTO {buckets} BUCKETS LOCATION '{root}/lists/gen={g}'")
+    return spark.table(name)
+
+
+def lookup_published(spark: SparkSession, root: str, prefix: str, generation: int | None = None) -> DataFrame:
+    """Ranked list of one (normalised) prefix, from the one bucket that can hold it;
+    empty when there is no such prefix."""
+    one = read_lists(spark, root, generation).where(F.col("prefix") == F.lit(prefix))
+    return (one.select("prefix", F.posexplode("suggestions").alias("_k", "_s"))
+            .select("prefix", (F.col("_k") + 1).alias("rank"), "_s.query", "_s.score"))
 
 
 def publish(spark: SparkSession, root: str, catalog: DataFrame, published_ms: int,
@@ -67,8 +96,7 @@ def publish(spark: SparkSession, root: str, catalog: DataFrame, published_ms: in
      .write.mode("errorifexists").parquet(f"{root}/index/gen={gen}"))     # of two rebuilds at once, one fails
     written = spark.read.parquet(f"{root}/index/gen={gen}")
     # Nested lists once per generation, so lookups and exports need no regrouping.
-    (px.nested_index(written).repartitionByRange(n, "prefix").sortWithinPartitions("prefix")
-     .write.mode("errorifexists").parquet(f"{root}/lists/gen={gen}"))
+    _write_lists(spark, root, gen, px.nested_index(written), n)
     stats = px.index_stats(cands, written)
     newest = catalog.agg(F.max("last_ms").alias("max_event_ms"))
     nul = F.lit(None).cast("bigint")

@@ -59,3 +59,18 @@ def write_event_kafka(events: DataFrame, **kafka) -> None:
     for k, v in kafka.items():
         w = w.option(k, v)
     w.save()
+
+
+def write_feed_files(rows: DataFrame, path: str, mode: str = "append") -> str:
+    """Any rows as JSON files, one delivery per call."""
+    rows.write.mode(mode).json(path)
+    return path
+
+
+def read_feed_stream(spark: SparkSession, path: str, schema: str, max_files_per_trigger: int | None = None) -> DataFrame:
+    """Stream over the deliveries of ``write_feed_files``; without a limit, all that is
+    there is one batch."""
+    r = spark.readStream.schema(schema)
+    if max_files_per_trigger:
+        r = r.option("maxFilesPerTrigger", max_files_per_trigger)
+    return r.json(path)

@@ -28,21 +28,44 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 _written: dict[tuple, str] = {}
 
 
-def written_once(spark: SparkSession, sf_dir: str, name: str, make) -> DataFrame:
-    """A derived input, written to the shared scratch folder the first time a
-    session needs it and read from there after that, as an upstream job would
-    hand it over."""
-    key = (spark.sparkContext.applicationId, sf_dir, name)
-    if key not in _written:
+def _identity(spark: SparkSession, sf_dir: str) -> str:
+    """Names, sizes and times of the input tables' files."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(sf_dir)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return "|".join(sorted(f"{s.getPath().getName()}:{s.getLen()}:{s.getModificationTime()}" for s in fs.listStatus(path)))
+
+
+def _there(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def stored_path(spark: SparkSession, sf_dir: str, name: str, make=None) -> str:
+    """Folder of a derived input.  It is written (by ``make``) the first time a session
+    needs it, again when the input files have changed or the folder is gone."""
+    key = (spark.sparkContext.applicationId, sf_dir, name, _identity(spark, sf_dir))
+    if key not in _written or not _there(spark, _written[key]):
         path = scratch_path(spark, name)
         make().write.parquet(path)
         _written[key] = path
-    return spark.read.parquet(_written[key])
+    return _written[key]
+
+
+def written_once(spark: SparkSession, sf_dir: str, name: str, make) -> DataFrame:
+    """A derived input, written to the shared scratch folder once and read from there
+    after that, as an upstream job would hand it over."""
+    return spark.read.parquet(stored_path(spark, sf_dir, name, make))
 
 
-def stored_path(spark: SparkSession, sf_dir: str, name: str) -> str:
-    """Folder of an input that ``written_once`` has written."""
-    return _written[(spark.sparkContext.applicationId, sf_dir, name)]
+def once(spark: SparkSession, sf_dir: str, name: str, make) -> str:
+    """A folder that ``make(folder)`` fills, once per session and state of the input."""
+    key = (spark.sparkContext.applicationId, sf_dir, name, _identity(spark, sf_dir))
+    if key not in _written:
+        path = scratch_path(spark, name)
+        make(path)
+        _written[key] = path
+    return _written[key]
 
 
 def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,7 +88,12 @@ def term_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     One row per token of ``documents.text``; ``popularity`` is the global
     count of that exact token, constant across its rows (like a published
     query log that carries a global count per term)."""
-    return written_once(spark, sf_dir, "term-log", lambda: _raw_log(spark, sf_dir))
+    return spark.read.parquet(term_log_path(spark, sf_dir))
+
+
+def term_log_path(spark: SparkSession, sf_dir: str) -> str:
+    """Folder of the raw query log's files."""
+    return stored_path(spark, sf_dir, "term-log", lambda: _raw_log(spark, sf_dir))
 
 
 def search_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,3 +168,13 @@ def talk_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.explode(F.split("text", TERM_SPLIT)).alias("word"), (F.lit(1706659200000) - (F.col("conv_id") % 500) * 600000
                                                               - F.col("turn") * 1000).cast("long").alias("ts_ms"))
     return words.select(F.lower(F.trim("word")).alias("query"), "ts_ms").where(F.length("query") > 0)
+
+
+def typed_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests ``(request_id, prefix)``: the first characters of each turn's first
+    word, as far as typed (3 to 8, by turn)."""
+    first = F.lower(F.get(F.split("text", TERM_SPLIT), F.lit(0)))
+    typed = F.expr("left(word, cast(3 + turn % 6 as int))")
+    return (read_table(spark, sf_dir, "conversations")
+            .select((F.col("conv_id") * 1000 + F.col("turn")).cast("long").alias("request_id"), "turn", first.alias("word"))
+            .select("request_id", typed.alias("prefix")).where(F.length("prefix") > 0))

@@ -3,7 +3,8 @@
 Each micro-batch folds its valid events into ``(query, all_time_count,
 recent_score, last_ms)`` and writes them, with its dead letters, to a fresh
 write-once folder ``stream=<s>/batch_id=<n>/attempt=<a>``; a one-row commit
-record for that attempt is written last.  Readers take exactly one committed
+record for that attempt is written last, with what the batch's own jobs observed
+(events, rows, dead letters, event times).  Readers take exactly one committed
 attempt per batch, so a batch replayed after a failure (same events, same
 folded contents -- nothing depends on the clock) is never counted twice,
 and an attempt that died half-written is never read.  Together with the
@@ -20,17 +21,29 @@ from __future__ import annotations
 
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import FLUSH_INTERVAL_MS, HALF_LIFE_S
 from ..operators.events import parse_events
 from ..operators.recency import decayed_state, merge_states
-from ..sources.catalog_io import read_snapshot
+from ..sources import range_store as rs
+from ..sources.catalog_io import CATALOG_SCHEMA, read_snapshot
 
 STATE_SCHEMA = ("query string, all_time_count bigint, recent_score double, last_ms bigint")
 KEYS = ", stream string, batch_id bigint, attempt string"
+COMMIT_SCHEMA = ("committed boolean, events bigint, dead_letters bigint, rows bigint, oldest_ms bigint, newest_ms bigint")
+
+
+def _observed(o: Observation) -> dict:
+    """What an observation has seen: nothing, if its rows were known to be none and
+    the plan left them out."""
+    try:
+        return o.get
+    except Py4JJavaError:
+        return {}
 
 
 def _batch_writer(state_root: str, stream_id: str, half_life_s: float):
@@ -39,23 +52,40 @@ def _batch_writer(state_root: str, stream_id: str, half_life_s: float):
         leaf = f"stream={stream_id}/batch_id={batch_id}/attempt={attempt}"
         batch = batch.persist()
         try:
-            valid = batch.where(F.col("valid"))
-            st = decayed_state(valid.select("query", "ts_ms"), half_life_s=half_life_s)
-            st.write.mode("errorifexists").parquet(f"{state_root}/deltas/{leaf}")
-            (batch.where(~F.col("valid")).select("value").write.mode("errorifexists")
+            seen, made = Observation(), Observation()
+            valid = F.col("valid")
+            st = decayed_state(batch.where(valid).select("query", "ts_ms"), half_life_s=half_life_s)
+            (st.observe(made, F.count(F.lit(1)).alias("rows")).write.mode("errorifexists")
+             .parquet(f"{state_root}/deltas/{leaf}"))
+            watched = batch.observe(seen, F.count(F.when(valid, 1)).alias("events"), F.count(F.when(~valid, 1)).alias("dead_letters"),
+                                    F.min(F.when(valid, F.col("ts_ms"))).alias("oldest_ms"),
+                                    F.max(F.when(valid, F.col("ts_ms"))).alias("newest_ms"))
+            (watched.where(~valid).select("value").write.mode("errorifexists")
              .parquet(f"{state_root}/dead_letters/{leaf}"))
             # commit record last: only now does this attempt become visible
-            (batch.sparkSession.createDataFrame([(True,)], "committed boolean")
+            got = dict.fromkeys(("events", "dead_letters", "rows"), 0) | _observed(seen) | _observed(made)
+            row = (True, *[got.get(c.split()[0]) for c in COMMIT_SCHEMA.split(", ")[1:]])
+            (batch.sparkSession.createDataFrame([row], COMMIT_SCHEMA)
              .write.mode("errorifexists").parquet(f"{state_root}/commits/{leaf}"))
         finally:
             batch.unpersist()
     return write
 
 
+def _read(spark: SparkSession, schema: str, path: str) -> DataFrame:
+    """The folder's rows; none while no batch has written there."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
 def _committed(spark: SparkSession, state_root: str) -> DataFrame:
     """One committed attempt per (stream, batch_id): a small table, one row
-    per micro-batch since the last compaction."""
-    c = spark.read.schema("committed boolean" + KEYS).parquet(f"{state_root}/commits")
+    per micro-batch."""
+    c = _read(spark, "committed boolean" + KEYS, f"{state_root}/commits")
     return c.groupBy("stream", "batch_id").agg(F.min("attempt").alias("attempt"))
 
 
@@ -105,7 +135,7 @@ def read_base(spark: SparkSession, path: str) -> tuple[DataFrame, dict[str, int]
 def read_deltas(spark: SparkSession, state_root: str,
                 absorbed: dict[str, int] | None = None) -> DataFrame:
     """Delta states newer than ``absorbed`` (stream id -> last absorbed batch)."""
-    d = spark.read.schema(STATE_SCHEMA + KEYS).parquet(f"{state_root}/deltas")
+    d = _read(spark, STATE_SCHEMA + KEYS, f"{state_root}/deltas")
     d = d.join(_committed(spark, state_root), ["stream", "batch_id", "attempt"], "left_semi")
     for sid, last in (absorbed or {}).items():
         d = d.where((F.col("stream") != sid) | (F.col("batch_id") > last))
@@ -113,7 +143,7 @@ def read_deltas(spark: SparkSession, state_root: str,
 
 
 def read_dead_letters(spark: SparkSession, state_root: str) -> DataFrame:
-    d = spark.read.schema("value string" + KEYS).parquet(f"{state_root}/dead_letters")
+    d = _read(spark, "value string" + KEYS, f"{state_root}/dead_letters")
     return d.join(_committed(spark, state_root), ["stream", "batch_id", "attempt"], "left_semi")
 
 
@@ -151,6 +181,45 @@ def compact(spark: SparkSession, state_root: str, base_path: str | None, out_pat
     return absorbed
 
 
+def create_base(spark: SparkSession, base_root: str, catalog: DataFrame, slots: int | None = None) -> int:
+    """A base catalog in key ranges, for ``compact_ranges``."""
+    return rs.create(spark, base_root, catalog.select("query", "all_time_count", "recent_score", "last_ms"), "query", slots)
+
+
+def read_ranges(spark: SparkSession, base_root: str) -> tuple[DataFrame, dict[str, int]]:
+    """The newest generation of a base in key ranges, and the batches it has absorbed."""
+    gen = rs.generation(spark, base_root)
+    try:
+        rows = spark.read.schema("stream string, last_batch bigint").json(f"{base_root}/absorbed/gen={gen}").collect()
+    except AnalysisException:                   # as created
+        rows = []
+    return rs.read(spark, base_root, CATALOG_SCHEMA, gen), {r["stream"]: int(r["last_batch"]) for r in rows if r["stream"]}
+
+
+def compact_ranges(spark: SparkSession, state_root: str, base_root: str, half_life_s: float = HALF_LIFE_S,
+                   split_rows: int = rs.SPLIT_ROWS) -> dict[str, int]:
+    """Fold the deltas that the base lacks into the key ranges that they touch; the
+    other ranges' files are carried into the next generation as they are.  Returns the
+    last absorbed batch per stream."""
+    _, before = read_ranges(spark, base_root)
+    d = read_deltas(spark, state_root, before)
+    last = {r["stream"]: int(r["last"]) for r in
+            d.groupBy("stream").agg(F.max("batch_id").alias("last")).collect()}        # a row per stream
+    upto = F.lit(False)
+    for sid, batch in last.items():             # later batches stay deltas
+        upto = upto | ((F.col("stream") == sid) & (F.col("batch_id") <= batch))
+    changes = merge_states(d.where(upto).select("query", "all_time_count", "recent_score", "last_ms"), half_life_s=half_life_s)
+    absorbed = before | last
+
+    def record(gen: int) -> None:
+        spark.createDataFrame(list(absorbed.items()), "stream string, last_batch bigint") \
+            .coalesce(1).write.mode("errorifexists").json(f"{base_root}/absorbed/gen={gen}")
+
+    rs.rewrite(spark, base_root, "query", CATALOG_SCHEMA, changes,
+               lambda rows, new: merge_states(rows.unionByName(new), half_life_s=half_life_s), split_rows, record)
+    return absorbed
+
+
 def remove_batches(spark: SparkSession, folder: str, last: int) -> int:
     """Remove the folders ``batch_id=<n>`` with n up to ``last``; returns how many."""
     jvm, n = spark.sparkContext._jvm, 0
@@ -164,20 +233,48 @@ def remove_batches(spark: SparkSession, folder: str, last: int) -> int:
 
 
 def vacuum(spark: SparkSession, state_root: str, absorbed: dict[str, int]) -> int:
-    """Remove the batches that a compacted snapshot has absorbed (the commit
-    records first, so that no reader takes half a batch; the last batch stays).
+    """Remove the rows of batches that a compacted snapshot has absorbed (the last
+    batch stays).  Their commit records, a row each, stay for ``ingest_metrics``.
     Only once every reader has moved to that snapshot."""
     return sum(remove_batches(spark, f"{state_root}/{kind}/stream={stream}", last - 1)
-               for kind in ("commits", "deltas", "dead_letters") for stream, last in absorbed.items())
+               for kind in ("deltas", "dead_letters") for stream, last in absorbed.items())
+
+
+def ingest_metrics(spark: SparkSession, state_root: str) -> DataFrame:
+    """Per stream and micro-batch, as its own jobs observed it: events, dead_letters,
+    rows, oldest_ms, newest_ms.  Reads the commit records alone, and so counts
+    batches whose rows are gone, too."""
+    c = _read(spark, COMMIT_SCHEMA + KEYS, f"{state_root}/commits")
+    one = F.min_by(F.struct(*[x.split()[0] for x in COMMIT_SCHEMA.split(", ")[1:]]), "attempt")
+    return c.groupBy("stream", "batch_id").agg(one.alias("m")).select("stream", "batch_id", "m.*")
+
+
+def attempts(spark: SparkSession, state_root: str) -> DataFrame:
+    """(stream, batch_id, attempts): committed attempts per micro-batch."""
+    c = _read(spark, "committed boolean" + KEYS, f"{state_root}/commits")
+    return c.groupBy("stream", "batch_id").agg(F.count(F.lit(1)).alias("attempts"))
+
+
+def forget_last_batch(spark: SparkSession, checkpoint: str) -> int | None:
+    """Remove the checkpoint's note that its last batch is done, as if the writer had
+    stopped just before it; the next start replays that batch.  Returns its number."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{checkpoint}/commits")
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    done = [int(s.getPath().getName()) for s in fs.listStatus(path) if s.getPath().getName().isdigit()]
+    if not done:
+        return None
+    for name in (str(max(done)), f".{max(done)}.crc"):
+        fs.delete(jvm.org.apache.hadoop.fs.Path(f"{checkpoint}/commits/{name}"), False)
+    return max(done)
 
 
 def write_reduction(spark: SparkSession, state_root: str) -> DataFrame:
     """Write reduction of the ingest as it ran: events folded, rows written
     (one per distinct query per micro-batch) and micro-batches (flushes)."""
-    d = read_deltas(spark, state_root)
-    return d.agg(F.sum("all_time_count").cast("bigint").alias("events_received"),
-                 F.count(F.lit(1)).alias("rows_upserted"),
-                 F.count_distinct("stream", "batch_id").alias("flushes")) \
+    d = ingest_metrics(spark, state_root).where("events > 0")
+    return d.agg(F.sum("events").alias("events_received"), F.sum("rows").alias("rows_upserted"),
+                 F.count(F.lit(1)).alias("flushes")) \
         .select("*", F.round(F.col("events_received") / F.col("rows_upserted"), 6)
                 .alias("events_per_row"),
                 F.round(F.col("events_received") / F.col("flushes"), 6).alias("events_per_flush"))

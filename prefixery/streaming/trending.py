@@ -4,14 +4,19 @@ A streaming ``groupBy(query, day)`` keeps ``g = sum(2 ** ((ts - L) / h))`` with
 the day's end as landmark ``L`` (Cormode et al., forward decay): a plain sum,
 hence a partial/final aggregate with one state row per query and active day,
 and exponents that stay within one day at any date.  The score as of ``T`` sums
-``g * 2 ** (-(T - L) / h)`` over the days.  With a ``watermark`` the state of
-older days is dropped (and events that late with it).
-
-Each micro-batch writes its updated rows (update mode) to a write-once attempt
+``g * 2 ** (-(T - L) / h)`` over the days.  The state of days older than the
+``watermark`` (64 half-lives by default: 2 ** -64 of their weight is left) goes, and
+events that late with it; so the state is bounded by the queries of the days since.
+
+There are two forms.  ``start_state`` keeps the aggregate in the query's own state
+store and writes nothing; ``read_state`` reads it from the checkpoint
+(Spark's ``statestore`` source) and takes the top k then.  ``start_trending`` writes
+every update, for readers that cannot reach the checkpoint:
+each micro-batch writes its updated rows (update mode) to a write-once attempt
 folder and a commit record last, as the ingest does; readers take one committed
 attempt per batch and the newest row per query and day.  ``compact_trending``
 folds the batches into a base, removes them, and drops days that have decayed to
-nothing.
+nothing (with their event counts).
 """
 
 from __future__ import annotations
@@ -38,25 +43,55 @@ def _write(rows: DataFrame, out_path: str, batch_id: int) -> None:
      .write.mode("errorifexists").parquet(f"{out_path}/commits/{leaf}"))
 
 
-def start_trending(raw_stream: DataFrame, out_path: str, checkpoint: str,
-                   half_life_s: float = HALF_LIFE_S, available_now: bool = False,
-                   interval_ms: int = 5_000, watermark: str | None = None):
-    parsed = parse_events(raw_stream).where(F.col("valid"))
-    landmark = (F.floor(F.col("ts_ms") / DAY_MS) + 1) * DAY_MS
-    keys = ["query", landmark.cast("bigint").alias("landmark_ms")]
+WATERMARK = f"{int(64 * HALF_LIFE_S)} seconds"
+
+
+def _aggregated(raw_stream: DataFrame, half_life_s: float, watermark: str | None) -> DataFrame:
+    """(query, landmark_ms, g, events, last_ms) per query and day, as a stream."""
+    landmark = ((F.floor(F.col("ts_ms") / DAY_MS) + 1) * DAY_MS).cast("bigint")
+    parsed = parse_events(raw_stream).where(F.col("valid")).withColumn("landmark_ms", landmark)
+    keys = ["query", "landmark_ms"]
     if watermark:
         parsed = parsed.withColumn("at", F.timestamp_millis("ts_ms")).withWatermark("at", watermark)
         keys.append(F.window("at", "1 day").alias("day"))          # lets old state go
     h = float(half_life_s) * 1000.0
-    agg = parsed.groupBy(*keys).agg(
-        F.sum(F.pow(F.lit(2.0), (F.col("ts_ms") - landmark).cast("double") / F.lit(h))).alias("g"),
+    return parsed.groupBy(*keys).agg(
+        F.sum(F.pow(F.lit(2.0), (F.col("ts_ms") - F.col("landmark_ms")).cast("double") / F.lit(h))).alias("g"),
         F.count(F.lit(1)).alias("events"), F.max("ts_ms").alias("last_ms"))
+
+
+def _started(w, available_now: bool, interval_ms: int):
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=f"{int(interval_ms)} milliseconds")
+    return w.start()
+
+
+def start_trending(raw_stream: DataFrame, out_path: str, checkpoint: str,
+                   half_life_s: float = HALF_LIFE_S, available_now: bool = False,
+                   interval_ms: int = 5_000, watermark: str | None = WATERMARK):
+    agg = _aggregated(raw_stream, half_life_s, watermark)
     w = (agg.writeStream.outputMode("update")
          .foreachBatch(lambda batch, batch_id: _write(batch, out_path, batch_id))
          .option("checkpointLocation", checkpoint))
-    w = w.trigger(availableNow=True) if available_now else \
-        w.trigger(processingTime=f"{int(interval_ms)} milliseconds")
-    return w.start()
+    return _started(w, available_now, interval_ms)
+
+
+def start_state(raw_stream: DataFrame, checkpoint: str, half_life_s: float = HALF_LIFE_S, available_now: bool = False,
+                interval_ms: int = 5_000, watermark: str = WATERMARK):
+    """The aggregate in the state store alone; ``read_state`` reads it."""
+    w = (_aggregated(raw_stream, half_life_s, watermark).writeStream.outputMode("update").format("noop")
+         .option("checkpointLocation", checkpoint))
+    return _started(w, available_now, interval_ms)
+
+
+def read_state(spark: SparkSession, checkpoint: str, as_of_ms: int, half_life_s: float = HALF_LIFE_S,
+               k: int = MAX_SUGGESTIONS) -> DataFrame:
+    """The k queries with the highest score, from the state as of the last finished
+    batch."""
+    state = spark.read.format("statestore").load(checkpoint)
+    h = float(half_life_s) * 1000.0
+    now = F.col("value.sum") * F.pow(F.lit(2.0), (F.col("key.landmark_ms") - F.lit(float(as_of_ms))) / F.lit(h))
+    return (state.select(F.col("key.query").alias("query"), now.alias("now")).groupBy("query").agg(F.sum("now").alias("score"))
+            .orderBy(F.desc("score"), F.asc("query")).limit(k))
 
 
 def _committed(spark: SparkSession, path: str, key: str) -> DataFrame:
