@@ -5,7 +5,11 @@ before it, so a text falls apart without change of result before every space
 that follows a character which is not white space.  The chunks between these
 points repeat a lot: each distinct one is encoded once per worker (the new ones
 of a slice together, as one string) and looked up by its 64-bit hash after that.
-The cache is emptied when it holds ``MAX_CHUNKS`` chunks, which bounds memory.
+
+The cache has two generations.  When the younger one holds ``MAX_CHUNKS`` chunks it
+becomes the older one and the older one goes; a chunk found in the older one moves to
+the younger.  So memory is bounded (some 40 bytes a chunk) and chunks that keep coming
+stay.
 """
 
 from __future__ import annotations
@@ -17,7 +21,7 @@ import numpy as np
 
 from .arrowtext import Slice
 
-MAX_CHUNKS = 500_000
+MAX_CHUNKS = 1_000_000
 _JOIN = 500
 
 _BLANK = np.zeros(256, bool)
@@ -44,6 +48,72 @@ def chunk_bounds(s: Slice) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.searchsorted(starts, s.off)
 
 
+class _Generation:
+    """Chunks by hash: open addressing in arrays (at most half full), and per chunk its
+    tokens in flat arrays."""
+
+    def __init__(self, flats: int):
+        self.n, self.used = 0, 0
+        self._room(1 << 16)
+        self.first = np.zeros(1 << 15, np.int32)
+        self.size = np.zeros(1 << 15, np.int32)
+        self.flat = [np.zeros(1 << 17, np.uint32) for _ in range(flats)]
+
+    def _room(self, slots: int) -> None:
+        self.key, self.index = np.zeros(slots, np.uint64), np.zeros(slots, np.int32)
+        self.shift = np.uint64(64 - (slots.bit_length() - 1))
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Index of each chunk, or -1."""
+        out = np.full(len(h), -1, np.int32)
+        at = (h >> self.shift).astype(np.int64)
+        left, last = np.arange(len(h)), len(self.key) - 1
+        while len(left):
+            key = self.key[at]
+            hit = key == h
+            out[left[hit]] = self.index[at[hit]]
+            go = ~hit & (key != 0)
+            left, h, at = left[go], h[go], (at[go] + 1) & last
+        return out
+
+    def _place(self, h: np.ndarray, index: np.ndarray) -> None:
+        at, last = (h >> self.shift).astype(np.int64), len(self.key) - 1
+        while len(h):
+            free = self.key[at] == 0
+            self.key[at[free]] = h[free]                    # of several for one place the last stays
+            mine = self.key[at] == h
+            self.index[at[mine]] = index[mine]
+            h, index, at = h[~mine], index[~mine], (at[~mine] + 1) & last
+
+    def add(self, h: np.ndarray, flat: list[np.ndarray], sizes: np.ndarray) -> np.ndarray:
+        """New chunks with their tokens, one after another; returns their indexes."""
+        n, more = self.n, len(flat[0])
+        while n + len(h) > len(self.first):
+            self.first, self.size = (np.concatenate([a, np.zeros_like(a)]) for a in (self.first, self.size))
+        while self.used + more > len(self.flat[0]):
+            self.flat = [np.concatenate([a, np.zeros_like(a)]) for a in self.flat]
+        if 2 * (n + len(h)) > len(self.key):
+            held = self.key != 0
+            keys, index = self.key[held], self.index[held]
+            self._room(1 << (4 * (n + len(h)) - 1).bit_length())
+            self._place(keys, index)
+        self.size[n:n + len(h)] = sizes
+        self.first[n:n + len(h)] = self.used + np.cumsum(sizes) - sizes
+        for have, new in zip(self.flat, flat, strict=True):
+            have[self.used:self.used + more] = new
+        index = np.arange(n, n + len(h), dtype=np.int32)
+        self._place(h, index)
+        self.n, self.used = n + len(h), self.used + more
+        return index
+
+    def tokens(self, index: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+        """Flat tokens of chunks, and how many each has."""
+        size = self.size[index].astype(np.int64)
+        before = np.cumsum(size) - size
+        pick = np.repeat(self.first[index] - before, size) + np.arange(int(size.sum()))
+        return [a[pick] for a in self.flat], size
+
+
 class ChunkEncoder:
     """``encode`` gives token ids; with ``offsets``, also the code points that
     each token covers in its text."""
@@ -64,11 +134,8 @@ class ChunkEncoder:
         self.reset()
 
     def reset(self) -> None:
-        self.at: dict[int, int] = {}
-        self.first = np.zeros(1 << 16, np.int64)      # per chunk: first token in the flat arrays
-        self.size = np.zeros(1 << 16, np.int64)
-        self.flat = [np.zeros(1 << 18, np.uint32) for _ in range(3 if self.offsets else 1)]
-        self.used = 0
+        flats = 3 if self.offsets else 1
+        self.young, self.old = _Generation(flats), _Generation(flats)
 
     def _one(self, text: str) -> list[np.ndarray]:
         e = self.tokenizer.encode(text, add_special_tokens=False)
@@ -103,58 +170,52 @@ class ChunkEncoder:
             sizes.append(size)
         return [np.concatenate(c) for c in zip(*flat, strict=True)], np.concatenate(sizes)
 
-    def _add(self, keys: list[int], flat: list[np.ndarray], sizes: np.ndarray) -> None:
-        n, more = len(self.at), len(flat[0])
-        while n + len(keys) > len(self.first):
-            self.first, self.size = (np.concatenate([a, np.zeros_like(a)]) for a in (self.first, self.size))
-        while self.used + more > len(self.flat[0]):
-            self.flat = [np.concatenate([a, np.zeros_like(a)]) for a in self.flat]
-        self.size[n:n + len(keys)] = sizes
-        self.first[n:n + len(keys)] = self.used + np.cumsum(sizes) - sizes
-        for have, new in zip(self.flat, flat, strict=True):
-            have[self.used:self.used + more] = new
-        self.used += more
-        self.at.update(zip(keys, range(n, n + len(keys)), strict=True))
-
     def _known(self, s: Slice, h: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Cache index of each chunk of the slice."""
-        unique, where, inverse = np.unique(h, return_index=True, return_inverse=True)
-        keys = unique.tolist()
-        if len(self.at) + len(keys) > MAX_CHUNKS and self.at:
-            self.reset()
-        index = np.fromiter(map(self.at.get, keys, [-1] * len(keys)), np.int64, len(keys))
-        new = np.flatnonzero(index < 0)
+        """Index in the younger generation of each chunk of the slice."""
+        if self.young.n >= MAX_CHUNKS:
+            self.young, self.old = _Generation(len(self.young.flat)), self.young
+        index = self.young.find(h)
+        missing = np.flatnonzero(index < 0)
+        if not len(missing):
+            return index
+        keys, where, inverse = np.unique(h[missing], return_index=True, return_inverse=True)
+        found, place = np.full(len(keys), -1, np.int32), missing[where]
+        if self.old.n:
+            again = self.old.find(keys)
+            at = np.flatnonzero(again >= 0)
+            if len(at):
+                found[at] = self.young.add(keys[at], *self.old.tokens(again[at]))
+        new = np.flatnonzero(found < 0)
         if len(new):
             raw = s.buf.tobytes()
-            texts = [raw[a:b].decode("utf-8") for a, b in zip(starts[where[new]].tolist(), ends[where[new]].tolist(), strict=True)]
-            plain = [t[0] == " " and t.count(" ") == 1 and len(t) > 1 and "<|" not in t for t in texts]
-            joined = [k for k, ok in enumerate(plain) if ok]
-            if joined:
-                self._add([keys[new[k]] for k in joined], *self._many([texts[k] for k in joined]))
-            for k, ok in enumerate(plain):
-                if not ok:
-                    one = self._one(texts[k])
-                    self._add([keys[new[k]]], one, np.array([len(one[0])]))
-            index[new] = [self.at[keys[k]] for k in new]
-        return index[inverse]
+            texts = [raw[a:b].decode("utf-8") for a, b in zip(starts[place[new]].tolist(), ends[place[new]].tolist(), strict=True)]
+            plain = np.array([t[0] == " " and t.count(" ") == 1 and len(t) > 1 and "<|" not in t for t in texts])
+            joined, single = np.flatnonzero(plain), np.flatnonzero(~plain)
+            if len(joined):
+                found[new[joined]] = self.young.add(keys[new[joined]], *self._many([texts[k] for k in joined]))
+            if len(single):
+                ones = [self._one(texts[k]) for k in single]
+                found[new[single]] = self.young.add(keys[new[single]], [np.concatenate(c) for c in zip(*ones, strict=True)],
+                                                    np.array([len(o[0]) for o in ones]))
+        index[missing] = found[inverse]
+        return index
 
     def encode(self, s: Slice) -> tuple[list[np.ndarray], np.ndarray]:
         """The slice's tokens as flat arrays (ids; with offsets, first code point
         and end in the row's text) and each row's first token (rows + 1)."""
         starts, row_first = chunk_bounds(s)
         ends = np.append(starts[1:], len(s.buf))[:len(starts)]
-        index = self._known(s, s.hashes(starts, ends), starts, ends)
-        size = self.size[index]
+        h = s.hashes(starts, ends)
+        h[h == 0] = 1                                       # 0 marks a free place
+        index = self._known(s, h, starts, ends)             # may begin a new generation
+        out, size = self.young.tokens(index)
         before = np.cumsum(size) - size
-        total = int(size.sum())
-        pick = np.repeat(self.first[index] - before, size) + np.arange(total)
-        out = [a[pick] for a in self.flat]
         if self.offsets:
             point = np.concatenate([[0], np.cumsum((s.buf & 0xC0) != 0x80)])
             row = np.repeat(np.arange(s.n), np.diff(row_first))
             begin = np.repeat(point[starts] - point[s.off[:-1]][row], size)
             out[1], out[2] = out[1] + begin, out[2] + begin
-        return out, np.append(before, total)[row_first]
+        return out, np.append(before, int(size.sum()))[row_first]
 
 
 _encoders: dict[tuple[str, bool], ChunkEncoder] = {}
