@@ -20,14 +20,17 @@ doc_id reachable by links.
    So a passage that many texts share seldom ties them together.  The classes
    that the others connect are found first, as groups (``components`` over class
    and least class of each shingle), and go on with their whole sets.
-4. A group is dealt to blocks of about ``BLOCK`` shingles, every pair of blocks
-   to one place.  There the shingles of each set are hashed into ``GROUPS``
+4. Within a group, sets are first verified against pivots, block by block
+   (``set_links``): a group of near copies is done after one round.  What remains
+   is dealt to pairs of blocks, bounded in sets and shingles.  There a few hubs are
+   held against all sets; then the shingles of each set are hashed into ``GROUPS``
    groups; the group counts are its point, and the overlap of two sets is at most
    the sum of the minima of their coordinates.  An R-tree over the points (nodes
    bound by their largest coordinates and their sizes) gives each set the points
-   whose bound reaches the needed overlap; subtrees of its own component are
-   skipped.  What remains is verified on the whole sets, first one point of each
-   component, then, where that did not link, the others.
+   whose bound reaches the needed overlap.  The largest component is not searched
+   within itself, subtrees of a set's own component are skipped.  What remains is
+   verified on the whole sets, first one point of each component, then, where that
+   did not link, the others.
 
 Every pair that links is connected by verified links, so the components are
 exact; no bucket, partner or candidate is capped, and only spanning links leave
@@ -51,17 +54,17 @@ from pyspark.sql import functions as F
 from .arrowtext import mix, signed, slices, window_hashes, windows
 from .common import small_batches, stored, table
 from .components import components, one_node_per_id
+from .set_links import chosen_side, common_counts, group_links, meetings
 
 SHINGLE = 5
+PERCENT = 75
 GROUPS = 512
-BLOCK = 1 << 20            # shingles per block of a group (8 MB)
-PAIRS = 8                  # pairs of blocks per task, one in memory at a time
+HUBS = 8                   # sets held against all others before the tree
 LEAF = 16
 CHUNK = 32                 # sets that query the tree together
 FLUSH = 1 << 20            # entries per packed block
 FLUSH_ROWS = 1 << 14
 BUCKET_ROWS = 1 << 20      # entries aimed at per bucket
-BROADCAST_IDS = 500_000    # rows of 32 bytes (16 MB) go to all tasks, more are joined by shuffle
 _ALREADY, _ROW = 1 << 15, (1 << 14) - 1
 
 
@@ -215,21 +218,25 @@ def shared(docs: DataFrame, bits: int) -> DataFrame:
 
 # ------------------------------------------------------------- bound and verify
 
-def whole_sets(docs: DataFrame) -> DataFrame:
-    """(sig, root, blocks, members, hashes) of texts whose set has the name in
-    ``sig``: the whole set, sorted."""
-    def run(batches):
-        for s in slices(batches):
-            sets = _sets(s)
-            named = np.array([_signature(x) for x in sets], np.uint64)
-            own = pa.array(signed(named) == np.asarray(s.column("sig")))       # not another text of the same id
-            yield pa.RecordBatch.from_arrays(
-                [*[s.column(c) for c in named_by], pa.array([x.tobytes() for x in sets], pa.binary())],
-                [*named_by, "hashes"]).filter(own)
+def _sets_of(docs: DataFrame):
+    """For ``set_links``: the rows' columns and the whole set, sorted, of the text
+    whose set has the name in ``node``."""
+    def sets_of(rows: DataFrame, columns: list[str]) -> DataFrame:
+        named = rows.select("doc_id", *columns)
+        schema = ", ".join(f"{c} {named.schema[c].dataType.simpleString()}" for c in columns) + ", hashes binary"
 
-    named_by = ["sig", "root", "blocks", "members"]
-    return docs.select("text", *named_by).mapInArrow(
-        run, "sig long, root long, blocks long, members long, hashes binary")
+        def run(batches):
+            for s in slices(batches):
+                sets = _sets(s)
+                names = np.array([_signature(x) for x in sets], np.uint64)
+                own = pa.array(signed(names) == np.asarray(s.column("node")))       # not another text of the same id
+                yield pa.RecordBatch.from_arrays(
+                    [*[s.column(c) for c in columns], pa.array([x.tobytes() for x in sets], pa.binary())],
+                    [*columns, "hashes"]).filter(own)
+
+        return docs.join(chosen_side(named), "doc_id").select("text", *columns).mapInArrow(run, schema)
+
+    return sets_of
 
 
 def _overlap(na, nb):
@@ -299,25 +306,17 @@ class RTree:
 
 def _linked(x: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
     """Which of the other sets link with ``x``."""
-    out = []
-    while others:
-        size = np.cumsum([len(y) for y in others])
-        k = max(1, int(np.searchsorted(size, 1 << 20, "right")))
-        part, others = others[:k], others[k:]
-        flat = np.concatenate(part)
-        at = np.minimum(np.searchsorted(x, flat), len(x) - 1)
-        both = np.add.reduceat((x[at] == flat).astype(np.int64), np.concatenate([[0], size[:k - 1]]))
-        out.append(100 * both >= 75 * (len(x) + np.array([len(y) for y in part]) - both))
-    return np.concatenate(out)
-
-
-def _spanning(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
-    """Links between left and right sets (index arrays) that connect what all
-    their links connect."""
+    both = common_counts(x, others)
+    return 100 * both >= PERCENT * (len(x) + np.array([len(y) for y in others]) - both)
+
+
+def _spanning(sets: list[np.ndarray], label: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+    """Links that connect what all links between left and right sets (index arrays)
+    connect; sets of one label are connected."""
     n = np.array([len(x) for x in sets])
-    vec = np.stack([_point(x) for x in sets])
-    comp = np.arange(len(sets))
-    tree, out = RTree(n[left], vec[left]), []
+    comp = np.unique(label, return_inverse=True)[1]
+    out: list[tuple[int, int]] = []
+    hub: list[int] = []                   # the point linked last: mostly one of a large component
 
     def verify(a: int, points: np.ndarray) -> None:
         hit = points[_linked(sets[a], [sets[b] for b in points])]
@@ -327,22 +326,47 @@ def _spanning(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> li
             comp[np.isin(comp, np.append(comp[hit], comp[a]))] = min(comp[hit].min(), comp[a])
             hub[:] = [int(hit[0])]
 
-    hub: list[int] = []                   # the point linked last: mostly one of a large component
-    for k in range(0, len(right), CHUNK):
-        chunk = right[k:k + CHUNK]
-        for a in chunk:
-            if hub and comp[a] != comp[hub[0]]:
-                verify(a, np.array(hub))
-        q, p, bound = tree.search(n[chunk], vec[chunk], comp[chunk], comp[left])
-        p = left[p]
-        for r, a in enumerate(chunk):
-            points = p[q == r][np.argsort(-bound[q == r], kind="stable")]
-            points = points[comp[points] != comp[a]]
-            if len(points):
-                verify(a, points[np.unique(comp[points], return_index=True)[1]])     # the best of each component
-                points = points[comp[points] != comp[a]]
-            if len(points):
-                verify(a, points)
+    def outside() -> np.ndarray:
+        return np.flatnonzero(comp != np.bincount(comp).argmax())
+
+    tried = np.zeros(len(sets), bool)
+    for _ in range(HUBS):
+        rest = outside()
+        rest = rest[~tried[rest]]
+        if not len(rest):
+            break
+        a = int(rest[0])
+        tried[a] = True
+        verify(a, np.flatnonzero(comp != comp[a]))
+    rest = outside()
+    if not len(rest):
+        return out
+    vec = np.stack([_point(x) for x in sets])
+
+    def search(points: np.ndarray, queries: np.ndarray) -> None:
+        tree = RTree(n[points], vec[points])
+        for k in range(0, len(queries), CHUNK):
+            chunk = queries[k:k + CHUNK]
+            for a in chunk:
+                if hub and comp[a] != comp[hub[0]]:
+                    verify(a, np.array(hub))
+            q, p, bound = tree.search(n[chunk], vec[chunk], comp[chunk], comp[points])
+            p = points[p]
+            for r, a in enumerate(chunk):
+                near = p[q == r][np.argsort(-bound[q == r], kind="stable")]
+                near = near[comp[near] != comp[a]]
+                if len(near):
+                    verify(a, near[np.unique(comp[near], return_index=True)[1]])         # the best of each component
+                    near = near[comp[near] != comp[a]]
+                if len(near):
+                    verify(a, near)
+
+    alone = np.zeros(len(sets), bool)
+    alone[rest] = True
+    if alone[right].any():
+        search(left, right[alone[right]])
+    if left[0] != right[0] and alone[left].any() and not alone[right].all():
+        search(left[alone[left]], right[~alone[right]])
     return out
 
 
@@ -367,67 +391,19 @@ def _link_counts(sets: list[np.ndarray], members: np.ndarray, left: np.ndarray,
     return out
 
 
-def _dealt(groups: DataFrame, partitions: int) -> DataFrame:
-    """The sets, at every pair of blocks of their group; one ``part`` is one call.
-    A pair of blocks of a larger group is a part of its own (16 MB)."""
-    block = F.pmod(F.xxhash64("sig"), F.col("blocks"))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    part = F.when(F.col("blocks") > 1, F.xxhash64("root", "i", "j")).otherwise(F.pmod(F.xxhash64("root"), F.lit(PAIRS * partitions)))
-    return (groups.withColumn("block", block).withColumn("other", other)
-            .withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-            .withColumn("part", part).select("part", "root", "i", "j", "block", "sig", "members", "hashes"))
-
-
-def _meetings(groups: DataFrame, partitions: int, found, schema: str) -> DataFrame:
-    """``found`` (sigs, sets, members, left, right) for every pair of blocks of a
-    group.  ``groups``: root, sig, hashes, members, and the group's number of
-    blocks."""
-    def meet(t: pa.Table) -> pa.Table:
-        root, i, j, block, sig, members = (np.asarray(t.column(c).combine_chunks())
-                                           for c in ("root", "i", "j", "block", "sig", "members"))
-        order = np.lexsort((sig, j, i, root))
-        same = (np.diff(root[order]) == 0) & (np.diff(i[order]) == 0) & (np.diff(j[order]) == 0)
-        hashes, out = t.column("hashes"), []
-        for at in np.split(order, np.flatnonzero(~same) + 1):
-            at = at[np.concatenate([[True], np.diff(sig[at]) != 0])]         # rows of one id may repeat a set
-            if len(at) > 1:
-                sets = [np.frombuffer(hashes[int(k)].as_buffer(), np.uint64) for k in at]
-                own = block[at]
-                left, right = np.flatnonzero(own == i[at[0]]), np.flatnonzero(own == j[at[0]])
-                if len(left) and len(right):
-                    out += found(sig[at], sets, members[at], left, right)
-        names = [c.split()[0] for c in schema.split(", ")]
-        return pa.table({c: pa.array([x[k] for x in out], pa.int64()) for k, c in enumerate(names)})
+def _within(node, sets, members, label, left, right) -> list[tuple[int, int]]:
+    """Rows (a, b): spanning links of a pair of blocks."""
+    return [(int(node[a]), int(node[b])) for a, b in _spanning(sets, label, left, right)]
 
-    return _dealt(groups, partitions).repartition(partitions, "part").groupBy("part").applyInArrow(meet, schema)
 
-
-def _within(groups: DataFrame, partitions: int) -> DataFrame:
-    """(a, b): spanning links of each group."""
-    def found(sig, sets, members, left, right):
-        return [(sig[a], sig[b]) for a, b in _spanning(sets, left, right)]
-
-    return _meetings(groups, partitions, found, "a long, b long")
-
-
-def _counted(groups: DataFrame, partitions: int) -> DataFrame:
-    """(sig, n_links): rows of other classes that each class links with."""
-    def found(sig, sets, members, left, right):
-        n = _link_counts(sets, members, left, right)
-        return [(sig[k], n[k]) for k in np.flatnonzero(n)]
-
-    return (_meetings(groups, partitions, found, "sig long, n_links long")
-            .groupBy("sig").agg(F.sum("n_links").alias("n_links")))
+def _counted(node, sets, members, label, left, right) -> list[tuple[int, int]]:
+    """Rows (sig, n_links): rows of other classes that each class links with."""
+    n = _link_counts(sets, members, left, right)
+    return [(int(node[k]), int(n[k])) for k in np.flatnonzero(n)]
 
 
 # -------------------------------------------------------------------- the join
 
-def _restricted(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """The documents with the ids of ``chosen`` (a stored table) and its columns:
-    broadcast while these are few, by shuffle beyond."""
-    return docs.join(F.broadcast(chosen) if chosen.count() <= BROADCAST_IDS else chosen.hint("shuffle_hash"), "doc_id")
-
-
 def link(docs: DataFrame, all_links: bool = False) -> tuple[DataFrame, DataFrame, DataFrame | None]:
     """(doc_id, n, sig) per row, verified links (a, b) between classes that
     connect every component, and with ``all_links`` (sig, n_links) of classes that
@@ -456,16 +432,14 @@ def link(docs: DataFrame, all_links: bool = False) -> tuple[DataFrame, DataFrame
     near = (entry.join(pivots, "key").where("sig <> pivot").select(F.col("sig").alias("a"), F.col("pivot").alias("b"))
             .distinct())
     roots = stored(components(near), "jaccard-groups").withColumnRenamed("node", "sig")
-    some = stored(some.join(roots, "sig"), "jaccard-grouped")          # what is in no group links with nothing
-    blocks = some.groupBy("root").agg(F.ceil(F.sum("n") / BLOCK).alias("blocks"))
-    chosen = stored(some.join(blocks, "root").select("doc_id", "sig", "root", "blocks", "members"), "jaccard-chosen")
-    pairs = blocks.agg(F.coalesce(F.sum(F.expr("blocks * (blocks + 1) div 2")), F.lit(0))).first()[0]   # at most 16 MB each
-    shingles = some.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    replicated = shingles // BLOCK + pairs - blocks.count()
-    parts = max(partitions, 1 + int(replicated) // PAIRS)
-    groups = whole_sets(_restricted(docs, chosen))
-    links = stored(_within(groups, parts).where("a <> b").distinct(), "jaccard-links")
-    return own, links, stored(_counted(groups, parts), "jaccard-link-counts") if all_links else None
+    # what is in no group links with nothing
+    chosen = stored(some.join(roots, "sig").select("doc_id", F.col("sig").alias("node"), "root", "n", "members"), "jaccard-chosen")
+    sets_of = _sets_of(docs)
+    links = group_links(chosen, sets_of, PERCENT, _within, "jaccard")
+    if not all_links:
+        return own, links, None
+    counts = meetings(chosen, sets_of, _counted, "sig long, n_links long").groupBy("sig").agg(F.sum("n_links").alias("n_links"))
+    return own, links, stored(counts, "jaccard-link-counts")
 
 
 def join(docs: DataFrame, all_links: bool = False) -> DataFrame:

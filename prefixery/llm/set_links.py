@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import stored
 
 BLOCK = 1 << 20            # entries per block of a group (8 MB)
-BLOCK_SETS = 1 << 11       # and sets
+BLOCK_SETS = 1 << 9        # and sets
 PAIRS = 8                  # calls per task, one in memory at a time
 ROUNDS = 4
 SLACK = 1e-9
@@ -147,6 +147,16 @@ def group_links(chosen: DataFrame, sets_of: Callable, percent: int, found: Calla
     return stored(out.where("a <> b").distinct(), f"{name}-links")
 
 
+def dealt_in_pairs(rows: DataFrame, parts: int) -> DataFrame:
+    """The sets, at every pair of blocks of their group; one ``part`` is one call.  A
+    pair of blocks of a larger group is a part of its own (16 MB)."""
+    rows = (rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+            .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+            .withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")))
+    part = F.when(F.col("blocks") > 1, F.xxhash64("root", "i", "j")).otherwise(F.pmod(F.xxhash64("root"), F.lit(PAIRS * parts)))
+    return rows.withColumn("part", part).select("part", "root", "i", "j", "block", "node", "members", "label", "hashes")
+
+
 def meetings(chosen: DataFrame, sets_of: Callable, found: Callable, schema: str) -> DataFrame:
     """``found`` for every pair of blocks of every group (``label`` is optional)."""
     spark = chosen.sparkSession
@@ -159,12 +169,7 @@ def meetings(chosen: DataFrame, sets_of: Callable, found: Callable, schema: str)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")),
                 1 + int(entries // BLOCK + total["pairs"] - total["groups"]) // PAIRS)
     placed = stored(chosen.join(groups, "root"), "set-placed")
-    rows = sets_of(placed, ["root", "blocks", "node", "members", "label"])
-    rows = (rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-            .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-            .withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")))
-    part = F.when(F.col("blocks") > 1, F.xxhash64("root", "i", "j")).otherwise(F.pmod(F.xxhash64("root"), F.lit(PAIRS * parts)))
-    rows = rows.withColumn("part", part).select("part", "root", "i", "j", "block", "node", "members", "label", "hashes")
+    rows = dealt_in_pairs(sets_of(placed, ["root", "blocks", "node", "members", "label"]), parts)
     names = [c.split()[0] for c in schema.split(", ")]
 
     def meet(t: pa.Table) -> pa.Table:

@@ -1,6 +1,7 @@
 """The join and the mixing against plain Python."""
 
 import random
+import time
 from collections import Counter
 from fractions import Fraction
 
@@ -8,7 +9,7 @@ import numpy as np
 import pytest
 from conftest import words
 
-from prefixery.llm import jaccard_join, source_mixing
+from prefixery.llm import jaccard_join, set_links, source_mixing
 from prefixery.llm.components import components
 
 
@@ -69,7 +70,7 @@ def test_join_equals_brute_force(spark, edge_docs, sample_docs, empty_docs):
 
 def test_join_of_texts_that_share_passages(spark, monkeypatch):
     """Many texts share a passage and fall into one group of many blocks."""
-    monkeypatch.setattr(jaccard_join, "BLOCK", 500)
+    monkeypatch.setattr(set_links, "BLOCK", 500)
     r = random.Random(8)
     passage = [f"p{k}" for k in range(60)]
     rows = []
@@ -197,14 +198,78 @@ def test_link_counts_equal_brute_force(spark, edge_docs, monkeypatch):
     sets = [(i, shingles(t)) for i, t in rows if i is not None]
     want = Counter((i, sum(bool(a) and bool(b) and 100 * len(a & b) >= 75 * len(a | b) for _, b in sets) - bool(a)) for i, a in sets)
     want.update((i, 0) for i, _ in rows if i is None)
-    monkeypatch.setattr(jaccard_join, "BLOCK", 2000)
+    monkeypatch.setattr(set_links, "BLOCK", 2000)
     assert Counter((x["doc_id"], x["n_links"]) for x in jaccard_join.join(docs, all_links=True).collect()) == want
 
 
 def test_pairs_of_blocks_are_dealt_one_by_one(spark):
     """A group of many blocks: each pair of them is a part of its own."""
-    rows = [(1, k, 12, 1, b"") for k in range(300)] + [(k, 1000 + k, 1, 1, b"") for k in range(2, 30)]
-    groups = spark.createDataFrame(rows, "root long, sig long, blocks long, members long, hashes binary")
-    met = jaccard_join._dealt(groups, 4).where("root = 1").select("part", "i", "j").distinct().collect()
+    rows = [(1, k, 12, 1, k, b"") for k in range(300)] + [(k, 1000 + k, 1, 1, k, b"") for k in range(2, 30)]
+    groups = spark.createDataFrame(rows, "root long, node long, blocks long, members long, label long, hashes binary")
+    met = set_links.dealt_in_pairs(groups, 4).where("root = 1").select("part", "i", "j").distinct().collect()
     assert {(x["i"], x["j"]) for x in met} == {(i, j) for j in range(12) for i in range(j + 1)}
     assert len({x["part"] for x in met}) == len(met) == 78
+
+
+def near_copies(n, size, changes, seed=1):
+    r = np.random.default_rng(seed)
+    base = np.unique(r.integers(0, 1 << 60, size).astype(np.uint64))
+    out = []
+    for _ in range(n):
+        own = base.copy()
+        own[r.integers(0, len(own), changes)] = r.integers(0, 1 << 60, changes).astype(np.uint64)
+        out.append(np.unique(own))
+    return out
+
+
+def test_near_copies_cost_one_pass():
+    """4,000 near copies in one place: hubs, not pairs."""
+    sets = near_copies(4000, 40, 2)
+    whole = np.arange(len(sets))
+    began = time.process_time()
+    got = jaccard_join._spanning(sets, whole, whole, whole)
+    assert time.process_time() - began < 5
+    assert len({x for pair in got for x in pair}) == len(sets)
+
+
+@pytest.mark.parametrize("changes", [3, 8, 14])
+def test_spanning_links_connect_what_links_connect(changes):
+    sets = near_copies(90, 60, changes, changes) + near_copies(40, 50, 3, 99)
+    label = np.arange(len(sets))
+    label[:6] = 0                                             # known to be connected
+    whole = np.arange(len(sets))
+    for left, right in ((whole, whole), (whole[:70], whole[70:])):
+        got = jaccard_join._spanning(sets, label, left, right)
+        parent = {}
+
+        def find(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        def joined(pairs):
+            parent.update({k: k for k in whole})
+            for a, b in pairs:
+                x, y = find(int(a)), find(int(b))
+                parent[max(x, y)] = min(x, y)
+            return [find(k) for k in whole]
+
+        def linked(a, b):
+            both = len(np.intersect1d(sets[a], sets[b]))
+            return 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both)
+
+        known = [(0, k) for k in range(6)]
+        true = [(a, b) for a in left for b in right if a != b and linked(a, b)]
+        assert all(linked(a, b) for a, b in got)
+        assert joined([*true, *got, *known]) == joined([*got, *known])
+
+
+def test_rows_of_equal_keys_are_each_placed(spark):
+    """Repeated rows, equal ids with other texts or sources, null ids."""
+    rows = [(1, "a", "s"), (1, "a", "s"), (1, "a", "s"), (1, "b", "s"), (1, "a", "t"), (None, "a", "s"), (None, "a", "s"), (None, None, None),
+            (2, None, None), (2, None, "")] + [(k, f"t{k}", "st"[k % 2]) for k in range(3, 40)]
+    docs = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, source string, n long")
+    for few in (True, False):
+        got = source_mixing.schedule(docs, block=2).collect() if few else source_mixing.schedule(docs.repartition(7), block=2).collect()
+        assert sorted(x["mix_position"] for x in got) == list(range(len(rows)))
+        assert sorted(x["n"] for x in got) == list(range(len(rows)))
