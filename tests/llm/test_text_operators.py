@@ -4,6 +4,7 @@ import hashlib
 import math
 import re
 import zlib
+from bisect import bisect_left, bisect_right
 from collections import Counter
 
 import numpy as np
@@ -281,10 +282,13 @@ def test_token_blocks_equal_whole_text_encoding(edge_docs, sample_docs, empty_do
 
 
 def brute_sections(text, spans, sections, rule):
+    """``sections`` are sorted and do not overlap."""
     out = Counter()
+    starts, ends = [a for a, _ in sections], [b for _, b in sections]
     for lo, hi in spans:
         hi = max(hi, lo + 1)
-        touch = {k: min(hi, e) - max(lo, s) for k, (s, e) in enumerate(sections) if min(hi, e) > max(lo, s)}
+        touch = {k: min(hi, ends[k]) - max(lo, starts[k]) for k in range(bisect_right(ends, lo), bisect_left(starts, hi))
+                 if min(hi, ends[k]) > max(lo, starts[k])}
         if rule == "split":
             for k, x in touch.items():
                 out[k] += x / (hi - lo)
