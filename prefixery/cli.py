@@ -3,8 +3,13 @@
     python -m prefixery load     --log 'raw/*.parquet' --out base/ [--top-n N] [--csv out.csv]
     python -m prefixery ingest   --feed feed/ --state state/ [--once] [--kafka-servers h:p --topic t]
     python -m prefixery compact  --state state/ --base base/ --out base2/ [--vacuum]
+    python -m prefixery fold     --state state/ --ranges base-ranges/ [--base base/] [--vacuum]
+    python -m prefixery refresh  --root idx-ranges/ --ranges base-ranges/ [--state state/] --published-ms MS
+    python -m prefixery metrics  --state state/
     python -m prefixery publish  --root idx/ --base base/ [--state state/] --published-ms MS
     python -m prefixery suggest  --root idx/ --requests req.parquet --out answers/
+    python -m prefixery lookup   --root idx/ --prefix iph
+    python -m prefixery scan     --ranges base-ranges/ --prefixes prefixes.parquet --out found/
     python -m prefixery export   --root idx/ --out cache/ [--nodes 0,1,2]
     python -m prefixery weights  --base base/ --out weights/
 
@@ -24,9 +29,11 @@ from .operators import export as ex_ops
 from .operators import lookup as lk
 from .operators import ring as rg
 from .operators import weights as wt
+from .plans import incremental as inc
 from .plans import publish as pub
 from .session import build_session
-from .sources import events_io
+from .sources import catalog_io, events_io
+from .sources import range_store as rs
 from .streaming import ingest as ing
 
 
@@ -62,6 +69,47 @@ def cmd_compact(spark, a):
     return {"absorbed": absorbed}
 
 
+def cmd_fold(spark, a):
+    """Fold new batches into a base in key ranges (made from ``--base`` the first time)."""
+    if not rs.generation(spark, a.ranges):
+        if not a.base:
+            raise SystemExit("--base names the catalog that the ranges begin with")
+        ing.create_base(spark, a.ranges, ing.read_base(spark, a.base)[0], a.slots)
+    before = {r["path"] for r in rs.manifest(spark, a.ranges)}
+    absorbed = ing.compact_ranges(spark, a.state, a.ranges)
+    after = {r["path"] for r in rs.manifest(spark, a.ranges)}
+    if a.vacuum:
+        ing.vacuum(spark, a.state, absorbed)
+        rs.vacuum(spark, a.ranges)
+    return {"absorbed": absorbed, "slots": len(after), "rewritten": len(after - before)}
+
+
+def cmd_refresh(spark, a):
+    """The index in key ranges: whole the first time, then only what has changed."""
+    catalog, absorbed = ing.read_ranges(spark, a.ranges)
+    if a.state:
+        catalog = ing.current_catalog(spark, a.state, catalog, absorbed)
+    return inc.refresh(spark, a.root, catalog, a.published_ms, IndexParams(decay_to_ms=a.published_ms if a.decay else None), a.slots)
+
+
+def cmd_metrics(spark, a):
+    m = ing.ingest_metrics(spark, a.state)
+    return m.agg(F.sum("events").alias("events"), F.sum("dead_letters").alias("dead_letters"), F.sum("rows").alias("rows"),
+                 F.count(F.lit(1)).alias("batches"), F.max("newest_ms").alias("newest_ms")).first().asDict()
+
+
+def cmd_lookup(spark, a):
+    rows = pub.lookup_published(spark, a.root, a.prefix.strip().lower()).orderBy("rank").collect()    # at most K rows
+    return {"prefix": a.prefix, "suggestions": [[r["query"], r["score"]] for r in rows]}
+
+
+def cmd_scan(spark, a):
+    """All catalog queries under each given prefix."""
+    prefixes = spark.read.parquet(a.prefixes).select("prefix").where("prefix IS NOT NULL").distinct()
+    rs.scan_prefixes(spark, a.ranges, "query", catalog_io.CATALOG_SCHEMA, prefixes).write.mode("overwrite").parquet(a.out)
+    return {"out": a.out}
+
+
 def cmd_publish(spark, a):
     cat, absorbed = ing.read_base(spark, a.base)
     if a.state:
@@ -125,6 +173,33 @@ def parser() -> argparse.ArgumentParser:
     s.add_argument("--out", required=True)
     s.add_argument("--vacuum", action="store_true", help="remove the absorbed batches")
 
+    s = sub.add_parser("fold")
+    s.add_argument("--state", required=True)
+    s.add_argument("--ranges", required=True)
+    s.add_argument("--base", default=None)
+    s.add_argument("--slots", type=int, default=None)
+    s.add_argument("--vacuum", action="store_true", help="remove absorbed batches and replaced files")
+
+    s = sub.add_parser("refresh")
+    s.add_argument("--root", required=True)
+    s.add_argument("--ranges", required=True)
+    s.add_argument("--state", default=None)
+    s.add_argument("--published-ms", type=int, required=True)
+    s.add_argument("--decay", action="store_true", help="decay recency to the publish time (changes every searched query)")
+    s.add_argument("--slots", type=int, default=None)
+
+    s = sub.add_parser("metrics")
+    s.add_argument("--state", required=True)
+
+    s = sub.add_parser("lookup")
+    s.add_argument("--root", required=True)
+    s.add_argument("--prefix", required=True)
+
+    s = sub.add_parser("scan")
+    s.add_argument("--ranges", required=True)
+    s.add_argument("--prefixes", required=True)
+    s.add_argument("--out", required=True)
+
     s = sub.add_parser("publish")
     s.add_argument("--root", required=True)
     s.add_argument("--base", required=True)
@@ -149,7 +224,8 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
-COMMANDS = {"load": cmd_load, "ingest": cmd_ingest, "compact": cmd_compact,
+COMMANDS = {"load": cmd_load, "ingest": cmd_ingest, "compact": cmd_compact, "fold": cmd_fold,
+            "refresh": cmd_refresh, "metrics": cmd_metrics, "lookup": cmd_lookup, "scan": cmd_scan,
             "publish": cmd_publish, "suggest": cmd_suggest, "export": cmd_export,
             "weights": cmd_weights}
 

@@ -92,3 +92,26 @@ def update_index(spark: SparkSession, root: str, changes: DataFrame, params: Ind
     new = (state.where(~short).select("prefix", "suggestions")
            .unionByName(fill.join(px.nested_index(scanned), "prefix", "left").select("prefix", "suggestions")))
     return rs.rewrite(spark, f"{root}/lists", "prefix", LISTS, new, _replaced("prefix", "suggestions"))
+
+
+REFRESH_SCHEMA = "published_ms bigint, changed bigint, max_event_ms bigint, staleness_ms bigint"
+
+
+def refresh(spark: SparkSession, root: str, catalog: DataFrame, published_ms: int, params: IndexParams = IndexParams(),
+            slots: int | None = None) -> dict:
+    """Bring the index in key ranges to the state of ``catalog``: all of it the first
+    time, after that only what has changed.  Records and returns the generation of the
+    lists, the number of changed candidates and the staleness."""
+    stored = _stored(catalog.select("query", "all_time_count", "recent_score", "last_ms"), "refresh-catalog")
+    cands = _stored(px.candidates(stored, params), "refresh-candidates")
+    if not rs.generation(spark, f"{root}/lists"):
+        create_index(spark, root, cands, params, slots)
+        changed, gen = cands.count(), rs.generation(spark, f"{root}/lists")
+    else:
+        changes = _stored(candidate_changes(spark, root, cands), "refresh-changes")
+        changed, gen = changes.count(), update_index(spark, root, changes, params)
+    newest = stored.agg(F.max("last_ms")).first()[0]
+    row = (published_ms, changed, newest, None if newest is None else published_ms - newest)
+    (spark.createDataFrame([row], REFRESH_SCHEMA).coalesce(1).write.mode("overwrite")
+     .option("partitionOverwriteMode", "static").json(f"{root}/refreshes/gen={gen}/at={published_ms}"))
+    return {"generation": gen, **dict(zip([c.split()[0] for c in REFRESH_SCHEMA.split(", ")], row, strict=True))}
