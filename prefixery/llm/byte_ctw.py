@@ -237,8 +237,8 @@ def score(docs: DataFrame, depth: int = 5, broadcast_rows: int = BROADCAST_ROWS)
     docs = prepared(docs)
     model, total, distinct = fit(docs, depth)
     scored = (_by_arrays if model.count() <= broadcast_rows else _by_join)(docs, model, depth, total + distinct + 1)
-    return (scored.withColumn("train_tokens", F.lit(total).cast("long"))
-            .withColumn("bits_per_byte", -F.col("score") * math.log2(10) / F.col("n_bytes")))
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score",
+                         "n_bytes", (-F.col("score") * math.log2(10) / F.col("n_bytes")).alias("bits_per_byte"))
 
 
 def op8_byte_ctw(spark, sf_dir: str) -> DataFrame:
