@@ -2,8 +2,9 @@
 
 Text and benchmark items are read as bytes: A-Z lower-cased, white space runs
 one space.  A document is contaminated when a stretch of ``WINDOW`` bytes of an
-item (the whole item, if it is shorter) occurs in it with at most ``ERRORS``
-insertions, deletions and substitutions.
+item occurs in it with at most ``ERRORS`` insertions, deletions and substitutions.  A
+shorter item has to occur whole, with one edit for each 25 bytes that it has (none
+below 25); one of less than ``Q`` bytes as it is, between word ends.
 
 Q-gram lemma: such an occurrence shares at least WINDOW + 1 - Q (ERRORS + 1)
 q-grams with the stretch, all within ERRORS + 1 neighbouring diagonals (position
@@ -19,13 +20,15 @@ each group, so its size has a bound at any benchmark size.  Documents need no
 shuffle: each is scanned whole within its partition.
 
 Defined results: null and empty texts, and an empty benchmark, give no hits.
-Items without words or shorter than ``Q`` bytes are not searched.  Null ids stay
+Items without words are not searched.  Null ids stay
 null; repeated rows are scanned each.  Columns other than the ids and texts are
 ignored.
 """
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -40,6 +43,8 @@ ERRORS = 2
 BAND = 8
 GROUP_BYTES = 16 << 20
 _TABLE_BITS = 22
+SHORT_EDIT = 25            # bytes of a short item per edit
+_ENDS = np.array([0x20, 0x0A], np.uint8)
 
 
 def _qgrams(b: np.ndarray) -> np.ndarray:
@@ -75,9 +80,14 @@ class Index:
         self.bits[self._slot(self.hash)] = True
         size = np.array([len(t) for t in self.texts], np.int64)
         self.window = np.minimum(size, WINDOW)
-        self.errors = np.where(size >= WINDOW, ERRORS, 0)
+        self.errors = np.where(size >= WINDOW, ERRORS, size // SHORT_EDIT)
         self.least = self.window + 1 - Q * (self.errors + 1)
 
+        self.short: dict[int, dict[bytes, list[int]]] = {}       # items of less than Q bytes by length
+        for k, t in enumerate(self.texts):
+            if len(t) < Q:
+                self.short.setdefault(len(t), {}).setdefault(t, []).append(k)
+
     @staticmethod
     def _slot(h: np.ndarray) -> np.ndarray:
         return (h >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)
@@ -149,6 +159,20 @@ def _verified(index: Index, text: bytes, p: int, item: int, at: int, size: int)
     return (best[0], -best[1]) if best[0] >= index.window[item] else None
 
 
+def _short(index: Index, text: np.ndarray, at: np.ndarray):
+    """(row, item, (item bytes, 0)) of the shortest items, word by word."""
+    first = np.flatnonzero(np.isin(text[:-1], _ENDS) & ~np.isin(text[1:], _ENDS)) + 1
+    for size, items in index.short.items():
+        place = first[first + size < len(text)]
+        place = place[np.isin(text[place + size], _ENDS)]
+        own = np.ascontiguousarray(text[place[:, None] + np.arange(size)]).view(f"S{size}").ravel()
+        place = place[np.isin(own, np.array(list(items), f"S{size}"))]
+        rows = np.searchsorted(at, place, "right") - 1
+        for p, row in zip(place.tolist(), rows.tolist(), strict=True):
+            for item in items.get(text[p:p + size].tobytes(), ()):
+                yield row, item, (size, 0)
+
+
 def _found(index: Index, text: np.ndarray, at: np.ndarray, pad: int):
     """(row, item, item bytes covered, edits) per verified place."""
     p, item, j = _kept(index, *index.hits(text))
@@ -188,7 +212,7 @@ def _index(items: DataFrame) -> Index:
         text, at = _normal(s)
         for k, i in enumerate(s.column("item_id").to_pylist()):
             own = text[at[k]:at[k + 1] - Q - 1].tobytes()    # without the end mark
-            if len(own) >= Q:
+            if own:
                 out.append((i, own))
     return Index(out)
 
@@ -212,7 +236,7 @@ def _matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             for s in slices(batches):
                 text, at = _normal(s)
                 found: dict[int, dict] = {}
-                for row, item, place in _found(index.value, text, at, Q):
+                for row, item, place in chain(_found(index.value, text, at, Q), _short(index.value, text, at)):
                     best = found.setdefault(row, {})
                     best[item] = max(best.get(item, (0, 0)), (place[0], -place[1]))
                 top = [max(found[r].values()) if r in found else (0, 0) for r in range(s.n)]
