@@ -12,8 +12,8 @@ of log10 perplexity (a histogram of width ``STEP`` over all distinct texts that
 pass the base rules, so the quartiles are exact to that step); documents outside
 it are rejected.  Texts with the same least hash of their ``SKETCH``-word windows
 (near copies do, as likely as their windows are alike) weigh as much as one text
-together, and in the model a repeated text counts ``COPIES`` times however many
-rows have it, so that no group of copies sets the band.  Every row is scored.
+together, and the model counts a repeated text once however many rows have it, so
+that no group of copies sets the band.  Every row is scored.
 
 While the model holds at most ``broadcast_rows`` rows (28 bytes each) its arrays
 go to every task; beyond that the documents' gram counts are joined to its
@@ -43,7 +43,6 @@ STEP = 0.001
 MIN_WORDS = 50
 REPEAT_WINDOW = 3
 SKETCH = 5
-COPIES = 2
 BROADCAST_MARKS = 500_000   # repeated texts' hashes sent to all tasks, more are joined by shuffle
 SYMBOLS = "#*$%&|<>"
 _ROWS = 1 << 17
@@ -310,15 +309,15 @@ def _mark(docs: DataFrame) -> Column:
     return F.xxhash64(docs["text"], F.coalesce(docs["lang"], F.lit("")))
 
 
-def _few_copies(docs: DataFrame) -> DataFrame:
-    """(text, lang), ``COPIES`` times where several rows have both.  Only rows
-    with copies are shuffled, one of each text per task."""
+def _distinct_texts(docs: DataFrame) -> DataFrame:
+    """(text, lang), once where several rows have both.  Only rows with copies are
+    shuffled, one of each text per task."""
     again = stored(docs.groupBy("mark").count().where("count > 1").select("mark"), "rules-repeated")
     few = again.count() <= BROADCAST_MARKS
     known = F.broadcast(again) if few else again.hint("shuffle_hash")
     copied = docs.join(known, "mark", "left_semi").dropDuplicates(["mark"]).select("text", "lang")
     single = docs.join(known, "mark", "left_anti").select("text", "lang")
-    return single.unionByName(copied.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(COPIES)))).drop("copy"))
+    return single.unionByName(copied)
 
 
 def _rated(docs: DataFrame, order: int = ORDER, spread: float = 3.0, least: float = 0.03,
@@ -326,7 +325,7 @@ def _rated(docs: DataFrame, order: int = ORDER, spread: float = 3.0, least: floa
     if order > 5:
         raise ValueError("orders up to 5 fit the packed keys")
     docs = docs.select("doc_id", "text", "lang", _mark(docs).alias("mark"))
-    model = fit(_few_copies(docs), order)
+    model = fit(_distinct_texts(docs), order)
     scored = (_by_arrays if model.count() <= broadcast_rows else _by_join)(docs, model, order)
     scored = stored(scored.withColumn("log10_ppl", -F.col("logp") / F.col("n_bytes")), "kn-scored")
     inside = F.col("log10_ppl").between(F.col("lower"), F.col("upper"))
