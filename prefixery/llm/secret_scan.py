@@ -10,9 +10,14 @@ one window long.  A window of ``WINDOW`` characters slides over a candidate; the
 count of the entering and of the leaving character are adjusted, and with them
 the running sum of c log2 c, so that the entropy log2 W - sum / W of each window
 costs one step.  The hull of the windows at or above the class's threshold is a
-span, unless the candidate matches the allow-list or the span overlaps an
+span, unless the allow-list suppresses the candidate or the span overlaps an
 earlier one (base spans first, then ``entropy_hex``, then ``entropy_base64``).
 
+Allow-list: a candidate that is a UUID or a date as a whole; one whose longest part
+between ``= / _ -`` bears a word of documentation values; and one that has, beside
+plain numbers and words (one case, capitalised, or camel case), less than ``REST``
+characters in its parts.  So neither a name nor a date beside a key hides it.
+
 Every step is an expression of one row: no shuffle, and no state beyond a text.
 
 Defined results: a null text is empty; a text without findings has counts 0, the
@@ -39,13 +44,16 @@ CLASSES = [
     ("entropy_base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/=_-",
      r"[A-Za-z0-9+/=_-]{20,}", 3.9),
 ]
-ALLOW = [
-    r"^[^0-9]*$",                                             # words: no digit
-    r"^[0-9]+$",                                              # plain numbers
-    r"(?i)example|sample|placeholder|dummy|xxxx",             # documentation values
+REST = 16                  # characters that no word or number explains
+SEPARATOR = "[=/_-]+"
+# The allow-list.
+ALLOW_WHOLE = [
     r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",  # UUIDs
-    r"^[0-9]{4}-[0-9]{2}-[0-9]{2}",                           # dates
+    r"^[0-9]{4}-[0-9]{2}-[0-9]{2}([T_-][0-9-]*)?$",           # dates
 ]
+ALLOW_LONGEST = [r"(?i)example|sample|placeholder|dummy|xxxx"]                 # documentation values
+ALLOW_PART = [r"^[0-9]+$", r"^[A-Z]+$", r"^[A-Z]?[a-z]*([A-Z][a-z]+)*$"]       # numbers and words
+ALLOW = {"whole": ALLOW_WHOLE, "longest": ALLOW_LONGEST, "part": ALLOW_PART}
 KINDS = ["assign", "access", "hex"] + [c[0] for c in CLASSES]
 
 _SPAN = "array<struct<start:int,rank:int,end:int,kind:string,text:string>>"
@@ -103,12 +111,19 @@ def _hull(candidate: Column, alphabet: str, window: int, least: float) -> Column
                        lambda a: F.struct(a["lo"].alias("lo"), a["hi"].alias("hi")))
 
 
-def _entropy(text: Column, kind: str, alphabet: str, pattern: str, least: float, window: int, allow: list[str]) -> Column:
+def _any(text: Column, patterns: list[str]) -> Column:
+    known = F.lit(False)
+    for p in patterns:
+        known = known | text.rlike(p)
+    return known
+
+
+def _entropy(text: Column, kind: str, alphabet: str, pattern: str, least: float, window: int, allow: dict[str, list[str]]) -> Column:
     def suspicious(x):
-        known = F.lit(False)
-        for a in allow:
-            known = known | x["text"].rlike(a)
-        return ~known
+        parts = F.split(x["text"], SEPARATOR)
+        longest = F.array_max(F.transform(parts, lambda p: F.struct(F.length(p).alias("n"), p.alias("p"))))["p"]
+        rest = F.aggregate(F.filter(parts, lambda p: ~_any(p, allow["part"])), F.lit(0), lambda acc, p: acc + F.length(p))
+        return ~_any(x["text"], allow["whole"]) & ~_any(longest, allow["longest"]) & (rest >= REST)
 
     def narrowed(x):
         hull = _hull(x["text"], alphabet, window, least)
@@ -130,7 +145,7 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
 
 
-def scan(docs: DataFrame, window: int = WINDOW, classes=None, allow: list[str] | None = None) -> DataFrame:
+def scan(docs: DataFrame, window: int = WINDOW, classes=None, allow: dict[str, list[str]] | None = None) -> DataFrame:
     """One row per document: doc_id, ``base`` and ``found`` (spans as structs
     start, rank, end, kind, text; sorted by start, then kind)."""
     classes, allow = classes or CLASSES, ALLOW if allow is None else allow

@@ -44,9 +44,11 @@ def test_rules_base_measures(edge_docs, sample_docs):
 
 
 def brute_kneser_ney(texts, order):
-    """Interpolated modified Kneser-Ney over bytes: probability of each top gram."""
+    """Interpolated modified Kneser-Ney over bytes, counted on distinct texts:
+    log10 perplexity of each text."""
     streams = [b"\n" * (order - 1) + (" ".join(words(t)) + "\n").encode() for t in texts]
-    level = {order: Counter(s[i - order + 1:i + 1] for s in streams for i in range(order - 1, len(s)))}
+    counted = dict(zip(texts, streams, strict=True)).values()
+    level = {order: Counter(s[i - order + 1:i + 1] for s in counted for i in range(order - 1, len(s)))}
     for k in range(order - 1, 0, -1):
         level[k] = Counter(g[1:] for g in level[k + 1])
     p = {}
@@ -75,6 +77,36 @@ def test_rules_perplexity_equals_kneser_ney(sample_docs, sample_texts):
         assert r["kept"] == (inside and not r["base_failed"])
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_bands_equal_brute_force(spark, seed):
+    """Weighted quartiles over distinct texts, with copies, near copies, ties and a
+    language without a text that passes the base rules."""
+    import random
+    r = random.Random(seed)
+    rows = [(lang, mark, mark % 7 if lang == "en" else mark, False, round(r.choice([0.5, 0.6, 0.61, 0.7, 2.0]) + r.randrange(5) / 1000, 3))
+            for lang, n in (("en", 60), ("de", 9), ("fr", 1)) for mark in range(n)]
+    rows += [rows[0]] * 200 + [("en", 1000 + k, k, True, 9.0) for k in range(50)] + [("es", 1, 1, True, 1.0)]
+    got = {x["lang"]: (x["lower"], x["upper"]) for x in quality_rules.bands(spark.createDataFrame(
+        rows, "lang string, mark long, sketch long, base_failed boolean, log10_ppl double"), 3.0, 0.03).collect()}
+    want = {}
+    for lang in ("en", "de", "fr"):
+        texts = {mark: (sketch, round(x / quality_rules.STEP)) for own, mark, sketch, failed, x in rows if own == lang and not failed}
+        alike = Counter(sketch for sketch, _ in texts.values())
+        weights = sorted((b, 1 / alike[sketch]) for sketch, b in texts.values())
+
+        def quartile(p):
+            upto = 0
+            for b, w in weights:
+                upto += w
+                if upto >= p * sum(w for _, w in weights) - 1e-9:
+                    return b * quality_rules.STEP
+
+        q1, q3 = quartile(0.25), quartile(0.75)
+        reach = max(3 * (q3 - q1), 0.03)
+        want[lang] = (pytest.approx(q1 - reach), pytest.approx(q3 + reach))
+    assert got == want
+
+
 def test_rules_by_join_and_by_arrays_agree(edge_docs):
     a, b = (sorted(map(repr, (tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in
                               quality_rules.rate(edge_docs, broadcast_rows=n).collect()))) for n in (10 ** 9, 0))
@@ -189,6 +221,14 @@ def test_ctw_edge_rows_and_join_path(edge_docs, empty_docs):
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 
 
+def suppressed(candidate):
+    parts = re.split("[=/_-]+", candidate)
+    longest = max(parts, key=lambda p: (len(p), p))
+    rest = [p for p in parts if not any(re.search(a, p) for a in secret_scan.ALLOW["part"])]
+    return (any(re.search(a, candidate) for a in secret_scan.ALLOW["whole"])
+            or any(re.search(a, longest) for a in secret_scan.ALLOW["longest"]) or sum(map(len, rest)) < secret_scan.REST)
+
+
 def brute_spans(text):
     found = [(m.start(), 0, m.end(), "assign") for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
     found += [(m.start(), 1, m.end(), "access") for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
@@ -197,7 +237,7 @@ def brute_spans(text):
     for rank, (kind, _, pattern, least) in enumerate(secret_scan.CLASSES, 3):
         more = []
         for m in re.finditer(pattern, text):
-            if any(re.search(a, m[0]) for a in secret_scan.ALLOW):
+            if suppressed(m[0]):
                 continue
             high = []
             for k in range(len(m[0]) - 19):
@@ -235,6 +275,25 @@ def test_secrets_equal_brute_force(spark, edge_docs, sample_docs):
     assert n >= 3                                              # the entropy spans are exercised
 
 
+KEY = "q8Z7xW6vT5sR4pN3mK2jH1gF0dCbYaLoUiEwQtAz"
+
+
+@pytest.mark.parametrize("text, found", [
+    (KEY, True), (f"sample_key={KEY}", True), (f"2024-01-02_{KEY}", True), (f"/example/path={KEY}", True),
+    ("qWeRTyUIoPAsDFgHJklZXcVBnmQAzwSXedCRfvTGb", True), (KEY[:18] + "EXAMPLEKEY" + KEY[18:], False),
+    ("123e4567-e89b-12d3-a456-426614174000", False), ("2024-01-02T11-22-33-000", False),
+    ("someVeryLongCamelCaseIdentifierNameThatGoesOn", False), ("https_docs/getting-started/Installation_and_usage/quick", False)])
+def test_neighbours_do_not_hide_secrets(spark, text, found):
+    docs = spark.createDataFrame([(1, f"before {text} after")], "doc_id long, text string")
+    spans = secret_scan.scan(docs).first()["found"]
+    assert bool([x for x in spans if x["kind"].startswith("entropy")]) == found
+    assert suppressed(text) != found
+
+
+def test_secrets_of_an_empty_table(empty_docs):
+    assert secret_scan.scan(empty_docs).count() == 0
+
+
 def test_secret_digest_columns(spark, tmp_path):
     spark.createDataFrame(list(enumerate(SECRETS)) + [(99, None)], "doc_id long, text string").write.parquet(
         str(tmp_path / "documents.parquet"))
@@ -384,10 +443,25 @@ def test_decontamination_equals_exhaustive_search(spark):
         want = any(edit_distance_ends(own[j:j + decontaminate.WINDOW], text) <= decontaminate.ERRORS
                    for j in range(len(own) - decontaminate.WINDOW + 1))
         seen.add(want)
-        assert got[k] >= want, (k, t)                          # nothing within the budget is missed
+        assert got[k] == want, (k, t)
     assert seen == {True, False}
 
 
+def test_short_items(spark, edge_docs, empty_docs):
+    """Items below a window: whole, with an edit per 25 bytes, or word by word."""
+    bench = spark.createDataFrame([(1, "What is the capital city of France?"), (2, "Name it now, please."), (3, "Go on!"), (4, None), (5, " "),
+                                   (6, "x")], "item_id long, text string")
+    docs = spark.createDataFrame([
+        (1, "Quiz: what is the capitol city of france? Paris"), (2, "what is teh capitel city of france"), (3, "so name it now, please. ok"),
+        (4, "name it mow, please."), (5, "and go on! now"), (6, "lego on!"), (7, "go on!"), (8, "an x here"), (9, "axe")],
+        "doc_id long, text string")
+    got = {r["doc_id"]: list(r["items"]) for r in decontaminate.matches(docs, bench).collect()}
+    assert got == {1: [1], 2: [], 3: [2], 4: [], 5: [3], 6: [], 7: [3], 8: [6], 9: []}
+    clashing = decontaminate.matches(edge_docs, bench)
+    assert clashing.count() == edge_docs.count() and clashing.columns == ["doc_id", "contaminated", "items", "longest", "edits"]
+    assert decontaminate.matches(empty_docs, bench).count() == 0 and decontaminate.clean(empty_docs, bench).count() == 0
+
+
 def test_decontamination_groups_of_items(spark, sf_small, sample_docs, monkeypatch):
     bench = spark.read.parquet(f"{sf_small}/benchmark.parquet")
     whole = sorted(map(repr, decontaminate.matches(sample_docs, bench).collect()))
@@ -419,16 +493,69 @@ def test_license_scan(spark, edge_docs, empty_docs):
     got = {r["doc_id"]: r for r in license_scan.scan(docs).collect()}
     assert got[1]["licenses"] == "MIT" and got[1]["spans"] == "MIT:16:46:100"
     assert [got[k]["n_licenses"] for k in (2, 4, 5)] == [0, 0, 0]
-    assert "MIT-text" in got[3]["licenses"] and 0.8 <= got[3]["best_coverage"] < 1
+    assert "MIT-text" in got[3]["licenses"].split(",") and 0.8 <= got[3]["best_coverage"] < 1
     assert {"CC-BY-NC-4.0", "GPL-3.0", "MIT"} <= set(got[6]["licenses"].split(","))
     assert license_scan.scan(edge_docs).count() == edge_docs.count() and license_scan.scan(empty_docs).count() == 0
     assert license_scan.scan(docs, templates={}).where("n_licenses > 0").count() == 0
 
 
+@pytest.mark.parametrize("text, names", [
+    ("Released under the Apache License.", set()), ("This was released under the license of the city.", set()),
+    ("CC BY-SA 4.0", set()), ("Licensed under CC BY-SA 4.0.", {"CC-BY-SA-4.0-short"}), ("Licensed under CC BY 4.0", {"CC-BY-4.0-short"}),
+    ("Licensed under CC BY-NC 4.0.", {"CC-BY-NC-4.0"}),
+    ("This work is licensed under the GNU General Public License, version 2.", {"GPL-2.0"}),
+    ("This work is licensed under the GNU Lesser General Public License, version 3.", {"LGPL-3.0"}),
+    ("This work is licensed under the GNU Affero General Public License, version 3.", {"AGPL-3.0"}),
+    ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed "
+     "with this file, You can obtain one at https://mozilla.org/MPL/2.0/.", {"MPL-2.0"}),
+    ("Released under the ISC License.", {"ISC"}),
+    (license_scan.TEMPLATES["BSD-2-Clause"], {"BSD-2-Clause", "BSD-opening"}), (license_scan.TEMPLATES["BSD-3-Clause"], {"BSD-3-Clause", "BSD-opening"}),
+    (license_scan.TEMPLATES["LGPL-2.1-notice"], {"LGPL-2.1-notice"}), (license_scan.TEMPLATES["GPL-2.0-notice"], {"GPL-2.0-notice"}),
+    ("Dieses Werk steht unter keiner Lizenz.", set())])
+def test_license_names(text, names):
+    t = license_scan.Templates(license_scan.TEMPLATES, license_scan.COVERAGE, license_scan.STRETCH, license_scan.REQUIRED, license_scan.FORBIDDEN)
+    h = np.array(license_scan._hashed([f"zq {text} qz"])[0], np.int64)
+    assert {t.names[k] for _, k, *_ in license_scan._findings(t, h, np.array([0, len(h)]))} == names
+
+
+def test_license_findings_equal_every_region():
+    """Without the vocabulary's shortcut: every region from every word, leftmost first."""
+    import random
+    r = random.Random(4)
+    few = {"a": "one two three four five six", "b": "two four six eight ten", "c": "five five six"}
+    t = license_scan.Templates(few, 0.8, 1.5, {"b": ["four six"]}, {"a": ["nine"]})
+    vocabulary = "one two three four five six eight nine ten eleven".split()
+    hits = 0
+    for _ in range(300):
+        rows = [[r.choice(vocabulary) for _ in range(r.randrange(14))] for _ in range(3)]
+        for k in range(3):
+            if r.random() < 0.5:
+                rows[k] += r.choice(list(few.values())).split()
+        words_ = license_scan._hashed([" ".join(x) for x in rows])
+        first = np.concatenate([[0], np.cumsum([len(x) for x in words_])])
+        h = np.array([w for x in words_ for w in x], np.int64)
+        got = sorted((a, b, c, d, e) for a, b, c, d, e in license_scan._findings(t, h, first))
+        want = []
+        for row in range(3):
+            for k in range(len(t.names)):
+                done = -1
+                for at in range(first[row], first[row + 1]):
+                    if at < done or h[at] not in t.words[k]:
+                        continue
+                    region = h[at:min(at + t.span[k], first[row + 1])].tolist()
+                    pairs = license_scan.align(region, t.words[k])
+                    if len(pairs) >= 0.8 * len(t.words[k]) and t.bears_name(k, region[pairs[0][0]:pairs[-1][0] + 1]):
+                        done = at + pairs[-1][0] + 1
+                        want.append((row, k, at + pairs[0][0], done, len(pairs) / len(t.words[k])))
+        assert got == sorted(want)
+        hits += len(want)
+    assert hits > 100
+
+
 # ------------------------------------------------------------------ op1
 
 def test_classifier_separates_held_out_grades(spark):
-    sf = "/root/testdata/sf0.01"
+    sf = "/root/testdata/sf0.1"          # the smaller tables hold out some 80 rows: four percent are one standard error
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     graded = quality_classifier.graded(spark.read.parquet(f"{sf}/labels.parquet")).cache()
     model = quality_classifier.fit(docs, graded.where("doc_id % 4 <> 0"), 3)
