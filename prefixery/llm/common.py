@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,10 +32,39 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def scratch_scope() -> Iterator[list[str]]:
+    """The folders that ``stored`` writes meanwhile."""
+    own: list[str] = []
+    _scopes.append(own)
+    try:
+        yield own
+    finally:
+        _scopes.remove(own)
+
+
+def remove_scratch(paths: list[str], docs: DataFrame) -> None:
+    """Remove folders of ``scratch_scope`` (and empty the list), unless ``docs`` still
+    reads one of them."""
+    names = [p.rsplit("/", 1)[-1] for p in paths]
+    if not names or any(n in f for f in docs.inputFiles() for n in names):
+        return
+    spark = docs.sparkSession
+    for p in paths:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    paths.clear()
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared scratch folder and read back: cuts lineage,
     survives the loss of executors, and fixes partition contents."""
     path = scratch_path(df.sparkSession, name)
+    if _scopes:
+        _scopes[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

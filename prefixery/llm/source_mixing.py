@@ -13,9 +13,11 @@ slot of a phase each source is less than one block away from its share.
 A source that runs out ends the phase; the next phase goes on with the others at
 their relative weights, so every document is placed and none is repeated.
 
-Positions within a source come from a range shuffle: rows are numbered within
-their partition and source, and the partitions' counts (one row per partition
-and source) are summed up, so that no task holds a whole source.
+Positions within a source come from a range shuffle of the rows' keys (source, id,
+hash of the text): they are numbered within their partition and source, and the
+partitions' counts (one row per partition and source) are summed up, so that no task
+holds a whole source.  Texts are not part of this: the positions are joined to the
+documents by key, broadcast while they are few.
 
 Defined results: a null source is the source "".  Rows with equal ids follow the
 hash of their texts.  An empty table gives no rows.  Target weights for absent
@@ -42,6 +44,7 @@ QUANTUM = 1 << 31          # block number times quantum fits 63 bits
 PIECE = 4096               # blocks of a source per row of the plan
 HELD = 1 << 20             # slots on the driver at a time; more are written out
 BROADCAST_SLOTS = 4 << 20  # a plan of more is joined by shuffle
+BROADCAST_ROWS = 500_000   # as are the positions of more rows (60 bytes each)
 TEMPERATURE = 0.5
 ADDED = ["mix_source", "mix_block", "mix_release", "mix_deadline", "mix_slot", "mix_position"]
 
@@ -154,16 +157,22 @@ def tempered(docs: DataFrame, temperature: float = TEMPERATURE) -> dict[str, flo
     return {r["source"]: max(1, r["n"]) ** temperature for r in rows}
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    """(row: struct of all columns, mix_source, mix_index: the row's number
-    within its source by doc_id)."""
-    keyed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.coalesce("source", F.lit("")).alias("mix_source"),
-                        (F.xxhash64("text") if "text" in docs.columns else F.lit(0)).alias("mix_tie"))
-    by = ["mix_source", "row.doc_id", "mix_tie"]
-    schema = keyed.drop("mix_tie").withColumn("mix_part", F.lit(0)).withColumn("mix_row", F.lit(0).cast("long")).schema
+_KEYS = ["mix_source", "mix_id", "mix_tie"]
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """(row: struct of all columns, and the row's key)."""
+    return docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.coalesce("source", F.lit("")).alias("mix_source"),
+                       docs["doc_id"].alias("mix_id"), (F.xxhash64("text") if "text" in docs.columns else F.lit(0).cast("long")).alias("mix_tie"))
+
+
+def _numbered(keys: DataFrame) -> DataFrame:
+    """Rows with their key columns, mix_index (number within the source by key) and
+    mix_copy (number among rows of equal keys)."""
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in keys.schema.fields) + ", mix_part int, mix_row long, mix_copy long"
 
     def run(batches):
-        part, seen = TaskContext.get().partitionId(), {}
+        part, seen, last, copies = TaskContext.get().partitionId(), {}, None, 0
         for b in batches:
             if not b.num_rows:
                 continue
@@ -174,12 +183,15 @@ def _numbered(docs: DataFrame) -> DataFrame:
                 mine = np.flatnonzero(index == k)
                 row[mine] = np.arange(len(mine)) + seen.get(name, 0)
                 seen[name] = seen.get(name, 0) + len(mine)
-            yield pa.RecordBatch.from_arrays(
-                [*b.columns, pa.array(np.full(len(index), part, np.int32)), pa.array(row)],
-                [*b.schema.names, "mix_part", "mix_row"])
-
-    ranged = stored(keyed.repartitionByRange(*by).sortWithinPartitions(*by).drop("mix_tie").mapInArrow(run, schema),
-                    "mixing-ranged")
+            key = list(zip(*[b.column(c).to_pylist() for c in _KEYS], strict=True))
+            copy = np.zeros(len(index), np.int64)
+            for k, own in enumerate(key):
+                copies = copies + 1 if own == last else 0
+                copy[k], last = copies, own
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(len(index), part, np.int32)), pa.array(row), pa.array(copy)],
+                                             [*b.schema.names, "mix_part", "mix_row", "mix_copy"])
+
+    ranged = stored(keys.repartitionByRange(*_KEYS).sortWithinPartitions(*_KEYS).mapInArrow(run, schema), "mixing-ranged")
     sizes = ranged.groupBy("mix_source", "mix_part").agg(F.count("*").alias("n"))
     before = Window.partitionBy("mix_source").orderBy("mix_part").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
@@ -187,19 +199,10 @@ def _numbered(docs: DataFrame) -> DataFrame:
             .withColumn("mix_index", F.col("mix_row") + F.col("before")).drop("mix_part", "mix_row", "before"))
 
 
-def schedule(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK,
-             quantum: int = QUANTUM) -> DataFrame:
-    """The documents (columns of these names are replaced) with mix_source, mix_block, mix_release, mix_deadline,
-    mix_slot and mix_position (0, 1, ... in scheduled order).  Without given
-    weights, sources are weighted by the square root of their characters."""
-    spark = docs.sparkSession
-    docs = small_batches(docs).drop(*ADDED)
-    weights = tempered(docs) if weights is None else {s or "": w for s, w in weights.items()}
-    numbered = _numbered(docs)
-    counts = {r["source"]: r["n"] for r in docs.groupBy(F.coalesce("source", F.lit("")).alias("source"))
-              .agg(F.count("*").alias("n")).collect()}                          # a row per source
-    share = integer_weights({s: weights.get(s, 0) for s in counts}, quantum) if counts else {}
-    plan = _plan(spark, counts, share, block)
+def _positions(keys: DataFrame, counts: dict[str, int], share: dict[str, int], block: int) -> DataFrame:
+    """The keys with mix_copy and ``ADDED``, stored."""
+    numbered = _numbered(keys)
+    plan = _plan(keys.sparkSession, counts, share, block)
     few = sum(-(-n // block) for n in counts.values()) <= BROADCAST_SLOTS
     slot = F.element_at("slots", (F.col("mix_block") - F.col("mix_from") + 1).cast("int")).cast("long")
     placed = (numbered.withColumn("mix_block", F.expr(f"div(mix_index, {block})"))
@@ -208,12 +211,47 @@ def schedule(docs: DataFrame, weights: dict[str, float] | None = None, block: in
                   numbered["mix_source"] == plan["mix_source"], F.col("piece") == F.col("mix_piece"),
                   F.col("mix_block") >= F.col("mix_from"), F.col("mix_block") < F.col("mix_to")])
               .drop(plan["mix_source"]))
-    return placed.select(
-        "row.*", numbered["mix_source"], "mix_block",
+    return stored(placed.select(
+        *keys.columns, "mix_copy", "mix_block",
         (F.col("slot0") + F.expr("div((mix_block - mix_first) * q, a)")).alias("mix_release"),
         (F.col("slot0") + F.expr("div((mix_block - mix_first + 1) * q + a - 1, a)")).alias("mix_deadline"),
         (F.col("slot0") + slot).alias("mix_slot"),
-        (F.col("position0") + slot * block + F.col("mix_index") % block).alias("mix_position"))
+        (F.col("position0") + slot * block + F.col("mix_index") % block).alias("mix_position")), "mixing-positions")
+
+
+def _with_positions(rows: DataFrame, placed: DataFrame) -> DataFrame:
+    """Rows (row and key) with the positions of their keys.  Rows of equal keys are
+    numbered first; others are not moved for that."""
+    named = dict(zip(_KEYS, ("at_source", "at_id", "at_tie"), strict=True))
+    same = ((F.col("mix_source") == F.col("at_source")) & F.col("mix_id").eqNullSafe(F.col("at_id"))
+            & (F.col("mix_tie") == F.col("at_tie")))
+    placed = placed.withColumnsRenamed(named)
+    twice = placed.where("mix_copy = 1").select(*named.values())
+    if twice.limit(1).count():
+        many = rows.join(twice, same, "left_semi")
+        order = Window.partitionBy(*_KEYS).orderBy(F.xxhash64("row"))
+        many = many.withColumn("copy", (F.row_number().over(order) - 1).cast("long"))
+        rows = rows.join(twice, same, "left_anti").withColumn("copy", F.lit(0).cast("long")).unionByName(many)
+    else:
+        rows = rows.withColumn("copy", F.lit(0).cast("long"))
+    side = F.broadcast(placed) if placed.count() <= BROADCAST_ROWS else placed
+    return rows.join(side, same & (F.col("copy") == F.col("mix_copy"))).select("row.*", "mix_source", *ADDED[1:])
+
+
+def schedule(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK,
+             quantum: int = QUANTUM) -> DataFrame:
+    """The documents (columns of these names are replaced) with mix_source, mix_block, mix_release, mix_deadline,
+    mix_slot and mix_position (0, 1, ... in scheduled order).  Without given
+    weights, sources are weighted by the square root of their characters."""
+    docs = small_batches(docs).drop(*ADDED)
+    weights = tempered(docs) if weights is None else {s or "": w for s, w in weights.items()}
+    counts = {r["source"]: r["n"] for r in docs.groupBy(F.coalesce("source", F.lit("")).alias("source"))
+              .agg(F.count("*").alias("n")).collect()}                          # a row per source
+    share = integer_weights({s: weights.get(s, 0) for s in counts}, quantum) if counts else {}
+    rows = _keyed(docs)
+    if "text" not in docs.columns:
+        return _positions(rows, counts, share, block).select("row.*", *ADDED)
+    return _with_positions(rows, _positions(rows.select(*_KEYS), counts, share, block))
 
 
 def largest_deviation(share: dict[str, int]) -> Fraction:
