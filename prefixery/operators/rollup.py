@@ -5,7 +5,7 @@ longer prefix of its own.  So the ranking goes through ranges of prefix lengths,
 the longest: a range gets the queries that end in it, and of the longer ones only
 those that were among the K best at the next range's shortest prefix.  A prefix with
 a million queries below it receives K rows for each longer prefix instead of a
-million.  Every range is stored, so it is computed once.
+million.  The candidates and every range are stored, so each is computed once.
 """
 
 from __future__ import annotations
@@ -15,7 +15,13 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path
 
-CUTS = (10, 7, 5, 4, 3, 2, 1, 0)
+CUTS = (6, 3, 0)
+
+
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def rollup_index(cands: DataFrame, k: int = 10, max_prefix_len: int | None = None, cuts: tuple[int, ...] = CUTS) -> DataFrame:
@@ -25,10 +31,9 @@ def rollup_index(cands: DataFrame, k: int = 10, max_prefix_len: int | None = Non
     (``range(n, -1, -1)``) merge level by level."""
     if not cuts or cuts[-1] != 0 or list(cuts) != sorted(set(cuts), reverse=True):
         raise ValueError("cuts must fall to 0")
-    spark = cands.sparkSession
     own = F.length("query") if max_prefix_len is None else F.least(F.length("query"), F.lit(max_prefix_len))
     best = Window.partitionBy("prefix").orderBy(F.desc("score"), F.asc("query"))
-    rows = cands.select("query", "score", own.alias("_end"))
+    rows = _stored(cands.select("query", "score", own.alias("_end")), "rollup-candidates")
     out, above, top = None, None, None
     for low in cuts:
         part = rows.where(F.col("_end") >= low) if top is None else rows.where((F.col("_end") >= low) & (F.col("_end") < top))
@@ -38,9 +43,7 @@ def rollup_index(cands: DataFrame, k: int = 10, max_prefix_len: int | None = Non
                   .select(F.expr("left(query, _n)").alias("prefix"), "query", "score")
                   .withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
                   .select("prefix", "rank", "query", "score"))
-        path = scratch_path(spark, f"rollup-{low}")
-        ranked.write.parquet(path)
-        ranked = spark.read.schema(ranked.schema).parquet(path)
+        ranked = _stored(ranked, f"rollup-{low}")
         above = ranked.where(F.length("prefix") == low).select("query", "score")
         top = low
         out = ranked if out is None else out.unionByName(ranked)
