@@ -6,10 +6,10 @@ that follows a character which is not white space.  The chunks between these
 points repeat a lot: each distinct one is encoded once per worker (the new ones
 of a slice together, as one string) and looked up by its 64-bit hash after that.
 
-The cache has two generations.  When the younger one holds ``MAX_CHUNKS`` chunks it
-becomes the older one and the older one goes; a chunk found in the older one moves to
-the younger.  So memory is bounded (some 40 bytes a chunk) and chunks that keep coming
-stay.
+The cache has two generations.  When the younger one holds ``MAX_CHUNKS`` chunks or
+``MAX_TOKENS`` tokens it becomes the older one and the older one goes; a chunk found in
+the older one moves to the younger.  So memory is bounded (some 60 bytes a chunk, 4 a
+token; a slice's new chunks come on top) and chunks that keep coming stay.
 """
 
 from __future__ import annotations
@@ -21,7 +21,8 @@ import numpy as np
 
 from .arrowtext import Slice
 
-MAX_CHUNKS = 1_000_000
+MAX_CHUNKS = 250_000
+MAX_TOKENS = 2_000_000
 _JOIN = 500
 
 _BLANK = np.zeros(256, bool)
@@ -172,7 +173,7 @@ class ChunkEncoder:
 
     def _known(self, s: Slice, h: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Index in the younger generation of each chunk of the slice."""
-        if self.young.n >= MAX_CHUNKS:
+        if self.young.n >= MAX_CHUNKS or self.young.used >= MAX_TOKENS:
             self.young, self.old = _Generation(len(self.young.flat)), self.young
         index = self.young.find(h)
         missing = np.flatnonzero(index < 0)

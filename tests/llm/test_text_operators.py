@@ -577,3 +577,17 @@ def test_classifier_edge_rows(spark, edge_docs, empty_docs):
     r = quality_classifier.score(edge_docs, none).first()
     assert r["tail_probability"] == pytest.approx(1 / 3) and r["expected_grade"] == pytest.approx(1)
     assert quality_classifier.score(empty_docs, none).count() == 0
+
+
+def test_chunk_cache_is_bounded_by_tokens(monkeypatch):
+    import pyarrow as pa
+
+    from prefixery.llm import chunk_encoder as ce
+    from prefixery.llm.arrowtext import slices
+    monkeypatch.setattr(ce, "MAX_TOKENS", 400)
+    coder = ce.ChunkEncoder(default_vocabulary())
+    texts = [f"x {'qz' * 60}{k} again {k} {'7y' * 40}{k % 5}" for k in range(60)]
+    for t in texts:
+        (ids,), _ = coder.encode(next(slices([pa.RecordBatch.from_arrays([pa.array([t])], ["text"])])))
+        assert ids.tolist() == coder.tokenizer.encode(t, add_special_tokens=False).ids
+        assert coder.young.used < 400 + 2 * len(ids) and coder.old.used < 400 + 2 * len(ids)
