@@ -19,6 +19,7 @@ from ..session import scratch_path
 
 # Token separator of the raw term log: one space or newline run.
 TERM_SPLIT = "[ \n]+"
+LOG_PIECE = 1 << 16        # rows of a term that one task writes together
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,12 +75,14 @@ def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _raw_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = written_once(spark, sf_dir, "term-counts", lambda: _tokens(spark, sf_dir).groupBy("final_search_term")
-                          .agg(F.count(F.lit(1)).alias("popularity")))
-    # Neither side has a size bound, and the planner underestimates exploded
-    # rows: no broadcast.  Both sides are plain shuffles (the counts come from
-    # storage), so a hot term's tokens are split at run time.
-    return _tokens(spark, sf_dir).join(counts.hint("shuffle_hash"), "final_search_term")
+    counts = _tokens(spark, sf_dir).groupBy("final_search_term").agg(F.count(F.lit(1)).alias("popularity"))
+    # A token's row holds nothing but its term and the term's count, so the rows are
+    # repeated from the counts and no token is shuffled.  A hot term's rows are dealt
+    # in pieces.
+    piece = F.explode(F.expr(f"sequence(0L, div(popularity - 1, {LOG_PIECE}))"))
+    pieces = counts.select("final_search_term", "popularity", piece.alias("_piece")).repartition("final_search_term", "_piece")
+    one = F.explode(F.expr(f"sequence(1L, least({LOG_PIECE}, popularity - {LOG_PIECE} * _piece))"))
+    return pieces.select("final_search_term", "popularity", one.alias("_row")).drop("_row")
 
 
 def term_log(spark: SparkSession, sf_dir: str) -> DataFrame:

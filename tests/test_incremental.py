@@ -2,6 +2,7 @@
 
 import bisect
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -208,3 +209,18 @@ def test_derived_inputs_follow_their_tables(spark, tmp_path):
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(tables.stored_path(spark, str(tmp_path), "three", make))
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
     assert tables.written_once(spark, str(tmp_path), "three", make).count() == 3 and len(made) == 3
+
+
+def test_raw_log_repeats_counts_and_shuffles_no_token(spark, tmp_path, monkeypatch):
+    from collections import Counter
+
+    from prefixery.sources import tables
+    monkeypatch.setattr(tables, "LOG_PIECE", 3)
+    texts = ["a b a\na", "b  a é", "", None, " a", "a a a"]
+    spark.createDataFrame([(t,) for t in texts], "text string").write.parquet(str(tmp_path / "documents.parquet"))
+    tokens = [w for t in texts if t is not None for w in re.split("[ \n]+", t)]
+    counts = Counter(tokens)
+    log = tables._raw_log(spark, str(tmp_path))
+    assert Counter((r["final_search_term"], r["popularity"]) for r in log.collect()) == Counter((w, counts[w]) for w in tokens)
+    assert max(counts.values()) > 2 * tables.LOG_PIECE
+    assert "Join" not in log._jdf.queryExecution().optimizedPlan().toString()
