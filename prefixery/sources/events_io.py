@@ -13,11 +13,15 @@ FEED_SCHEMA = "key string, value string"
 def write_event_files(events: DataFrame, path: str, slot_ms: int = 86_400_000,
                       mode: str = "overwrite") -> str:
     """Publish ``(query, ts_ms)`` events as JSON records ``{key, value}``, one
-    folder per time slot (so a file stream replays them slot by slot)."""
+    folder per time slot (so a file stream replays them slot by slot).
+
+    The events are dealt by ranges of their time (then of the query's hash), so that a
+    slot has as many tasks and files as it needs; they become JSON after that."""
     slot = F.floor(F.col("ts_ms") / slot_ms).cast("bigint")
-    recs = events.withColumn("slot", slot)
+    recs = (events.repartitionByRange("ts_ms", F.xxhash64("query")).withColumn("slot", slot)
+            .sortWithinPartitions("slot"))
     (to_event_records(recs, ("slot",))
-     .repartition("slot").write.mode(mode).option("partitionOverwriteMode", "static")
+     .write.mode(mode).option("partitionOverwriteMode", "static")
      .partitionBy("slot").json(path))
     return path
 

@@ -130,3 +130,22 @@ def test_publish_generations_are_monotone(spark):
     ptr = {r["generation"]: r for r in pub.pointers(spark, root).collect()}
     assert ptr[2]["staleness_ms"] == 4000 and ptr[1]["nodes"] == 9
     assert [r["query"] for r in pub.read_index(spark, root).where("prefix = 'i'").orderBy("rank").collect()] == ["iphone", "ipad"]
+
+
+def test_feed_slot_is_written_by_several_tasks(spark):
+    rows = [(f"q{i % 700}", 1_700_000_000_000 + i) for i in range(5000)] + [("late", 1_700_000_000_000 + 86_400_000), ("none", None)]
+    events = spark.createDataFrame(rows, "query string, ts_ms bigint")
+    feed = scratch_path(spark, "spread-feed")
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    was = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        events_io.write_event_files(events, feed)
+    finally:
+        spark.conf.set(name, was)
+    back = spark.read.schema(events_io.FEED_SCHEMA + ", slot bigint").json(feed)
+    files = {r["slot"]: r["count"] for r in back.select("slot", F.input_file_name()).distinct().groupBy("slot").count().collect()}
+    day = 1_700_000_000_000 // 86_400_000
+    assert files.keys() == {day, day + 1, None} and files[day] > 2
+    got = back.select("key", F.get_json_object("value", "$.query").alias("q"), F.get_json_object("value", "$.ts").cast("long").alias("t"), "slot")
+    assert sorted(got.collect(), key=str) == sorted([(q, q, t, None if t is None else t // 86_400_000) for q, t in rows], key=str)
