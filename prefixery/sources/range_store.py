@@ -168,7 +168,8 @@ def scan_prefixes(spark: SparkSession, root: str, key: str, schema: str, prefixe
     A prefix is the interval [p, next(p)) of keys.  It is dealt to the slots that the
     interval meets, and only these are read.  Within a slot a row meets prefixes by its
     own first characters, one equality per length that the slot's prefixes have, so
-    there is no nested loop."""
+    there is no nested loop.  The dealt prefixes are stored: while they are few, Spark
+    broadcasts them and no row is shuffled."""
     slots = manifest(spark, root, gen)
     if not slots:
         return spark.createDataFrame([], f"prefix string, {schema}")
@@ -181,6 +182,6 @@ def scan_prefixes(spark: SparkSession, root: str, key: str, schema: str, prefixe
     touched = sorted(r["slot"] for r in lengths.select("slot").collect())
     rows = read(spark, root, schema, gen, touched).withColumn("slot", router(slots)(F.col(key)))
     names = [f.name for f in rows.schema.fields if f.name != "slot"]
-    heads = (rows.join(F.broadcast(lengths), "slot").select(*names, F.explode("lengths").alias("_n"))
+    heads = (rows.join(F.broadcast(lengths), "slot").select("slot", *names, F.explode("lengths").alias("_n"))
              .where(F.length(key) >= F.col("_n")).withColumn("prefix", F.expr(f"left(`{key}`, _n)")).drop("_n"))
-    return heads.join(prefixes.select("prefix"), "prefix").select("prefix", *names)
+    return heads.join(dealt, ["slot", "prefix"]).select("prefix", *names)

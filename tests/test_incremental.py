@@ -224,3 +224,15 @@ def test_raw_log_repeats_counts_and_shuffles_no_token(spark, tmp_path, monkeypat
     assert Counter((r["final_search_term"], r["popularity"]) for r in log.collect()) == Counter((w, counts[w]) for w in tokens)
     assert max(counts.values()) > 2 * tables.LOG_PIECE
     assert "Join" not in log._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_few_prefixes_move_no_row(spark):
+    words = invented(12, 900)
+    root = scratch_path(spark, "scan-broadcast")
+    rs.create(spark, root, spark.createDataFrame([(w, float(len(w))) for w in words], CANDS), "query", 5)
+    some = sorted({w[:k] for w in words[::9] for k in (1, 2, 3)}) + ["zz"]
+    prefixes = spark.createDataFrame(spark.sparkContext.parallelize([(p,) for p in some], 3), "prefix string")   # of unknown size
+    found = rs.scan_prefixes(spark, root, "query", CANDS, prefixes)
+    assert "SortMergeJoin" not in found._jdf.queryExecution().sparkPlan().toString()
+    assert sorted((r["prefix"], r["query"], r["score"]) for r in found.collect()) == sorted(
+        (p, w, float(len(w))) for p in some for w in words if w.startswith(p))
