@@ -220,7 +220,8 @@ def index_incremental(spark: SparkSession, sf: str) -> DataFrame:
     events, params = tables.search_events(spark, sf), IndexParams(max_queries=CUT_N)
     middle = to_epoch_ms(AS_OF) - 15 * 86_400_000
     before = rc.upsert(_base_catalog(spark, sf), rc.decayed_state(events.where(F.col("ts_ms") < middle)))
-    root = scratch_path(spark, "index-ranges")
+    path = catalog_io.write_catalog(before, scratch_path(spark, "catalog-before"))      # the log is folded once
+    before, root = catalog_io.read_snapshot(spark, path), scratch_path(spark, "index-ranges")
     inc.create_index(spark, root, px.candidates(before, params), params)
     after = rc.upsert(before, rc.decayed_state(events.where(F.col("ts_ms") >= middle))).where(~_taken_down())
     inc.update_index(spark, root, inc.candidate_changes(spark, root, px.candidates(after, params)), params)

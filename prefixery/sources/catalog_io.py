@@ -35,6 +35,12 @@ def write_snapshot(catalog: DataFrame, path: str, partitions: int | None = None)
     return path
 
 
+def write_catalog(catalog: DataFrame, path: str) -> str:
+    """Catalog as it comes, for readers of all of it (``read_snapshot``)."""
+    catalog.select("query", "all_time_count", "recent_score", "last_ms").write.mode("overwrite").parquet(path)
+    return path
+
+
 def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(CATALOG_SCHEMA).parquet(path)
 

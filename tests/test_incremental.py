@@ -236,3 +236,14 @@ def test_few_prefixes_move_no_row(spark):
     assert "SortMergeJoin" not in found._jdf.queryExecution().sparkPlan().toString()
     assert sorted((r["prefix"], r["query"], r["score"]) for r in found.collect()) == sorted(
         (p, w, float(len(w))) for p in some for w in words if w.startswith(p))
+
+
+def test_index_incremental_folds_the_log_once(spark, sf_small, monkeypatch):
+    from prefixery.plans import contract
+    read = []
+    monkeypatch.setattr(contract.inc, "create_index", lambda s, root, cands, params: read.append(cands.inputFiles()))
+    monkeypatch.setattr(contract.inc, "candidate_changes", lambda s, root, cands: read.append(cands.inputFiles()))
+    monkeypatch.setattr(contract.inc, "update_index", lambda *a: None)
+    monkeypatch.setattr(contract.inc, "read_lists", lambda s, root: s.createDataFrame([], inc.LISTS))
+    contract.index_incremental(spark, sf_small)
+    assert len(read) == 2 and all(files and not any("term-log" in f for f in files) for files in read)
