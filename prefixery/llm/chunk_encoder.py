@@ -2,9 +2,14 @@
 
 The pre-tokenizer of these vocabularies never joins a space to what stands
 before it, so a text falls apart without change of result before every space
-that follows a character which is not white space.  The chunks between these
-points repeat a lot: each distinct one is encoded once per worker (the new ones
-of a slice together, as one string) and looked up by its 64-bit hash after that.
+that follows a character which is not white space.  It also falls apart between an
+ASCII letter or digit and a punctuation mark, and on both sides of a line break that
+something visible follows (white space but its last character is one piece there,
+and a line break never joins what it precedes; before ``<`` not, since white space
+that an added token follows is one piece), so that a word is one chunk whatever mark
+or line comes after it.  The chunks between these points repeat a lot: each
+distinct one is encoded once per worker (the new ones of a slice together, as a few
+strings) and looked up by its 64-bit hash after that.
 
 The cache has two generations.  When the younger one holds ``MAX_CHUNKS`` chunks or
 ``MAX_TOKENS`` tokens it becomes the older one and the older one goes; a chunk found in
@@ -27,6 +32,11 @@ _JOIN = 500
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[*range(9, 14), *range(0x1C, 0x21)]] = True
+_MARKS = ".,;:!?"
+_MARK, _WORD, _SEEN = np.zeros((3, 256), bool)
+_MARK[list(_MARKS.encode())] = True
+_WORD[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+_SEEN[0x21:0x7F] = True
 
 
 def default_vocabulary() -> str:
@@ -34,18 +44,35 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def chunk_bounds(s: Slice) -> tuple[np.ndarray, np.ndarray]:
+def _blank_before(b: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether the character that ends before each position can be white space."""
+    last = b[at - 1]
+    wide = b[np.maximum(at - 3, 0)]
+    # white space beyond ASCII: U+0085, U+00A0 and some three-byte characters led by E1..E3
+    return _BLANK[last] | (((last == 0x85) | (last == 0xA0)) & (b[np.maximum(at - 2, 0)] == 0xC2)) | (
+        (last >= 0x80) & (wide >= 0xE1) & (wide <= 0xE3))
+
+
+def chunk_bounds(s: Slice, fine: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """First byte of each chunk, and the first chunk of each row (rows + 1)."""
     b = s.buf
+    rows = s.off[:-1][np.diff(s.off) > 0]
+    cut = np.zeros(len(b), bool)
     space = np.flatnonzero(b == 0x20)
     space = space[space > 0]
-    last = b[space - 1]
-    wide = b[np.maximum(space - 3, 0)]
-    # white space beyond ASCII: U+0085, U+00A0 and some three-byte characters led by E1..E3
-    blank = _BLANK[last] | (((last == 0x85) | (last == 0xA0)) & (b[np.maximum(space - 2, 0)] == 0xC2)) | (
-        (last >= 0x80) & (wide >= 0xE1) & (wide <= 0xE3))
-    rows = s.off[:-1][np.diff(s.off) > 0]
-    starts = np.union1d(space[~blank], rows)
+    cut[space[~_blank_before(b, space)]] = True
+    if fine:
+        mark = np.flatnonzero(_MARK[b])
+        mark = mark[mark > 0]
+        cut[mark[_WORD[b[mark - 1]]]] = True
+        head = np.zeros(len(b), bool)
+        head[rows] = True
+        line = np.flatnonzero(b == 0x0A)
+        line = line[line < len(b) - 1]
+        line = line[_SEEN[b[line + 1]] & (b[line + 1] != ord("<")) & ~head[line + 1]]
+        cut[line], cut[line + 1] = True, True
+    cut[rows] = True
+    starts = np.flatnonzero(cut)
     return starts, np.searchsorted(starts, s.off)
 
 
@@ -132,6 +159,10 @@ class ChunkEncoder:
         self.opens = np.zeros(self.tokenizer.get_vocab_size(), bool)    # tokens that begin with a space
         for token, i in self.tokenizer.get_vocab().items():
             self.opens[i] = token.startswith("Ġ")
+        self.line = self.tokenizer.token_to_id("Ċ")
+        # the finer cuts need added tokens that begin with "<" and hold no mark or line break
+        self.fine = not any(t.get("lstrip") or t["content"][:1] != "<" or set(t["content"]) & set(_MARKS + "\n")
+                            for t in vocabulary.get("added_tokens") or ())
         self.reset()
 
     def reset(self) -> None:
@@ -146,31 +177,59 @@ class ChunkEncoder:
             out += [span[:, 0], span[:, 1]]
         return out
 
-    def _many(self, texts: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
-        """Flat arrays and sizes of chunks that begin with their only space."""
+    def _singly(self, chunks: list[bytes]) -> tuple[list[np.ndarray], np.ndarray]:
+        ones = [self._one(c.decode("utf-8")) for c in chunks]
+        return [np.concatenate(c) for c in zip(*ones, strict=True)], np.array([len(o[0]) for o in ones])
+
+    def _many(self, chunks: list[bytes], between: bytes) -> tuple[list[np.ndarray], np.ndarray]:
+        """Flat arrays and sizes of chunks that begin with their only space (nothing
+        ``between``), or that line breaks can stand between."""
         flat, sizes = [], []
         run = self.tokenizer.encode_batch if self.offsets else self.tokenizer.encode_batch_fast
-        groups = [texts[k:k + _JOIN] for k in range(0, len(texts), _JOIN)]
-        for group, e in zip(groups, run(["".join(g) for g in groups], add_special_tokens=False), strict=True):
+        groups = [chunks[k:k + _JOIN] for k in range(0, len(chunks), _JOIN)]
+        for group, e in zip(groups, run([between.join(g).decode("utf-8") for g in groups], add_special_tokens=False), strict=True):
             ids = np.array(e.ids, np.uint32)
-            first = np.flatnonzero(self.opens[ids])
-            if len(first) != len(group) or first[0]:
-                for t in group:                        # a special token's string can hide a chunk's first token
-                    one = self._one(t)
-                    flat.append(one)
-                    sizes.append(np.array([len(one[0])]))
+            own = np.ones(len(ids), bool)
+            if between:
+                own = ids != self.line
+                breaks = np.flatnonzero(~own)
+                first = np.append(0, breaks - np.arange(len(breaks)))
+            else:
+                first = np.flatnonzero(self.opens[ids])
+            if len(first) != len(group) or first[0]:   # a special token's string can hide a chunk's first token
+                one, size = self._singly(group)
+                flat.append(one)
+                sizes.append(size)
                 continue
-            size = np.diff(np.append(first, len(ids)))
-            one = [ids]
+            size = np.diff(np.append(first, int(own.sum())))
+            one = [ids[own]]
             if self.offsets:
-                length = np.array([len(t) for t in group])
+                length = np.array([len(c.decode("utf-8")) + len(between) for c in group])
                 begin = np.repeat(np.cumsum(length) - length, size)
-                span = np.array(e.offsets, np.int64).reshape(-1, 2) - begin[:, None]
+                span = np.array(e.offsets, np.int64).reshape(-1, 2)[own] - begin[:, None]
                 one += [span[:, 0].astype(np.uint32), span[:, 1].astype(np.uint32)]
             flat.append(one)
             sizes.append(size)
         return [np.concatenate(c) for c in zip(*flat, strict=True)], np.concatenate(sizes)
 
+    def _encoded(self, s: Slice, starts: np.ndarray, ends: np.ndarray):
+        """The chunks' places among the given ones, flat arrays and sizes, by kind of chunk."""
+        b, raw = s.buf, s.buf.tobytes()
+
+        def count(spots: np.ndarray) -> np.ndarray:
+            return np.searchsorted(spots, ends) - np.searchsorted(spots, starts)
+
+        usual = count(np.flatnonzero((b[:-1] == ord("<")) & (b[1:] == ord("|")))) == 0
+        spaced = usual & (b[starts] == 0x20) & (ends - starts > 1) & (count(np.flatnonzero(b == 0x20)) == 1)
+        bare = usual & _SEEN[b[starts]] & ~_blank_before(b, ends) & (count(np.flatnonzero(b == 0x0A)) == 0)
+        if self.line is None:
+            bare[:] = False
+        for kind, work in ((spaced, lambda c: self._many(c, b"")), (bare, lambda c: self._many(c, b"\n")),
+                           (~spaced & ~bare, self._singly)):
+            at = np.flatnonzero(kind)
+            if len(at):
+                yield at, *work([raw[x:y] for x, y in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
+
     def _known(self, s: Slice, h: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Index in the younger generation of each chunk of the slice."""
         if self.young.n >= MAX_CHUNKS or self.young.used >= MAX_TOKENS:
@@ -188,23 +247,15 @@ class ChunkEncoder:
                 found[at] = self.young.add(keys[at], *self.old.tokens(again[at]))
         new = np.flatnonzero(found < 0)
         if len(new):
-            raw = s.buf.tobytes()
-            texts = [raw[a:b].decode("utf-8") for a, b in zip(starts[place[new]].tolist(), ends[place[new]].tolist(), strict=True)]
-            plain = np.array([t[0] == " " and t.count(" ") == 1 and len(t) > 1 and "<|" not in t for t in texts])
-            joined, single = np.flatnonzero(plain), np.flatnonzero(~plain)
-            if len(joined):
-                found[new[joined]] = self.young.add(keys[new[joined]], *self._many([texts[k] for k in joined]))
-            if len(single):
-                ones = [self._one(texts[k]) for k in single]
-                found[new[single]] = self.young.add(keys[new[single]], [np.concatenate(c) for c in zip(*ones, strict=True)],
-                                                    np.array([len(o[0]) for o in ones]))
+            for at, flat, sizes in self._encoded(s, starts[place[new]], ends[place[new]]):
+                found[new[at]] = self.young.add(keys[new[at]], flat, sizes)
         index[missing] = found[inverse]
         return index
 
     def encode(self, s: Slice) -> tuple[list[np.ndarray], np.ndarray]:
         """The slice's tokens as flat arrays (ids; with offsets, first code point
         and end in the row's text) and each row's first token (rows + 1)."""
-        starts, row_first = chunk_bounds(s)
+        starts, row_first = chunk_bounds(s, self.fine)
         ends = np.append(starts[1:], len(s.buf))[:len(starts)]
         h = s.hashes(starts, ends)
         h[h == 0] = 1                                       # 0 marks a free place

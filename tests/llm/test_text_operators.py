@@ -591,3 +591,40 @@ def test_chunk_cache_is_bounded_by_tokens(monkeypatch):
         (ids,), _ = coder.encode(next(slices([pa.RecordBatch.from_arrays([pa.array([t])], ["text"])])))
         assert ids.tolist() == coder.tokenizer.encode(t, add_special_tokens=False).ids
         assert coder.young.used < 400 + 2 * len(ids) and coder.old.used < 400 + 2 * len(ids)
+
+
+def _slice(texts):
+    import pyarrow as pa
+
+    from prefixery.llm.arrowtext import slices
+    return next(slices([pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])]))
+
+
+def test_word_is_encoded_once_whatever_follows_it(tokenizer):
+    from prefixery.llm import chunk_encoder as ce
+    coder = ce.ChunkEncoder(default_vocabulary())
+    words = [f"{a}{b}{c}" for a in "kmnprst" for b in "aeiou" for c in ("nd", "rth", "st", "ly")]
+    texts = ["x" + "".join(f" {w}{end}{w}" for w in words) for end in (" ", ". ", ", ", "; ", ": ", "! ", "? ", "\n", ".\n", ",\n")]
+    (ids,), edge = coder.encode(_slice(texts))
+    for k, t in enumerate(texts):
+        assert ids[edge[k]:edge[k + 1]].tolist() == tokenizer.encode(t, add_special_tokens=False).ids
+    assert coder.young.n <= 2 * len(words) + 20         # a word with and without its space; the marks
+
+
+def test_chunks_equal_whole_texts_at_marks_and_line_breaks(tokenizer):
+    from prefixery.llm import chunk_encoder as ce
+    parts = ["a", "Bc", "the", " ", " ", "  ", "\n", "\n", "\n\n", "\r\n", "\t", *".,;:!?", "'s", "'", "'ll", "12", "3.14", "\x85",
+             "\xa0", "　", "é", "ß", "中", "😀", "<|endoftext|>", "<", "<|", "|>", "-", "\x1c", "\x0b", "́", "Ġ", "Ċ", "​"]
+    r = np.random.default_rng(5)
+    plain, spans = ce.ChunkEncoder(default_vocabulary()), ce.ChunkEncoder(default_vocabulary(), offsets=True)
+    for _ in range(20):
+        texts = ["".join(r.choice(parts, n)) for n in r.integers(0, 30, 100)]
+        texts += ["a\n\n<|endoftext|>", "a\n", "\n", "b", "a\n\nb", ""]
+        s = _slice(texts)
+        (ids,), edge = plain.encode(s)
+        (again, lo, hi), _ = spans.encode(s)
+        assert np.array_equal(ids, again)
+        for k, t in enumerate(texts):
+            want, own = tokenizer.encode(t, add_special_tokens=False), slice(edge[k], edge[k + 1])
+            assert ids[own].tolist() == want.ids
+            assert list(zip(lo[own].tolist(), hi[own].tolist(), strict=True)) == want.offsets
