@@ -241,6 +241,22 @@ class HashArrays:
         edges = np.arange(1 << bits, dtype=U64) << self.shift
         self.start = np.append(np.searchsorted(self.hash, edges), len(h)).astype(np.int32)
 
+    @classmethod
+    def built(cls, hash: np.ndarray, start: np.ndarray, *values: np.ndarray) -> HashArrays:
+        """From the arrays of one."""
+        self = cls.__new__(cls)
+        self.hash, self.start, self.values = hash, start, list(values)
+        self.shift = U64(65 - len(start).bit_length())
+        return self
+
+    def look(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each key is known, and its first value (0 where not)."""
+        at = self.find(keys)
+        known = at >= 0
+        out = np.zeros(len(keys), self.values[0].dtype)
+        out[known] = self.values[0][at[known]]
+        return known, out
+
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Index of each key, or -1."""
         out = np.full(len(keys), -1, np.int64)

@@ -19,8 +19,8 @@ All counts cover all documents and are combined on the map side.  A word that
 occurs once in the training documents stays in the word table only if a held-out
 text has it too: met in a training document, a word that the table lacks can
 only be that document's own.  The gram and word tables go to the tasks as sorted
-hash arrays while they hold at most ``broadcast_rows`` rows (24 bytes each);
-beyond that the documents' own gram and word counts are joined to them, with the
+hash arrays, in pieces, while they hold at most ``broadcast_rows`` rows (24 bytes
+each); beyond that the documents' own gram and word counts are joined to them, with the
 same result.
 
 Defined results: a null text is empty; an empty or blank text has one token,
@@ -39,8 +39,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrowtext import Counter, HashArrays, grams, signed, slices, stream, sums
+from .arrowtext import Counter, grams, signed, slices, stream, sums
 from .common import by_arrow, packed_suffix, stored
+from .shared_arrays import SharedArrays, shared_arrays
 
 WORD, GRAM = 0, 1
 END = np.array([0x454E44], np.int64)          # the end token's key in the word counts
@@ -164,26 +165,25 @@ _SCORES = ("doc_id long, held_out boolean, n_tokens long, n_known long, base_sco
            "score double, n_bytes long")
 
 
-def _arrays(model: DataFrame, kind: int, as_type) -> HashArrays:
-    rows = model.where(F.col("kind") == kind).select("key", "value").toArrow()
-    return HashArrays(np.asarray(rows.column("key")), np.asarray(rows.column("value")).astype(as_type))
+def _arrays(model: DataFrame, kind: int, as_type: type) -> SharedArrays:
+    return shared_arrays(
+        model.where(F.col("kind") == kind).select("key", "value"),
+        lambda rows: (np.asarray(rows.column("key")), np.asarray(rows.column("value")).astype(as_type)),
+        as_type, f"ctw-arrays{kind}")
 
 
 def _by_arrays(docs: DataFrame, model: DataFrame, depth: int, size: int) -> DataFrame:
-    arrays = docs.sparkSession.sparkContext.broadcast(
-        [_arrays(model, WORD, np.int64), _arrays(model, GRAM, np.float64)])
+    words, found = _arrays(model, WORD, np.int64), _arrays(model, GRAM, np.float64)
 
     def run(batches):
-        words, found = arrays.value
-        end = words.find(END)[0]
-        ends_known = words.values[0][end] if end >= 0 else 0
+        ends_known = words.look(END)[1][0]
         for s in slices(batches):
             s.lower()
             held = np.asarray(s.column("held_out"))
             starts, ends, first = s.words()
-            at = words.find(signed(s.hashes(starts, ends)))
+            known, count = words.look(signed(s.hashes(starts, ends)))
             c = np.repeat((~held).astype(np.int64), np.diff(first))       # a training text's own word at least
-            c[at >= 0] = words.values[0][at[at >= 0]]
+            c[known] = count[known]
             own_end = np.where(held, ends_known, max(ends_known, 1))
             g, row = grams(*stream(s, depth), depth + 1)
             yield pa.RecordBatch.from_arrays([
@@ -191,7 +191,7 @@ def _by_arrays(docs: DataFrame, model: DataFrame, depth: int, size: int) -> Data
                 pa.array(np.diff(first) + 1),
                 pa.array(sums((c > 0).astype(np.int64), first) + (own_end > 0)),
                 pa.array(sums(np.log10((c + 1) / size), first) + np.log10((own_end + 1) / size)),
-                pa.array(sums(found.values[0][found.find(g)], row)),
+                pa.array(sums(found.look(g)[1], row)),
                 pa.array(np.diff(row))],
                 ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "n_bytes"])
 

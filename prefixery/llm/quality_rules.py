@@ -16,7 +16,7 @@ together, and the model counts a repeated text once however many rows have it, s
 that no group of copies sets the band.  Every row is scored.
 
 While the model holds at most ``broadcast_rows`` rows (28 bytes each) its arrays
-go to every task; beyond that the documents' gram counts are joined to its
+go to every task, in pieces (``shared_arrays``); beyond that the documents' gram counts are joined to its
 highest order, which holds every gram of the texts it was counted on.
 
 Defined results: a null text is empty; texts without words fail the base rules
@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 
 from .arrowtext import Counter, HashArrays, grams, mix, signed, slices, stream, sums, window_hashes, windows
 from .common import by_arrow, packed_suffix, stored, table
+from .shared_arrays import shared_arrays
 
 ORDER = 5
 BROADCAST_ROWS = 6_000_000
@@ -195,21 +196,48 @@ def _key(order: int, lang: int, g: np.ndarray) -> np.ndarray:
     return g | np.int64(lang << 40) | np.int64(order << 56)
 
 
+def _prefixes(rows: pa.RecordBatch | pa.Table, lang: dict[str, int]) -> np.ndarray:
+    """The language's and the order's bits of the rows' keys."""
+    names = rows.column("lang")
+    names = (names.combine_chunks() if isinstance(names, pa.ChunkedArray) else names).dictionary_encode()
+    code = np.array([lang[x] for x in names.dictionary.to_pylist()], np.int64)[np.asarray(names.indices)]
+    return (code << 40) | (np.asarray(rows.column("ord")).astype(np.int64) << 56)
+
+
+def _gram_entries(rows: pa.RecordBatch | pa.Table, lang: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    return np.asarray(rows.column("g")) | _prefixes(rows, lang), np.log10(np.asarray(rows.column("p")))
+
+
+def _context_entries(rows: pa.RecordBatch | pa.Table, lang: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Once for every gram of the context."""
+    return (np.asarray(rows.column("g")) >> 8) | _prefixes(rows, lang), np.log10(np.asarray(rows.column("gamma")))
+
+
 class SortedModel:
-    """All orders in two hash arrays: probabilities by gram, back-off weights by
-    context.  Languages are numbered in the key (16 bits), orders up to 5."""
+    """All orders in two tables of hash arrays: probabilities by gram, back-off
+    weights by context.  Languages are numbered in the key (16 bits), orders up to 5."""
 
     def __init__(self, rows: pa.Table, order: int):
-        lang = rows.column("lang").combine_chunks().dictionary_encode()
-        ords, g = np.asarray(rows.column("ord")), np.asarray(rows.column("g"))
+        """Of a model's rows in this process."""
         self.order = order
-        self.lang = {name: k for k, name in enumerate(lang.dictionary.to_pylist())}
-        code = np.asarray(lang.indices).astype(np.int64)
-        key = g | (code << 40) | (ords.astype(np.int64) << 56)
-        self.grams = HashArrays(key, np.log10(np.asarray(rows.column("p"))))
-        context = (g >> 8) | (code << 40) | (ords.astype(np.int64) << 56)
+        self.lang = {name: k for k, name in enumerate(rows.column("lang").unique().to_pylist())}
+        self.grams = HashArrays(*_gram_entries(rows, self.lang))
+        context, gamma = _context_entries(rows, self.lang)
         context, one = np.unique(context, return_index=True)
-        self.contexts = HashArrays(context, np.log10(np.asarray(rows.column("gamma"))[one]))
+        self.contexts = HashArrays(context, gamma[one])
+
+    @classmethod
+    def shared(cls, model: DataFrame, order: int) -> SortedModel:
+        """For all tasks; the rows do not meet in one process before."""
+        self = cls.__new__(cls)
+        self.order = order
+        names = model.select("lang").distinct().collect()           # at most ``MAX_LANGUAGES``
+        self.lang = lang = {r["lang"]: k for k, r in enumerate(names)}
+        self.grams = shared_arrays(model.select("ord", "lang", "g", "p"), lambda rows: _gram_entries(rows, lang),
+                                   np.float64, "kn-grams")
+        self.contexts = shared_arrays(model.select("ord", "lang", "g", "gamma"), lambda rows: _context_entries(rows, lang),
+                                      np.float64, "kn-contexts")
+        return self
 
     def logp(self, lang: str, g: np.ndarray) -> np.ndarray:
         """log10 probabilities of grams of the highest order; a gram that the
@@ -219,13 +247,13 @@ class SortedModel:
         left = np.arange(len(g))
         for k in range(self.order, 0, -1) if code is not None else ():
             own = g[left] & ((1 << (8 * k)) - 1)
-            at = self.grams.find(_key(k, code, own))
-            out[left[at >= 0]] += self.grams.values[0][at[at >= 0]]
-            left, own = left[at < 0], own[at < 0]
+            known, value = self.grams.look(_key(k, code, own))
+            out[left[known]] += value[known]
+            left, own = left[~known], own[~known]
             if not len(left):
                 return out
-            at = self.contexts.find(_key(k, code, own >> 8))
-            out[left[at >= 0]] += self.contexts.values[0][at[at >= 0]]
+            _, value = self.contexts.look(_key(k, code, own >> 8))
+            out[left] += value
         out[left] += np.log10(1 / 256)
         return out
 
@@ -236,10 +264,9 @@ _SCORED = "doc_id long, mark long, lang string, " + ", ".join(f"{c} long" for c
 
 
 def _by_arrays(docs: DataFrame, model: DataFrame, order: int) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(SortedModel(model.toArrow(), order))
+    kn = SortedModel.shared(model, order)
 
     def run(batches):
-        kn = shared.value
         for s in slices(batches):
             base = _base(s)
             g, row = grams(*stream(s, order - 1), order)

@@ -10,9 +10,10 @@ from collections import Counter
 import numpy as np
 import pytest
 from conftest import words
+from pyspark.sql.classic.dataframe import DataFrame
 
 from prefixery.llm import byte_ctw, decontaminate, license_scan, quality_classifier, quality_rules, secret_scan
-from prefixery.llm import token_attribution, token_blocks
+from prefixery.llm import shared_arrays, token_attribution, token_blocks
 from prefixery.llm.chunk_encoder import default_vocabulary
 
 
@@ -113,6 +114,42 @@ def test_rules_by_join_and_by_arrays_agree(edge_docs):
     assert a == b
 
 
+def in_pieces(monkeypatch, run):
+    """``run()`` with small pieces, and the bytes that the driver's Python got at a time."""
+    held = []
+    whole = DataFrame.toArrow
+
+    def counted(df):
+        held.append((rows := whole(df)).nbytes)
+        return rows
+
+    with monkeypatch.context() as m:
+        m.setattr(shared_arrays, "PIECE_ROWS", 300)
+        m.setattr(DataFrame, "toArrow", counted)
+        out = run()
+    return out, held
+
+
+def test_rules_model_reaches_the_driver_in_pieces(edge_docs, monkeypatch):
+    """A row's measures do not depend on the number of pieces, and no piece grows
+    with the model."""
+    docs = edge_docs.where("doc_id <> 10")
+    got, held = in_pieces(monkeypatch, lambda: sorted(map(repr, quality_rules.rate(docs).collect())))
+    assert len(held) > 8 and max(held) < 450 * 28
+    assert got == sorted(map(repr, quality_rules.rate(docs).collect()))
+
+
+def test_rules_shared_model_equals_one_in_this_process(sample_docs, monkeypatch):
+    rows = quality_rules.fit(sample_docs.where("lang IN ('fr', 'de')"), 3)
+    own = quality_rules.SortedModel(rows.toArrow(), 3)
+    shared, _ = in_pieces(monkeypatch, lambda: quality_rules.SortedModel.shared(rows, 3))
+    keys = np.array([x["g"] for x in rows.where("ord = 3").limit(3000).collect()], np.int64)
+    keys = np.concatenate([keys, keys ^ 1, keys ^ (1 << 8), keys ^ (1 << 20), np.array([0x7E7E7E])])
+    for lang in ("fr", "de", "xx"):
+        assert (shared.logp(lang, keys) == own.logp(lang, keys)).all()
+    assert shared.logp("fr", keys[:0]).tolist() == []
+
+
 def test_rules_back_off_for_unknown_grams(sample_docs):
     model = quality_rules.SortedModel(quality_rules.fit(sample_docs.where("lang = 'en'"), 3).toArrow(), 3)
     total = sum(10 ** model.logp("en", np.array([(ord("~") << 16) | (ord("h") << 8) | c], np.int64))[0] for c in range(256))
@@ -202,6 +239,13 @@ def test_ctw_equals_definition(sample_docs, sample_texts):
         assert r["bits_per_byte"] == pytest.approx(-r["score"] / math.log10(2) / r["n_bytes"])
 
 
+def test_ctw_model_reaches_the_driver_in_pieces(edge_docs, monkeypatch):
+    docs = edge_docs.where("doc_id <> 10")
+    got, held = in_pieces(monkeypatch, lambda: sorted(map(repr, byte_ctw.score(docs, 2).collect())))
+    assert len(held) > 4 and max(held) < 450 * 28
+    assert got == sorted(map(repr, byte_ctw.score(docs, 2).collect()))
+
+
 def test_ctw_edge_rows_and_join_path(edge_docs, empty_docs):
     a, b = (sorted(map(repr, (tuple(round(x, 6) if isinstance(x, float) else x for x in r) for r in
                               byte_ctw.score(edge_docs, 2, n).select(
