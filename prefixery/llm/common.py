@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -52,11 +52,32 @@ def remove_scratch(paths: list[str], docs: DataFrame) -> None:
     names = [p.rsplit("/", 1)[-1] for p in paths]
     if not names or any(n in f for f in docs.inputFiles() for n in names):
         return
-    spark = docs.sparkSession
+    _delete(docs.sparkSession, paths)
+    paths.clear()
+
+
+def _delete(spark: SparkSession, paths: Iterable[str]) -> None:
     for p in paths:
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    paths.clear()
+
+
+_SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def _shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Queries begun meanwhile remove their shuffle files when they end; else these
+    stay until the driver happens to collect its garbage."""
+    before = spark.conf.get(_SHUFFLE_CLEANUP, None)
+    spark.conf.set(_SHUFFLE_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_SHUFFLE_CLEANUP)
+        else:
+            spark.conf.set(_SHUFFLE_CLEANUP, before)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -65,8 +86,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     if _scopes:
         _scopes[-1].append(path)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    with _shuffles_removed(df.sparkSession):
+        df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables that ``stored`` returned and that nothing reads any more."""
+    for t in tables:
+        _delete(t.sparkSession, [t.stored_at])
 
 
 def by_arrow(df: DataFrame, fn, schema: str | T.StructType) -> DataFrame:

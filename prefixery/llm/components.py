@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
 
 
 def _minima(edges: DataFrame) -> DataFrame:
@@ -22,15 +22,21 @@ def _minima(edges: DataFrame) -> DataFrame:
 
 def _large(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    return (both.join(_minima(both), "u").where(F.col("v") > F.col("u"))
-            .select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct())
+    least = _minima(both)
+    out = stored(both.join(least, "u").where(F.col("v") > F.col("u"))
+                 .select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct(), "components-large")
+    discard(edges, least)
+    return out
 
 
 def _small(edges: DataFrame) -> DataFrame:
     """``edges`` point from the larger node u to the smaller v."""
-    joined = edges.join(_minima(edges), "u")
-    return (joined.select("v", "m").union(joined.select("u", "m")).toDF("u", "v")
-            .where("u > v").distinct())
+    least = _minima(edges)
+    joined = edges.join(least, "u")
+    out = stored(joined.select("v", "m").union(joined.select("u", "m")).toDF("u", "v")
+                 .where("u > v").distinct(), "components")
+    discard(edges, least)
+    return out
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -40,7 +46,7 @@ def components(edges: DataFrame) -> DataFrame:
                  .where("u > v").distinct(), "components")
     state = None
     while True:
-        now = stored(_small(stored(_large(now), "components-large")), "components")
+        now = _small(_large(now))
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if seen == state:
             break

@@ -52,7 +52,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrowtext import mix, signed, slices, window_hashes, windows
-from .common import small_batches, stored, table
+from .common import discard, small_batches, stored, table
 from .components import components, one_node_per_id
 from .set_links import chosen_side, common_counts, group_links, meetings
 
@@ -120,8 +120,9 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 
 def _packed(docs: DataFrame, bits: int) -> DataFrame:
-    """Blocks of entries per bucket, and (bucket -1) the entries known as shared.
-    ``keys``: the 32 bits after the bucket's; ``refs``: row in ``ids`` and flags."""
+    """Blocks of entries per bucket, and (buckets below 0, each block's its own) the
+    entries known as shared.  ``keys``: the 32 bits after the bucket's; ``refs``: row in
+    ``ids`` and flags."""
     def flush(ids, sizes, keys):
         refs = np.repeat(np.arange(len(ids)), sizes).astype(np.uint16)
         keys = np.concatenate(keys)
@@ -145,7 +146,7 @@ def _packed(docs: DataFrame, bits: int) -> DataFrame:
                 out.append((b, ids[used].tobytes(), (ref.astype(np.uint16) | (refs[part] & ~np.uint16(_ROW))).tobytes(),
                             keys[part].astype(np.uint32).tobytes()))
         if len(known[0]):
-            out.append((-1, ids.tobytes(), known[1].tobytes(), known[0].tobytes()))
+            out.append((-1 - int(ids[0] & 0xFFFFFF), ids.tobytes(), known[1].tobytes(), known[0].tobytes()))
         columns = list(zip(*out, strict=True))
         return pa.RecordBatch.from_arrays(
             [pa.array(columns[0], pa.int32()), *[pa.array(c, pa.binary()) for c in columns[1:]]],
@@ -196,6 +197,8 @@ def shared(docs: DataFrame, bits: int) -> DataFrame:
     def meet(rows: pa.Table) -> pa.Table:
         bucket = rows.column("bucket")[0].as_py()
         ids, refs, keys = _entries(rows)
+        if bucket < 0:
+            return _rows(ids, keys)
         order = np.lexsort((ids, keys))
         ids, refs, keys = ids[order], refs[order], keys[order]
         first = np.concatenate([[True], keys[1:] != keys[:-1]])
@@ -205,15 +208,7 @@ def shared(docs: DataFrame, bits: int) -> DataFrame:
         tell = new & np.repeat(several, np.diff(np.append(edge, len(keys))))
         return _rows(ids[tell], keys[tell].astype(np.int64) | (bucket << 32))
 
-    def known(batches):
-        for b in batches:
-            for k in range(b.num_rows):
-                ids, _, keys = _entries(pa.Table.from_batches([b.slice(k, 1)]))
-                yield from _rows(ids, keys).to_batches()
-
-    packed = stored(_packed(docs, bits), "jaccard-packed")
-    return stored(packed.where("bucket >= 0").groupBy("bucket").applyInArrow(meet, _SHARED)
-                  .unionByName(packed.where("bucket < 0").mapInArrow(known, _SHARED)).distinct(), "jaccard-shared")
+    return stored(_packed(docs, bits).groupBy("bucket").applyInArrow(meet, _SHARED).distinct(), "jaccard-shared")
 
 
 # ------------------------------------------------------------- bound and verify
@@ -420,20 +415,25 @@ def link(docs: DataFrame, all_links: bool = False) -> tuple[DataFrame, DataFrame
                                                      F.count("*").alias("members"))
     some = stored(common.groupBy("sig").agg(F.count("*").alias("common")).join(classes, "sig")
                   .where(F.col("common") >= _needed(F.col("n"))).select("sig", "doc_id", "n", "members"), "jaccard-some")
-    common = stored(common.join(some.select("sig"), "sig", "left_semi"), "jaccard-common")
+    whole, common = common, stored(common.join(some.select("sig"), "sig", "left_semi"), "jaccard-common")
+    discard(whole)
     many = stored(common.groupBy("key").agg(F.count("*").alias("many")).where("many > 1"), "jaccard-frequencies")
     rare = (common.join(many, "key").groupBy("sig").agg(F.sort_array(F.collect_list(F.struct("many", "key"))).alias("keys"))
             .join(some.select("sig", "n"), "sig").withColumn("needed", _needed(F.col("n")).cast("int"))
             .where(F.size("keys") >= F.col("needed"))
             .select("sig", F.explode(F.slice("keys", F.lit(1), F.size("keys") - F.col("needed") + 1)).alias("k")))
     entry = stored(rare.select("sig", "k.key"), "jaccard-entries")
+    discard(common, many)
     pivots = stored(entry.groupBy("key").agg(F.min("sig").alias("pivot"), F.count("*").alias("many"))
                     .where("many > 1").select("key", "pivot"), "jaccard-pivots")
     near = (entry.join(pivots, "key").where("sig <> pivot").select(F.col("sig").alias("a"), F.col("pivot").alias("b"))
             .distinct())
-    roots = stored(components(near), "jaccard-groups").withColumnRenamed("node", "sig")
+    groups = stored(components(near), "jaccard-groups")
+    discard(entry, pivots)
+    roots = groups.withColumnRenamed("node", "sig")
     # what is in no group links with nothing
     chosen = stored(some.join(roots, "sig").select("doc_id", F.col("sig").alias("node"), "root", "n", "members"), "jaccard-chosen")
+    discard(some, groups)
     sets_of = _sets_of(docs)
     links = group_links(chosen, sets_of, PERCENT, _within, "jaccard")
     if not all_links:
@@ -449,7 +449,7 @@ def join(docs: DataFrame, all_links: bool = False) -> DataFrame:
     roots = components(links).withColumnRenamed("node", "sig")
     classes = (own.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("least"), F.count("*").alias("members")).join(roots, "sig", "left")
                .withColumn("root", F.coalesce("root", "sig")))
-    classes = stored(classes, "jaccard-classes")
+    met = classes = stored(classes, "jaccard-classes")
     named = stored(classes.groupBy("root").agg(F.min("least").alias("component_id")), "jaccard-named")
     classes = classes.join(named, "root")
     linked = F.lit(None).cast("long")
@@ -457,10 +457,13 @@ def join(docs: DataFrame, all_links: bool = False) -> DataFrame:
         classes = classes.join(counts, "sig", "left")
         linked = F.coalesce("n_links", F.lit(0)) + F.col("members") - 1          # equal sets link, too
     classes = classes.select("sig", "component_id", linked.alias("n_links"))
-    out = (own.join(stored(classes, "jaccard-named-classes"), "sig", "left")
+    final = stored(classes, "jaccard-named-classes")
+    out = (own.join(final, "sig", "left")
            .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"),
                    F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")))
-    out = one_node_per_id(stored(out if all_links else out.drop("n_links"), "jaccard-out"))
+    out = stored(out if all_links else out.drop("n_links"), "jaccard-out")
+    discard(own, links, met, named, final)
+    out = one_node_per_id(out)
     none = docs.where("doc_id IS NULL").select("doc_id", "text")
     if none.limit(1).count():
         out = out.unionByName(signatures(none).select(

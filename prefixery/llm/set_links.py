@@ -9,11 +9,13 @@ leaves.  So a group of near copies ends after one round, whatever its size.  Rou
 go on, with an unlinked pivot, for groups that lose at least half of their sets.
 
 What remains is dealt to pairs of blocks, each bounded in sets and in entries, one
-pair of blocks to a call.
+pair of blocks to a call.  A group of b blocks moves b copies of its sets; these go in
+waves, one after another, so that the copies on disk at a time do not grow with b.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -21,11 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
 
 BLOCK = 1 << 20            # entries per block of a group (8 MB)
 BLOCK_SETS = 1 << 9        # and sets
 PAIRS = 8                  # calls per task, one in memory at a time
+WAVE = 1 << 20             # entries of a wave per shuffle partition (8 MB)
 ROUNDS = 4
 SLACK = 1e-9
 
@@ -147,11 +150,15 @@ def group_links(chosen: DataFrame, sets_of: Callable, percent: int, found: Calla
     return stored(out.where("a <> b").distinct(), f"{name}-links")
 
 
-def dealt_in_pairs(rows: DataFrame, parts: int) -> DataFrame:
+def dealt_in_pairs(rows: DataFrame, parts: int, wave: int = 0, waves: int = 1) -> DataFrame:
     """The sets, at every pair of blocks of their group; one ``part`` is one call.  A
-    pair of blocks of a larger group is a part of its own (16 MB)."""
+    pair of blocks of a larger group is a part of its own (16 MB).  Of several
+    ``waves``, each with its own pairs, one: those of blocks whose sum, with the
+    group's offset, is ``wave`` modulo ``waves``."""
+    first = F.pmod(F.lit(wave) - F.col("block") - F.pmod(F.xxhash64("root"), F.lit(waves)), F.lit(waves))
     rows = (rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-            .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+            .withColumn("other", first).where("other < blocks")
+            .withColumn("other", F.explode(F.sequence(F.col("other"), F.col("blocks") - 1, F.lit(waves).cast("long"))))
             .withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")))
     part = F.when(F.col("blocks") > 1, F.xxhash64("root", "i", "j")).otherwise(F.pmod(F.xxhash64("root"), F.lit(PAIRS * parts)))
     return rows.withColumn("part", part).select("part", "root", "i", "j", "block", "node", "members", "label", "hashes")
@@ -162,14 +169,15 @@ def meetings(chosen: DataFrame, sets_of: Callable, found: Callable, schema: str)
     spark = chosen.sparkSession
     if "label" not in chosen.columns:
         chosen = chosen.withColumn("label", F.col("node"))
-    groups = stored(chosen.groupBy("root").agg(_blocks(F.sum("n"), F.count("*")).alias("blocks")), "set-blocks")
-    total = groups.agg(F.coalesce(F.sum(F.expr("blocks * (blocks + 1) div 2")), F.lit(0)).alias("pairs"),
-                       F.count("*").alias("groups")).first()
-    entries = chosen.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")),
-                1 + int(entries // BLOCK + total["pairs"] - total["groups"]) // PAIRS)
-    placed = stored(chosen.join(groups, "root"), "set-placed")
-    rows = dealt_in_pairs(sets_of(placed, ["root", "blocks", "node", "members", "label"]), parts)
+    groups = stored(chosen.groupBy("root").agg(_blocks(F.sum("n"), F.count("*")).alias("blocks"), F.sum("n").alias("entries")), "set-blocks")
+    total = groups.agg(F.coalesce(F.sum(F.expr("blocks * (blocks + 1) div 2")), F.lit(0)).alias("pairs"), F.count("*").alias("groups"),
+                       F.coalesce(F.sum("entries"), F.lit(0)).alias("entries"),
+                       F.coalesce(F.sum(F.col("entries").cast("double") * F.col("blocks")), F.lit(0.0)).alias("moved")).first()
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    waves = max(1, math.ceil(total["moved"] / (WAVE * partitions)))
+    parts = max(partitions, (1 + int(total["entries"] // BLOCK + total["pairs"] - total["groups"]) // PAIRS) // waves)
+    placed = stored(chosen.join(groups.drop("entries"), "root"), "set-placed")
+    sets = sets_of(placed, ["root", "blocks", "node", "members", "label"])
     names = [c.split()[0] for c in schema.split(", ")]
 
     def meet(t: pa.Table) -> pa.Table:
@@ -188,4 +196,14 @@ def meetings(chosen: DataFrame, sets_of: Callable, found: Callable, schema: str)
                     out += found(node[at], sets, members[at], label[at], left, right)
         return pa.table({c: pa.array([x[k] for x in out], pa.int64()) for k, c in enumerate(names)})
 
-    return rows.repartition(parts, "part").groupBy("part").applyInArrow(meet, schema)
+    def met(wave: int) -> DataFrame:
+        return dealt_in_pairs(sets, parts, wave, waves).repartition(parts, "part").groupBy("part").applyInArrow(meet, schema)
+
+    if waves == 1:
+        return met(0)
+    sets = stored(sets, "set-hashes")
+    out = [stored(met(k), "set-wave") for k in range(waves)]
+    discard(sets)
+    while len(out) > 1:                    # a plan of depth log(waves)
+        out = [a.unionByName(b) for a, b in zip(out[::2], out[1::2], strict=False)] + out[len(out) // 2 * 2:]
+    return out[0]

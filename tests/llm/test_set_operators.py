@@ -1,6 +1,8 @@
 """The join and the mixing against plain Python."""
 
+import os
 import random
+import re
 import time
 from collections import Counter
 from fractions import Fraction
@@ -8,8 +10,10 @@ from fractions import Fraction
 import numpy as np
 import pytest
 from conftest import words
+from pyspark.sql import functions as F
 
 from prefixery.llm import jaccard_join, set_links, source_mixing
+from prefixery.llm.common import discard, scratch_scope, stored
 from prefixery.llm.components import components
 
 
@@ -211,6 +215,54 @@ def test_pairs_of_blocks_are_dealt_one_by_one(spark):
     assert len({x["part"] for x in met}) == len(met) == 78
 
 
+def test_waves_have_each_pair_of_blocks_once(spark):
+    """A group of b blocks moves b copies of its sets: a wave moves its share."""
+    rows = [(1, k, 12, 1, k, b"") for k in range(300)] + [(k, 1000 + k, 1, 1, k, b"") for k in range(2, 30)]
+    groups = spark.createDataFrame(rows, "root long, node long, blocks long, members long, label long, hashes binary")
+    columns = ["root", "i", "j", "node"]
+    whole = Counter(map(tuple, set_links.dealt_in_pairs(groups, 4).select(*columns).collect()))
+    waves = [Counter(map(tuple, set_links.dealt_in_pairs(groups, 4, k, 5).select(*columns).collect())) for k in range(5)]
+    assert sum(waves, Counter()) == whole
+    assert max(w.total() for w in waves) < whole.total() / 4
+
+
+def test_jaccard_in_waves(spark, edge_docs, monkeypatch):
+    rows = [(x["doc_id"], x["text"]) for x in edge_docs.collect() if x["doc_id"] not in (None, 10)] + chains(4, 20, 60)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = {tuple(x) for x in jaccard_join.join(docs, all_links=True).collect()}
+    monkeypatch.setattr(set_links, "BLOCK", 500)
+    monkeypatch.setattr(set_links, "WAVE", 100)
+    with scratch_scope() as paths:
+        assert {tuple(x) for x in jaccard_join.join(docs, all_links=True).collect()} == want
+    assert sum("set-wave" in p for p in paths) > 4
+
+
+def test_jaccard_leaves_no_intermediate_entries(spark, sample_docs):
+    """Neither the shuffle files of what is stored nor the tables of entries stay on disk."""
+    docs = sample_docs.limit(200)
+    with scratch_scope() as paths:
+        out = jaccard_join.join(docs)
+    left = {re.sub("-[0-9a-f]{12}$", "", os.path.basename(p)) for p in paths if os.path.exists(p.removeprefix("file:"))}
+    assert "jaccard-out" in left and out.count() == 200
+    assert not left & {"jaccard-packed", "jaccard-shared", "jaccard-common", "jaccard-entries", "jaccard-pivots", "jaccard-signatures",
+                       "components-large", "components-minima"}
+
+
+def test_stored_removes_its_shuffle_files(spark):
+    def shuffles():
+        return set(spark.sparkContext._jsc.sc().env().mapOutputTracker().shuffleStatuses().keySet().mkString(" ").split())
+
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, setting = shuffles(), spark.conf.get(key)
+    table = stored(spark.range(1000).groupBy((F.col("id") % 10).alias("k")).count(), "shuffled")
+    new = shuffles() - before
+    assert table.count() == 10 and spark.conf.get(key) == setting
+    table.groupBy("k").count().write.format("noop").mode("overwrite").save()
+    assert not new and shuffles() - before           # other queries keep theirs
+    discard(table)
+    assert not os.path.exists(table.stored_at.removeprefix("file:"))
+
+
 def near_copies(n, size, changes, seed=1):
     r = np.random.default_rng(seed)
     base = np.unique(r.integers(0, 1 << 60, size).astype(np.uint64))
