@@ -29,6 +29,13 @@ def _piece(keys: np.ndarray, pieces: int) -> np.ndarray:
     return (mix(keys.view(U64)) & U64(pieces - 1)).astype(np.int16)
 
 
+class Held:
+    """A piece that is in the task itself, in the place of a broadcast one."""
+
+    def __init__(self, value: HashArrays):
+        self.value = value
+
+
 class SharedArrays:
     """Broadcast pieces, a power of two of them; values of ``dtype`` (64 bits)."""
 

@@ -9,7 +9,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from conftest import words
+from conftest import invented, words
 from pyspark.sql.classic.dataframe import DataFrame
 
 from prefixery.llm import byte_ctw, decontaminate, license_scan, quality_classifier, quality_rules, secret_scan
@@ -260,6 +260,34 @@ def test_ctw_edge_rows_and_join_path(edge_docs, empty_docs):
     assert r["score"] == pytest.approx(r["n_bytes"] * 8 * math.log10(.5))
 
 
+def test_ctw_blocks_move_each_key_once(spark, edge_docs, monkeypatch):
+    """Beyond the broadcast form a block gets the values of its distinct grams and words,
+    not of every document's; with many blocks and pieces the rows are the same."""
+    rows = [(r["doc_id"], r["text"]) for r in edge_docs.collect()] + [(100 + k, f"{invented(5, 90)} n{k}") for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+
+    def scores(most):
+        return sorted((repr(r["doc_id"]), r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], r["n_bytes"], round(r["base_score"], 6),
+                       round(r["score"], 6)) for r in byte_ctw.score(docs, 2, most).collect())
+
+    want, moved, values = scores(10 ** 9), [], byte_ctw._block_values
+
+    def seen(keys, model, pieces):
+        moved.extend((r["block"], r["kind"], x) for r in keys.collect() for x in byte_ctw._unpack(bytes(r["keys"])))
+        return values(keys, model, pieces)
+
+    monkeypatch.setattr(byte_ctw, "_block_values", seen)
+    monkeypatch.setattr(byte_ctw, "BLOCK_BYTES", 1 << 15)
+    monkeypatch.setattr(byte_ctw, "PIECE_BYTES", 1 << 14)
+    assert scores(0) == want
+    blocks = len({b for b, *_ in moved})
+    texts = [(" ".join(words(t, True)) + "\n").encode() for _, t in rows]
+    every = sum(len({(b"\n\n" + x)[k:k + 3] for k in range(len(x))}) for x in texts)
+    grams = [x for _, kind, x in moved if kind == byte_ctw.GRAM]
+    assert blocks > 3 and len(moved) == len(set(moved))
+    assert set(grams) == {int.from_bytes((b"\n\n" + x)[k:k + 3]) for x in texts for k in range(len(x))} and len(grams) < every / 2
+
+
 # ------------------------------------------------------------------ op6
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
